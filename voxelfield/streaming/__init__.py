@@ -1,0 +1,2 @@
+"""The workload has no stream operators: every input is a bounded table, so
+nothing is implemented here."""
