@@ -44,9 +44,15 @@ def _pick(radius: Column, means: dict[int, Column]) -> Column:
     return picked.otherwise(unlisted)
 
 
+def _cells(lattice: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lattice once per key; a key the lattice also has (its own mask per
+    replicate, say) is matched."""
+    shared = [k for k in keys if k in lattice.columns]
+    return lattice.join(delta.select(*keys, "voxel_id", "delta"), [*shared, "voxel_id"])
+
+
 def _with_radius(lattice: DataFrame, delta: DataFrame, radius: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cells = lattice.join(delta.select(*keys, "voxel_id", "delta"), "voxel_id")
-    return cells.join(radius, [*keys, "partition_id"], "left")
+    return _cells(lattice, delta, keys).join(radius, [*keys, "partition_id"], "left")
 
 
 def window_inclusion(
@@ -88,8 +94,7 @@ def window_inclusion_candidates(
     lattice: DataFrame, delta: DataFrame, radii: Sequence[int], keys: Sequence[str] = ()
 ) -> DataFrame:
     """(partition_id, radius, voxel_id, p) for every candidate radius, without mask."""
-    cells = lattice.join(delta.select(*keys, "voxel_id", "delta"), "voxel_id")
-    squares, names = _with_window_means(cells, radii, keys, F.lit(True))
+    squares, names = _with_window_means(_cells(lattice, delta, keys), radii, keys, F.lit(True))
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("radius"), F.col(n).alias("p")) for r, n in names.items()]))
     return squares.select(*keys, "partition_id", "voxel_id", pairs.alias("c")).select(
         *keys, "partition_id", "c.radius", "voxel_id", "c.p"
@@ -99,7 +104,8 @@ def window_inclusion_candidates(
 def neighbor_inclusion(edges: DataFrame, delta: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of delta over a voxel's neighbours, itself not included; isolated voxels NULL."""
     values = delta.select(*keys, F.col("voxel_id").alias("dst"), "delta")
-    means = edges.join(values, "dst").groupBy(*keys, F.col("src").alias("voxel_id")).agg(F.avg("delta").alias("p"))
+    shared = [k for k in keys if k in edges.columns]
+    means = edges.join(values, [*shared, "dst"]).groupBy(*keys, F.col("src").alias("voxel_id")).agg(F.avg("delta").alias("p"))
     return delta.select(*keys, "voxel_id").join(means, [*keys, "voxel_id"], "left")
 
 

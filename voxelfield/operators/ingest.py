@@ -76,23 +76,19 @@ def events_to_lattice(
 ) -> DataFrame:
     """Mean value per subject and lattice cell; cells without events are 0.
 
-    Cells are averaged first (map-side combine), so what is gathered per
-    subject is one image of n_row * n_col cells, never its raw events.
+    An empty row per subject and cell is added before one aggregate, so raw
+    events combine map-side and nothing is gathered per subject.
     """
     cell = (row + col * n_row).cast("int")
-    means = (
-        df.select(F.col(id_col).cast("long").alias("subject_id"), cell.alias("voxel_id"), value.alias("value"))
-        .where(F.col("voxel_id").between(0, n_row * n_col - 1))
-        .groupBy("subject_id", "voxel_id")
-        .agg(F.avg("value").alias("value"))
+    seen = df.select(F.col(id_col).cast("long").alias("subject_id"), cell.alias("voxel_id"), value.alias("value"))
+    grid = seen.select("subject_id").distinct().select(
+        "subject_id",
+        F.explode(F.sequence(F.lit(0), F.lit(n_row * n_col - 1))).alias("voxel_id"),
+        F.lit(None).cast("double").alias("value"),
     )
-    held = means.groupBy("subject_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("voxel_id", "value"))).alias("cells")
-    )
-    grid = held.select(
-        "subject_id", "cells", F.explode(F.sequence(F.lit(0), F.lit(n_row * n_col - 1))).alias("voxel_id")
-    )
-    return grid.select("subject_id", "voxel_id", F.coalesce(F.col("cells")[F.col("voxel_id")], F.lit(0.0)).alias("value"))
+    inside = seen.where(F.col("voxel_id").between(0, n_row * n_col - 1))
+    means = inside.unionByName(grid).groupBy("subject_id", "voxel_id")
+    return means.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("value"))
 
 
 def wide_distance_to_edges(df: DataFrame, row_column: str, names: Sequence[str]) -> DataFrame:

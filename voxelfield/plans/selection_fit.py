@@ -1,2 +1,712 @@
-class FitConfig: pass
-def fit_selection_model(*a, **k): raise NotImplementedError
+"""Bayesian voxel selection fitted by Gibbs sampling, one Spark pass per block.
+
+What grows with the subjects stays distributed: images sit in bounded chunks
+of subjects, and a pass turns the current parameters into one cross-product
+``c = B'(z - alpha - eta)`` per chain. What is parameter-sized is updated per
+(replicate, chain) from ``c`` and the Gram matrix of one block of voxels, in
+voxel order, exactly as a scan over the subjects would. Blocks are small
+(``BLOCK_COLUMNS`` basis columns), so neither a task nor a shuffle ever holds
+the full Gram matrix.
+
+The latent z is not stored between passes: it is a function of the last
+parameters and of uniforms keyed by subject, chain and iteration. A lost
+executor therefore recomputes the same values. Every step ends in a table in
+the shared folder, so lineage never grows beyond one step.
+
+One iteration: z, radius, then per block theta (and with the last block alpha)
+and delta, then the inclusion map, tau and 1/a.
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelfield.functions.hermite import basis_array
+from voxelfield.functions.keyed import keyed_uniform
+from voxelfield.functions.normal import EPSILON, norm_cdf_array, norm_ppf, positive_normal_array
+from voxelfield.operators import inclusion
+from voxelfield.operators.additive import sum_of_squares
+from voxelfield.operators.conditionals import keyed_normals
+from voxelfield.session import shared_dir
+
+FIT = ["replicate", "chain_id"]
+
+# Basis columns per block: its Gram matrix is the square of this, 32 MB.
+BLOCK_COLUMNS = 2048
+# Doubles one chunk of subjects may hold (images, or the basis of one block).
+CHUNK_DOUBLES = 8_000_000
+# Rows of one Gram matrix summed together.
+GRAM_BAND = 64
+
+# Fixed positions of the totals among the cross-product rows.
+RESIDUAL_SUM, SUBJECTS, LOGLIK, FIRST_RADIUS = -1, -2, -3, -10
+
+
+@dataclass(frozen=True)
+class FitConfig:
+    degree: int = 20
+    a: float = 0.01
+    b: float = 100.0
+    burnin: int = 5000
+    mcmc_sample: int = 500
+    thinning: int = 10
+    chains: int = 1
+    seed: int = 0
+    radii: tuple[int, ...] = (1,)
+    radius_update_thinning: int = 1
+    prior_min: float = 0.0
+    prior_max: float = 1.0
+    initial_sigma_sq: float = 1.0
+    rule: str = "bernoulli"
+    tau_cap: float | None = None
+    update_theta: bool = True
+    update_alpha: bool = True
+    update_delta: bool = True
+    update_z: bool = True
+    update_sigma: bool = True
+    update_a: bool = True
+    keep_latent: bool = False
+    block_voxels: int | None = None
+
+    @property
+    def n_basis(self) -> int:
+        return self.degree + 1
+
+    @property
+    def total_iter(self) -> int:
+        return self.burnin + self.mcmc_sample * self.thinning
+
+    def retained(self, iteration: int) -> bool:
+        after = iteration - self.burnin
+        return after > 0 and after % self.thinning == 0
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Draws of every iteration, as tables that are already written."""
+
+    voxel: DataFrame
+    scalar: DataFrame
+    subject: DataFrame | None
+    path: str
+
+
+@dataclass(frozen=True)
+class _Shape:
+    voxels: int
+    block: int
+    chunks: int
+    partitions: int
+    partition_ids: tuple[int, ...]
+
+    @property
+    def blocks(self) -> int:
+        return math.ceil(self.voxels / self.block)
+
+    def span(self, number: int) -> tuple[int, int]:
+        return number * self.block, min((number + 1) * self.block, self.voxels)
+
+
+class _Store:
+    """Numbered tables below one folder of the shared file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.schemas: dict = {}
+
+    def save(self, df: DataFrame, name: str, *numbers: int) -> DataFrame:
+        self.schemas[name] = df.schema
+        df.write.mode("overwrite").parquet(self.where(name, *numbers))
+        return self.load(name, *numbers)
+
+    def where(self, name: str, *numbers: int) -> str:
+        return os.path.join(self.path, name, *[f"part{i}={n}" if i else f"iter={n}" for i, n in enumerate(numbers)])
+
+    def load(self, name: str, *numbers: int) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(self.where(name, *numbers))
+
+    def all_iterations(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", os.path.join(self.path, name)).parquet(os.path.join(self.path, name))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df if "replicate" in df.columns else df.withColumn("replicate", F.lit(0))
+
+
+def _safe_basis(x: np.ndarray, config: FitConfig) -> np.ndarray:
+    """Basis of an array of values; an absent voxel (NaN) has no effect."""
+    out = basis_array(np.nan_to_num(x), config.degree, config.a, config.b)
+    out[np.isnan(x)] = 0.0
+    return out
+
+
+# Layout
+
+
+def _layout(images: DataFrame, labels: DataFrame, voxels: DataFrame, shape: _Shape) -> DataFrame:
+    """One row per subject: outcome and the image as a dense array.
+
+    Excluded and absent voxels are NaN. Subjects are spread over chunks by
+    hash, which bounds what a grouped task receives.
+    """
+    active = voxels.where(~F.col("excluded")).select("replicate", "voxel_id")
+    kept = images.join(active, ["replicate", "voxel_id"], "left_semi")
+    per_subject = kept.groupBy("replicate", "subject_id").agg(
+        F.collect_list(F.struct(F.col("voxel_id").alias("v"), F.col("value").alias("x"))).alias("cells")
+    )
+    joined = labels.join(per_subject, ["replicate", "subject_id"])
+    z0 = F.col("z") if "z" in labels.columns else F.lit(0.0)
+    chunk = F.pmod(F.xxhash64("subject_id"), F.lit(shape.chunks)).cast("int")
+    staged = joined.select(
+        "replicate", chunk.alias("chunk_id"), "subject_id", F.col("y").cast("int").alias("y"), z0.alias("z0"),
+        F.col("cells.v").cast("array<int>").alias("v"), F.col("cells.x").cast("array<double>").alias("x"),
+    )
+    size = shape.voxels
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for v, x in zip(batch.pop("v"), batch.pop("x")):
+                row = np.full(size, np.nan)
+                row[v] = x
+                rows.append(row)
+            yield batch.assign(image=rows)
+
+    schema = "replicate int, chunk_id int, subject_id long, y int, z0 double, image array<double>"
+    staged = staged.withColumn("replicate", F.col("replicate").cast("int"))
+    return staged.mapInPandas(dense, schema)
+
+
+def _block_grams(layout: DataFrame, config: FitConfig, shape: _Shape) -> DataFrame:
+    """(replicate, block, k, gram_row, colsum): B'B and column sums per block of voxels.
+
+    Image pieces are ranged by block, so a task adds up one block at a time
+    and hands on one matrix per block it met.
+    """
+    ranges = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(shape.span(b)[0] + 1).alias("first"),
+                                F.lit(shape.span(b)[1] - shape.span(b)[0]).alias("size")) for b in range(shape.blocks)])
+    pieces = layout.select("replicate", "chunk_id", "image", F.explode(ranges).alias("r")).select(
+        "replicate", F.col("r.block").alias("block"), "chunk_id", F.slice("image", F.col("r.first"), F.col("r.size")).alias("piece")
+    )
+    ranged = pieces.repartitionByRange(shape.partitions, "replicate", "block", "chunk_id").sortWithinPartitions(
+        "replicate", "block", "chunk_id"
+    )
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, gram, sums = None, None, None
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({
+                "replicate": held[0], "block": held[1], "k": np.arange(len(sums)), "gram_row": list(gram), "colsum": sums,
+            })
+
+        for batch in batches:
+            for key, part in batch.groupby(["replicate", "block"], sort=False):
+                if key != held and held is not None:
+                    yield rows()
+                    held = None
+                wide = _safe_basis(np.stack(part["piece"].to_numpy()), config).reshape(len(part), -1)
+                if held is None:
+                    held, gram, sums = key, wide.T @ wide, wide.sum(axis=0)
+                else:
+                    gram += wide.T @ wide
+                    sums += wide.sum(axis=0)
+        if held is not None:
+            yield rows()
+
+    schema = "replicate int, block int, k int, gram_row array<double>, colsum double"
+    partials = ranged.mapInPandas(partial, schema).withColumn("band", F.floor(F.col("k") / GRAM_BAND))
+
+    def add(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: dict[int, np.ndarray] = {}
+        sums: dict[int, float] = {}
+        for batch in batches:
+            for k, row, total in zip(batch["k"], batch["gram_row"], batch["colsum"]):
+                rows[k] = rows[k] + row if k in rows else row
+                sums[k] = sums.get(k, 0.0) + total
+        yield pd.DataFrame({
+            "replicate": key[0], "block": key[1], "k": list(rows), "gram_row": list(rows.values()),
+            "colsum": [sums[k] for k in rows],
+        })
+
+    return partials.groupBy("replicate", "block", "band").applyInPandas(_iterating(add), schema)
+
+
+def _iterating(fn: Callable) -> Callable:
+    """Type-annotated form of a (key, batches) function, as Spark expects it."""
+
+    def apply(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return fn(key, batches)
+
+    return apply
+
+
+# The pass over subjects
+
+
+def _effects_for(
+    params: pd.DataFrame, chains: dict[int, int], images: np.ndarray, columns: Sequence[np.ndarray], config: FitConfig, block: int
+) -> np.ndarray:
+    """Sum over voxels of basis times weights: (subjects, chains, columns).
+
+    ``columns`` are arrays aligned with ``params`` rows, each (rows, n_basis).
+    Voxels are taken a block at a time to bound the basis in memory.
+    """
+    total = np.zeros((len(images), len(chains) * len(columns)))
+    ids = params["voxel_id"].to_numpy()
+    slots = params["chain_id"].map(chains).to_numpy()
+    distinct = np.unique(ids)
+    for start in range(0, len(distinct), block):
+        voxels = distinct[start : start + block]
+        weights = np.zeros((len(voxels), config.n_basis, len(chains), len(columns)))
+        inside = (ids >= voxels[0]) & (ids <= voxels[-1])
+        at = np.searchsorted(voxels, ids[inside])
+        for number, column in enumerate(columns):
+            weights[at, :, slots[inside], number] = column[inside]
+        basis = _safe_basis(images[:, voxels], config).reshape(len(images), -1)
+        total += basis @ weights.reshape(basis.shape[1], -1)
+    return total.reshape(len(images), len(chains), len(columns))
+
+
+def _latent(subjects: pd.DataFrame, eta: np.ndarray, config: FitConfig) -> np.ndarray:
+    """z of every subject and chain given the linear predictor."""
+    if not config.update_z:
+        return np.repeat(subjects["z0"].to_numpy()[:, None], eta.shape[1], axis=1)
+    side = np.where(subjects["y"].to_numpy() == 1, 1.0, -1.0)[:, None]
+    return side * positive_normal_array(side * eta, np.stack(subjects["u"].to_numpy()))
+
+
+def _unpack(params: pd.DataFrame) -> tuple[pd.DataFrame, dict[int, int], np.ndarray, np.ndarray]:
+    """Split parameter rows into voxels and the two intercepts per chain."""
+    heads = params[params["voxel_id"] < 0].sort_values("chain_id")
+    chains = {c: i for i, c in enumerate(heads["chain_id"])}
+    return params[params["voxel_id"] >= 0], chains, heads["alpha_old"].to_numpy(), heads["alpha_new"].to_numpy()
+
+
+def _subject_pass(
+    layout: DataFrame, params: DataFrame, config: FitConfig, shape: _Shape, block: int, with_radius: bool
+) -> DataFrame:
+    """(replicate, chain_id, k, value): cross-products of one block and totals, summed over subjects."""
+    first, last = shape.span(block)
+    radii, parts = config.radii, shape.partition_ids
+
+    def work(key: tuple, subjects: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(subjects):
+            return pd.DataFrame({"replicate": [], "chain_id": [], "k": [], "value": []})
+        voxels, chains, alpha_old, alpha_new = _unpack(given)
+        images = np.stack(subjects["image"].to_numpy())
+        y = subjects["y"].to_numpy()[:, None]
+        n = len(images)
+        columns = []
+        if len(voxels):
+            old, new = np.stack(voxels["w_old"].to_numpy()), np.stack(voxels["w_new"].to_numpy())
+            columns = [old, new]
+            if with_radius:
+                theta = np.stack(voxels["theta"].to_numpy())
+                p = voxels["p"].to_numpy()[:, None]
+                candidates = np.stack(voxels["candidates"].to_numpy())
+                columns.append(p * theta)
+                for part in parts:
+                    here = (voxels["partition_id"].to_numpy() == part)[:, None]
+                    columns += [np.where(here, candidates[:, [r]] - p, 0.0) * theta for r in range(len(radii))]
+            sums = _effects_for(voxels, chains, images, columns, config, shape.block)
+        else:
+            sums = np.zeros((n, len(chains), 3 + len(parts) * len(radii)))
+        eta_old, eta_new = alpha_old + sums[:, :, 0], alpha_new + sums[:, :, 1]
+        z = _latent(subjects, eta_old, config)
+        rest = z - eta_new
+        basis = _safe_basis(images[:, first:last], config).reshape(n, -1)
+        cross = basis.T @ rest
+        cdf = norm_cdf_array(eta_old)
+        totals = {
+            RESIDUAL_SUM: rest.sum(axis=0),
+            SUBJECTS: np.full(len(chains), float(n)),
+            LOGLIK: (y * np.log(cdf + EPSILON) + (1 - y) * np.log(1 - cdf + EPSILON)).sum(axis=0),
+        }
+        if with_radius:
+            base = z - alpha_old - sums[:, :, 2]
+            for i in range(len(parts) * len(radii)):
+                totals[FIRST_RADIUS - i] = ((base - sums[:, :, 3 + i]) ** 2).sum(axis=0)
+        ks = np.r_[np.arange(len(cross)), list(totals)]
+        values = np.vstack([cross, *totals.values()])
+        return pd.DataFrame({
+            "replicate": key[0],
+            "chain_id": np.repeat(list(chains), len(ks)),
+            "k": np.tile(ks, len(chains)),
+            "value": values.T.ravel(),
+        })
+
+    partial = layout.groupBy("replicate", "chunk_id").cogroup(params.groupBy("replicate", "chunk_id")).applyInPandas(
+        work, "replicate int, chain_id int, k int, value double"
+    )
+    return partial.groupBy(*FIT, "k").agg(F.sum("value").alias("value"))
+
+
+def _latent_pass(layout: DataFrame, params: DataFrame, config: FitConfig, shape: _Shape) -> DataFrame:
+    """(replicate, chain_id, subject_id, z) for a retained iteration."""
+
+    def work(key: tuple, subjects: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(subjects):
+            return pd.DataFrame({"replicate": [], "chain_id": [], "subject_id": [], "z": []})
+        voxels, chains, alpha, _ = _unpack(given)
+        images = np.stack(subjects["image"].to_numpy())
+        eta = np.repeat(alpha[None, :], len(images), axis=0)
+        if len(voxels):
+            eta = eta + _effects_for(voxels, chains, images, [np.stack(voxels["w_old"].to_numpy())], config, shape.block)[:, :, 0]
+        z = _latent(subjects, eta, config)
+        return pd.DataFrame({
+            "replicate": key[0], "chain_id": np.tile(list(chains), len(images)),
+            "subject_id": np.repeat(subjects["subject_id"].to_numpy(), len(chains)), "z": z.ravel(),
+        })
+
+    return layout.groupBy("replicate", "chunk_id").cogroup(params.groupBy("replicate", "chunk_id")).applyInPandas(
+        work, "replicate int, chain_id int, subject_id long, z double"
+    )
+
+
+def _pass_params(
+    old: DataFrame, new: DataFrame, old_scalar: DataFrame, config: FitConfig, shape: _Shape, with_radius: bool
+) -> DataFrame:
+    """Parameters a pass needs, once per chunk of subjects.
+
+    Only selected voxels carry weight, so only they travel, unless the radius
+    is due, which weighs all voxels. One extra row per chain holds alpha.
+    """
+    zero = F.array_repeat(F.lit(0.0), config.n_basis)
+
+    def weight(delta: str, theta: str):
+        return F.when(F.col(delta) == 1, F.col(theta)).otherwise(zero)
+
+    renamed = new.select(*FIT, "voxel_id", F.col("delta").alias("delta_new"), F.col("theta").alias("theta_new"))
+    both = old.where(~F.col("excluded")).join(renamed, [*FIT, "voxel_id"])
+    if not with_radius:
+        both = both.where("delta = 1 or delta_new = 1")
+    nothing = F.lit(None).cast("array<double>")
+    voxels = both.select(
+        *FIT, "voxel_id", "partition_id", weight("delta", "theta").alias("w_old"), weight("delta_new", "theta_new").alias("w_new"),
+        *([F.col("theta"), F.coalesce("p", F.lit(0.5)).alias("p"), F.col("candidates")] if with_radius
+          else [nothing.alias("theta"), F.lit(None).cast("double").alias("p"), nothing.alias("candidates")]),
+        F.lit(None).cast("double").alias("alpha_old"), F.lit(None).cast("double").alias("alpha_new"),
+    )
+    heads = old_scalar.select(
+        *FIT, F.lit(-1).alias("voxel_id"), F.lit(None).cast("int").alias("partition_id"),
+        nothing.alias("w_old"), nothing.alias("w_new"), nothing.alias("theta"), F.lit(None).cast("double").alias("p"),
+        nothing.alias("candidates"), F.col("alpha").alias("alpha_old"), F.col("alpha").alias("alpha_new"),
+    )
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(shape.chunks - 1))).alias("chunk_id")
+    return voxels.unionByName(heads).select("*", chunks)
+
+
+# The parameter step
+
+
+def _block_step(
+    gram: DataFrame, cross: DataFrame, state: DataFrame, scalar: DataFrame, config: FitConfig, shape: _Shape,
+    block: int, iteration: int,
+) -> DataFrame:
+    """New theta, delta (and with the last block alpha) of one block, per chain."""
+    first, _ = shape.span(block)
+    last_block = block == shape.blocks - 1
+    size = config.n_basis
+    rows = gram.where(F.col("block") == block).join(cross.where("k >= 0"), ["replicate", "k"]).select(
+        *FIT, "k", "gram_row", "colsum", "value"
+    )
+    totals = cross.where(F.col("k").isin(RESIDUAL_SUM, SUBJECTS)).groupBy(*FIT).agg(
+        F.sum(F.when(F.col("k") == RESIDUAL_SUM, F.col("value"))).alias("rest_sum"),
+        F.sum(F.when(F.col("k") == SUBJECTS, F.col("value"))).alias("subjects"),
+    )
+    heads = scalar.select(*FIT, "alpha", "inv_sigma_sq").join(totals, FIT)
+    low, high = shape.span(block)
+    mine = state.where(F.col("voxel_id").between(low, high - 1)).join(heads, FIT)
+    staged = mine.select(
+        *FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", F.coalesce("p", F.lit(0.5)).alias("p"),
+        "alpha", "inv_sigma_sq", "rest_sum", "subjects",
+        keyed_normals(config.seed, f"theta{iteration}", size, *FIT, "voxel_id").alias("eps"),
+        keyed_uniform(config.seed, "delta", iteration, *[F.col(c) for c in (*FIT, "voxel_id")]).alias("u"),
+        keyed_uniform(config.seed, "alpha", iteration, *[F.col(c) for c in FIT]).alias("u_alpha"),
+    ).withColumn("eps_alpha", norm_ppf(F.col("u_alpha"))).drop("u_alpha")
+
+    def work(key: tuple, products: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
+        products = products.sort_values("k")
+        voxels = voxels.sort_values("voxel_id").reset_index(drop=True)
+        g = np.stack(products["gram_row"].to_numpy())
+        colsum, c = products["colsum"].to_numpy(), products["value"].to_numpy().copy()
+        head = voxels.iloc[0]
+        tau, alpha, rest_sum = head["inv_sigma_sq"], head["alpha"], head["rest_sum"]
+        theta, eps = np.stack(voxels["theta"].to_numpy()).copy(), np.stack(voxels["eps"].to_numpy())
+        delta = voxels["delta"].to_numpy().copy()
+        open_rows = [i for i in range(len(voxels)) if not voxels["excluded"].iloc[i]]
+        spans = {i: slice((voxels["voxel_id"].iloc[i] - first) * size, (voxels["voxel_id"].iloc[i] - first + 1) * size) for i in open_rows}
+
+        def move(at: slice, change: np.ndarray) -> None:
+            """Take a changed effect out of the residual's products and sum."""
+            nonlocal c, rest_sum
+            c = c - g[:, at] @ change
+            rest_sum = rest_sum - colsum[at] @ change
+
+        if config.update_theta:
+            for i in open_rows:
+                at = spans[i]
+                if delta[i] == 1:
+                    own = c[at] + g[at, at] @ theta[i]
+                    root = np.linalg.cholesky(g[at, at] + tau * np.eye(size))
+                    centre = np.linalg.solve(root, own) + eps[i]
+                    fresh = np.linalg.solve(root.T, centre)
+                    move(at, fresh - theta[i])
+                    theta[i] = fresh
+                else:
+                    theta[i] = eps[i] / math.sqrt(tau)
+        if last_block and config.update_alpha:
+            weight = head["subjects"] + tau
+            fresh_alpha = (rest_sum + head["subjects"] * alpha) / weight + head["eps_alpha"] / math.sqrt(weight)
+            c = c - colsum * (fresh_alpha - alpha)
+            alpha = fresh_alpha
+        if config.update_delta:
+            for i in open_rows:
+                at = spans[i]
+                gram_theta = g[at, at] @ theta[i]
+                against = 0.5 * theta[i] @ gram_theta - theta[i] @ (c[at] + delta[i] * gram_theta)
+                p = voxels["p"].iloc[i]
+                against += math.log((1 - p + EPSILON) / (p + EPSILON))
+                chance = 1.0 / (1.0 + math.exp(min(against, 700.0)))
+                fresh = int(chance >= 0.5) if config.rule == "map" else int(voxels["u"].iloc[i] < chance)
+                if fresh != delta[i]:
+                    move(at, (fresh - delta[i]) * theta[i])
+                    delta[i] = fresh
+        return pd.DataFrame({
+            "replicate": key[0], "chain_id": key[1], "voxel_id": voxels["voxel_id"], "partition_id": voxels["partition_id"],
+            "excluded": voxels["excluded"], "delta": delta, "theta": list(theta), "alpha": alpha,
+        })
+
+    schema = (
+        "replicate int, chain_id int, voxel_id int, partition_id int, excluded boolean, delta int, "
+        "theta array<double>, alpha double"
+    )
+    return rows.groupBy(*FIT).cogroup(staged.groupBy(*FIT)).applyInPandas(work, schema)
+
+
+def _radius_choice(cross: DataFrame, config: FitConfig, shape: _Shape) -> DataFrame:
+    """(replicate, chain_id, partition_id, radius): best fit, first candidate on ties."""
+    number = FIRST_RADIUS - F.col("k")
+    count = len(config.radii)
+    scored = cross.where(F.col("k") <= FIRST_RADIUS).select(
+        *FIT,
+        F.array(*[F.lit(p) for p in shape.partition_ids])[F.floor(number / count).cast("int")].alias("partition_id"),
+        (number % count).alias("candidate"), (-0.5 * F.col("value")).alias("loglik"),
+    )
+    best = scored.groupBy(*FIT, "partition_id").agg(F.max_by("candidate", F.struct(F.col("loglik"), -F.col("candidate"))).alias("c"))
+    return best.select(*FIT, "partition_id", F.array(*[F.lit(r) for r in config.radii])[F.col("c")].alias("radius"))
+
+
+def _scalar_step(raw: DataFrame, before: DataFrame, config: FitConfig, iteration: int) -> DataFrame:
+    """tau, then 1/a, of every chain, from the sums over its voxels."""
+    sums = raw.groupBy(*FIT).agg(
+        F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"), F.max("alpha").alias("alpha")
+    )
+    staged = before.select(*FIT, "inv_sigma_sq", "inv_a").join(sums, FIT).withColumn(
+        "u", keyed_uniform(config.seed, "inv_a", iteration, *[F.col(c) for c in FIT])
+    )
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch.copy()
+            for i, row in batch.iterrows():
+                tau, inv_a = row["inv_sigma_sq"], row["inv_a"]
+                if config.update_sigma:
+                    rng = np.random.default_rng([config.seed, 46, iteration, int(row["replicate"]), int(row["chain_id"])])
+                    rate = inv_a + 0.5 * row["theta_sq"] + 0.5 * row["alpha"] ** 2
+                    tau = rng.gamma(0.5 * config.n_basis * row["voxels"] + 1) / rate
+                    tau = tau if config.tau_cap is None else min(tau, config.tau_cap)
+                if config.update_a:
+                    inv_a = -math.log(row["u"]) / (tau + 1.0)
+                out.loc[i, "inv_sigma_sq"], out.loc[i, "inv_a"] = tau, inv_a
+            yield out[["replicate", "chain_id", "alpha", "inv_sigma_sq", "inv_a", "theta_sq", "voxels"]]
+
+    schema = "replicate int, chain_id int, alpha double, inv_sigma_sq double, inv_a double, theta_sq double, voxels long"
+    return staged.mapInPandas(work, schema)
+
+
+# The inclusion map
+
+
+def _with_map(raw: DataFrame, lattice: DataFrame, edges: DataFrame | None, radius: DataFrame | None, config: FitConfig, initial: bool = False) -> DataFrame:
+    """Add ``p`` (and the candidates' maps on a lattice) to a state table."""
+    columns = [*FIT, "voxel_id", "partition_id", "excluded", "delta", "theta"]
+    nothing = F.lit(None).cast("array<double>")
+    if edges is not None:
+        p = inclusion.neighbor_inclusion(edges, raw, FIT)
+        joined = raw.join(p, [*FIT, "voxel_id"])
+        scaled = F.col("p") * (config.prior_max - config.prior_min) + config.prior_min
+        return joined.select(*columns, scaled.alias("p"), F.lit(None).cast("int").alias("radius"), nothing.alias("candidates"))
+    if initial:
+        probs = inclusion.clamp_inclusion(inclusion.window_inclusion(lattice, raw, radius, config.radii, FIT))
+    else:
+        probs = inclusion.window_inclusion_masked(
+            lattice, raw, radius, config.radii, config.prior_min, config.prior_max, FIT
+        )
+    maps = inclusion.window_inclusion_candidates(lattice, raw, config.radii, FIT).groupBy(*FIT, "voxel_id").pivot(
+        "radius", list(config.radii)
+    ).agg(F.first("p"))
+    maps = maps.select(*FIT, "voxel_id", F.array(*[F.col(f"`{r}`") for r in config.radii]).alias("candidates"))
+    joined = raw.join(probs, [*FIT, "voxel_id"]).join(maps, [*FIT, "voxel_id"]).join(radius, [*FIT, "partition_id"])
+    return joined.select(*columns, "p", "radius", "candidates")
+
+
+def _start(
+    voxels: DataFrame, initial: DataFrame | None, config: FitConfig
+) -> tuple[DataFrame, DataFrame]:
+    """Starting voxel and scalar states of every replicate and chain."""
+    chains = F.explode(F.sequence(F.lit(0), F.lit(config.chains - 1))).alias("chain_id")
+    base = voxels.select("replicate", "voxel_id", "partition_id", "excluded", chains)
+    keys = [F.col(c) for c in (*FIT, "voxel_id")]
+    per_chain = [F.col(c) for c in FIT]
+    if initial is None:
+        state = base.withColumns({
+            "delta": (keyed_uniform(config.seed, "delta0", *keys) < 0.5).cast("int"),
+            "theta": keyed_normals(config.seed, "theta0", config.n_basis, *FIT, "voxel_id"),
+            "__u": keyed_uniform(config.seed, "alpha0", *per_chain),
+        }).withColumn("alpha", norm_ppf(F.col("__u"))).drop("__u")
+    else:
+        shared = [k for k in FIT if k in initial.columns]
+        state = base.join(initial.select(*shared, "voxel_id", "delta", "theta", "alpha"), [*shared, "voxel_id"])
+    state = state.withColumn("delta", F.when(F.col("excluded"), 0).otherwise(F.col("delta")))
+    scalar = state.groupBy(*FIT).agg(
+        F.max("alpha").alias("alpha"), F.lit(1.0 / config.initial_sigma_sq).alias("inv_sigma_sq"),
+        F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"),
+    ).withColumn("__u", keyed_uniform(config.seed, "a0", *per_chain))
+    root = norm_ppf(F.col("__u"))
+    scalar = scalar.withColumn("inv_a", root * root / 2.0).drop("__u")
+    return state, scalar.select(*FIT, "alpha", "inv_sigma_sq", "inv_a", "theta_sq", "voxels")
+
+
+def _shape(images: DataFrame, voxels: DataFrame, labels: DataFrame, config: FitConfig) -> _Shape:
+    """Sizes that fix the layout; only counts and partition ids reach the driver."""
+    spark = images.sparkSession
+    top = voxels.agg(F.max("voxel_id")).first()[0] + 1
+    block = min(top, config.block_voxels or max(1, BLOCK_COLUMNS // config.n_basis))
+    per_chunk = max(1, min(CHUNK_DOUBLES // (block * config.n_basis), CHUNK_DOUBLES // top))
+    largest = labels.groupBy("replicate").count().agg(F.max("count")).first()[0]
+    parallel = spark.sparkContext.defaultParallelism
+    chunks = max(math.ceil(largest / per_chunk), min(parallel, math.ceil(largest / 64)))
+    parts = tuple(sorted(r[0] for r in voxels.select("partition_id").distinct().collect() if r[0] is not None))
+    return _Shape(top, block, chunks, max(parallel, min(chunks, 4096)), parts)
+
+
+def fit_selection_model(
+    images: DataFrame,
+    labels: DataFrame,
+    lattice: DataFrame,
+    config: FitConfig,
+    edges: DataFrame | None = None,
+    initial: DataFrame | None = None,
+    path: str | None = None,
+) -> Fit:
+    """Run the sampler and return its draws.
+
+    images  (subject_id, voxel_id, value), labels (subject_id, y), lattice
+    (voxel_id, excluded, and row, col, partition_id unless ``edges`` is given);
+    all may carry ``replicate``. With ``edges`` (src, dst) a voxel's prior is
+    the mean over its neighbours instead of a window. ``initial`` holds
+    (voxel_id, delta, theta, alpha), optionally per replicate and chain.
+    """
+    spark = images.sparkSession
+    images, labels = _keyed(images), _keyed(labels)
+    if edges is not None and "partition_id" not in lattice.columns:
+        lattice = lattice.withColumn("partition_id", F.lit(1))
+    replicates = labels.select("replicate").distinct()
+    if "replicate" in lattice.columns:
+        voxels = lattice
+    else:
+        # One row per replicate, attached to every voxel: fits are few.
+        ids = replicates.agg(F.collect_set("replicate"))
+        voxels = lattice.withColumn("replicate", F.explode(ids.scalar()))
+    voxels = voxels.withColumns({"replicate": F.col("replicate").cast("int"), "voxel_id": F.col("voxel_id").cast("int")})
+    store = _Store(spark, path or os.path.join(shared_dir(spark), f"fit-{uuid.uuid4().hex}"))
+    voxels = store.save(voxels, "lattice")
+    shape = _shape(images, voxels, labels, config)
+
+    layout = store.save(_layout(images, labels, voxels, shape), "layout")
+    layout = (
+        layout.repartition(shape.partitions, "replicate", "chunk_id")
+        .sortWithinPartitions("replicate", "chunk_id")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    gram = store.save(_block_grams(layout, config, shape), "gram").persist(StorageLevel.MEMORY_AND_DISK)
+    on_lattice = edges is None
+    state, scalar = _start(voxels, initial, config)
+    first_radius = None
+    if on_lattice:
+        first_radius = state.select(*FIT, "partition_id").distinct().withColumn("radius", F.lit(config.radii[0]))
+    state = store.save(state.drop("alpha").withColumn("alpha", F.lit(0.0)), "start")
+    state = store.save(_with_map(state, voxels, edges, first_radius, config, initial=True), "voxel", -1)
+    scalar = store.save(scalar, "scalar", -1)
+
+    def subjects(iteration: int) -> DataFrame:
+        uniforms = F.array(*[
+            keyed_uniform(config.seed, "z", iteration, F.col("replicate"), c, F.col("subject_id")) for c in range(config.chains)
+        ])
+        return layout.withColumn("u", uniforms)
+
+    for iteration in range(config.total_iter):
+        due = on_lattice and config.update_delta and len(config.radii) > 1 and iteration % config.radius_update_thinning == 0
+        people, current, parts, chosen = subjects(iteration), state, [], None
+        for block in range(shape.blocks):
+            with_radius = due and block == 0
+            params = _pass_params(state, current, scalar, config, shape, with_radius)
+            cross = store.save(_subject_pass(people, params, config, shape, block, with_radius), "cross", iteration, block)
+            if with_radius:
+                chosen = _radius_choice(cross, config, shape)
+            step = _block_step(gram, cross, state, scalar, config, shape, block, iteration)
+            parts.append(store.save(step, "block", iteration, block))
+            current = parts[0].drop("alpha")
+            for part in parts[1:]:
+                current = current.unionByName(part.drop("alpha"))
+            done = shape.span(block)[1]
+            rest = state.where(F.col("voxel_id") >= done).select(*current.columns)
+            current = current.unionByName(rest) if done < shape.voxels else current
+        if config.keep_latent and config.retained(iteration):
+            params = _pass_params(state, state, scalar, config, shape, False)
+            store.save(_latent_pass(people, params, config, shape), "subject", iteration)
+        if on_lattice and chosen is None:
+            chosen = state.select(*FIT, "partition_id", "radius").distinct()
+        # The last block holds the new alpha; every chain has voxels in every block.
+        alpha = parts[-1].groupBy(*FIT).agg(F.max("alpha").alias("alpha"))
+        raw = current.join(alpha, FIT)
+        scalar = store.save(_scalar_step(raw, scalar, config, iteration), "scalar", iteration)
+        state = store.save(_with_map(current, voxels, edges, chosen, config), "voxel", iteration)
+
+    # The likelihood of a state is a by-product of the pass after it.
+    final = _pass_params(state, state, scalar, config, shape, False)
+    store.save(_subject_pass(subjects(config.total_iter), final, config, shape, 0, False), "cross", config.total_iter, 0)
+    layout.unpersist()
+    gram.unpersist()
+    return Fit(
+        voxel=store.all_iterations("voxel").where("iter >= 0").drop("candidates"),
+        scalar=_trace(store, config),
+        subject=store.all_iterations("subject") if config.keep_latent and config.mcmc_sample else None,
+        path=store.path,
+    )
+
+
+def _trace(store: _Store, config: FitConfig) -> DataFrame:
+    """Scalar draws with the log-likelihood and log posterior of each state."""
+    likelihood = store.all_iterations("cross").where((F.col("k") == LOGLIK) & (F.col("part1") == 0)).select(
+        *FIT, (F.col("iter") - 1).alias("iter"), F.col("value").alias("loglik")
+    )
+    tau, inv_a, alpha = F.col("inv_sigma_sq"), F.col("inv_a"), F.col("alpha")
+    logpost = (
+        2 * F.log(inv_a) - inv_a + 2 * F.log(tau) - inv_a * tau - 0.5 * alpha * alpha * tau
+        + 0.5 * config.n_basis * F.col("voxels") * F.log(tau) - 0.5 * tau * F.col("theta_sq") + F.col("loglik")
+    )
+    draws = store.all_iterations("scalar").where("iter >= 0").join(likelihood, [*FIT, "iter"])
+    return draws.select(*FIT, "iter", "alpha", "inv_sigma_sq", "inv_a", "loglik", logpost.alias("logpost"))
