@@ -15,24 +15,30 @@ from pyspark.sql import functions as F
 
 
 def _with_window_means(
-    cells: DataFrame, radii: Sequence[int], keys: Sequence[str], kept: Column
-) -> tuple[DataFrame, dict[int, str]]:
-    """Add one column per radius: mean ``delta`` of the kept cells in the square."""
-    base = cells.withColumn("__kept", kept.cast("long")).withColumn(
-        "__hit", F.when(F.col("__kept") == 1, F.col("delta").cast("double")).otherwise(0.0)
-    )
+    cells: DataFrame, radii: Sequence[int], keys: Sequence[str], masks: dict[str, Column]
+) -> DataFrame:
+    """Add ``<mask>_<radius>``: mean ``delta`` of a mask's cells in the square.
+
+    All masks and radii share one sort along rows and one along columns.
+    """
+    base = cells
+    for mask, kept in masks.items():
+        base = base.withColumn(f"__{mask}_kept", kept.cast("long")).withColumn(
+            f"__{mask}_hit", F.when(kept, F.col("delta").cast("double")).otherwise(0.0)
+        )
     along, across = {}, {}
     for r in radii:
         line = W.partitionBy(*keys, "row").orderBy("col").rangeBetween(-r, r)
-        along[f"__hit_{r}"] = F.sum("__hit").over(line)
-        along[f"__kept_{r}"] = F.sum("__kept").over(line)
+        for mask in masks:
+            along[f"__{mask}_hit_{r}"] = F.sum(f"__{mask}_hit").over(line)
+            along[f"__{mask}_kept_{r}"] = F.sum(f"__{mask}_kept").over(line)
     lines = base.withColumns(along)
     for r in radii:
         stack = W.partitionBy(*keys, "col").orderBy("row").rangeBetween(-r, r)
-        hits, count = F.sum(f"__hit_{r}").over(stack), F.sum(f"__kept_{r}").over(stack)
-        across[f"__mean_{r}"] = F.try_divide(hits, count)
-    squares = lines.withColumns(across)
-    return squares, {r: f"__mean_{r}" for r in radii}
+        for mask in masks:
+            hits, count = F.sum(f"__{mask}_hit_{r}").over(stack), F.sum(f"__{mask}_kept_{r}").over(stack)
+            across[f"{mask}_{r}"] = F.try_divide(hits, count)
+    return lines.withColumns(across)
 
 
 def _pick(radius: Column, means: dict[int, Column]) -> Column:
@@ -64,8 +70,8 @@ def window_inclusion(
 ) -> DataFrame:
     """Mean of delta over the square around each cell, itself included, cut at the borders."""
     cells = _with_radius(lattice, delta, radius_by_partition, keys)
-    squares, names = _with_window_means(cells, radii, keys, F.lit(True))
-    p = _pick(F.col("radius"), {r: F.col(n) for r, n in names.items()})
+    squares = _with_window_means(cells, radii, keys, {"all": F.lit(True)})
+    p = _pick(F.col("radius"), {r: F.col(f"all_{r}") for r in radii})
     return squares.select(*keys, "voxel_id", p.alias("p"))
 
 
@@ -84,23 +90,41 @@ def window_inclusion_masked(
     gives NULL.
     """
     cells = _with_radius(lattice, delta, radius_by_partition, keys)
-    squares, names = _with_window_means(cells, [r for r in radii if r > 0], keys, ~F.col("excluded"))
-    means = {r: F.col(n) for r, n in names.items()} | {0: F.lit(0.5)}
-    p = _pick(F.col("radius"), means) * (prior_max - prior_min) + prior_min
-    return squares.select(*keys, "voxel_id", p.alias("p"))
+    squares = _with_window_means(cells, [r for r in radii if r > 0], keys, {"open": ~F.col("excluded")})
+    return squares.select(*keys, "voxel_id", _masked(radii, prior_min, prior_max).alias("p"))
+
+
+def _masked(radii: Sequence[int], prior_min: float, prior_max: float) -> Column:
+    means = {r: F.col(f"open_{r}") for r in radii if r > 0} | {0: F.lit(0.5)}
+    return _pick(F.col("radius"), means) * (prior_max - prior_min) + prior_min
 
 
 def window_inclusion_candidates(
     lattice: DataFrame, delta: DataFrame, radii: Sequence[int], keys: Sequence[str] = ()
 ) -> DataFrame:
     """(partition_id, radius, voxel_id, p) for every candidate radius, without mask."""
-    squares, names = _with_window_means(_cells(lattice, delta, keys), radii, keys, F.lit(True))
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("radius"), F.col(n).alias("p")) for r, n in names.items()]))
+    squares = _with_window_means(_cells(lattice, delta, keys), radii, keys, {"all": F.lit(True)})
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("radius"), F.col(f"all_{r}").alias("p")) for r in radii]))
     return squares.select(*keys, "partition_id", "voxel_id", pairs.alias("c")).select(
         *keys, "partition_id", "c.radius", "voxel_id", "c.p"
     )
 
 
+def window_inclusion_both(
+    cells: DataFrame, radii: Sequence[int], prior_min: float = 0.0, prior_max: float = 1.0, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Add the masked ``p`` and ``candidates`` (unmasked, by position in ``radii``) in one go.
+
+    ``cells`` carries the lattice with delta and each row's radius.
+    """
+    squares = _with_window_means(cells, radii, keys, {"open": ~F.col("excluded"), "all": F.lit(True)})
+    return squares.select(
+        *cells.columns,
+        _masked(radii, prior_min, prior_max).alias("p"),
+        F.array(*[F.col(f"all_{r}") for r in radii]).alias("candidates"),
+    )
+
+
 def neighbor_inclusion(edges: DataFrame, delta: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of delta over a voxel's neighbours, itself not included; isolated voxels NULL."""
     values = delta.select(*keys, F.col("voxel_id").alias("dst"), "delta")

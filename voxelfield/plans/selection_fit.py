@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import basis_array
 from voxelfield.functions.keyed import keyed_uniform
-from voxelfield.functions.normal import EPSILON, norm_cdf_array, norm_ppf, positive_normal_array
+from voxelfield.functions.normal import EPSILON, norm_cdf_array, norm_ppf, norm_ppf_array, positive_normal_array
 from voxelfield.operators import inclusion
 from voxelfield.operators.additive import sum_of_squares
 from voxelfield.operators.conditionals import keyed_normals
 from voxelfield.session import shared_dir
 
 FIT = ["replicate", "chain_id"]
+SCALARS = ["alpha", "inv_sigma_sq", "inv_a"]
+MOVING = [*FIT, "voxel_id", "partition_id", "excluded", "delta", "theta"]
 
 # Basis columns per block: its Gram matrix is the square of this, 32 MB.
 BLOCK_COLUMNS = 2048
@@ -375,7 +377,7 @@ def _latent_pass(layout: DataFrame, params: DataFrame, config: FitConfig, shape:
 
 
 def _pass_params(
-    old: DataFrame, new: DataFrame, old_scalar: DataFrame, config: FitConfig, shape: _Shape, with_radius: bool
+    old: DataFrame, new: DataFrame, config: FitConfig, shape: _Shape, with_radius: bool
 ) -> DataFrame:
     """Parameters a pass needs, once per chunk of subjects.
 
@@ -398,7 +400,7 @@ def _pass_params(
           else [nothing.alias("theta"), F.lit(None).cast("double").alias("p"), nothing.alias("candidates")]),
         F.lit(None).cast("double").alias("alpha_old"), F.lit(None).cast("double").alias("alpha_new"),
     )
-    heads = old_scalar.select(
+    heads = old.select(*FIT, "alpha").distinct().select(
         *FIT, F.lit(-1).alias("voxel_id"), F.lit(None).cast("int").alias("partition_id"),
         nothing.alias("w_old"), nothing.alias("w_new"), nothing.alias("theta"), F.lit(None).cast("double").alias("p"),
         nothing.alias("candidates"), F.col("alpha").alias("alpha_old"), F.col("alpha").alias("alpha_new"),
@@ -411,7 +413,7 @@ def _pass_params(
 
 
 def _block_step(
-    gram: DataFrame, cross: DataFrame, state: DataFrame, scalar: DataFrame, config: FitConfig, shape: _Shape,
+    gram: DataFrame, cross: DataFrame, state: DataFrame, config: FitConfig, shape: _Shape,
     block: int, iteration: int,
 ) -> DataFrame:
     """New theta, delta (and with the last block alpha) of one block, per chain."""
@@ -425,16 +427,16 @@ def _block_step(
         F.sum(F.when(F.col("k") == RESIDUAL_SUM, F.col("value"))).alias("rest_sum"),
         F.sum(F.when(F.col("k") == SUBJECTS, F.col("value"))).alias("subjects"),
     )
-    heads = scalar.select(*FIT, "alpha", "inv_sigma_sq").join(totals, FIT)
     low, high = shape.span(block)
-    mine = state.where(F.col("voxel_id").between(low, high - 1)).join(heads, FIT)
+    mine = state.where(F.col("voxel_id").between(low, high - 1)).join(totals, FIT)
+    keys = [F.col(c) for c in (*FIT, "voxel_id")]
     staged = mine.select(
         *FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", F.coalesce("p", F.lit(0.5)).alias("p"),
-        "alpha", "inv_sigma_sq", "rest_sum", "subjects",
-        keyed_normals(config.seed, f"theta{iteration}", size, *FIT, "voxel_id").alias("eps"),
-        keyed_uniform(config.seed, "delta", iteration, *[F.col(c) for c in (*FIT, "voxel_id")]).alias("u"),
-        keyed_uniform(config.seed, "alpha", iteration, *[F.col(c) for c in FIT]).alias("u_alpha"),
-    ).withColumn("eps_alpha", norm_ppf(F.col("u_alpha"))).drop("u_alpha")
+        *SCALARS, "rest_sum", "subjects",
+        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda l: keyed_uniform(config.seed, "theta", iteration, *keys, l)).alias("u_theta"),
+        keyed_uniform(config.seed, "delta", iteration, *keys).alias("u"),
+        keyed_uniform(config.seed, "alpha", iteration, *keys[:2]).alias("u_alpha"),
+    )
 
     def work(key: tuple, products: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
         products = products.sort_values("k")
@@ -443,7 +445,8 @@ def _block_step(
         colsum, c = products["colsum"].to_numpy(), products["value"].to_numpy().copy()
         head = voxels.iloc[0]
         tau, alpha, rest_sum = head["inv_sigma_sq"], head["alpha"], head["rest_sum"]
-        theta, eps = np.stack(voxels["theta"].to_numpy()).copy(), np.stack(voxels["eps"].to_numpy())
+        theta, eps = np.stack(voxels["theta"].to_numpy()).copy(), norm_ppf_array(np.stack(voxels["u_theta"].to_numpy()))
+        eps_alpha = float(norm_ppf_array(np.array(head["u_alpha"])))
         delta = voxels["delta"].to_numpy().copy()
         open_rows = [i for i in range(len(voxels)) if not voxels["excluded"].iloc[i]]
         spans = {i: slice((voxels["voxel_id"].iloc[i] - first) * size, (voxels["voxel_id"].iloc[i] - first + 1) * size) for i in open_rows}
@@ -468,7 +471,7 @@ def _block_step(
                     theta[i] = eps[i] / math.sqrt(tau)
         if last_block and config.update_alpha:
             weight = head["subjects"] + tau
-            fresh_alpha = (rest_sum + head["subjects"] * alpha) / weight + head["eps_alpha"] / math.sqrt(weight)
+            fresh_alpha = (rest_sum + head["subjects"] * alpha) / weight + eps_alpha / math.sqrt(weight)
             c = c - colsum * (fresh_alpha - alpha)
             alpha = fresh_alpha
         if config.update_delta:
@@ -485,12 +488,12 @@ def _block_step(
                     delta[i] = fresh
         return pd.DataFrame({
             "replicate": key[0], "chain_id": key[1], "voxel_id": voxels["voxel_id"], "partition_id": voxels["partition_id"],
-            "excluded": voxels["excluded"], "delta": delta, "theta": list(theta), "alpha": alpha,
+            "excluded": voxels["excluded"], "delta": delta, "theta": list(theta), "alpha": alpha, "inv_sigma_sq": tau, "inv_a": head["inv_a"],
         })
 
     schema = (
         "replicate int, chain_id int, voxel_id int, partition_id int, excluded boolean, delta int, "
-        "theta array<double>, alpha double"
+        "theta array<double>, alpha double, inv_sigma_sq double, inv_a double"
     )
     return rows.groupBy(*FIT).cogroup(staged.groupBy(*FIT)).applyInPandas(work, schema)
 
@@ -508,14 +511,11 @@ def _radius_choice(cross: DataFrame, config: FitConfig, shape: _Shape) -> DataFr
     return best.select(*FIT, "partition_id", F.array(*[F.lit(r) for r in config.radii])[F.col("c")].alias("radius"))
 
 
-def _scalar_step(raw: DataFrame, before: DataFrame, config: FitConfig, iteration: int) -> DataFrame:
-    """tau, then 1/a, of every chain, from the sums over its voxels."""
-    sums = raw.groupBy(*FIT).agg(
-        F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"), F.max("alpha").alias("alpha")
-    )
-    staged = before.select(*FIT, "inv_sigma_sq", "inv_a").join(sums, FIT).withColumn(
-        "u", keyed_uniform(config.seed, "inv_a", iteration, *[F.col(c) for c in FIT])
-    )
+def _scalar_step(raw: DataFrame, last: DataFrame, config: FitConfig, iteration: int) -> DataFrame:
+    """alpha of the last block, and the draws of tau and 1/a, one row per chain."""
+    sums = raw.groupBy(*FIT).agg(F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"))
+    heads = last.groupBy(*FIT).agg(*[F.max(c).alias(c) for c in SCALARS])
+    staged = sums.join(heads, FIT).withColumn("u", keyed_uniform(config.seed, "inv_a", iteration, *[F.col(c) for c in FIT]))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -523,14 +523,14 @@ def _scalar_step(raw: DataFrame, before: DataFrame, config: FitConfig, iteration
             for i, row in batch.iterrows():
                 tau, inv_a = row["inv_sigma_sq"], row["inv_a"]
                 if config.update_sigma:
-                    rng = np.random.default_rng([config.seed, 46, iteration, int(row["replicate"]), int(row["chain_id"])])
+                    rng = np.random.default_rng([config.seed, iteration, int(row["replicate"]), int(row["chain_id"])])
                     rate = inv_a + 0.5 * row["theta_sq"] + 0.5 * row["alpha"] ** 2
                     tau = rng.gamma(0.5 * config.n_basis * row["voxels"] + 1) / rate
                     tau = tau if config.tau_cap is None else min(tau, config.tau_cap)
                 if config.update_a:
                     inv_a = -math.log(row["u"]) / (tau + 1.0)
                 out.loc[i, "inv_sigma_sq"], out.loc[i, "inv_a"] = tau, inv_a
-            yield out[["replicate", "chain_id", "alpha", "inv_sigma_sq", "inv_a", "theta_sq", "voxels"]]
+            yield out.drop(columns="u")[["replicate", "chain_id", *SCALARS, "theta_sq", "voxels"]]
 
     schema = "replicate int, chain_id int, alpha double, inv_sigma_sq double, inv_a double, theta_sq double, voxels long"
     return staged.mapInPandas(work, schema)
@@ -539,27 +539,28 @@ def _scalar_step(raw: DataFrame, before: DataFrame, config: FitConfig, iteration
 # The inclusion map
 
 
-def _with_map(raw: DataFrame, lattice: DataFrame, edges: DataFrame | None, radius: DataFrame | None, config: FitConfig, initial: bool = False) -> DataFrame:
-    """Add ``p`` (and the candidates' maps on a lattice) to a state table."""
-    columns = [*FIT, "voxel_id", "partition_id", "excluded", "delta", "theta"]
-    nothing = F.lit(None).cast("array<double>")
+def _with_map(
+    raw: DataFrame, scalar: DataFrame, lattice: DataFrame, edges: DataFrame | None, radius: DataFrame | None,
+    config: FitConfig, initial: bool = False,
+) -> DataFrame:
+    """The full state: each voxel with its prior ``p`` and its chain's scalars.
+
+    On a lattice also the radius in use and the maps of all candidates.
+    """
+    columns = [*FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", "p", "radius", "candidates"]
     if edges is not None:
         p = inclusion.neighbor_inclusion(edges, raw, FIT)
-        joined = raw.join(p, [*FIT, "voxel_id"])
         scaled = F.col("p") * (config.prior_max - config.prior_min) + config.prior_min
-        return joined.select(*columns, scaled.alias("p"), F.lit(None).cast("int").alias("radius"), nothing.alias("candidates"))
-    if initial:
-        probs = inclusion.clamp_inclusion(inclusion.window_inclusion(lattice, raw, radius, config.radii, FIT))
+        mapped = raw.join(p, [*FIT, "voxel_id"]).withColumns({
+            "p": scaled, "radius": F.lit(None).cast("int"), "candidates": F.lit(None).cast("array<double>"),
+        })
     else:
-        probs = inclusion.window_inclusion_masked(
-            lattice, raw, radius, config.radii, config.prior_min, config.prior_max, FIT
-        )
-    maps = inclusion.window_inclusion_candidates(lattice, raw, config.radii, FIT).groupBy(*FIT, "voxel_id").pivot(
-        "radius", list(config.radii)
-    ).agg(F.first("p"))
-    maps = maps.select(*FIT, "voxel_id", F.array(*[F.col(f"`{r}`") for r in config.radii]).alias("candidates"))
-    joined = raw.join(probs, [*FIT, "voxel_id"]).join(maps, [*FIT, "voxel_id"]).join(radius, [*FIT, "partition_id"])
-    return joined.select(*columns, "p", "radius", "candidates")
+        place = lattice.select("replicate", "voxel_id", "row", "col")
+        cells = raw.join(place, ["replicate", "voxel_id"]).join(radius, [*FIT, "partition_id"])
+        mapped = inclusion.window_inclusion_both(cells, config.radii, config.prior_min, config.prior_max, FIT)
+    if initial:
+        mapped = inclusion.clamp_inclusion(mapped)
+    return mapped.select(*columns).join(scalar, FIT)
 
 
 def _start(
@@ -647,9 +648,8 @@ def fit_selection_model(
     first_radius = None
     if on_lattice:
         first_radius = state.select(*FIT, "partition_id").distinct().withColumn("radius", F.lit(config.radii[0]))
-    state = store.save(state.drop("alpha").withColumn("alpha", F.lit(0.0)), "start")
-    state = store.save(_with_map(state, voxels, edges, first_radius, config, initial=True), "voxel", -1)
-    scalar = store.save(scalar, "scalar", -1)
+    state = store.save(state.drop("alpha"), "start")
+    state = store.save(_with_map(state, scalar, voxels, edges, first_radius, config, initial=True), "voxel", -1)
 
     def subjects(iteration: int) -> DataFrame:
         uniforms = F.array(*[
@@ -662,36 +662,30 @@ def fit_selection_model(
         people, current, parts, chosen = subjects(iteration), state, [], None
         for block in range(shape.blocks):
             with_radius = due and block == 0
-            params = _pass_params(state, current, scalar, config, shape, with_radius)
+            params = _pass_params(state, current, config, shape, with_radius)
             cross = store.save(_subject_pass(people, params, config, shape, block, with_radius), "cross", iteration, block)
             if with_radius:
                 chosen = _radius_choice(cross, config, shape)
-            step = _block_step(gram, cross, state, scalar, config, shape, block, iteration)
-            parts.append(store.save(step, "block", iteration, block))
-            current = parts[0].drop("alpha")
-            for part in parts[1:]:
-                current = current.unionByName(part.drop("alpha"))
-            done = shape.span(block)[1]
-            rest = state.where(F.col("voxel_id") >= done).select(*current.columns)
-            current = current.unionByName(rest) if done < shape.voxels else current
+            parts.append(store.save(_block_step(gram, cross, state, config, shape, block, iteration), "block", iteration, block))
+            current = state.where(F.col("voxel_id") >= shape.span(block)[1]).select(*MOVING)
+            for part in parts:
+                current = current.unionByName(part.select(*MOVING))
         if config.keep_latent and config.retained(iteration):
-            params = _pass_params(state, state, scalar, config, shape, False)
+            params = _pass_params(state, state, config, shape, False)
             store.save(_latent_pass(people, params, config, shape), "subject", iteration)
         if on_lattice and chosen is None:
             chosen = state.select(*FIT, "partition_id", "radius").distinct()
-        # The last block holds the new alpha; every chain has voxels in every block.
-        alpha = parts[-1].groupBy(*FIT).agg(F.max("alpha").alias("alpha"))
-        raw = current.join(alpha, FIT)
-        scalar = store.save(_scalar_step(raw, scalar, config, iteration), "scalar", iteration)
-        state = store.save(_with_map(current, voxels, edges, chosen, config), "voxel", iteration)
+        # Every chain has voxels in every block; the last block holds the new alpha.
+        scalar = _scalar_step(current, parts[-1], config, iteration)
+        state = store.save(_with_map(current, scalar, voxels, edges, chosen, config), "voxel", iteration)
 
     # The likelihood of a state is a by-product of the pass after it.
-    final = _pass_params(state, state, scalar, config, shape, False)
+    final = _pass_params(state, state, config, shape, False)
     store.save(_subject_pass(subjects(config.total_iter), final, config, shape, 0, False), "cross", config.total_iter, 0)
     layout.unpersist()
     gram.unpersist()
     return Fit(
-        voxel=store.all_iterations("voxel").where("iter >= 0").drop("candidates"),
+        voxel=store.all_iterations("voxel").where("iter >= 0").drop("candidates", *SCALARS, "theta_sq", "voxels"),
         scalar=_trace(store, config),
         subject=store.all_iterations("subject") if config.keep_latent and config.mcmc_sample else None,
         path=store.path,
@@ -708,5 +702,6 @@ def _trace(store: _Store, config: FitConfig) -> DataFrame:
         2 * F.log(inv_a) - inv_a + 2 * F.log(tau) - inv_a * tau - 0.5 * alpha * alpha * tau
         + 0.5 * config.n_basis * F.col("voxels") * F.log(tau) - 0.5 * tau * F.col("theta_sq") + F.col("loglik")
     )
-    draws = store.all_iterations("scalar").where("iter >= 0").join(likelihood, [*FIT, "iter"])
+    scalars = store.all_iterations("voxel").where("iter >= 0").select(*FIT, "iter", *SCALARS, "theta_sq", "voxels").distinct()
+    draws = scalars.join(likelihood, [*FIT, "iter"])
     return draws.select(*FIT, "iter", "alpha", "inv_sigma_sq", "inv_a", "loglik", logpost.alias("logpost"))
