@@ -389,8 +389,12 @@ def _pass_params(
     def weight(delta: str, theta: str):
         return F.when(F.col(delta) == 1, F.col(theta)).otherwise(zero)
 
-    renamed = new.select(*FIT, "voxel_id", F.col("delta").alias("delta_new"), F.col("theta").alias("theta_new"))
-    both = old.where(~F.col("excluded")).join(renamed, [*FIT, "voxel_id"])
+    both = old.where(~F.col("excluded"))
+    if new is old:
+        both = both.withColumns({"delta_new": F.col("delta"), "theta_new": F.col("theta")})
+    else:
+        renamed = new.select(*FIT, "voxel_id", F.col("delta").alias("delta_new"), F.col("theta").alias("theta_new"))
+        both = both.join(renamed, [*FIT, "voxel_id"])
     if not with_radius:
         both = both.where("delta = 1 or delta_new = 1")
     nothing = F.lit(None).cast("array<double>")
@@ -414,37 +418,34 @@ def _pass_params(
 
 def _block_step(
     gram: DataFrame, cross: DataFrame, state: DataFrame, config: FitConfig, shape: _Shape,
-    block: int, iteration: int,
+    block: int, iteration: int, with_radius: bool,
 ) -> DataFrame:
     """New theta, delta (and with the last block alpha) of one block, per chain."""
-    first, _ = shape.span(block)
+    first, beyond = shape.span(block)
     last_block = block == shape.blocks - 1
     size = config.n_basis
-    rows = gram.where(F.col("block") == block).join(cross.where("k >= 0"), ["replicate", "k"]).select(
+    # Totals (negative k) meet no Gram row and ride along; one branch, one pass.
+    rows = cross.join(gram.where(F.col("block") == block).drop("block"), ["replicate", "k"], "left").select(
         *FIT, "k", "gram_row", "colsum", "value"
     )
-    totals = cross.where(F.col("k").isin(RESIDUAL_SUM, SUBJECTS)).groupBy(*FIT).agg(
-        F.sum(F.when(F.col("k") == RESIDUAL_SUM, F.col("value"))).alias("rest_sum"),
-        F.sum(F.when(F.col("k") == SUBJECTS, F.col("value"))).alias("subjects"),
-    )
-    low, high = shape.span(block)
-    mine = state.where(F.col("voxel_id").between(low, high - 1)).join(totals, FIT)
+    mine = state.where(F.col("voxel_id").between(first, beyond - 1))
     keys = [F.col(c) for c in (*FIT, "voxel_id")]
     staged = mine.select(
         *FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", F.coalesce("p", F.lit(0.5)).alias("p"),
-        *SCALARS, "rest_sum", "subjects",
+        *SCALARS,
         F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda l: keyed_uniform(config.seed, "theta", iteration, *keys, l)).alias("u_theta"),
         keyed_uniform(config.seed, "delta", iteration, *keys).alias("u"),
         keyed_uniform(config.seed, "alpha", iteration, *keys[:2]).alias("u_alpha"),
     )
 
     def work(key: tuple, products: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
-        products = products.sort_values("k")
+        totals = products[products["k"] < 0].set_index("k")["value"]
+        products = products[products["k"] >= 0].sort_values("k")
         voxels = voxels.sort_values("voxel_id").reset_index(drop=True)
         g = np.stack(products["gram_row"].to_numpy())
         colsum, c = products["colsum"].to_numpy(), products["value"].to_numpy().copy()
         head = voxels.iloc[0]
-        tau, alpha, rest_sum = head["inv_sigma_sq"], head["alpha"], head["rest_sum"]
+        tau, alpha, rest_sum, subjects = head["inv_sigma_sq"], head["alpha"], totals[RESIDUAL_SUM], totals[SUBJECTS]
         theta, eps = np.stack(voxels["theta"].to_numpy()).copy(), norm_ppf_array(np.stack(voxels["u_theta"].to_numpy()))
         eps_alpha = float(norm_ppf_array(np.array(head["u_alpha"])))
         delta = voxels["delta"].to_numpy().copy()
@@ -470,8 +471,8 @@ def _block_step(
                 else:
                     theta[i] = eps[i] / math.sqrt(tau)
         if last_block and config.update_alpha:
-            weight = head["subjects"] + tau
-            fresh_alpha = (rest_sum + head["subjects"] * alpha) / weight + eps_alpha / math.sqrt(weight)
+            weight = subjects + tau
+            fresh_alpha = (rest_sum + subjects * alpha) / weight + eps_alpha / math.sqrt(weight)
             c = c - colsum * (fresh_alpha - alpha)
             alpha = fresh_alpha
         if config.update_delta:
@@ -486,29 +487,31 @@ def _block_step(
                 if fresh != delta[i]:
                     move(at, (fresh - delta[i]) * theta[i])
                     delta[i] = fresh
-        return pd.DataFrame({
-            "replicate": key[0], "chain_id": key[1], "voxel_id": voxels["voxel_id"], "partition_id": voxels["partition_id"],
-            "excluded": voxels["excluded"], "delta": delta, "theta": list(theta), "alpha": alpha, "inv_sigma_sq": tau, "inv_a": head["inv_a"],
+        out = pd.DataFrame({
+            "voxel_id": voxels["voxel_id"], "partition_id": voxels["partition_id"], "excluded": voxels["excluded"],
+            "delta": delta, "theta": list(theta), "radius": None,
         })
+        if with_radius:
+            out = pd.concat([out, _radius_rows(totals, config, shape)], ignore_index=True)
+        return out.assign(
+            replicate=key[0], chain_id=key[1], alpha=alpha, inv_sigma_sq=tau, inv_a=head["inv_a"], loglik=totals[LOGLIK]
+        )
 
     schema = (
         "replicate int, chain_id int, voxel_id int, partition_id int, excluded boolean, delta int, "
-        "theta array<double>, alpha double, inv_sigma_sq double, inv_a double"
+        "theta array<double>, radius int, alpha double, inv_sigma_sq double, inv_a double, loglik double"
     )
     return rows.groupBy(*FIT).cogroup(staged.groupBy(*FIT)).applyInPandas(work, schema)
 
 
-def _radius_choice(cross: DataFrame, config: FitConfig, shape: _Shape) -> DataFrame:
-    """(replicate, chain_id, partition_id, radius): best fit, first candidate on ties."""
-    number = FIRST_RADIUS - F.col("k")
-    count = len(config.radii)
-    scored = cross.where(F.col("k") <= FIRST_RADIUS).select(
-        *FIT,
-        F.array(*[F.lit(p) for p in shape.partition_ids])[F.floor(number / count).cast("int")].alias("partition_id"),
-        (number % count).alias("candidate"), (-0.5 * F.col("value")).alias("loglik"),
-    )
-    best = scored.groupBy(*FIT, "partition_id").agg(F.max_by("candidate", F.struct(F.col("loglik"), -F.col("candidate"))).alias("c"))
-    return best.select(*FIT, "partition_id", F.array(*[F.lit(r) for r in config.radii])[F.col("c")].alias("radius"))
+def _radius_rows(totals: pd.Series, config: FitConfig, shape: _Shape) -> pd.DataFrame:
+    """One row per partition (negative voxel ids): best fit, first candidate on ties."""
+    misses = np.array([totals[FIRST_RADIUS - i] for i in range(len(shape.partition_ids) * len(config.radii))])
+    best = misses.reshape(len(shape.partition_ids), -1).argmin(axis=1)
+    return pd.DataFrame({
+        "voxel_id": [-1 - i for i in range(len(best))], "partition_id": shape.partition_ids, "excluded": False,
+        "delta": 0, "theta": None, "radius": [config.radii[i] for i in best],
+    })
 
 
 def _scalar_step(raw: DataFrame, last: DataFrame, config: FitConfig, iteration: int) -> DataFrame:
@@ -663,13 +666,14 @@ def fit_selection_model(
         for block in range(shape.blocks):
             with_radius = due and block == 0
             params = _pass_params(state, current, config, shape, with_radius)
-            cross = store.save(_subject_pass(people, params, config, shape, block, with_radius), "cross", iteration, block)
+            cross = _subject_pass(people, params, config, shape, block, with_radius)
+            step = _block_step(gram, cross, state, config, shape, block, iteration, with_radius)
+            parts.append(store.save(step, "block", iteration, block))
             if with_radius:
-                chosen = _radius_choice(cross, config, shape)
-            parts.append(store.save(_block_step(gram, cross, state, config, shape, block, iteration), "block", iteration, block))
+                chosen = parts[0].where("voxel_id < 0").select(*FIT, "partition_id", "radius")
             current = state.where(F.col("voxel_id") >= shape.span(block)[1]).select(*MOVING)
             for part in parts:
-                current = current.unionByName(part.select(*MOVING))
+                current = current.unionByName(part.where("voxel_id >= 0").select(*MOVING))
         if config.keep_latent and config.retained(iteration):
             params = _pass_params(state, state, config, shape, False)
             store.save(_latent_pass(people, params, config, shape), "subject", iteration)
@@ -694,9 +698,11 @@ def fit_selection_model(
 
 def _trace(store: _Store, config: FitConfig) -> DataFrame:
     """Scalar draws with the log-likelihood and log posterior of each state."""
-    likelihood = store.all_iterations("cross").where((F.col("k") == LOGLIK) & (F.col("part1") == 0)).select(
+    met = store.all_iterations("block").where("part1 = 0").select(*FIT, (F.col("iter") - 1).alias("iter"), "loglik").distinct()
+    last = store.all_iterations("cross").where(F.col("k") == LOGLIK).select(
         *FIT, (F.col("iter") - 1).alias("iter"), F.col("value").alias("loglik")
     )
+    likelihood = met.unionByName(last)
     tau, inv_a, alpha = F.col("inv_sigma_sq"), F.col("inv_a"), F.col("alpha")
     logpost = (
         2 * F.log(inv_a) - inv_a + 2 * F.log(tau) - inv_a * tau - 0.5 * alpha * alpha * tau
