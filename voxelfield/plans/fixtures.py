@@ -149,7 +149,7 @@ def subject_draws(spark: SparkSession, sf: str) -> DataFrame:
         (key % 3).cast("int").alias("chain_id"),
         (F.floor(key / 3) % 40).cast("int").alias("iter"),
         F.floor(key / 120).alias("subject_id"),
-        (F.col("o_totalprice") / 1000).alias("z"),
+        (F.col("o_totalprice") / 7000).alias("z"),
     )
 
 
@@ -158,8 +158,8 @@ def global_draws(spark: SparkSession, sf: str) -> DataFrame:
     rows = subject_draws(spark, sf)
     return rows.groupBy("chain_id", "iter").agg(
         F.avg("z").alias("alpha"),
-        (1 + F.count_if(F.col("z") > 100) / F.count("*")).alias("inv_sigma_sq"),
-        (1 + F.count_if(F.col("z") > 300) / F.count("*")).alias("inv_a"),
+        (1 + F.count_if(F.col("z") > 20) / F.count("*")).alias("inv_sigma_sq"),
+        (1 + F.count_if(F.col("z") > 50) / F.count("*")).alias("inv_a"),
         (-F.sum("z")).alias("loglik"),
     )
 

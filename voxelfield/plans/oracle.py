@@ -111,9 +111,9 @@ TABLES = {
         (cents % 2)::int as delta, [{', '.join(f'(cents % {17 + k} - 8) / 10e0' for k in range(L))}] as theta
         from (select *, round(o_totalprice * 100)::BIGINT as cents from orders)""",
     "subject_draws": """select (o_orderkey % 3)::int as chain_id, (o_orderkey // 3 % 40)::int as iter,
-        o_orderkey // 120 as subject_id, o_totalprice / 1000 as z from orders""",
-    "global_draws": """select chain_id, iter, avg(z) as alpha, 1 + count(*) filter (z > 100) / count(*) as inv_sigma_sq,
-        1 + count(*) filter (z > 300) / count(*) as inv_a, -sum(z) as loglik from subject_draws group by 1, 2""",
+        o_orderkey // 120 as subject_id, o_totalprice / 7000 as z from orders""",
+    "global_draws": """select chain_id, iter, avg(z) as alpha, 1 + count(*) filter (z > 20) / count(*) as inv_sigma_sq,
+        1 + count(*) filter (z > 50) / count(*) as inv_a, -sum(z) as loglik from subject_draws group by 1, 2""",
     "post": f"""select chain_id, voxel_id, avg(delta) as delta_mean, (avg(delta) >= 0.6e0)::int as delta,
         [{', '.join(f'avg(theta[{k + 1}])' for k in range(L))}] as theta
         from draws where iter > 20 and (iter - 20) % 4 = 0 group by 1, 2""",
