@@ -26,15 +26,26 @@ def voxel_effects(basis: DataFrame, state: DataFrame, n_basis: int, keys: Sequen
 
     ``state`` holds one row per voxel (and key) with delta and theta. The
     basis has a fixed length, so the product is unrolled into plain arithmetic.
+    Further columns of ``basis`` (say the subject's outcome) are kept.
     """
     params = state.select(*keys, "voxel_id", "delta", "theta")
     shared = [k for k in keys if k in basis.columns]
     joined = basis.join(params, [*shared, "voxel_id"])
     f = dot(_items("b", n_basis), _items("theta", n_basis))
-    effects = joined.select(*keys, "subject_id", "voxel_id", "delta", f.alias("f"))
+    rest = [c for c in basis.columns if c not in {*keys, "subject_id", "voxel_id", "b"}]
+    effects = joined.select(*keys, "subject_id", "voxel_id", *rest, "delta", f.alias("f"))
     return effects.withColumn("df", F.col("delta") * F.col("f"))
 
 
+def with_subject_columns(rows: DataFrame, subjects: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of each row's subject; joined only if the rows lack them.
+
+    Rows unpacked from images that already carry the columns need no shuffle.
+    """
+    missing = [c for c in columns if c not in rows.columns]
+    return rows.join(subjects.select("subject_id", *missing), "subject_id") if missing else rows
+
+
 def linear_predictor(effects: DataFrame, alpha: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """eta = alpha + sum of the selected effects; one row per subject (and key).
 

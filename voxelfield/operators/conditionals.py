@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelfield.functions.hermite import basis_array, dot, with_basis_columns
 from voxelfield.functions.keyed import keyed_uniform
 from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf
-from voxelfield.operators.additive import log_likelihood, sum_of_squares
+from voxelfield.operators.additive import log_likelihood, sum_of_squares, with_subject_columns
 
 # Voxels whose Gram matrices one task adds up before handing them on.
 GRAM_VOXELS = 4096
@@ -23,13 +24,14 @@ def keyed_normals(seed: int, step: str, size: int, *keys: str) -> Column:
     return F.transform(uniforms, norm_ppf)
 
 
-def voxel_gram(basis: DataFrame, n_basis: int) -> DataFrame:
+def voxel_gram(images: DataFrame, degree: int, a: float, b: float) -> DataFrame:
     """(voxel_id, l1, l2, g): the Gram matrix of every voxel's basis.
 
-    A task adds outer products over the rows it reads, so what is shuffled is
-    one matrix per task and voxel, not one per row.
+    Only the values travel to the tasks. A task adds outer products over the
+    rows it reads, so what is shuffled is one matrix per task and voxel, not
+    one per row.
     """
-    width = n_basis * n_basis
+    size = degree + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -42,11 +44,11 @@ def voxel_gram(basis: DataFrame, n_basis: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.stack(batch["b"].to_numpy())
             ids = batch["voxel_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-            for voxel, part in zip(ids[order][starts], np.split(rows[order], starts[1:])):
+            rows = basis_array(batch["value"].to_numpy()[order], degree, a, b)
+            for voxel, part in zip(ids[order][starts], np.split(rows, starts[1:])):
                 gram = part.T @ part
                 held[voxel] = held[voxel] + gram if voxel in held else gram
             if len(held) > GRAM_VOXELS:
@@ -54,31 +56,38 @@ def voxel_gram(basis: DataFrame, n_basis: int) -> DataFrame:
         if held:
             yield flush()
 
-    schema = f"voxel_id {basis.schema['voxel_id'].dataType.simpleString()}, cells array<double>"
-    partials = basis.select("voxel_id", "b").mapInPandas(partial, schema)
-    cells = partials.select("voxel_id", F.posexplode("cells").alias("cell", "g"))
-    sums = cells.where(F.col("cell") < width).groupBy("voxel_id", "cell").agg(F.sum("g").alias("g"))
+    schema = f"voxel_id {images.schema['voxel_id'].dataType.simpleString()}, cells array<double>"
+    values = images.where(F.col("value").isNotNull()).select("voxel_id", "value")
+    cells = values.mapInPandas(partial, schema).select("voxel_id", F.posexplode("cells").alias("cell", "g"))
+    sums = cells.groupBy("voxel_id", "cell").agg(F.sum("g").alias("g"))
     return sums.select(
         "voxel_id",
-        F.floor(F.col("cell") / n_basis).cast("int").alias("l1"),
-        (F.col("cell") % n_basis).alias("l2"),
+        F.floor(F.col("cell") / size).cast("int").alias("l1"),
+        (F.col("cell") % size).alias("l2"),
         "g",
     )
 
 
 def residual_crossprod(
-    basis: DataFrame, effects: DataFrame, subjects: DataFrame, n_basis: int
+    images: DataFrame, state: DataFrame, subjects: DataFrame, degree: int, a: float, b: float,
+    state_degree: int | None = None,
 ) -> DataFrame:
     """(voxel_id, c): basis transposed times the residual without the voxel itself.
 
-    ``subjects`` has one row per subject with z and eta; the voxel's own
-    selected effect is added back to z - eta.
+    ``subjects`` has one row per subject with z and eta, unless the images
+    carry both. The voxel's own selected effect is recomputed from ``state``
+    rather than joined back, and the basis stays in scalar columns, so the
+    only wide shuffle is the one per subject, on single values.
     """
-    rows = basis.join(effects.select("subject_id", "voxel_id", "df"), ["subject_id", "voxel_id"])
-    rows = rows.join(subjects.select("subject_id", (F.col("z") - F.col("eta")).alias("__rest")), "subject_id")
-    rows = rows.withColumn("__r", F.col("__rest") + F.col("df"))
-    sums = rows.groupBy("voxel_id").agg(*[F.sum(F.col("b")[l] * F.col("__r")).alias(f"__c{l}") for l in range(n_basis)])
-    return sums.select("voxel_id", F.array(*[f"__c{l}" for l in range(n_basis)]).alias("c"))
+    own = degree if state_degree is None else state_degree
+    rows = with_subject_columns(images, subjects, ["z", "eta"]).join(state.select("voxel_id", "delta", "theta"), "voxel_id")
+    wide, names = with_basis_columns(rows, "value", max(degree, own), a, b)
+    effect = dot([F.col(n) for n in names[: own + 1]], [F.col("theta")[k] for k in range(own + 1)])
+    rest = F.col("z") - F.col("eta") + F.col("delta") * effect
+    wide = wide.withColumn("__r", rest)
+    size = degree + 1
+    sums = wide.groupBy("voxel_id").agg(*[F.sum(F.col(names[l]) * F.col("__r")).alias(f"__c{l}") for l in range(size)])
+    return sums.select("voxel_id", F.array(*[f"__c{l}" for l in range(size)]).alias("c"))
 
 
 def theta_conditional(
@@ -133,11 +142,12 @@ def inclusion_logodds_probit(
 ) -> DataFrame:
     """Posterior inclusion of every voxel from the probit likelihood of one state.
 
-    Subjects are joined once (eta with label); the sums per voxel combine
-    map-side, so the shuffle is one row per task and voxel.
+    Subjects are joined once (eta with label), or not at all if the effects
+    carry both; the sums per voxel combine map-side, so the last shuffle is
+    one row per task and voxel.
     """
     people = eta.join(labels, "subject_id").select("subject_id", "eta", "y")
-    both = effects.join(people, "subject_id").select(
+    both = with_subject_columns(effects, people, ["eta", "y"]).select(
         "voxel_id", "y", (F.col("eta") - F.col("df")).alias("__off"), (F.col("eta") - F.col("df") + F.col("f")).alias("__on")
     )
     both = both.withColumns({"__cdf_off": norm_cdf(F.col("__off")), "__cdf_on": norm_cdf(F.col("__on"))})
@@ -161,8 +171,8 @@ def inclusion_logodds_gaussian(
 
     ``rule`` is ``map`` (1 where the posterior reaches 0.5) or ``bernoulli``.
     """
-    rest = subjects.select("subject_id", (F.col("z") - F.col("eta")).alias("__rest"))
-    rows = effects.join(rest, "subject_id").withColumn("__r", F.col("__rest") + F.col("df"))
+    rows = with_subject_columns(effects, subjects, ["z", "eta"])
+    rows = rows.withColumn("__r", F.col("z") - F.col("eta") + F.col("df"))
     sums = rows.groupBy("voxel_id").agg(
         F.sum(F.col("f") * F.col("f")).alias("ff"), F.sum(F.col("__r") * F.col("f")).alias("rf")
     )

@@ -44,13 +44,18 @@ def match_phenotype(files: DataFrame, pheno: DataFrame) -> DataFrame:
     return files.join(pheno, ["site_id", "sub_id"], "inner")
 
 
-def image_to_long(df: DataFrame, id_col: str, array_col: str, dims: Sequence[int]) -> DataFrame:
+def image_to_long(
+    df: DataFrame, id_col: str, array_col: str, dims: Sequence[int], keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per subject and voxel, column-major coordinates, names `Vox_k` from 1.
 
-    Two dims give (row, col); three give (x, y, z).
+    Two dims give (row, col); three give (x, y, z). Columns in ``keep`` ride
+    along: joining outcome or residual to the image row, before voxels are
+    unpacked, spares a shuffle of all voxels later.
     """
     long = df.select(
         F.col(id_col).cast("long").alias("subject_id"),
+        *keep,
         F.posexplode(array_col).alias("voxel_id", "value"),
     ).withColumn("value", F.col("value").cast("double"))
     names = ("row", "col") if len(dims) == 2 else ("x", "y", "z")

@@ -16,6 +16,8 @@ from voxelfield.functions.keyed import keyed_uniform
 from voxelfield.functions.normal import norm_ppf
 from voxelfield.operators.conditionals import keyed_normals
 from voxelfield.operators.ingest import long_to_image
+from voxelfield.operators.ranking import range_cuts, row_numbers
+from voxelfield.session import settle
 
 
 class ProbabilityError(Evaluator):
@@ -58,8 +60,8 @@ def lasso_init(
         [(best.coefficients.toArray().tolist(), float(best.intercept))], "coef array<double>, alpha double"
     )
     ranked = coefs.select("alpha", F.posexplode("coef").alias("__rank", "coef"))
-    order = images.select("voxel_id").distinct().agg(F.array_sort(F.collect_set("voxel_id")).alias("ids"))
-    voxels = order.select(F.posexplode("ids").alias("__rank", "voxel_id"))
+    ids = settle(images.select("voxel_id").distinct())
+    voxels = row_numbers(ids, [], "voxel_id", range_cuts(ids, "voxel_id"), "__rank").withColumn("__rank", F.col("__rank") - 1)
     state = voxels.join(ranked, "__rank")
     return state.select("voxel_id", "coef", (F.col("coef") != 0).cast("int").alias("delta"), "alpha")
 

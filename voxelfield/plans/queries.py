@@ -60,8 +60,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def basis8(spark: SparkSession, sf: str, degree: int = D) -> DataFrame:
-    return additive.basis_expand(fx.images8(spark, sf), degree, A, B)
+def basis8(spark: SparkSession, sf: str) -> DataFrame:
+    return additive.basis_expand(fx.images8(spark, sf), D, A, B)
 
 
 def effects8(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,6 +76,19 @@ def subjects8(spark: SparkSession, sf: str) -> DataFrame:
     return eta8(spark, sf).join(fx.z8(spark, sf), "subject_id")
 
 
+def images_with(spark: SparkSession, sf: str, subjects: DataFrame, columns: list[str]) -> DataFrame:
+    """Long images whose rows carry subject columns, joined before unpacking."""
+    wide = fx.table(spark, sf, "embeddings").join(subjects.withColumnRenamed("subject_id", "vec_id"), "vec_id")
+    return ingest.image_to_long(wide, "vec_id", "embedding", (8, 8), columns).select(
+        "subject_id", "voxel_id", *columns, "value"
+    )
+
+
+def effects_with(spark: SparkSession, sf: str, subjects: DataFrame, columns: list[str]) -> DataFrame:
+    basis = additive.basis_expand(images_with(spark, sf, subjects, columns), D, A, B)
+    return additive.voxel_effects(basis, fx.voxels8(spark, sf), L)
+
+
 # Sources and ingest
 
 
@@ -375,21 +388,23 @@ def log_posterior(spark, sf):
 
 @query
 def voxel_gram(spark, sf):
-    return conditionals.voxel_gram(basis8(spark, sf), L).withColumn("g", r6("g"))
+    return conditionals.voxel_gram(fx.images8(spark, sf), D, A, B).withColumn("g", r6("g"))
 
 
 @query
 def residual_crossprod(spark, sf):
-    sums = conditionals.residual_crossprod(basis8(spark, sf), effects8(spark, sf), subjects8(spark, sf), L)
+    subjects = subjects8(spark, sf)
+    images = images_with(spark, sf, subjects, ["z", "eta"])
+    sums = conditionals.residual_crossprod(images, fx.voxels8(spark, sf), subjects, D, A, B)
     return items(sums, "c", "l", "c_l")
 
 
 @query
 def theta_conditional(spark, sf):
     """Two basis functions, where the posterior has a closed form."""
-    basis = basis8(spark, sf, 1)
-    gram = conditionals.voxel_gram(basis, 2)
-    cross = conditionals.residual_crossprod(basis, effects8(spark, sf), subjects8(spark, sf), 2)
+    images = fx.images8(spark, sf)
+    gram = conditionals.voxel_gram(images, 1, A, B)
+    cross = conditionals.residual_crossprod(images, fx.voxels8(spark, sf), subjects8(spark, sf), 1, A, B, state_degree=D)
     drawn = conditionals.theta_conditional(gram, cross, fx.voxels8(spark, sf), TAU, 2, SEED)
     pairs = {f"{n}_{l}": F.round(F.col(n)[l], 6) + 0.0 for n in ("mean", "var", "theta") for l in (0, 1)}
     return drawn.select("voxel_id", "delta", *[c.alias(n) for n, c in pairs.items()])
@@ -397,8 +412,9 @@ def theta_conditional(spark, sf):
 
 @query
 def inclusion_logodds_probit(spark, sf):
+    people = eta8(spark, sf).join(fx.labels8(spark, sf), "subject_id")
     scored = conditionals.inclusion_logodds_probit(
-        effects8(spark, sf), eta8(spark, sf), fx.labels8(spark, sf), fx.voxels8(spark, sf), SEED
+        effects_with(spark, sf, people, ["eta", "y"]), eta8(spark, sf), fx.labels8(spark, sf), fx.voxels8(spark, sf), SEED
     )
     return scored.select("voxel_id", r6("loglik0"), r6("loglik1"), r6("posterior"), "delta")
 
