@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import dot, with_basis_columns
 from voxelfield.functions.normal import EPSILON, norm_cdf
+from voxelfield.operators.joins import theta_bytes, voxel_join
 
 
 def basis_expand(images: DataFrame, degree: int, a: float, b: float) -> DataFrame:
@@ -30,7 +31,7 @@ def voxel_effects(basis: DataFrame, state: DataFrame, n_basis: int, keys: Sequen
     """
     params = state.select(*keys, "voxel_id", "delta", "theta")
     shared = [k for k in keys if k in basis.columns]
-    joined = basis.join(params, [*shared, "voxel_id"])
+    joined = voxel_join(basis, params, [*shared, "voxel_id"], row_bytes=theta_bytes(n_basis))
     f = dot(_items("b", n_basis), _items("theta", n_basis))
     rest = [c for c in basis.columns if c not in {*keys, "subject_id", "voxel_id", "b"}]
     effects = joined.select(*keys, "subject_id", "voxel_id", *rest, "delta", f.alias("f"))

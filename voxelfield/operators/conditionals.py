@@ -13,6 +13,7 @@ from voxelfield.functions.hermite import basis_array, dot, with_basis_columns
 from voxelfield.functions.keyed import keyed_uniform
 from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf
 from voxelfield.operators.additive import log_likelihood, sum_of_squares, with_subject_columns
+from voxelfield.operators.joins import theta_bytes, voxel_join
 
 # Voxels whose Gram matrices one task adds up before handing them on.
 GRAM_VOXELS = 4096
@@ -80,7 +81,9 @@ def residual_crossprod(
     only wide shuffle is the one per subject, on single values.
     """
     own = degree if state_degree is None else state_degree
-    rows = with_subject_columns(images, subjects, ["z", "eta"]).join(state.select("voxel_id", "delta", "theta"), "voxel_id")
+    params = state.select("voxel_id", "delta", "theta")
+    rows = with_subject_columns(images, subjects, ["z", "eta"])
+    rows = voxel_join(rows, params, ["voxel_id"], row_bytes=theta_bytes(own + 1))
     wide, names = with_basis_columns(rows, "value", max(degree, own), a, b)
     effect = dot([F.col(n) for n in names[: own + 1]], [F.col("theta")[k] for k in range(own + 1)])
     rest = F.col("z") - F.col("eta") + F.col("delta") * effect
@@ -200,7 +203,7 @@ def radius_scores(
     by_radius = candidates.groupBy("voxel_id", "partition_id").pivot("radius", list(radii)).agg(F.first("p"))
     voxels = by_radius.join(probs.select("voxel_id", F.col("p").alias("__p")), "voxel_id")
     shift = {f"__s{r}": F.sum((F.col(f"`{r}`") - F.col("__p")) * F.col("f")).alias(f"__s{r}") for r in radii}
-    parts = effects.join(voxels, "voxel_id").groupBy("subject_id", "partition_id").agg(
+    parts = voxel_join(effects, voxels, ["voxel_id"]).groupBy("subject_id", "partition_id").agg(
         F.sum(F.col("__p") * F.col("f")).alias("__base"), *shift.values()
     )
     moves = F.struct("partition_id", *[F.col(f"__s{r}") for r in radii])

@@ -16,6 +16,7 @@ from voxelfield.functions.keyed import keyed_uniform
 from voxelfield.functions.normal import norm_ppf
 from voxelfield.operators.conditionals import keyed_normals
 from voxelfield.operators.ingest import long_to_image
+from voxelfield.operators.joins import theta_bytes, voxel_join
 from voxelfield.operators.ranking import range_cuts, row_numbers
 from voxelfield.session import settle
 
@@ -88,7 +89,7 @@ def random_state(lattice: DataFrame, n_basis: int, seed: int) -> DataFrame:
 
 def random_latent(images: DataFrame, state: DataFrame, alpha: float, degree: int, a: float, b: float) -> DataFrame:
     """Starting z = alpha + sum of the selected effects of ``state``."""
-    rows = images.join(state.select("voxel_id", "delta", "theta"), "voxel_id")
+    rows = voxel_join(images, state.select("voxel_id", "delta", "theta"), ["voxel_id"], row_bytes=theta_bytes(degree + 1))
     rows = rows.withColumn("__x", F.when(F.col("delta") == 1, F.col("value")))
     wide, names = with_basis_columns(rows, "__x", degree, a, b)
     effect = dot([F.col(n) for n in names], [F.col("theta")[k] for k in range(degree + 1)])

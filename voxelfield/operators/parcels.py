@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelfield.operators.joins import voxel_join
 from voxelfield.operators.ranking import range_cuts, row_numbers
 
 AXES = ("x", "y", "z")
@@ -26,7 +27,7 @@ def parcel_means(images: DataFrame, parcels: DataFrame) -> DataFrame:
     """
     known = parcels.select("voxel_id", F.col("parcel_id").alias("__parcel"))
     unlabelled = F.raise_error(F.lit("image voxel without parcel label: shapes differ")).cast("int")
-    joined = images.join(known, "voxel_id", "left")
+    joined = voxel_join(images, known, ["voxel_id"], "left")
     labelled = joined.select("subject_id", "value", F.coalesce("__parcel", unlabelled).alias("parcel_id"))
     return labelled.groupBy("subject_id", "parcel_id").agg(F.avg("value").alias("value"))
 
@@ -75,7 +76,7 @@ def broadcast_parcel_means(means: DataFrame, parcels: DataFrame) -> DataFrame:
     lists = parcels.groupBy("parcel_id", F.floor(F.col("voxel_id") / VOXELS_PER_LIST).alias("part")).agg(
         F.collect_list("voxel_id").alias("voxels")
     )
-    return means.join(lists, "parcel_id").select("subject_id", F.explode("voxels").alias("voxel_id"), "value")
+    return voxel_join(means, lists, ["parcel_id"], row_bytes=8 * VOXELS_PER_LIST).select("subject_id", F.explode("voxels").alias("voxel_id"), "value")
 
 
 def roi_voxels(voxels: DataFrame, parcels: DataFrame, label: int) -> DataFrame:

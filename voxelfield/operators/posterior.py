@@ -60,6 +60,25 @@ def fit_trace(draws: DataFrame, every: int) -> DataFrame:
     return draws.where(F.col("iter") % every == 0) if every > 0 else draws.limit(0)
 
 
+def subject_trace(
+    draws: DataFrame,
+    alpha: DataFrame,
+    images: DataFrame,
+    labels: DataFrame,
+    every: int,
+    degree: int,
+    a: float,
+    b: float,
+    keys: Sequence[str] = ("chain_id", "iter"),
+) -> DataFrame:
+    """Log-likelihood of every subject at every ``every``-th iteration.
+
+    All traced iterations share one pass over the images.
+    """
+    eta = linear_prediction(images, fit_trace(draws, every), fit_trace(alpha, every), degree, a, b, keys)
+    return probit_loglik(eta, labels, keys)
+
+
 def draw_table(draws: DataFrame, settings: dict[str, int | float]) -> DataFrame:
     """Retained draws with the run settings as constant columns."""
     return draws.withColumns({name: F.lit(value) for name, value in settings.items()})

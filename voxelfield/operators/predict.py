@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelfield.functions.hermite import dot, with_basis_columns
 from voxelfield.functions.keyed import keyed_uniform
 from voxelfield.functions.normal import norm_cdf
+from voxelfield.operators.joins import theta_bytes, voxel_join
 
 
 def linear_prediction(
@@ -28,7 +29,8 @@ def linear_prediction(
     skipped; a subject without selected voxels still gets eta = alpha.
     """
     shared = [k for k in keys if k in images.columns]
-    rows = images.join(post.select(*keys, "voxel_id", "delta", "theta"), [*shared, "voxel_id"])
+    params = post.select(*keys, "voxel_id", "delta", "theta")
+    rows = voxel_join(images, params, [*shared, "voxel_id"], row_bytes=theta_bytes(degree + 1))
     rows = rows.withColumn("__x", F.when(F.col("delta") == 1, F.col("value")))
     wide, names = with_basis_columns(rows, "__x", degree, a, b)
     effect = dot([F.col(n) for n in names], [F.col("theta")[k] for k in range(degree + 1)])
@@ -59,7 +61,7 @@ def predict_label_random(pred: DataFrame, seed: int) -> DataFrame:
 
 def predict_linear_probit(images: DataFrame, coef: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """Phi(x . beta) and its label; voxels without coefficient count as 0."""
-    rows = images.join(coef, "voxel_id", "left")
+    rows = voxel_join(images, coef, ["voxel_id"], "left")
     sums = rows.groupBy("subject_id").agg(F.sum(F.col("value") * F.coalesce("beta", F.lit(0.0))).alias("__eta"))
     return predict_label(sums.select("subject_id", norm_cdf(F.col("__eta")).alias("prob")), cutoff)
 
@@ -67,7 +69,7 @@ def predict_linear_probit(images: DataFrame, coef: DataFrame, cutoff: float = 0.
 def effect_curve(images: DataFrame, post: DataFrame, degree: int, a: float, b: float) -> DataFrame:
     """(voxel_id, x, y) of every selected voxel's fitted function, ordered by x."""
     chosen = post.where("delta = 1").select("voxel_id", "theta")
-    wide, names = with_basis_columns(images.join(chosen, "voxel_id"), "value", degree, a, b)
+    wide, names = with_basis_columns(voxel_join(images, chosen, ["voxel_id"], row_bytes=theta_bytes(degree + 1)), "value", degree, a, b)
     effect = dot([F.col(n) for n in names], [F.col("theta")[k] for k in range(degree + 1)])
     curve = wide.select("voxel_id", "subject_id", F.col("value").alias("x"), effect.alias("y"))
     return curve.orderBy("voxel_id", "x", "subject_id")

@@ -380,6 +380,11 @@ ORACLE: dict[str, str] = {
         case when o_totalprice > 250000 then 1 else 2 end as partition_id, (count(*) % 2 + 1)::int as radius from orders group by 1, 2, 3) group by 1, 2""",
     "selected_voxels": sql("select chain_id, voxel_id from post where delta = 1", "draws", "post"),
     "fit_trace": sql(f"select chain_id, iter, {r6('loglik')} as loglik from global_draws where iter % 5 = 0", "subject_draws", "global_draws"),
+    "subject_trace": sql(
+        f"""select 0 as chain_id, iter, subject_id, {r6(LOGLIK)} as loglik from (
+            select iter, y, subject_id, {cdf('eta')} as p from (
+                select iter, subject_id, (select alpha from scalars) + sum(iter * df / 2e0) as eta
+                from effects8, (values (0), (2)) t(iter) group by 1, 2) join labels8 using (subject_id))""", *MODEL),
     "draw_table": sql(
         f"""select *, 20 as burnin, 4 as thinning, 5 as mcmc_sample from (select chain_id, iter, subject_id, {r6('z')} as z,
         ((iter - 20) // 4)::int as slot from subject_draws where iter > 20 and (iter - 20) % 4 = 0)""", "subject_draws"),

@@ -538,6 +538,17 @@ def fit_trace(spark, sf):
     return posterior.fit_trace(fx.global_draws(spark, sf), 5).select("chain_id", "iter", r6("loglik"))
 
 
+@query
+def subject_trace(spark, sf):
+    """Iterations 0-3 of one chain; iteration i scales the fixed theta by i / 2."""
+    times = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("iter")
+    draws = fx.voxels8(spark, sf).select("voxel_id", "delta", "theta", times, F.lit(0).alias("chain_id"))
+    draws = draws.withColumn("theta", F.transform("theta", lambda t: t * F.col("iter") / 2.0))
+    alpha = fx.scalars(spark, sf).select("alpha", times, F.lit(0).alias("chain_id"))
+    each = posterior.subject_trace(draws, alpha, fx.images8(spark, sf), fx.labels8(spark, sf), 2, D, A, B)
+    return each.withColumn("loglik", r6("loglik"))
+
+
 @query
 def draw_table(spark, sf):
     kept = posterior.retain_draws(fx.subject_draws(spark, sf), 20, 4)
