@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxelfield.functions import hermite, normal
-from voxelfield.functions.keyed import keyed_uniform
+from voxelfield.functions.keyed import Key, keyed_uniform
 from voxelfield.operators import additive, conditionals
 
 NORMAL = NormalDist()
@@ -15,24 +15,24 @@ NORMAL = NormalDist()
 def test_cdf_column_and_array(spark):
     xs = [x / 20 for x in range(-800, 801)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = [r.p for r in df.select("x", normal.norm_cdf(F.col("x")).alias("p")).collect()]
+    got = [r.p for r in df.select("x", normal.norm_cdf("x").alias("p")).collect()]
     want = [0.5 * math.erfc(-x / math.sqrt(2)) for x in xs]
     np.testing.assert_allclose(got, want, atol=3e-16)
     np.testing.assert_allclose(normal.norm_cdf_array(np.array(xs)), want, atol=3e-16)
-    assert df.select(normal.norm_cdf(F.lit(None).cast("double"))).first()[0] is None
+    assert df.select(F.lit(None).cast("double").alias("x")).select(normal.norm_cdf("x")).first()[0] is None
 
 
 def test_quantile_column_and_array(spark):
     ps = [10.0**-k for k in range(1, 300, 7)] + [i / 1000 for i in range(1, 1000)]
     df = spark.createDataFrame([(p,) for p in ps], "p double")
-    got = [r.z for r in df.select(normal.norm_ppf(F.col("p")).alias("z")).collect()]
+    got = [r.z for r in df.select(normal.norm_ppf("p").alias("z")).collect()]
     want = [NORMAL.inv_cdf(p) for p in ps]
     np.testing.assert_allclose(got, want, rtol=1e-13, atol=1e-14)
     np.testing.assert_allclose(normal.norm_ppf_array(np.array(ps)), want, rtol=1e-13, atol=1e-14)
 
 
 def test_keyed_uniform_is_a_function_of_the_key(spark):
-    df = spark.range(50).select("id", keyed_uniform(3, "step", F.col("id")).alias("u"))
+    df = spark.range(50).select("id", keyed_uniform(3, "step", Key("id")).alias("u"))
     for row in df.repartition(7).collect():
         digest = hashlib.md5(f"3|step|{row.id}".encode()).hexdigest()
         assert row.u == (int(digest[:13], 16) + 0.5) / 16**13

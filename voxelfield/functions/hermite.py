@@ -21,33 +21,34 @@ def decay(a: float, b: float) -> float:
 
 
 def with_basis_columns(df: DataFrame, value: str, degree: int, a: float, b: float) -> tuple[DataFrame, list[str]]:
-    """Add one scalar column per basis function, each in its own projection.
+    """Add one scalar column per basis function.
 
-    A term needs the two before it. One projection per term keeps every term a
-    plain attribute for the next one, so the whole recurrence is generated as
-    straight-line code in a single stage; nothing is boxed into arrays.
+    A term needs the two before it. As lateral aliases of one select, every
+    term is a plain attribute for the next one, so the whole recurrence is
+    generated as straight-line code; nothing is boxed into arrays.
     """
     c = decay(a, b)
     names = [f"__h{k}" for k in range(degree + 1)]
-    x = F.col(value)
-    out = df.withColumns({
-        "__t": math.sqrt(2.0 * c) * x,
-        names[0]: (2.0 * c / math.pi) ** 0.25 * F.exp(-c * x * x),
-    })
+    terms = [
+        f"{math.sqrt(2.0 * c)!r}D * `{value}` as __t",
+        f"{(2.0 * c / math.pi) ** 0.25!r}D * exp(-{c!r}D * `{value}` * `{value}`) as {names[0]}",
+    ]
     for k in range(1, degree + 1):
-        term = math.sqrt(2.0 / k) * F.col("__t") * F.col(names[k - 1])
+        term = f"{math.sqrt(2.0 / k)!r}D * __t * {names[k - 1]}"
         if k > 1:
-            term = term - math.sqrt((k - 1.0) / k) * F.col(names[k - 2])
-        out = out.withColumn(names[k], term)
-    return out.drop("__t"), names
+            term += f" - {math.sqrt((k - 1.0) / k)!r}D * {names[k - 2]}"
+        terms.append(f"{term} as {names[k]}")
+    return df.selectExpr("*", *terms).drop("__t"), names
 
 
-def dot(left: list[Column], right: list[Column]) -> Column:
-    """Sum of products of two equally long lists of columns."""
-    total = left[0] * right[0]
-    for l, r in zip(left[1:], right[1:]):
-        total = total + l * r
-    return total
+def dot(names: list[str], array: str) -> Column:
+    """Scalar columns times the entries of an array column, summed."""
+    return F.expr(" + ".join(f"`{n}` * `{array}`[{k}]" for k, n in enumerate(names)))
+
+
+def array_dot(left: str, right: str, size: int) -> Column:
+    """Product of two array columns of known length, unrolled."""
+    return F.expr(" + ".join(f"`{left}`[{k}] * `{right}`[{k}]" for k in range(size)))
 
 
 def basis_array(x: np.ndarray, degree: int, a: float, b: float) -> np.ndarray:

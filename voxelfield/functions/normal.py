@@ -62,34 +62,48 @@ FAR_DENOMINATOR = (
 EPSILON = 2.220446049250313e-16
 
 
-def horner(x, coefficients):
-    """Polynomial value; works for Columns and for numpy arrays."""
+def horner(x: np.ndarray, coefficients) -> np.ndarray:
+    """Polynomial value, highest power first."""
     return reduce(lambda acc, c: acc * x + c, coefficients[1:], x * 0.0 + coefficients[0])
 
 
-def norm_cdf(x: Column) -> Column:
-    """Normal distribution function of an attribute.
+def horner_sql(x: str, coefficients) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {c!r}D)", coefficients[1:], f"{coefficients[0]!r}D")
 
-    ``x`` is referenced often, so project it to a column of its own first.
+
+def norm_cdf_sql(x: str) -> str:
+    a = f"abs({x})"
+    density = f"exp(-{a} * {a} / 2.0D)"
+    near = f"{density} * {horner_sql(a, TAIL_NUMERATOR)} / {horner_sql(a, TAIL_DENOMINATOR)}"
+    far = f"{density} / ({a} + 1.0D / ({a} + 2.0D / ({a} + 3.0D / ({a} + 4.0D / ({a} + 0.65D))))) / {TAIL_SCALE!r}D"
+    tail = f"(case when {a} < {TAIL_SWITCH!r}D then {near} when {a} <= {TAIL_ZERO!r}D then {far} else 0.0D end)"
+    return f"(case when {x} is null then null when {x} > 0 then 1.0D - {tail} else {tail} end)"
+
+
+def norm_ppf_sql(p: str) -> str:
+    q = f"({p} - 0.5D)"
+    r = f"(0.180625D - {q} * {q})"
+    s = f"sqrt(-ln(least({p}, 1.0D - {p})))"
+    central = f"{q} * {horner_sql(r, CENTRAL_NUMERATOR)} / {horner_sql(r, CENTRAL_DENOMINATOR)}"
+    m, f = f"({s} - 1.6D)", f"({s} - 5.0D)"
+    middle = f"{horner_sql(m, MIDDLE_NUMERATOR)} / {horner_sql(m, MIDDLE_DENOMINATOR)}"
+    far = f"{horner_sql(f, FAR_NUMERATOR)} / {horner_sql(f, FAR_DENOMINATOR)}"
+    outer = f"(case when {s} <= 5.0D then {middle} else {far} end)"
+    return f"(case when abs({q}) <= 0.425D then {central} when {q} < 0 then -{outer} else {outer} end)"
+
+
+def norm_cdf(name: str) -> Column:
+    """Normal distribution function of the column ``name``.
+
+    Built as one SQL expression: composing it call by call costs more time on
+    the driver than small queries take to run.
     """
-    a = F.abs(x)
-    density = F.exp(-a * a / 2.0)
-    near = density * horner(a, TAIL_NUMERATOR) / horner(a, TAIL_DENOMINATOR)
-    far = density / (a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))) / TAIL_SCALE
-    tail = F.when(a < TAIL_SWITCH, near).when(a <= TAIL_ZERO, far).otherwise(0.0)
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(x > 0, 1.0 - tail).otherwise(tail)
+    return F.expr(norm_cdf_sql(f"`{name}`"))
 
 
-def norm_ppf(p: Column) -> Column:
-    """Normal quantile of an attribute strictly between 0 and 1."""
-    q = p - 0.5
-    r = 0.180625 - q * q
-    s = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    central = q * horner(r, CENTRAL_NUMERATOR) / horner(r, CENTRAL_DENOMINATOR)
-    middle = horner(s - 1.6, MIDDLE_NUMERATOR) / horner(s - 1.6, MIDDLE_DENOMINATOR)
-    far = horner(s - 5.0, FAR_NUMERATOR) / horner(s - 5.0, FAR_DENOMINATOR)
-    outer = F.when(s <= 5.0, middle).otherwise(far)
-    return F.when(F.abs(q) <= 0.425, central).when(q < 0, -outer).otherwise(outer)
+def norm_ppf(name: str) -> Column:
+    """Normal quantile of the column ``name``, strictly between 0 and 1."""
+    return F.expr(norm_ppf_sql(f"`{name}`"))
 
 
 def norm_cdf_array(x: np.ndarray) -> np.ndarray:

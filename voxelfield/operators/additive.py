@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelfield.functions.hermite import dot, with_basis_columns
+from voxelfield.functions.hermite import array_dot, with_basis_columns
 from voxelfield.functions.normal import EPSILON, norm_cdf
 from voxelfield.operators.joins import theta_bytes, voxel_join
 
@@ -18,10 +18,6 @@ def basis_expand(images: DataFrame, degree: int, a: float, b: float) -> DataFram
     return wide.select(*[c for c in images.columns if c != "value"], F.array(*names).alias("b"))
 
 
-def _items(array: str, size: int) -> list[Column]:
-    return [F.col(array)[k] for k in range(size)]
-
-
 def voxel_effects(basis: DataFrame, state: DataFrame, n_basis: int, keys: Sequence[str] = ()) -> DataFrame:
     """Effect f = b . theta of every subject and voxel, and delta * f.
 
@@ -32,7 +28,7 @@ def voxel_effects(basis: DataFrame, state: DataFrame, n_basis: int, keys: Sequen
     params = state.select(*keys, "voxel_id", "delta", "theta")
     shared = [k for k in keys if k in basis.columns]
     joined = voxel_join(basis, params, [*shared, "voxel_id"], row_bytes=theta_bytes(n_basis))
-    f = dot(_items("b", n_basis), _items("theta", n_basis))
+    f = array_dot("b", "theta", n_basis)
     rest = [c for c in basis.columns if c not in {*keys, "subject_id", "voxel_id", "b"}]
     effects = joined.select(*keys, "subject_id", "voxel_id", *rest, "delta", f.alias("f"))
     return effects.withColumn("df", F.col("delta") * F.col("f"))
@@ -68,7 +64,7 @@ def log_likelihood(y: Column, cdf: Column) -> Column:
 def probit_loglik(eta: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Log-likelihood of every subject."""
     on = [*[k for k in keys if k in labels.columns], "subject_id"]
-    joined = eta.join(labels, on).withColumn("__cdf", norm_cdf(F.col("eta")))
+    joined = eta.join(labels, on).withColumn("__cdf", norm_cdf("eta"))
     return joined.select(*keys, "subject_id", log_likelihood(F.col("y"), F.col("__cdf")).alias("loglik"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import basis_array, dot, with_basis_columns
-from voxelfield.functions.keyed import keyed_uniform
+from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform
 from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf
 from voxelfield.operators.additive import log_likelihood, sum_of_squares, with_subject_columns
 from voxelfield.operators.joins import theta_bytes, voxel_join
@@ -19,12 +19,6 @@ from voxelfield.operators.joins import theta_bytes, voxel_join
 GRAM_VOXELS = 4096
 
 
-def keyed_normals(seed: int, step: str, size: int, *keys: str) -> Column:
-    """Array of ``size`` standard normals for each key."""
-    uniforms = F.array(*[keyed_uniform(seed, step, *[F.col(k) for k in keys], l) for l in range(size)])
-    return F.transform(uniforms, norm_ppf)
-
-
 def voxel_gram(images: DataFrame, degree: int, a: float, b: float) -> DataFrame:
     """(voxel_id, l1, l2, g): the Gram matrix of every voxel's basis.
 
@@ -85,7 +79,7 @@ def residual_crossprod(
     rows = with_subject_columns(images, subjects, ["z", "eta"])
     rows = voxel_join(rows, params, ["voxel_id"], row_bytes=theta_bytes(own + 1))
     wide, names = with_basis_columns(rows, "value", max(degree, own), a, b)
-    effect = dot([F.col(n) for n in names[: own + 1]], [F.col("theta")[k] for k in range(own + 1)])
+    effect = dot(names[: own + 1], "theta")
     rest = F.col("z") - F.col("eta") + F.col("delta") * effect
     wide = wide.withColumn("__r", rest)
     size = degree + 1
@@ -107,7 +101,7 @@ def theta_conditional(
     )
     wanted = delta.where(~F.col("excluded")).select("voxel_id", "delta")
     staged = wanted.join(matrices, "voxel_id").join(crossprod, "voxel_id")
-    staged = staged.withColumn("eps", keyed_normals(seed, "theta", n_basis, "voxel_id"))
+    staged = staged.withColumn("eps", keyed_normals(n_basis, seed, "theta", Key("voxel_id")))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         eye = np.eye(n_basis)
@@ -153,7 +147,7 @@ def inclusion_logodds_probit(
     both = with_subject_columns(effects, people, ["eta", "y"]).select(
         "voxel_id", "y", (F.col("eta") - F.col("df")).alias("__off"), (F.col("eta") - F.col("df") + F.col("f")).alias("__on")
     )
-    both = both.withColumns({"__cdf_off": norm_cdf(F.col("__off")), "__cdf_on": norm_cdf(F.col("__on"))})
+    both = both.withColumns({"__cdf_off": norm_cdf("__off"), "__cdf_on": norm_cdf("__on")})
     sums = both.groupBy("voxel_id").agg(
         F.sum(log_likelihood(F.col("y"), F.col("__cdf_off"))).alias("loglik0"),
         F.sum(log_likelihood(F.col("y"), F.col("__cdf_on"))).alias("loglik1"),
@@ -163,7 +157,7 @@ def inclusion_logodds_probit(
         "__l1": F.col("loglik1") + F.log(F.col("p") + EPSILON),
     })
     scored = scored.withColumn("posterior", _posterior_odds(F.col("__l0"), F.col("__l1")))
-    draw = keyed_uniform(seed, "delta", F.col("voxel_id")) < F.col("posterior")
+    draw = keyed_uniform(seed, "delta", Key("voxel_id")) < F.col("posterior")
     return scored.select("voxel_id", "loglik0", "loglik1", "posterior", draw.cast("int").alias("delta"))
 
 
@@ -186,7 +180,7 @@ def inclusion_logodds_gaussian(
     if rule == "map":
         delta = F.col("posterior") >= 0.5
     elif rule == "bernoulli":
-        delta = keyed_uniform(seed, "delta", F.col("voxel_id")) < F.col("posterior")
+        delta = keyed_uniform(seed, "delta", Key("voxel_id")) < F.col("posterior")
     else:
         raise ValueError(f"unknown rule {rule!r}")
     return scored.select("voxel_id", "ff", "rf", "posterior", delta.cast("int").alias("delta"))
@@ -233,7 +227,7 @@ def alpha_conditional(subjects: DataFrame, tau: float, seed: int) -> DataFrame:
         (1.0 / (F.col("__n") + tau)).alias("var"),
         keyed_uniform(seed, "alpha").alias("__u"),
     )
-    return moments.select("mean", "var", (F.col("mean") + F.sqrt("var") * norm_ppf(F.col("__u"))).alias("alpha"))
+    return moments.select("mean", "var", (F.col("mean") + F.sqrt("var") * norm_ppf("__u")).alias("alpha"))
 
 
 def latent_draw(eta: DataFrame, labels: DataFrame, seed: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -246,12 +240,12 @@ def latent_draw(eta: DataFrame, labels: DataFrame, seed: int, keys: Sequence[str
     on = [*[k for k in keys if k in labels.columns], "subject_id"]
     staged = eta.join(labels, on).withColumns({
         "__side": side,
-        "__u": keyed_uniform(seed, "z", *[F.col(k) for k in keys], F.col("subject_id")),
+        "__u": keyed_uniform(seed, "z", *[Key(k) for k in (*keys, "subject_id")]),
     })
     staged = staged.withColumn("__m", F.col("__side") * F.col("eta"))
     staged = staged.withColumn("__safe", F.greatest(F.col("__m"), F.lit(EXPONENTIAL_TAIL)))
-    staged = staged.withColumn("__q", F.col("__u") * norm_cdf(F.col("__safe")))
-    bulk = F.col("__safe") - norm_ppf(F.col("__q"))
+    staged = staged.withColumn("__q", F.col("__u") * norm_cdf("__safe"))
+    bulk = F.col("__safe") - norm_ppf("__q")
     far = F.log("__u") / F.col("__m")
     z = F.col("__side") * F.when(F.col("__m") < EXPONENTIAL_TAIL, far).otherwise(bulk)
     return staged.select(*keys, "subject_id", z.alias("z"))

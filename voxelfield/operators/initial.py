@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import dot, with_basis_columns
-from voxelfield.functions.keyed import keyed_uniform
+from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform
 from voxelfield.functions.normal import norm_ppf
-from voxelfield.operators.conditionals import keyed_normals
 from voxelfield.operators.ingest import long_to_image
 from voxelfield.operators.joins import theta_bytes, voxel_join
 from voxelfield.operators.ranking import range_cuts, row_numbers
@@ -45,7 +44,7 @@ def lasso_init(
     subject id. Coefficients are matched to voxels by their rank in the image.
     """
     wide = long_to_image(images).join(labels, "subject_id")
-    fold = F.floor(keyed_uniform(seed, "fold", F.col("subject_id")) * folds).cast("int")
+    fold = F.floor(keyed_uniform(seed, "fold", Key("subject_id")) * folds).cast("int")
     rows = wide.select(array_to_vector("image").alias("features"), "y", fold.alias("fold")).cache()
     model = LogisticRegression(labelCol="y", elasticNetParam=1.0, maxIter=100)
     grid = ParamGridBuilder().addGrid(model.regParam, list(lambdas)).build()
@@ -75,15 +74,15 @@ def random_state(lattice: DataFrame, n_basis: int, seed: int) -> DataFrame:
     """
     staged = lattice.select(
         "voxel_id",
-        keyed_uniform(seed, "delta0", F.col("voxel_id")).alias("u"),
-        keyed_normals(seed, "theta0", n_basis, "voxel_id").alias("theta"),
+        keyed_uniform(seed, "delta0", Key("voxel_id")).alias("u"),
+        keyed_normals(n_basis, seed, "theta0", Key("voxel_id")).alias("theta"),
         keyed_uniform(seed, "alpha0").alias("__u_alpha"),
         keyed_uniform(seed, "a0").alias("__u_a"),
     )
-    root = norm_ppf(F.col("__u_a"))
+    root = norm_ppf("__u_a")
     return staged.select(
         "voxel_id", "u", (F.col("u") < 0.5).cast("int").alias("delta"), "theta",
-        norm_ppf(F.col("__u_alpha")).alias("alpha"), (2.0 / (root * root)).alias("a"),
+        norm_ppf("__u_alpha").alias("alpha"), (2.0 / (root * root)).alias("a"),
     )
 
 
@@ -92,5 +91,5 @@ def random_latent(images: DataFrame, state: DataFrame, alpha: float, degree: int
     rows = voxel_join(images, state.select("voxel_id", "delta", "theta"), ["voxel_id"], row_bytes=theta_bytes(degree + 1))
     rows = rows.withColumn("__x", F.when(F.col("delta") == 1, F.col("value")))
     wide, names = with_basis_columns(rows, "__x", degree, a, b)
-    effect = dot([F.col(n) for n in names], [F.col("theta")[k] for k in range(degree + 1)])
+    effect = dot(names, "theta")
     return wide.groupBy("subject_id").agg((F.lit(alpha) + F.coalesce(F.sum(effect), F.lit(0.0))).alias("z"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DEGREE = 4
 N_BASIS = DEGREE + 1
@@ -15,8 +16,19 @@ SEED = 7
 LATTICE_ROWS = 100
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its footer is read once for the schema."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def fixed_theta(n_basis: int) -> str:
+    return f"transform(sequence(0, {n_basis - 1}), k -> ((voxel_id * (k + 3)) % 7 - 3) / 10.0D) as theta"
 
 
 def images8(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,15 +47,10 @@ def labels8(spark: SparkSession, sf: str) -> DataFrame:
 def voxels8(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct voxels of the images with a fixed state (delta, theta, p)."""
     ids = images8(spark, sf).select("voxel_id").distinct()
-    return ids.select(
-        "voxel_id",
-        (F.col("voxel_id") % 8).alias("row"),
-        F.floor(F.col("voxel_id") / 8).cast("int").alias("col"),
-        ((F.col("voxel_id") * 7 + 3) % 5 < 2).cast("int").alias("delta"),
-        F.array(*[((F.col("voxel_id") * (k + 3)) % 7 - 3) / 10.0 for k in range(N_BASIS)]).alias("theta"),
-        ((F.col("voxel_id") % 9 + 1) / 10.0).alias("p"),
-        ((F.col("voxel_id") % 8 < 2) & (F.col("voxel_id") < 16)).alias("excluded"),
-        (F.col("voxel_id") % 3 + 1).alias("partition_id"),
+    return ids.selectExpr(
+        "voxel_id", "voxel_id % 8 as row", "cast(voxel_id div 8 as int) as col",
+        "cast((voxel_id * 7 + 3) % 5 < 2 as int) as delta", fixed_theta(N_BASIS), "(voxel_id % 9 + 1) / 10.0D as p",
+        "voxel_id % 8 < 2 and voxel_id < 16 as excluded", "voxel_id % 3 + 1 as partition_id",
     )
 
 

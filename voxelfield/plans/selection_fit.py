@@ -32,11 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import basis_array
-from voxelfield.functions.keyed import keyed_uniform
+from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform, keyed_uniforms, keys
 from voxelfield.functions.normal import EPSILON, norm_cdf_array, norm_ppf, norm_ppf_array, positive_normal_array
 from voxelfield.operators import inclusion
 from voxelfield.operators.additive import sum_of_squares
-from voxelfield.operators.conditionals import keyed_normals
 from voxelfield.session import shared_dir
 
 FIT = ["replicate", "chain_id"]
@@ -429,13 +428,13 @@ def _block_step(
         *FIT, "k", "gram_row", "colsum", "value"
     )
     mine = state.where(F.col("voxel_id").between(first, beyond - 1))
-    keys = [F.col(c) for c in (*FIT, "voxel_id")]
+    voxel_key = keys(*FIT, "voxel_id")
     staged = mine.select(
         *FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", F.coalesce("p", F.lit(0.5)).alias("p"),
         *SCALARS,
-        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda l: keyed_uniform(config.seed, "theta", iteration, *keys, l)).alias("u_theta"),
-        keyed_uniform(config.seed, "delta", iteration, *keys).alias("u"),
-        keyed_uniform(config.seed, "alpha", iteration, *keys[:2]).alias("u_alpha"),
+        keyed_uniforms(size, config.seed, "theta", iteration, *voxel_key).alias("u_theta"),
+        keyed_uniform(config.seed, "delta", iteration, *voxel_key).alias("u"),
+        keyed_uniform(config.seed, "alpha", iteration, *keys(*FIT)).alias("u_alpha"),
     )
 
     def work(key: tuple, products: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
@@ -518,7 +517,7 @@ def _scalar_step(raw: DataFrame, last: DataFrame, config: FitConfig, iteration:
     """alpha of the last block, and the draws of tau and 1/a, one row per chain."""
     sums = raw.groupBy(*FIT).agg(F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"))
     heads = last.groupBy(*FIT).agg(*[F.max(c).alias(c) for c in SCALARS])
-    staged = sums.join(heads, FIT).withColumn("u", keyed_uniform(config.seed, "inv_a", iteration, *[F.col(c) for c in FIT]))
+    staged = sums.join(heads, FIT).withColumn("u", keyed_uniform(config.seed, "inv_a", iteration, *keys(*FIT)))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -572,14 +571,13 @@ def _start(
     """Starting voxel and scalar states of every replicate and chain."""
     chains = F.explode(F.sequence(F.lit(0), F.lit(config.chains - 1))).alias("chain_id")
     base = voxels.select("replicate", "voxel_id", "partition_id", "excluded", chains)
-    keys = [F.col(c) for c in (*FIT, "voxel_id")]
-    per_chain = [F.col(c) for c in FIT]
+    voxel_key, per_chain = keys(*FIT, "voxel_id"), keys(*FIT)
     if initial is None:
         state = base.withColumns({
-            "delta": (keyed_uniform(config.seed, "delta0", *keys) < 0.5).cast("int"),
-            "theta": keyed_normals(config.seed, "theta0", config.n_basis, *FIT, "voxel_id"),
+            "delta": (keyed_uniform(config.seed, "delta0", *voxel_key) < 0.5).cast("int"),
+            "theta": keyed_normals(config.n_basis, config.seed, "theta0", *voxel_key),
             "__u": keyed_uniform(config.seed, "alpha0", *per_chain),
-        }).withColumn("alpha", norm_ppf(F.col("__u"))).drop("__u")
+        }).withColumn("alpha", norm_ppf("__u")).drop("__u")
     else:
         shared = [k for k in FIT if k in initial.columns]
         state = base.join(initial.select(*shared, "voxel_id", "delta", "theta", "alpha"), [*shared, "voxel_id"])
@@ -588,7 +586,7 @@ def _start(
         F.max("alpha").alias("alpha"), F.lit(1.0 / config.initial_sigma_sq).alias("inv_sigma_sq"),
         F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"),
     ).withColumn("__u", keyed_uniform(config.seed, "a0", *per_chain))
-    root = norm_ppf(F.col("__u"))
+    root = norm_ppf("__u")
     scalar = scalar.withColumn("inv_a", root * root / 2.0).drop("__u")
     return state, scalar.select(*FIT, "alpha", "inv_sigma_sq", "inv_a", "theta_sq", "voxels")
 
@@ -656,7 +654,7 @@ def fit_selection_model(
 
     def subjects(iteration: int) -> DataFrame:
         uniforms = F.array(*[
-            keyed_uniform(config.seed, "z", iteration, F.col("replicate"), c, F.col("subject_id")) for c in range(config.chains)
+            keyed_uniform(config.seed, "z", iteration, Key("replicate"), c, Key("subject_id")) for c in range(config.chains)
         ])
         return layout.withColumn("u", uniforms)
 
