@@ -77,7 +77,8 @@ def norm_cdf_sql(x: str) -> str:
     near = f"{density} * {horner_sql(a, TAIL_NUMERATOR)} / {horner_sql(a, TAIL_DENOMINATOR)}"
     far = f"{density} / ({a} + 1.0D / ({a} + 2.0D / ({a} + 3.0D / ({a} + 4.0D / ({a} + 0.65D))))) / {TAIL_SCALE!r}D"
     tail = f"(case when {a} < {TAIL_SWITCH!r}D then {near} when {a} <= {TAIL_ZERO!r}D then {far} else 0.0D end)"
-    return f"(case when {x} is null then null when {x} > 0 then 1.0D - {tail} else {tail} end)"
+    # |1 - tail| above zero and |0 - tail| below, so the tail appears once.
+    return f"(case when {x} is not null then abs((case when {x} > 0 then 1.0D else 0.0D end) - {tail}) end)"
 
 
 def norm_ppf_sql(p: str) -> str:
