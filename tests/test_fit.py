@@ -144,3 +144,31 @@ def test_switches_keep_parameters(spark, data):
     fit = fit_selection_model(images, labels, lattice, config, initial=initial)
     assert {(r.alpha, r.inv_sigma_sq) for r in fit.scalar.collect()} == {(0.5, 1.0)}
     assert fit.voxel.where("delta <> voxel_id % 2 or theta[1] <> 0.2").count() == 0
+
+
+def test_replicates_advance_together_and_do_not_mix(spark, data):
+    from pyspark.sql import functions as F
+
+    x, y, images, labels, lattice = data
+    config = FitConfig(degree=1, a=0.01, b=2.0, burnin=0, mcmc_sample=2, thinning=1, radii=(1, 2), seed=8)
+    alone = fit_selection_model(images.repartition(17), labels, lattice, config)
+
+    def both(df, second):
+        return df.withColumn("replicate", F.lit(0)).unionByName(second.withColumn("replicate", F.lit(1)))
+
+    other = lattice.withColumn("excluded", F.col("voxel_id").isin(0, 5)).withColumn("partition_id", F.lit(2))
+    fit = fit_selection_model(
+        both(images, images.withColumn("value", -F.col("value"))),
+        both(labels, labels.where("subject_id < 50")),
+        both(lattice, other),
+        config,
+    )
+    mine = {(r.iter, r.voxel_id): r for r in alone.voxel.collect()}
+    for r in fit.voxel.where("replicate = 0").collect():
+        want = mine[(r.iter, r.voxel_id)]
+        assert (r.delta, r.radius) == (want.delta, want.radius) and r.p == pytest.approx(want.p)
+        np.testing.assert_allclose(r.theta, want.theta, atol=1e-8)
+    second = fit.voxel.where("replicate = 1")
+    assert second.where("voxel_id = 5 and delta = 1").count() == 0
+    assert second.count() == 2 * SIDE * SIDE
+    assert fit.scalar.count() == 4 and fit.scalar.where("loglik is null").count() == 0

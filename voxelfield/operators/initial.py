@@ -45,7 +45,8 @@ def lasso_init(
     """
     wide = long_to_image(images).join(labels, "subject_id")
     fold = F.floor(keyed_uniform(seed, "fold", Key("subject_id")) * folds).cast("int")
-    rows = wide.select(array_to_vector("image").alias("features"), "y", fold.alias("fold")).cache()
+    # Settled rather than cached: its partitions then follow the data's size.
+    rows = settle(wide.select(array_to_vector("image").alias("features"), "y", fold.alias("fold")))
     model = LogisticRegression(labelCol="y", elasticNetParam=1.0, maxIter=100)
     grid = ParamGridBuilder().addGrid(model.regParam, list(lambdas)).build()
     search = CrossValidator(
@@ -53,7 +54,6 @@ def lasso_init(
         parallelism=4,
     )
     best = search.fit(rows).bestModel
-    rows.unpersist()
     spark = images.sparkSession
     # One coefficient per voxel: the fitted model itself, not data.
     coefs = spark.createDataFrame(
