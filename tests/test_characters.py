@@ -30,6 +30,10 @@ def test_first_sequences_in_order(flashes, monkeypatch):
     monkeypatch.setattr(characters, "GROUP_LIMIT", 5)
     ranged = characters.first_k_sequences(flashes, 1)
     assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, got.collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(characters, "HOT_ROWS", 0)
+    salted = characters.first_k_sequences(flashes, 1)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_accuracy_and_curve_agree(flashes):
@@ -45,6 +49,8 @@ def test_truth_without_prediction_counts_as_wrong(spark, flashes):
     late = spark.createDataFrame([(1, 1)], "subject_id long, pred int")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "subject_id long, y int")
     assert evaluate.accuracy(late, labels).first()[0] == 0.5
+    methods = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 1, 1)], "method string, subject_id long, pred int")
+    assert {tuple(r) for r in evaluate.accuracy(methods, labels, ["method"]).collect()} == {("a", 1.0), ("b", 0.5)}
 
 
 def test_confusion_summary(spark):

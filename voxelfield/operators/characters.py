@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelfield.operators.joins import estimated_bytes
 from voxelfield.operators.ranking import range_cuts, row_numbers
 
 # Flashes per sequence and last code of the first axis.
@@ -22,6 +23,12 @@ AXIS_CODES = 6
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
+# Rows of one character that one task may be handed by the map side; beyond it
+# the first rows are found per salt before they are found per character.
+HOT_ROWS = 5_000_000
+SALTS = 64
+SPLIT_BYTES = 128 * 1024 * 1024
+
 # Sums of the same scores in another order differ in the last bits; ties are
 # decided on this many decimals.
 TIE_DIGITS = 9
@@ -40,11 +47,17 @@ def _numbered(flashes: DataFrame, k: int) -> DataFrame:
     """First ``k`` sequences of every character with the row number ``rn``.
 
     Up to the planner's limit the window is cut on the map side: each task
-    forwards at most 12k rows per character, however long a character is.
-    Longer prefixes are numbered by value range instead.
+    forwards at most 12k rows per character, however long a character is. On
+    inputs of so many tasks that even these add up, a salted round comes
+    first. Longer prefixes are numbered by value range instead.
     """
     last = FLASHES * k
     if last <= GROUP_LIMIT:
+        tasks = estimated_bytes(flashes) // SPLIT_BYTES + 1
+        if tasks * last > HOT_ROWS:
+            salt = F.pmod(F.xxhash64("seq_no"), F.lit(SALTS))
+            share = W.partitionBy("char_id", salt).orderBy("seq_no")
+            flashes = flashes.withColumn("rn", F.row_number().over(share)).where(F.col("rn") <= last).drop("rn")
         order = W.partitionBy("char_id").orderBy("seq_no")
         return flashes.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= last)
     numbered = row_numbers(flashes, ["char_id"], "seq_no", range_cuts(flashes, "seq_no"), "rn")

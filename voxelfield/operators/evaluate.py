@@ -11,11 +11,19 @@ from voxelfield.operators.ranking import range_cuts, running_totals
 
 
 def accuracy(pred: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Share of subjects whose label is predicted right; no prediction counts as wrong."""
-    on = [*[k for k in keys if k in labels.columns], "subject_id"]
+    """Share of subjects whose label is predicted right; no prediction counts as wrong.
+
+    Keys may be in both tables (a replicate) or in ``pred`` only (a method);
+    the latter are scored against all labels.
+    """
+    shared = [k for k in keys if k in labels.columns]
     right = F.coalesce((F.col("pred") == F.col("y")).cast("double"), F.lit(0.0))
-    how = "left" if set(keys) <= set(labels.columns) else "inner"
-    return labels.join(pred, on, how).groupBy(*keys).agg(F.avg(right).alias("accuracy"))
+    if len(shared) == len(keys):
+        return labels.join(pred, [*shared, "subject_id"], "left").groupBy(*keys).agg(F.avg(right).alias("accuracy"))
+    hits = labels.join(pred, [*shared, "subject_id"]).groupBy(*keys).agg(F.sum(right).alias("__hits"))
+    sizes = labels.groupBy(*shared).agg(F.count("*").alias("__size"))
+    scored = hits.join(sizes, shared) if shared else hits.withColumn("__size", sizes.scalar())
+    return scored.select(*keys, (F.col("__hits") / F.col("__size")).alias("accuracy"))
 
 
 def confusion_matrix(pred: DataFrame, labels: DataFrame) -> DataFrame:

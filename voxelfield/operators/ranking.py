@@ -16,18 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 256
-CUT_ERROR = 0.001
+from voxelfield.operators.joins import estimated_bytes
 
+FEWEST_RANGES, MOST_RANGES = 64, 8192
+RANGE_BYTES = 64 * 1024 * 1024
 
-def range_cuts(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
+
+def range_cuts(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """At most ``ranges - 1`` increasing cut points, near-equal shares of rows.
 
-    One map-side sketch pass; only the cut points reach the driver.
+    By default the number of ranges grows with the size of ``df``. One map-side
+    sketch pass; only the cut points reach the driver.
     """
-    shares = [i / ranges for i in range(1, ranges)]
     numbers = df.select(F.col(column).cast("double").alias(column)).where(F.col(column).isNotNull())
-    cuts = numbers.approxQuantile(column, shares, CUT_ERROR) if shares else []
+    if ranges is None:
+        ranges = max(FEWEST_RANGES, min(MOST_RANGES, estimated_bytes(numbers) // RANGE_BYTES))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = numbers.approxQuantile(column, shares, 0.25 / ranges) if shares else []
     return sorted({c for c in cuts if c == c and abs(c) != float("inf")})
 
 
