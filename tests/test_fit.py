@@ -172,3 +172,21 @@ def test_replicates_advance_together_and_do_not_mix(spark, data):
     assert second.where("voxel_id = 5 and delta = 1").count() == 0
     assert second.count() == 2 * SIDE * SIDE
     assert fit.scalar.count() == 4 and fit.scalar.where("loglik is null").count() == 0
+
+
+def test_fit_to_prediction(spark, data):
+    """Fit, posterior means, chain choice, prediction and accuracy in a row."""
+    from voxelfield.operators import evaluate, posterior, predict
+    from voxelfield.plans.selection_fit import FIT, summarise
+
+    x, y, images, labels, lattice = data
+    config = FitConfig(degree=1, a=0.01, b=2.0, burnin=4, mcmc_sample=4, thinning=1, chains=2, seed=2, radii=(1,), initial_a=1.0)
+    fit = fit_selection_model(images, labels, lattice, config)
+    means = summarise(fit, config)
+    dic = posterior.chain_dic(fit.scalar.where("iter > 4"), means["voxel"], means["scalar"], images, labels, 1, 0.01, 2.0, FIT)
+    best = posterior.select_chain_dic(dic).first()
+    post = means["voxel"].where(f"chain_id = {best.chain_id}")
+    alpha = means["scalar"].where(f"chain_id = {best.chain_id}")
+    prob = predict.predict_probability(images, post, alpha, 1, 0.01, 2.0)
+    assert evaluate.accuracy(predict.predict_label(prob), labels).first()[0] > 0.8
+    assert means["radius"].count() == 4

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from voxelfield.functions.hermite import basis_array
 from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform, keyed_uniforms, keys
 from voxelfield.functions.normal import EPSILON, norm_cdf_array, norm_ppf, norm_ppf_array, positive_normal_array
-from voxelfield.operators import inclusion
+from voxelfield.operators import inclusion, posterior
 from voxelfield.operators.additive import sum_of_squares
 from voxelfield.session import shared_dir
 
@@ -68,6 +68,7 @@ class FitConfig:
     prior_min: float = 0.0
     prior_max: float = 1.0
     initial_sigma_sq: float = 1.0
+    initial_a: float | None = None
     rule: str = "bernoulli"
     tau_cap: float | None = None
     update_theta: bool = True
@@ -587,7 +588,8 @@ def _start(
         F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"),
     ).withColumn("__u", keyed_uniform(config.seed, "a0", *per_chain))
     root = norm_ppf("__u")
-    scalar = scalar.withColumn("inv_a", root * root / 2.0).drop("__u")
+    inv_a = root * root / 2.0 if config.initial_a is None else F.lit(1.0 / config.initial_a)
+    scalar = scalar.withColumn("inv_a", inv_a).drop("__u")
     return state, scalar.select(*FIT, "alpha", "inv_sigma_sq", "inv_a", "theta_sq", "voxels")
 
 
@@ -694,6 +696,26 @@ def fit_selection_model(
     )
 
 
+def summarise(fit: Fit, config: FitConfig, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Posterior means over the retained draws, per (replicate, chain).
+
+    ``voxel`` has delta and theta, ``scalar`` alpha, sigma^2 and a, ``radius``
+    the last radius per partition, ``subject`` the latent means if kept.
+    """
+
+    def kept(draws: DataFrame) -> DataFrame:
+        return posterior.retain_draws(draws, config.burnin, config.thinning)
+
+    means = {
+        "voxel": posterior.posterior_mean_voxel(kept(fit.voxel), config.n_basis, threshold, FIT),
+        "scalar": posterior.posterior_mean_global(kept(fit.scalar), FIT),
+        "radius": posterior.last_radius(fit.voxel.where("radius is not null"), FIT),
+    }
+    if fit.subject is not None:
+        means["subject"] = posterior.posterior_mean_subject(kept(fit.subject), FIT)
+    return means
+
+
 def _trace(store: _Store, config: FitConfig) -> DataFrame:
     """Scalar draws with the log-likelihood and log posterior of each state."""
     met = store.all_iterations("block").where("part1 = 0").select(*FIT, (F.col("iter") - 1).alias("iter"), "loglik").distinct()
