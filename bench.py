@@ -47,7 +47,7 @@ def effects(spark: SparkSession) -> DataFrame:
 
 
 def eta(spark: SparkSession) -> DataFrame:
-    return predict.linear_prediction(images(spark), state(spark), fx.scalars(spark, SF), DEGREE, A, B)
+    return additive.linear_predictor(images(spark), state(spark), fx.scalars(spark, SF), DEGREE, A, B)
 
 
 def window_million(spark: SparkSession) -> DataFrame:

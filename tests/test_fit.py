@@ -9,6 +9,7 @@ import pytest
 
 from voxelfield.functions.hermite import basis_array
 from voxelfield.operators.graphs import lattice_graph
+from voxelfield.plans import selection_fit
 from voxelfield.plans.selection_fit import FitConfig, fit_selection_model
 
 SIDE, N = 4, 60
@@ -44,8 +45,8 @@ def square_mean(delta, v, radius, masked):
     return sum(delta[u] for u in kept) / len(kept)
 
 
-def plain_iteration(x, y, config, block, iteration, delta, theta, alpha, tau, p, radius):
-    """One sweep with full residuals, in the documented order."""
+def plain_iteration(x, y, config, iteration, delta, theta, alpha, tau, p, radius):
+    """One iteration with full residuals: z, theta of all voxels, alpha, radius, delta of all voxels."""
     basis = basis_array(x, config.degree, config.a, config.b)
     size = config.n_basis
     parts = {v: 1 + (v % SIDE) // 2 for v in range(SIDE * SIDE)}
@@ -60,6 +61,17 @@ def plain_iteration(x, y, config, block, iteration, delta, theta, alpha, tau, p,
         side = 1 if y[i] else -1
         u = uniform(config.seed, "z", iteration, 0, 0, i)
         z[i] = side * (side * eta[i] - NORMAL.inv_cdf(u * NORMAL.cdf(side * eta[i])))
+    for v in active:
+        eps = np.array([NORMAL.inv_cdf(uniform(config.seed, "theta", iteration, 0, 0, v, l)) for l in range(size)])
+        if delta[v]:
+            rest = z - alpha - sum(delta[w] * effect(w) for w in active if w != v)
+            root = np.linalg.cholesky(basis[:, v].T @ basis[:, v] + tau * np.eye(size))
+            theta[v] = np.linalg.solve(root.T, np.linalg.solve(root, basis[:, v].T @ rest) + eps)
+        else:
+            theta[v] = eps / math.sqrt(tau)
+    rest = z - sum(delta[w] * effect(w) for w in active)
+    eps = NORMAL.inv_cdf(uniform(config.seed, "alpha", iteration, 0, 0))
+    alpha = rest.sum() / (N + tau) + eps / math.sqrt(N + tau)
     chosen = dict(radius)
     for part in (1, 2):
         fits = []
@@ -68,33 +80,19 @@ def plain_iteration(x, y, config, block, iteration, delta, theta, alpha, tau, p,
             rest = z - alpha - sum(q[v] * effect(v) for v in active)
             fits.append(-0.5 * rest @ rest)
         chosen[part] = config.radii[int(np.argmax(fits))]
-    blocks = [range(s, min(s + block, SIDE * SIDE)) for s in range(0, SIDE * SIDE, block)]
-    for number, span in enumerate(blocks):
-        members = [v for v in span if v != 0]
-        for v in members:
-            eps = np.array([NORMAL.inv_cdf(uniform(config.seed, "theta", iteration, 0, 0, v, l)) for l in range(size)])
-            if delta[v]:
-                rest = z - alpha - sum(delta[w] * effect(w) for w in active if w != v)
-                root = np.linalg.cholesky(basis[:, v].T @ basis[:, v] + tau * np.eye(size))
-                theta[v] = np.linalg.solve(root.T, np.linalg.solve(root, basis[:, v].T @ rest) + eps)
-            else:
-                theta[v] = eps / math.sqrt(tau)
-        if number == len(blocks) - 1:
-            rest = z - sum(delta[w] * effect(w) for w in active)
-            eps = NORMAL.inv_cdf(uniform(config.seed, "alpha", iteration, 0, 0))
-            alpha = rest.sum() / (N + tau) + eps / math.sqrt(N + tau)
-        for v in members:
-            f = effect(v)
-            rest = z - alpha - sum(delta[w] * effect(w) for w in active if w != v)
-            odds = rest @ f - 0.5 * f @ f + math.log((p[v] + 2.2e-16) / (1 - p[v] + 2.2e-16))
-            delta[v] = int(uniform(config.seed, "delta", iteration, 0, 0, v) < 1 / (1 + math.exp(min(-odds, 700))))
+    for v in active:
+        f = effect(v)
+        rest = z - alpha - sum(delta[w] * effect(w) for w in active if w != v)
+        odds = rest @ f - 0.5 * f @ f + math.log((p[v] + 2.2e-16) / (1 - p[v] + 2.2e-16))
+        delta[v] = int(uniform(config.seed, "delta", iteration, 0, 0, v) < 1 / (1 + math.exp(min(-odds, 700))))
     return delta, theta, alpha, chosen
 
 
-@pytest.mark.parametrize("block", [16, 6])
+@pytest.mark.parametrize("block", [None, 6])
 def test_iteration_equals_plain_loop(spark, data, block):
     x, y, images, labels, lattice = data
-    config = FitConfig(degree=2, a=0.01, b=2.0, burnin=0, mcmc_sample=2, thinning=1, radii=(1, 2), seed=11, block_voxels=block)
+    config = FitConfig(degree=2, a=0.01, b=2.0, burnin=0, mcmc_sample=1, thinning=1, radii=(1, 2), seed=11, block_voxels=block,
+                       keep_burnin=True)
     fit = fit_selection_model(images, labels, lattice, config)
     rows = {(r.iter, r.voxel_id): r for r in fit.voxel.collect()}
     scalars = {r.iter: r for r in fit.scalar.collect()}
@@ -106,7 +104,7 @@ def test_iteration_equals_plain_loop(spark, data, block):
     for v in range(1, SIDE * SIDE):
         assert p[v] == pytest.approx(square_mean(delta, v, radius[1 + (v % SIDE) // 2], True))
     delta, theta, alpha, chosen = plain_iteration(
-        x, y, config, block, 1, delta, theta, scalars[0].alpha, scalars[0].inv_sigma_sq, p, radius
+        x, y, config, 1, delta, theta, scalars[0].alpha, scalars[0].inv_sigma_sq, p, radius
     )
     assert scalars[1].alpha == pytest.approx(alpha, abs=1e-7)
     for v in range(1, SIDE * SIDE):
@@ -121,6 +119,62 @@ def test_iteration_equals_plain_loop(spark, data, block):
     assert scalars[1].loglik == pytest.approx(expected, abs=1e-6)
 
 
+def test_draws_do_not_depend_on_the_layout(spark, data, monkeypatch):
+    x, y, images, labels, lattice = data
+
+    def draws(block, band=None, chunk=None):
+        with monkeypatch.context() as patch:
+            patch.setattr(selection_fit, "BAND", band or selection_fit.BAND)
+            patch.setattr(selection_fit, "CHUNK_DOUBLES", chunk or selection_fit.CHUNK_DOUBLES)
+            config = FitConfig(degree=2, a=0.01, b=2.0, burnin=1, mcmc_sample=3, thinning=1, radii=(1, 2), seed=4, block_voxels=block)
+            fit = fit_selection_model(images, labels, lattice, config)
+            return {(r.iter, r.voxel_id): r for r in fit.voxel.collect()}, {r.iter: r for r in fit.scalar.collect()}
+
+    voxel, scalar = draws(16)
+    assert sorted({i for i, _ in voxel}) == [2, 3, 4] and sorted(scalar) == [0, 1, 2, 3, 4]
+    for block, band, chunk in ((6, None, None), (4, 50, 200)):
+        other, trace = draws(block, band, chunk)
+        for key, r in voxel.items():
+            assert (r.delta, r.radius) == (other[key].delta, other[key].radius)
+            np.testing.assert_allclose(r.theta, other[key].theta, atol=1e-8)
+        for i, r in scalar.items():
+            np.testing.assert_allclose(r[3:], trace[i][3:], atol=1e-6)
+
+
+def test_gaps_subjects_without_cells_and_voxels_without_partition(spark, data):
+    """Ids with gaps wider than a block give the draws of dense ids with the same names; nothing is dropped."""
+    x, y, images, labels, lattice = data
+    config = FitConfig(degree=1, a=0.01, b=2.0, burnin=0, mcmc_sample=2, thinning=1, seed=3, block_voxels=4, radii=(1,))
+    name = "case when voxel_id < 8 then voxel_id else voxel_id + 1000 end as voxel_id"
+    fit = fit_selection_model(
+        images.where("subject_id <> 7").selectExpr("subject_id", name, "value"), labels,
+        lattice.selectExpr(name, "row", "col", "if(voxel_id % 5 = 1, null, partition_id) as partition_id", "excluded"), config,
+    )
+    rows = fit.voxel.collect()
+    assert sorted({r.voxel_id for r in rows}) == [v if v < 8 else v + 1000 for v in range(16)]
+    assert len(rows) == 32 and all(math.isfinite(r.loglik) for r in fit.scalar.collect())
+    last = {r.voxel_id: r for r in rows if r.iter == 2}
+    alpha = {r.iter: r for r in fit.scalar.collect()}[2]
+    basis = basis_array(x, 1, config.a, config.b)
+    eta = np.full(N, alpha.alpha)
+    for v in range(1, 16):
+        r = last[v if v < 8 else v + 1000]
+        eta += np.where(np.arange(N) == 7, 0, r.delta * (basis[:, v] @ np.array(r.theta)))
+    want = sum(math.log((NORMAL.cdf(e) if t else 1 - NORMAL.cdf(e)) + 2.220446049250313e-16) for e, t in zip(eta, y))
+    assert alpha.loglik == pytest.approx(want, abs=1e-6)
+
+
+def test_given_map_and_latent_values_start_the_fit(spark, data):
+    x, y, images, labels, lattice = data
+    config = FitConfig(degree=1, a=0.01, b=2.0, burnin=0, mcmc_sample=1, thinning=1, seed=3, update_theta=False, update_delta=False,
+                       update_sigma=False, update_a=False, keep_burnin=True)
+    initial = lattice.selectExpr("voxel_id", "0 as delta", "array(0.1D, 0.2D) as theta", "0.5D as alpha", "0.25D as p")
+    z = labels.selectExpr("subject_id", "y", "subject_id / 10.0D as z")
+    found = {r.iter: r for r in fit_selection_model(images, z, lattice, config, initial=initial).scalar.collect()}
+    eps = NORMAL.inv_cdf(uniform(3, "alpha", 0, 0, 0))
+    assert found[0].alpha == pytest.approx(sum(i / 10 for i in range(N)) / (N + 1) + eps / math.sqrt(N + 1))
+
+
 def test_graph_prior_chains_and_latent(spark, data):
     x, y, images, labels, lattice = data
     config = FitConfig(degree=1, a=0.01, b=2.0, burnin=4, mcmc_sample=4, thinning=1, chains=2, seed=5, rule="map",
@@ -132,7 +186,7 @@ def test_graph_prior_chains_and_latent(spark, data):
         assert mean[(chain, 5)] == 1.0
         assert mean[(chain, 0)] == 0.0
     latent = fit.subject.join(labels, "subject_id").where("(z > 0) <> (y = 1)").count()
-    assert latent == 0 and fit.subject.select("iter").distinct().count() == 3
+    assert latent == 0 and fit.subject.select("iter").distinct().count() == 4
     assert fit.scalar.where("inv_sigma_sq > 10").count() == 0
 
 
@@ -142,7 +196,7 @@ def test_switches_keep_parameters(spark, data):
                        update_alpha=False, update_delta=False, update_sigma=False, update_a=False)
     initial = lattice.selectExpr("voxel_id", "voxel_id % 2 as delta", "array(0.1D, 0.2D) as theta", "0.5D as alpha")
     fit = fit_selection_model(images, labels, lattice, config, initial=initial)
-    assert {(r.alpha, r.inv_sigma_sq) for r in fit.scalar.collect()} == {(0.5, 1.0)}
+    assert {(r.alpha, r.inv_sigma_sq) for r in fit.scalar.collect()} == {(0.5, 1.0)} and fit.voxel.count() == 2 * SIDE * SIDE
     assert fit.voxel.where("delta <> voxel_id % 2 or theta[1] <> 0.2").count() == 0
 
 
@@ -171,7 +225,7 @@ def test_replicates_advance_together_and_do_not_mix(spark, data):
     second = fit.voxel.where("replicate = 1")
     assert second.where("voxel_id = 5 and delta = 1").count() == 0
     assert second.count() == 2 * SIDE * SIDE
-    assert fit.scalar.count() == 4 and fit.scalar.where("loglik is null").count() == 0
+    assert fit.scalar.count() == 6 and fit.scalar.where("loglik is null").count() == 0
 
 
 def test_fit_to_prediction(spark, data):

@@ -3,6 +3,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelfield.functions import hermite, normal
@@ -109,3 +110,50 @@ def test_variance_draws_follow_shape_and_rate(spark):
         assert abs(row["inv_sigma_sq"] - 401 / 101.02) < 1.0
     assert len({row["inv_sigma_sq"] for row in drawn}) == 5
     assert conditionals.variance_conditional(state, scalars, 2, 0, cap=1.0).first()["inv_sigma_sq"] == 1.0
+
+
+def test_excluded_voxels_have_no_effect_anywhere(spark):
+    """A selected, excluded voxel changes nothing and gets no row; other results are those without it."""
+    from voxelfield.operators import additive, initial, predict
+
+    rng = np.random.default_rng(2)
+    degree, a, b, n = 2, 0.01, 3.0, 30
+    x = rng.normal(0, 0.5, (n, 4))
+    images = spark.createDataFrame([(i, v, float(x[i, v])) for i in range(n) for v in range(4)], "subject_id long, voxel_id int, value double")
+    rows = [(v, 1, [0.3 * (v + 1), -0.2, 0.5], v == 2, 0.4, 1 + v % 2) for v in range(4)]
+    state = spark.createDataFrame(rows, "voxel_id int, delta int, theta array<double>, excluded boolean, p double, partition_id int")
+    kept = state.where("voxel_id <> 2")
+    alpha = spark.createDataFrame([(0.1,)], "alpha double")
+    people = spark.createDataFrame([(i, i % 2, float(rng.normal())) for i in range(n)], "subject_id long, y int, z double")
+    basis = additive.basis_expand(images, degree, a, b)
+
+    def results(s):
+        effects, eta = additive.voxel_effects(basis, s, degree + 1), additive.linear_predictor(images, s, alpha, degree, a, b)
+        candidates = s.select("voxel_id", "partition_id", F.lit(1).alias("radius"), (F.col("p") / 2).alias("p"))
+        return {
+            "effects": effects, "eta": eta, "prob": predict.predict_probability(images, s, alpha, degree, a, b),
+            "probit": conditionals.inclusion_logodds_probit(effects, eta, people, s, 1),
+            "gaussian": conditionals.inclusion_logodds_gaussian(effects, people.join(eta, "subject_id"), s),
+            "radius": conditionals.radius_scores(effects, s, candidates, [1], people, alpha),
+            "cross": conditionals.residual_crossprod(images, s, people.join(eta, "subject_id"), degree, a, b),
+            "latent": initial.random_latent(images, s, 0.1, degree, a, b), "curve": predict.effect_curve(images, s, degree, a, b),
+        }
+
+    want = results(kept)
+    for name, df in results(state).items():
+        mine, other = (sorted(map(tuple, d.collect()), key=lambda r: str(r[:2])) for d in (df, want[name]))
+        assert len(mine) == len(other), name
+        for r, s in zip(mine, other):
+            np.testing.assert_allclose(np.hstack(r).astype(float), np.hstack(s).astype(float), atol=1e-9, err_msg=name)
+    everything = state.withColumn("excluded", F.lit(True))
+    assert {r.eta for r in additive.linear_predictor(images, everything, alpha, degree, a, b).collect()} == {0.1}
+
+
+def test_gamma_draw_is_the_same_in_sql_and_in_the_fit(spark):
+    from voxelfield.plans.selection_fit import gamma_draw
+
+    for twice in (2, 7, 40, 41):
+        want = spark.range(1).select(F.expr(conditionals.gamma_sql(twice, 9, "tau"))).first()[0]
+        assert gamma_draw("9|tau", twice) == pytest.approx(want)
+    draws = np.array([gamma_draw(f"{i}|tau", 9) for i in range(4000)])
+    assert abs(draws.mean() - 4.5) < 0.12 and abs(draws.var() - 4.5) < 0.5

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from voxelfield.operators import ingest, initial, posterior
@@ -51,6 +54,35 @@ def test_lasso_finds_the_informative_voxel(spark):
     assert state[2].delta == 1 and state[2].coef > 0 and abs(state[2].coef) > max(abs(state[v].coef) for v in (0, 1, 3))
 
 
+def test_lasso_places_the_cells_of_ragged_images(spark):
+    """Voxels missing from half of the subjects do not shift the others; the path comes from the data."""
+    draw = random.Random(4)
+    rows = [(i, v, draw.gauss(0, 1)) for i in range(300) for v in range(8)]
+    images = spark.createDataFrame(rows, "subject_id long, voxel_id int, value double")
+    signal = images.where("voxel_id in (3, 6)").groupBy("subject_id").agg(F.sum("value").alias("s"))
+    labels = signal.select("subject_id", (F.col("s") > 0).cast("int").alias("y"))
+    ragged = images.where("not (voxel_id = 0 and subject_id % 2 = 0) and not (voxel_id = 7 and subject_id % 2 = 1) and subject_id <> 5")
+    state = {r.voxel_id: r for r in initial.lasso_init(ragged, labels, 3, path_length=6).collect()}
+    size = {v: abs(r.coef) for v, r in state.items()}
+    assert set(state) == set(range(8)) and min(size[3], size[6]) > 3 * max(size[v] for v in (0, 1, 2, 4, 5, 7))
+    path = initial.penalty_path(ragged, labels, 6, 0.01)
+    assert path == sorted(path, reverse=True) and len(path) == 6 and path[-1] == pytest.approx(path[0] * 0.01)
+    none = initial.lasso_init(ragged, labels, 3, lambdas=[path[0] * 1.01])
+    assert none.where("delta = 1").count() == 0
+
+
+def test_distance_csv_with_row_names(spark, tmp_path):
+    names = ["C3", "Cz"]
+    (tmp_path / "named.csv").write_text("x,C3,Cz\nCz,1.5,0\nC3,0,1.5\n")
+    (tmp_path / "numbered.csv").write_text("x,C3,Cz\n1,0,1.5\n2,1.5,0\n")
+    want = {("C3", "C3", 0.0), ("C3", "Cz", 1.5), ("Cz", "C3", 1.5), ("Cz", "Cz", 0.0)}
+    for file in ("named.csv", "numbered.csv"):
+        assert {tuple(r) for r in files.read_distance_csv(spark, str(tmp_path / file), names).collect()} == want
+    (tmp_path / "wrong.csv").write_text("x,C3,Cz\nPz,0,1.5\n")
+    with pytest.raises(Exception, match="unknown row name"):
+        files.read_distance_csv(spark, str(tmp_path / "wrong.csv"), names).collect()
+
+
 def test_chain_choice_breaks_ties_by_id(spark):
     dics = spark.createDataFrame([(1, 2, 5.0), (1, 1, 5.0), (1, 0, 7.0), (2, 0, 1.0)], "replicate int, chain_id int, dic double")
     assert {tuple(r) for r in posterior.select_chain_dic(dics).collect()} == {(1, 1, 5.0), (2, 0, 1.0)}

@@ -38,6 +38,35 @@ def test_windows_against_brute_force(spark, lattice, partitions):
         assert r.p == pytest.approx(square(cells, r.voxel_id, r.radius, False))
 
 
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_windows_on_a_lattice_with_holes(spark, lattice, tile, monkeypatch):
+    """Places without a cell are absent, wherever the tiles are cut."""
+    monkeypatch.setattr(inclusion, "TILE", tile)
+    holed = lattice.where("voxel_id not in (6, 7, 12, 19)")
+    cells = {r.voxel_id: r for r in holed.collect()}
+    radius = spark.createDataFrame([(1, 1), (2, 3)], "partition_id int, radius int")
+    sizes = {1: 1, 2: 3}
+    plain = inclusion.window_inclusion(holed.drop("delta"), holed, radius, [1, 3]).collect()
+    masked = inclusion.window_inclusion_masked(holed.drop("delta"), holed, radius, [1, 3]).collect()
+    assert len(plain) == len(masked) == len(cells)
+    for r in plain:
+        assert r.p == pytest.approx(square(cells, r.voxel_id, sizes[cells[r.voxel_id].partition_id], False))
+    for r in masked:
+        want = square(cells, r.voxel_id, sizes[cells[r.voxel_id].partition_id], True)
+        assert r.p is None if want is None else r.p == pytest.approx(want)
+
+
+def test_a_task_holds_a_tile_not_a_row(spark, monkeypatch):
+    monkeypatch.setattr(inclusion, "TILE", 8)
+    row = spark.range(500).selectExpr("cast(id as int) as voxel_id", "0 as row", "cast(id as int) as col", "1 as partition_id", "cast(id % 3 = 0 as int) as delta")
+    tiles = inclusion._tiles(row, 1, [], {"all": F.lit(True)})
+    # A tile of 8 and its rim of 1 on both sides; the row above and below reach into no other cell.
+    assert tiles.groupBy("__tile").count().agg(F.max("count")).first()[0] <= 10
+    assert tiles.where("__cell is not null").count() == 500
+    squares = inclusion._with_window_means(row, [1], [], {"all": F.lit(True)})
+    assert squares.where("all_1 is null").count() == 0 and squares.count() == 500
+
+
 def test_radius_zero_and_unlisted_radius(spark, lattice):
     zero = spark.createDataFrame([(1, 0), (2, 1)], "partition_id int, radius int")
     got = inclusion.window_inclusion_masked(lattice.drop("delta"), lattice, zero, [0, 1], 0.1, 0.9)
@@ -88,6 +117,8 @@ def test_parcels(spark):
     assert parcels.shape_mismatch(images, table).count() == 0
     with pytest.raises(Exception, match="shapes differ"):
         parcels.parcel_means(images, table.where("voxel_id < 5")).collect()
+    with pytest.raises(Exception, match="shapes differ"):
+        parcels.parcel_means(images.where("voxel_id < 5"), table).collect()
 
 
 @pytest.mark.parametrize("dim", range(7, 29))

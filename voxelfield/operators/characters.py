@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelfield.operators.joins import estimated_bytes
+from voxelfield.operators.joins import known_bytes
 from voxelfield.operators.ranking import range_cuts, row_numbers
 
 # Flashes per sequence and last code of the first axis.
@@ -29,9 +29,9 @@ HOT_ROWS = 5_000_000
 SALTS = 64
 SPLIT_BYTES = 128 * 1024 * 1024
 
-# Sums of the same scores in another order differ in the last bits; ties are
-# decided on this many decimals.
-TIE_DIGITS = 9
+# Sums of the same scores in another order differ in the last bits: sums this
+# close to the largest, as a share of it, tie with it.
+TIE_SHARE = 1e-9
 
 
 def _code_string(codes: Column) -> Column:
@@ -53,7 +53,7 @@ def _numbered(flashes: DataFrame, k: int) -> DataFrame:
     """
     last = FLASHES * k
     if last <= GROUP_LIMIT:
-        tasks = estimated_bytes(flashes) // SPLIT_BYTES + 1
+        tasks = known_bytes(flashes) // SPLIT_BYTES + 1
         if tasks * last > HOT_ROWS:
             salt = F.pmod(F.xxhash64("seq_no"), F.lit(SALTS))
             share = W.partitionBy("char_id", salt).orderBy("seq_no")
@@ -78,8 +78,8 @@ def predicted_characters(scores: DataFrame, keys: Sequence[str] = ()) -> DataFra
     Runs on one row per character and code, so a window holds few rows.
     """
     axis = W.partitionBy(*keys, "char_id", F.col("code") <= AXIS_CODES)
-    best = scores.withColumn("__s", F.round("score", TIE_DIGITS)).withColumn("__best", F.max("__s").over(axis))
-    ties = best.where(F.col("__s") == F.col("__best"))
+    best = scores.withColumn("__best", F.max("score").over(axis))
+    ties = best.where(F.col("__best") - F.col("score") <= TIE_SHARE * F.abs("__best"))
     return ties.groupBy(*keys, "char_id").agg(_code_string(F.collect_set("code")).alias("predict"))
 
 
@@ -93,26 +93,18 @@ def character_accuracy(flashes: DataFrame, k: int, score: str = "score") -> Data
 def character_accuracy_curve(flashes: DataFrame, ks: Sequence[int], score_cols: dict[str, str]) -> DataFrame:
     """(k, method, accuracy) for all prefixes and score columns in one pass.
 
-    ``score_cols`` maps method names to columns. Flashes are read once and
-    summed per sequence; only these sums are repeated for the prefixes that
-    contain them.
+    ``score_cols`` maps method names to columns. Flashes are summed for all
+    prefixes in one map-side combined aggregate; nothing is repeated before.
     """
-    sequence = F.ceil(F.col("rn") / FLASHES).cast("int")
-    sums = (
-        _numbered(flashes, max(ks))
-        .groupBy("char_id", "code", sequence.alias("__sequence"))
-        .agg(*[F.sum(c).alias(f"__{m}") for m, c in score_cols.items()])
-    )
-    methods = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"__{m}").alias("score")) for m in score_cols]))
-    prefixes = F.array(*[F.lit(k) for k in ks])
-    spread = sums.select("char_id", "code", "__sequence", methods.alias("m")).select(
-        "char_id", "code", "m.method", "m.score",
-        F.explode(F.filter(prefixes, lambda k: k >= F.col("__sequence"))).alias("k"),
-    )
-    scores = spread.groupBy("k", "method", "char_id", "code").agg(F.sum("score").alias("score"))
+    sequence, numbered = F.ceil(F.col("rn") / FLASHES), _numbered(flashes, max(ks))
+    cells = {(k, m): F.sum(F.when(sequence <= k, F.col(c))) for k in ks for m, c in score_cols.items()}
+    sums = numbered.groupBy("char_id", "code").agg(*[total.alias(f"__{k}_{m}") for (k, m), total in cells.items()])
+    columns = [F.struct(F.lit(k).alias("k"), F.lit(m).alias("method"), F.col(f"__{k}_{m}").alias("score")) for k, m in cells]
+    scores = sums.select("char_id", "code", F.explode(F.array(*columns)).alias("c")).select("char_id", "code", "c.*")
+    scores = scores.where("score is not null")
     predicted = predicted_characters(scores, ["k", "method"])
 
-    names = F.array(*[F.lit(m) for m in score_cols])
+    names, prefixes = F.array(*[F.lit(m) for m in score_cols]), F.array(*[F.lit(k) for k in ks])
     wanted = true_characters(flashes).withColumn("k", F.explode(prefixes)).withColumn("method", F.explode(names))
     joined = wanted.join(predicted, ["k", "method", "char_id"], "left")
     right = F.coalesce((F.col("truth") == F.col("predict")).cast("double"), F.lit(0.0))

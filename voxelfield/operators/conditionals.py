@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import basis_array, dot, with_basis_columns
-from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform
-from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf
-from voxelfield.operators.additive import log_likelihood, sum_of_squares, with_subject_columns
+from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform, uniform_sql
+from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf, norm_ppf_sql
+from voxelfield.operators.additive import active_voxels, log_likelihood, sum_of_squares, with_subject_columns
 from voxelfield.operators.joins import theta_bytes, voxel_join
 
 # Voxels whose Gram matrices one task adds up before handing them on.
@@ -72,10 +72,11 @@ def residual_crossprod(
     ``subjects`` has one row per subject with z and eta, unless the images
     carry both. The voxel's own selected effect is recomputed from ``state``
     rather than joined back, and the basis stays in scalar columns, so the
-    only wide shuffle is the one per subject, on single values.
+    only wide shuffle is the one per subject, on single values. Excluded voxels
+    are skipped.
     """
     own = degree if state_degree is None else state_degree
-    params = state.select("voxel_id", "delta", "theta")
+    params = active_voxels(state).select("voxel_id", "delta", "theta")
     rows = with_subject_columns(images, subjects, ["z", "eta"])
     rows = voxel_join(rows, params, ["voxel_id"], row_bytes=theta_bytes(own + 1))
     wide, names = with_basis_columns(rows, "value", max(degree, own), a, b)
@@ -139,6 +140,7 @@ def inclusion_logodds_probit(
 ) -> DataFrame:
     """Posterior inclusion of every voxel from the probit likelihood of one state.
 
+    Excluded voxels are skipped.
     Subjects are joined once (eta with label), or not at all if the effects
     carry both; the sums per voxel combine map-side, so the last shuffle is
     one row per task and voxel.
@@ -152,7 +154,7 @@ def inclusion_logodds_probit(
         F.sum(log_likelihood(F.col("y"), F.col("__cdf_off"))).alias("loglik0"),
         F.sum(log_likelihood(F.col("y"), F.col("__cdf_on"))).alias("loglik1"),
     )
-    scored = sums.join(prob.select("voxel_id", "p"), "voxel_id").withColumns({
+    scored = sums.join(active_voxels(prob).select("voxel_id", "p"), "voxel_id").withColumns({
         "__l0": F.col("loglik0") + F.log(1 - F.col("p") + EPSILON),
         "__l1": F.col("loglik1") + F.log(F.col("p") + EPSILON),
     })
@@ -164,7 +166,7 @@ def inclusion_logodds_probit(
 def inclusion_logodds_gaussian(
     effects: DataFrame, subjects: DataFrame, prob: DataFrame, rule: str = "map", seed: int = 0
 ) -> DataFrame:
-    """Posterior inclusion of every voxel given the latent z (Gaussian form).
+    """Posterior inclusion of every voxel that is not excluded given the latent z (Gaussian form).
 
     ``rule`` is ``map`` (1 where the posterior reaches 0.5) or ``bernoulli``.
     """
@@ -173,7 +175,7 @@ def inclusion_logodds_gaussian(
     sums = rows.groupBy("voxel_id").agg(
         F.sum(F.col("f") * F.col("f")).alias("ff"), F.sum(F.col("__r") * F.col("f")).alias("rf")
     )
-    scored = sums.join(prob.select("voxel_id", "p"), "voxel_id")
+    scored = sums.join(active_voxels(prob).select("voxel_id", "p"), "voxel_id")
     against = 0.5 * F.col("ff") - F.col("rf") + F.log((1 - F.col("p") + EPSILON) / (F.col("p") + EPSILON))
     scored = scored.withColumn("__against", against)
     scored = scored.withColumn("posterior", _posterior_odds(F.col("__against"), F.lit(0.0)))
@@ -195,7 +197,7 @@ def radius_scores(
     needs its base sum and one difference per partition and radius.
     """
     by_radius = candidates.groupBy("voxel_id", "partition_id").pivot("radius", list(radii)).agg(F.first("p"))
-    voxels = by_radius.join(probs.select("voxel_id", F.col("p").alias("__p")), "voxel_id")
+    voxels = by_radius.join(active_voxels(probs).select("voxel_id", F.col("p").alias("__p")), "voxel_id")
     shift = {f"__s{r}": F.sum((F.col(f"`{r}`") - F.col("__p")) * F.col("f")).alias(f"__s{r}") for r in radii}
     parts = voxel_join(effects, voxels, ["voxel_id"]).groupBy("subject_id", "partition_id").agg(
         F.sum(F.col("__p") * F.col("f")).alias("__base"), *shift.values()
@@ -251,30 +253,38 @@ def latent_draw(eta: DataFrame, labels: DataFrame, seed: int, keys: Sequence[str
     return staged.select(*keys, "subject_id", z.alias("z"))
 
 
+def gamma_sql(twice_shape: int, seed: int, name: str) -> str:
+    """Gamma(twice_shape / 2, 1) of keyed uniforms, as SQL text.
+
+    A sum of as many exponentials as there are whole pairs, and half a squared
+    standard normal if one is left over: exact, and repeatable anywhere.
+    """
+    half = twice_shape // 2
+    logs = f"transform(sequence(1, {half}), i -> ln({uniform_sql(seed, name, Key('i'))}))"
+    text = f"(0.0D - aggregate({logs}, 0.0D, (total, x) -> total + x))" if half else "0.0D"
+    if twice_shape % 2:
+        normal = norm_ppf_sql(uniform_sql(seed, name, 0))
+        text = f"({text} + 0.5D * pow({normal}, 2))"
+    return text
+
+
 def variance_conditional(
     state: DataFrame, scalars: DataFrame, n_basis: int, seed: int, cap: float | None = None
 ) -> DataFrame:
     """Shape, rate and draw of tau = 1/sigma^2, then the draw of 1/a.
 
-    The sums are distributed; the gamma draw happens on the one resulting row
-    with a generator seeded by the key.
+    The sums are distributed; the draws are expressions on the one resulting
+    row. The number of voxels, read once, fixes how many uniforms they take.
     """
     sums = state.agg(F.sum(sum_of_squares("theta")).alias("__sq"), F.count("*").alias("__p"))
+    voxels = state.count()
     row = sums.withColumns({
         "__alpha": scalars.select("alpha").scalar(), "__inv_a": scalars.select("inv_a").scalar(),
     }).select(
         (0.5 * n_basis * F.col("__p") + 1).alias("shape"),
         (F.col("__inv_a") + 0.5 * F.col("__sq") + 0.5 * F.col("__alpha") * F.col("__alpha")).alias("rate"),
     )
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rng = np.random.default_rng([seed, 46])
-            tau = rng.gamma(batch["shape"].to_numpy()) / batch["rate"].to_numpy()
-            yield batch.assign(inv_sigma_sq=np.minimum(tau, cap) if cap is not None else tau)
-
-    drawn = row.mapInPandas(draw, "shape double, rate double, inv_sigma_sq double")
+    tau = F.expr(gamma_sql(n_basis * voxels + 2, seed, "tau")) / F.col("rate")
+    drawn = row.withColumn("inv_sigma_sq", F.least(tau, F.lit(float(cap))) if cap is not None else tau)
     inv_a = -F.log(keyed_uniform(seed, "inv_a")) / (F.col("inv_sigma_sq") + 1)
     return drawn.select("shape", "rate", "inv_sigma_sq", inv_a.alias("inv_a"))
-
-

@@ -1,17 +1,41 @@
 """Spatially smoothed inclusion probabilities.
 
-A lattice is a complete rectangle of cells (voxel_id, row, col, partition_id,
-excluded). A square window mean is separable: sums along rows, then sums of
-those along columns. All radii share the two sorts.
+A lattice is a set of cells (voxel_id, row, col, partition_id, excluded); places
+may be without a cell. Window means are taken tile by tile, each with a rim of
+the cells that its squares reach. All radii share one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+# Side of a tile: a task holds at most (TILE + 2 * largest radius) squared cells.
+TILE = 256
+
+
+def window_means(place: np.ndarray, delta: np.ndarray, kept: np.ndarray, radius: int) -> np.ndarray:
+    """Mean delta over the kept cells in the square around each (row, col) of ``place``; NaN where there is none.
+
+    Sums and counts come from two-dimensional prefix sums, so a place without
+    a cell adds nothing to either.
+    """
+    at = place - place.min(axis=0)
+    rows, cols = at.max(axis=0) + 1
+    sums = np.zeros((2, rows + 2 * radius + 1, cols + 2 * radius + 1))
+    np.add.at(sums, (0, at[:, 0] + radius + 1, at[:, 1] + radius + 1), np.where(kept, delta, 0.0))
+    np.add.at(sums, (1, at[:, 0] + radius + 1, at[:, 1] + radius + 1), kept.astype(float))
+    sums = sums.cumsum(axis=1).cumsum(axis=2)
+    low, left = at[:, 0], at[:, 1]
+    high, right = low + 2 * radius + 1, left + 2 * radius + 1
+    hits, count = (s[high, right] - s[low, right] - s[high, left] + s[low, left] for s in sums)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(count > 0, hits / count, np.nan)
 
 
 def _with_window_means(
@@ -19,26 +43,44 @@ def _with_window_means(
 ) -> DataFrame:
     """Add ``<mask>_<radius>``: mean ``delta`` of a mask's cells in the square.
 
-    All masks and radii share one sort along rows and one along columns.
+    The plane is cut into tiles of ``TILE`` x ``TILE`` places. A cell goes to
+    its own tile and to those whose cells' squares reach it, so a task holds
+    one tile and its rim, however wide, tall or full of holes the lattice is.
     """
-    base = cells
-    for mask, kept in masks.items():
-        base = base.withColumn(f"__{mask}_kept", kept.cast("long")).withColumn(
-            f"__{mask}_hit", F.when(kept, F.col("delta").cast("double")).otherwise(0.0)
-        )
-    along, across = {}, {}
-    for r in radii:
-        line = W.partitionBy(*keys, "row").orderBy("col").rangeBetween(-r, r)
-        for mask in masks:
-            along[f"__{mask}_hit_{r}"] = F.sum(f"__{mask}_hit").over(line)
-            along[f"__{mask}_kept_{r}"] = F.sum(f"__{mask}_kept").over(line)
-    lines = base.withColumns(along)
-    for r in radii:
-        stack = W.partitionBy(*keys, "col").orderBy("row").rangeBetween(-r, r)
-        for mask in masks:
-            hits, count = F.sum(f"__{mask}_hit_{r}").over(stack), F.sum(f"__{mask}_kept_{r}").over(stack)
-            across[f"{mask}_{r}"] = F.try_divide(hits, count)
-    return lines.withColumns(across)
+    if not radii:
+        return cells
+    kinds = list(masks)
+    names = [f"{mask}_{r}" for mask in kinds for r in radii]
+    rows = _tiles(cells, max(radii), keys, masks)
+
+    def means(tile: pa.Table) -> pa.Table:
+        own = tile.column("__cell").is_valid()
+        place = np.stack([np.asarray(tile.column("__row")), np.asarray(tile.column("__col"))], axis=1).astype(np.int64)
+        delta = np.asarray(tile.column("__delta"), dtype=float)
+        found = [
+            pa.array(window_means(place, delta, np.asarray(tile.column(f"__{mask}"), dtype=bool), r), pa.float64(), from_pandas=True)
+            for mask in kinds for r in radii
+        ]
+        full = pa.table([tile.column("__cell"), *found], names=["__cell", *names])
+        return full.filter(own)
+
+    schema = StructType([StructField("__cell", rows.schema["__cell"].dataType)] + [StructField(n, DoubleType()) for n in names])
+    result = rows.groupBy(*[f"__key_{k}" for k in keys], "__tile").applyInArrow(means, schema)
+    return result.select("__cell.*", *names)
+
+
+def _tiles(cells: DataFrame, rim: int, keys: Sequence[str], masks: dict[str, Column]) -> DataFrame:
+    """Every cell once per tile that needs it; ``__cell`` holds the row in its own tile only."""
+    tiles = lambda c: F.sequence(F.floor((F.col(c) - rim) / TILE), F.floor((F.col(c) + rim) / TILE))
+    pairs = F.flatten(F.transform(tiles("row"), lambda r: F.transform(tiles("col"), lambda c: F.struct(r.alias("r"), c.alias("c")))))
+    rows = cells.select(
+        *[F.col(k).alias(f"__key_{k}") for k in keys], F.col("row").cast("int").alias("__row"), F.col("col").cast("int").alias("__col"),
+        F.coalesce(F.col("delta").cast("double"), F.lit(0.0)).alias("__delta"),
+        *[F.coalesce(kept & F.col("delta").isNotNull(), F.lit(False)).alias(f"__{mask}") for mask, kept in masks.items()],
+        F.struct(*cells.columns).alias("__cell"), F.explode(pairs).alias("__tile"),
+    )
+    home = (F.col("__tile.r") == F.floor(F.col("__row") / TILE)) & (F.col("__tile.c") == F.floor(F.col("__col") / TILE))
+    return rows.withColumn("__cell", F.when(home, F.col("__cell")))
 
 
 def _pick(radius: Column, means: dict[int, Column]) -> Column:
@@ -110,21 +152,6 @@ def window_inclusion_candidates(
     )
 
 
-def window_inclusion_both(
-    cells: DataFrame, radii: Sequence[int], prior_min: float = 0.0, prior_max: float = 1.0, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Add the masked ``p`` and ``candidates`` (unmasked, by position in ``radii``) in one go.
-
-    ``cells`` carries the lattice with delta and each row's radius.
-    """
-    squares = _with_window_means(cells, radii, keys, {"open": ~F.col("excluded"), "all": F.lit(True)})
-    return squares.select(
-        *cells.columns,
-        _masked(radii, prior_min, prior_max).alias("p"),
-        F.array(*[F.col(f"all_{r}") for r in radii]).alias("candidates"),
-    )
-
-
 def neighbor_inclusion(edges: DataFrame, delta: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of delta over a voxel's neighbours, itself not included; isolated voxels NULL."""
     values = delta.select(*keys, F.col("voxel_id").alias("dst"), "delta")

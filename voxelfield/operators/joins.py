@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Largest voxel table sent to every executor.
 BROADCAST_BYTES = 256 * 1024 * 1024
 COLUMN_BYTES = 16
+UNKNOWN_BYTES = 1 << 55
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -17,6 +18,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def known_bytes(df: DataFrame) -> int:
+    """The planner's size estimate, 0 where it has none (it then assumes an absurdly large table)."""
+    size = estimated_bytes(df)
+    return size if size < UNKNOWN_BYTES else 0
+
+
 def planner_threshold(df: DataFrame) -> int:
     jvm = df.sparkSession._jsparkSession
     return int(jvm.sessionState().conf().autoBroadcastJoinThreshold())

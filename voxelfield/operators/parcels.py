@@ -23,8 +23,12 @@ def remap_labels(parcels: DataFrame) -> DataFrame:
 def parcel_means(images: DataFrame, parcels: DataFrame) -> DataFrame:
     """Mean per subject and parcel; NULL values are skipped, background 0 is kept.
 
-    A voxel without a label means the shapes differ and fails the job.
+    A voxel without a label, or a label whose voxel no image has, means that
+    the shapes differ and fails the job.
     """
+    unseen = parcels.select("voxel_id").join(images.select("voxel_id").distinct(), "voxel_id", "left_anti").limit(1).count()
+    if unseen and not images.isEmpty():
+        raise ValueError("parcel label without image voxel: shapes differ")
     known = parcels.select("voxel_id", F.col("parcel_id").alias("__parcel"))
     unlabelled = F.raise_error(F.lit("image voxel without parcel label: shapes differ")).cast("int")
     joined = voxel_join(images, known, ["voxel_id"], "left")

@@ -10,8 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelfield.operators.additive import probit_loglik
-from voxelfield.operators.predict import linear_prediction
+from voxelfield.operators.additive import linear_predictor, probit_loglik
 
 
 def retain_draws(draws: DataFrame, burnin: int, thinning: int) -> DataFrame:
@@ -75,7 +74,7 @@ def subject_trace(
 
     All traced iterations share one pass over the images.
     """
-    eta = linear_prediction(images, fit_trace(draws, every), fit_trace(alpha, every), degree, a, b, keys)
+    eta = linear_predictor(images, fit_trace(draws, every), fit_trace(alpha, every), degree, a, b, keys)
     return probit_loglik(eta, labels, keys)
 
 
@@ -97,7 +96,7 @@ def chain_dic(
 ) -> DataFrame:
     """DIC of every chain: twice the mean deviance minus the deviance at the mean."""
     mean_deviance = trace.groupBy(*keys).agg((-2 * F.avg("loglik")).alias("__mean_dev"))
-    eta = linear_prediction(images, post, alpha, degree, a, b, keys)
+    eta = linear_predictor(images, post, alpha, degree, a, b, keys)
     at_mean = probit_loglik(eta, labels, keys).groupBy(*keys).agg((-2 * F.sum("loglik")).alias("__dev_at_mean"))
     both = mean_deviance.join(at_mean, list(keys))
     return both.select(*keys, (2 * F.col("__mean_dev") - F.col("__dev_at_mean")).alias("dic"))

@@ -10,41 +10,14 @@ from pyspark.sql import functions as F
 from voxelfield.functions.hermite import dot, with_basis_columns
 from voxelfield.functions.keyed import Key, keyed_uniform
 from voxelfield.functions.normal import norm_cdf
+from voxelfield.operators.additive import active_voxels, linear_predictor
 from voxelfield.operators.joins import theta_bytes, voxel_join
 
 
-def linear_prediction(
-    images: DataFrame,
-    post: DataFrame,
-    alpha: DataFrame,
-    degree: int,
-    a: float,
-    b: float,
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """eta of every subject (and key) from one state per voxel.
-
-    One scan of the images, one aggregate per subject. Values of voxels that
-    are not selected become NULL before the basis, whose arithmetic is then
-    skipped; a subject without selected voxels still gets eta = alpha.
-    """
-    shared = [k for k in keys if k in images.columns]
-    params = post.select(*keys, "voxel_id", "delta", "theta")
-    rows = voxel_join(images, params, [*shared, "voxel_id"], row_bytes=theta_bytes(degree + 1))
-    rows = rows.withColumn("__x", F.when(F.col("delta") == 1, F.col("value")))
-    wide, names = with_basis_columns(rows, "__x", degree, a, b)
-    effect = dot(names, "theta")
-    sums = wide.groupBy(*keys, "subject_id").agg(F.coalesce(F.sum(effect), F.lit(0.0)).alias("__sum"))
-    if keys:
-        eta = sums.join(alpha.select(*keys, "alpha"), list(keys))
-        return eta.select(*keys, "subject_id", (F.col("alpha") + F.col("__sum")).alias("eta"))
-    return sums.select("subject_id", (alpha.select("alpha").scalar() + F.col("__sum")).alias("eta"))
-
-
 def predict_probability(
     images: DataFrame, post: DataFrame, alpha: DataFrame, degree: int, a: float, b: float, keys: Sequence[str] = ()
 ) -> DataFrame:
-    eta = linear_prediction(images, post, alpha, degree, a, b, keys)
+    eta = linear_predictor(images, post, alpha, degree, a, b, keys)
     return eta.select(*keys, "subject_id", norm_cdf("eta").alias("prob"))
 
 
@@ -68,7 +41,7 @@ def predict_linear_probit(images: DataFrame, coef: DataFrame, cutoff: float = 0.
 
 def effect_curve(images: DataFrame, post: DataFrame, degree: int, a: float, b: float) -> DataFrame:
     """(voxel_id, x, y) of every selected voxel's fitted function, ordered by x."""
-    chosen = post.where("delta = 1").select("voxel_id", "theta")
+    chosen = active_voxels(post).where("delta = 1").select("voxel_id", "theta")
     wide, names = with_basis_columns(voxel_join(images, chosen, ["voxel_id"], row_bytes=theta_bytes(degree + 1)), "value", degree, a, b)
     effect = dot(names, "theta")
     curve = wide.select("voxel_id", "subject_id", F.col("value").alias("x"), effect.alias("y"))

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelfield.operators.joins import estimated_bytes
+from voxelfield.operators.joins import known_bytes
 
-FEWEST_RANGES, MOST_RANGES = 64, 8192
+# At 64 MB of ordering column per range, the most ranges hold 4 TB of it (5e11 rows); cut points stay a small list.
+FEWEST_RANGES, MOST_RANGES = 64, 65536
 RANGE_BYTES = 64 * 1024 * 1024
 
 
@@ -30,7 +31,7 @@ def range_cuts(df: DataFrame, column: str, ranges: int | None = None) -> list[fl
     """
     numbers = df.select(F.col(column).cast("double").alias(column)).where(F.col(column).isNotNull())
     if ranges is None:
-        ranges = max(FEWEST_RANGES, min(MOST_RANGES, estimated_bytes(numbers) // RANGE_BYTES))
+        ranges = max(FEWEST_RANGES, min(MOST_RANGES, known_bytes(numbers) // RANGE_BYTES))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = numbers.approxQuantile(column, shares, 0.25 / ranges) if shares else []
     return sorted({c for c in cuts if c == c and abs(c) != float("inf")})

@@ -20,15 +20,17 @@ def scale_global_maxabs(train: DataFrame, test: DataFrame) -> tuple[DataFrame, D
     return scaled[0], scaled[1]
 
 
+def _without_information(mode: str) -> Column:
+    if mode == "nonpos_sum":
+        return F.sum("value") <= 0
+    if mode == "all_zero":
+        return F.max(F.abs("value")) == 0
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def excluded_voxels(images: DataFrame, mode: str = "nonpos_sum") -> DataFrame:
     """Voxels without information: ``nonpos_sum`` (sum <= 0) or ``all_zero``."""
-    if mode == "nonpos_sum":
-        empty = F.sum("value") <= 0
-    elif mode == "all_zero":
-        empty = F.max(F.abs("value")) == 0
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return images.groupBy("voxel_id").agg(empty.alias("excluded"))
+    return images.groupBy("voxel_id").agg(_without_information(mode).alias("excluded"))
 
 
 def voxel_variance(images: DataFrame) -> DataFrame:
@@ -36,6 +38,11 @@ def voxel_variance(images: DataFrame) -> DataFrame:
     return images.groupBy("voxel_id").agg(F.var_samp("value").alias("variance"))
 
 
+def voxel_summary(images: DataFrame, mode: str = "nonpos_sum") -> DataFrame:
+    """(voxel_id, excluded, variance) in one aggregate."""
+    return images.groupBy("voxel_id").agg(_without_information(mode).alias("excluded"), F.var_samp("value").alias("variance"))
+
+
 def partition_by_threshold(variance: DataFrame, threshold: float = 0.05) -> DataFrame:
     part = F.when(F.col("variance") > F.lit(threshold), 1).otherwise(2)
     return variance.select("voxel_id", part.alias("partition_id"))
@@ -45,12 +52,14 @@ def partition_by_quantile(variance: DataFrame, q: float = 0.5) -> DataFrame:
     """Partition 1 above the q-quantile of the variances, else 2.
 
     The variances are read three times (cut points, quantile, comparison), so
-    they are settled first rather than recomputed from the images.
+    they are settled first rather than recomputed from the images; further
+    columns are kept.
     """
     variance = settle(variance)
+    rest = [c for c in variance.columns if c not in ("voxel_id", "variance")]
     limit = value_quantile(variance, "variance", q)
     part = F.when(F.col("variance") > limit.scalar(), 1).otherwise(2)
-    return variance.select("voxel_id", part.alias("partition_id"))
+    return variance.select("voxel_id", part.alias("partition_id"), *rest)
 
 
 def block_starts(dim: int, n_part: int) -> list[int]:

@@ -83,7 +83,7 @@ TABLES = {
     "scalars": f"select avg(y) as alpha, {TAU} as inv_sigma_sq, 0.8e0 as inv_a from labels8",
     "basis8": basis(fx.DEGREE),
     "effects8": f"""select subject_id, voxel_id, delta, {DOT} as f, delta * ({DOT}) as df
-        from basis8 join voxels8 using (voxel_id)""",
+        from basis8 join voxels8 using (voxel_id) where not excluded""",
     "eta8": """select subject_id, (select alpha from scalars) + sum(case when delta = 1 then f else 0 end) as eta
         from effects8 group by 1""",
     "subjects8": "select * from eta8 join z8 using (subject_id)",
@@ -185,10 +185,10 @@ CHARS = """truth as (select char_id, string_agg(code::varchar, '-' order by code
 numbered as (select *, row_number() over (partition by char_id order by seq_no) as rn from {t}),
 long as (select 'score' as method, char_id, code, rn, score from numbered
     union all select 'score_b', char_id, code, rn, score_b from numbered),
-sums as (select k, method, char_id, code, round(sum(score), 9) as s from long, range(1, 10) r(k) where rn / 12e0 <= k group by all),
+sums as (select k, method, char_id, code, sum(score) as s from long, range(1, 10) r(k) where rn / 12e0 <= k group by all),
 best as (select *, max(s) over (partition by k, method, char_id, code <= 6) as top from sums),
 predicted as (select k, method, char_id, string_agg(code::varchar, '-' order by code) as predict
-    from best where s = top group by all)
+    from best where top - s <= 1e-9 * abs(top) group by all)
 """
 
 
@@ -205,6 +205,7 @@ def block_of(coord: str, dim: str) -> str:
 
 PRIORITIES = ["URGENT", "HIGH", "MEDIUM", "NOT_SPECIFIED", "LOW"]
 H = [f"h{k}" for k in range(L)]
+QUOTED = f"'{SEED}'"
 SPLIT = f"row_number() over (partition by y order by md5('{SEED}|' || subject_id), subject_id) <= ceil(round(count(*) over (partition by y) * 0.9e0, 9))"
 GAUSS = "0.5e0 * ff - rf + ln((1 - p + {e}) / (p + {e}))".format(e=EPS)
 
@@ -212,10 +213,10 @@ ORACLE: dict[str, str] = {
     "list_image_files": sql("select * from image_files", "paths", "image_files"),
     "read_phenotype": sql(f"select site_id, sub_id, DX_GROUP, {r6('AGE_AT_SCAN')} as AGE_AT_SCAN, HANDEDNESS_CATEGORY from pheno", "pheno"),
     "match_phenotype": sql(
-        f"select site_id, sub_id, filename, DX_GROUP, {r6('AGE_AT_SCAN')} as AGE_AT_SCAN from image_files join pheno using (site_id, sub_id) where AGE_AT_SCAN > 0",
+        f"select site_id, sub_id, filename, DX_GROUP, {r6('AGE_AT_SCAN')} as AGE_AT_SCAN from image_files join pheno using (site_id, sub_id)",
         "paths", "image_files", "pheno"),
     "covariate_projection": sql(
-        f"select sub_id, {r6('AGE_AT_SCAN')} as AGE_AT_SCAN, SEX, FIQ, HANDEDNESS_CATEGORY, DX_GROUP from image_files join pheno using (site_id, sub_id) where AGE_AT_SCAN > 0",
+        f"select sub_id, {r6('AGE_AT_SCAN')} as AGE_AT_SCAN, SEX, FIQ, HANDEDNESS_CATEGORY, DX_GROUP from image_files join pheno using (site_id, sub_id)",
         "paths", "image_files", "pheno"),
     "image_to_long": sql(
         f"select subject_id, voxel_id, {r6('value')} as value, voxel_id % 4 as x, voxel_id // 4 % 4 as y, voxel_id // 16 as z, "
@@ -364,6 +365,41 @@ ORACLE: dict[str, str] = {
     "variance_conditional": sql(
         f"""select {r6(f'0.5e0 * {L} * p + 1')} as shape, {r6('inv_a + 0.5e0 * sq + 0.5e0 * alpha * alpha')} as rate
         from scalars, (select sum(list_sum([t * t for t in theta])) as sq, count(*) as p from voxels8)""", *MODEL),
+    # tau from the sum of exponentials: its shape is a whole number here (64 voxels, odd basis size).
+    "variance_draw": sql(
+        f"""select {r6('shape')} as shape, {r6('rate')} as rate, {r6('tau')} as inv_sigma_sq,
+        {r6(f"-ln({uniform(QUOTED, chr(39) + 'inv_a' + chr(39))}) / (tau + 1)")} as inv_a
+        from (select *, least((select sum(-ln({uniform(QUOTED, "'tau'", 'i')})) from range(1, 162) r(i)) / rate, 10e0) as tau
+            from (select 0.5e0 * {L} * p + 1 as shape, inv_a + 0.5e0 * sq + 0.5e0 * alpha * alpha as rate
+                from scalars, (select sum(list_sum([t * t for t in theta])) as sq, count(*) as p from voxels8)))""", *MODEL),
+    "lasso_init": sql(
+        """select voxel_id, (select round(max(abs((sy - m * s) / n / sqrt((ss - s * s / n) / (n - 1)))), 6) from moments) as first_penalty,
+        true as optimal, true as on_path from (select distinct voxel_id from images8)""", "images8", "labels8").replace(
+        "\nselect voxel_id", """,
+        moments as (select voxel_id, sum(value) as s, sum(value * value) as ss, sum(value * y) as sy,
+            (select avg(y) from labels8) as m, (select count(*) from labels8)::DOUBLE as n
+            from images8 join labels8 using (subject_id) group by 1)
+        select voxel_id""", 1),
+    "fit_alpha": sql(
+        f"""select iter::int as iter, {r6(f'm + sqrt(v) * {ppf("u")}')} as alpha, 1e0 as inv_sigma_sq
+        from (select sum(z - eta + (select alpha from scalars)) / (count(*) + 1) as m, 1e0 / (count(*) + 1) as v from subjects8),
+        (select i as iter, {uniform(QUOTED, "'alpha'", 'i', "'0'", "'0'")} as u from range(5) r(i))""", *MODEL),
+    "fit_latent": sql(
+        f"""select iter::int as iter, subject_id, {r6(f'side * (m - {ppf("q")})')} as z from (select *, u * {cdf('m')} as q from (
+            select i as iter, subject_id, side, side * (eta - (select alpha from scalars) + 0.3e0) as m,
+            {uniform(QUOTED, "'z'", 'i', "'0'", "'0'", 'subject_id')} as u
+            from (select *, case when y = 1 then 1 else -1 end as side from eta8 join labels8 using (subject_id)), range(2, 5) r(i)))""", *MODEL),
+    "fit_prior_theta": sql(
+        f"""select iter::int as iter, voxel_id, l::int as l, {r6(ppf('u'))} as theta_l from (
+            select i as iter, voxel_id, l, {uniform(QUOTED, "'theta'", 'i', "'0'", "'0'", 'voxel_id', 'l')} as u
+            from voxels8, range(2, 5) r(i), range({L}) t(l) where not excluded)""", *IMAGES),
+    "fit_one_delta": sql(
+        f"""select i::int as iter, voxel_id, case when voxel_id = 20 then (select (0.5e0 * sum(f * f) - sum((z - 0.3e0) * f)
+            + ln((1 - max(p) + {EPS}) / (max(p) + {EPS})) <= 0)::int from effects8 join z8 using (subject_id) join voxels8 using (voxel_id)
+            where voxel_id = 20) else 0 end as delta from voxels8, range(2, 5) r(i)""", *MODEL),
+    "fit_roi": """select i::int as iter, count(*) as n_voxels, min(o_orderkey)::int as first, max(o_orderkey)::int as last
+        from orders, range(1, 3) r(i) where o_orderkey < 200 and o_orderkey % 10 < 5 and o_orderkey // 10 % 10 < 5
+        and not o_totalprice < 20000 group by 1""",
     "retain_draws": sql(
         f"""select chain_id, iter, voxel_id, delta, ((iter - 20) // 4)::int as slot, l::int as l, {r6('theta[l + 1]')} as theta_l
         from draws, range({L}) r(l) where iter > 20 and (iter - 20) % 4 = 0""", "draws"),
@@ -418,7 +454,7 @@ ORACLE: dict[str, str] = {
         lag(fpr, 1, 0) over w as f0, lag(tpr, 1, 0) over w as t0 from roc window w as (partition by model order by score desc)) group by 1""",
         "scores", "order_labels", "roc"),
     "effect_curve": sql(
-        f"select voxel_id, subject_id, {r6('value')} as x, {r6(DOT)} as y from basis8 join voxels8 using (voxel_id) where delta = 1", *MODEL),
+        f"select voxel_id, subject_id, {r6('value')} as x, {r6(DOT)} as y from basis8 join voxels8 using (voxel_id) where delta = 1 and not excluded", *MODEL),
     "true_characters": sql("", "flashes").rstrip() + ",\n" + CHARS.format(t="flashes") + "select * from truth",
     "first_k_sequences": sql("", "flashes").rstrip() + ",\n" + CHARS.format(t="flashes")
     + f"select char_id, seq_no, code, is_true, {r6('score')} as score from numbered where rn / 12e0 <= 3",
@@ -426,7 +462,7 @@ ORACLE: dict[str, str] = {
     "predicted_characters": sql(
         """select char_id, string_agg(code::varchar, '-' order by code) as predict from (
         select *, max(s) over (partition by char_id, code <= 6) as top from
-        (select char_id, code, round(sum(score), 9) as s from flashes group by 1, 2)) where s = top group by 1""", "flashes"),
+        (select char_id, code, sum(score) as s from flashes group by 1, 2)) where top - s <= 1e-9 * abs(top) group by 1""", "flashes"),
     "character_accuracy": f"select accuracy from ({curve('flashes')}) where k = 4 and method = 'score'",
     "character_accuracy_curve": curve("flashes"),
     "character_accuracy_lineitem": curve("flashes_lineitem"),

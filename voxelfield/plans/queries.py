@@ -28,6 +28,7 @@ from voxelfield.operators import (
     screening,
     split,
 )
+from voxelfield.operators.ranking import range_cuts, row_numbers
 from voxelfield.plans import fixtures as fx
 from voxelfield.plans.selection_fit import FitConfig
 from voxelfield.plans.selection_fit import fit_selection_model as run_fit
@@ -69,7 +70,7 @@ def effects8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eta8(spark: SparkSession, sf: str) -> DataFrame:
-    return additive.linear_predictor(effects8(spark, sf), fx.scalars(spark, sf))
+    return additive.linear_predictor(fx.images8(spark, sf), fx.voxels8(spark, sf), fx.scalars(spark, sf), D, A, B)
 
 
 def subjects8(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +126,7 @@ def read_phenotype(spark, sf):
 
 
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
-    pheno = ingest.normalise_phenotype(_phenotype(spark, sf).where("AGE_AT_SCAN > 0")).select(
+    pheno = ingest.normalise_phenotype(_phenotype(spark, sf)).select(
         F.col("site_id"), "sub_id", "DX_GROUP", "AGE_AT_SCAN", "SEX", "FIQ", "HANDEDNESS_CATEGORY"
     )
     return ingest.match_phenotype(ingest.parse_image_paths(_paths(spark, sf)), pheno)
@@ -244,7 +245,23 @@ def stratified_split(spark, sf):
 
 @query
 def lasso_init(spark, sf):
-    return initial.lasso_init(fx.images8(spark, sf), fx.labels8(spark, sf), folds=5, lambdas=(0.05, 0.01), seed=SEED)
+    """The start of the penalty path, and whether each voxel meets the optimality conditions of the penalty chosen."""
+    images, labels = fx.images8(spark, sf), fx.labels8(spark, sf)
+    path = initial.penalty_path(images, labels, 8, 0.05)
+    state = settle(initial.lasso_init(images, labels, folds=5, seed=SEED, lambdas=path))
+    people = images.join(state.select("voxel_id", "coef"), "voxel_id").groupBy("subject_id").agg(F.sum(F.col("value") * F.col("coef")).alias("eta"))
+    miss = 1 / (1 + F.exp(-F.col("eta") - F.col("alpha"))) - F.col("y")
+    alpha = state.select("alpha").limit(1)
+    missed = people.join(labels, "subject_id").withColumn("alpha", alpha.scalar()).select("subject_id", miss.alias("miss"))
+    slopes = images.join(missed, "subject_id").groupBy("voxel_id").agg(
+        F.avg(F.col("value") * F.col("miss")).alias("slope"), F.stddev_samp("value").alias("spread")
+    )
+    slope, rest = F.col("slope") / F.col("spread"), F.col("penalty") * F.signum("coef")
+    best = F.when(F.col("coef") == 0, F.abs(slope) <= F.col("penalty") + 1e-4).otherwise(F.abs(slope + rest) <= 1e-4)
+    return state.join(slopes, "voxel_id").select(
+        "voxel_id", F.round(F.lit(path[0]), 6).alias("first_penalty"), best.alias("optimal"),
+        F.col("penalty").isin(*path).alias("on_path"),
+    )
 
 
 @query
@@ -404,7 +421,9 @@ def theta_conditional(spark, sf):
     """Two basis functions, where the posterior has a closed form."""
     images = fx.images8(spark, sf)
     gram = conditionals.voxel_gram(images, 1, A, B)
-    cross = conditionals.residual_crossprod(images, fx.voxels8(spark, sf), subjects8(spark, sf), 1, A, B, state_degree=D)
+    subjects = subjects8(spark, sf)
+    rows = images_with(spark, sf, subjects, ["z", "eta"])
+    cross = conditionals.residual_crossprod(rows, fx.voxels8(spark, sf), subjects, 1, A, B, state_degree=D)
     drawn = conditionals.theta_conditional(gram, cross, fx.voxels8(spark, sf), TAU, 2, SEED)
     pairs = {f"{n}_{l}": F.round(F.col(n)[l], 6) + 0.0 for n in ("mean", "var", "theta") for l in (0, 1)}
     return drawn.select("voxel_id", "delta", *[c.alias(n) for n, c in pairs.items()])
@@ -421,7 +440,10 @@ def inclusion_logodds_probit(spark, sf):
 
 @query
 def inclusion_logodds_gaussian(spark, sf):
-    scored = conditionals.inclusion_logodds_gaussian(effects8(spark, sf), subjects8(spark, sf), fx.voxels8(spark, sf))
+    subjects = subjects8(spark, sf)
+    scored = conditionals.inclusion_logodds_gaussian(
+        effects_with(spark, sf, subjects, ["z", "eta"]), subjects, fx.voxels8(spark, sf)
+    )
     return scored.select("voxel_id", r6("ff"), r6("rf"), r6("posterior"), "delta")
 
 
@@ -462,7 +484,8 @@ def variance_conditional(spark, sf):
 
 @query
 def variance_draw(spark, sf):
-    return conditionals.variance_conditional(fx.voxels8(spark, sf), fx.scalars(spark, sf), L, SEED, cap=10.0)
+    drawn = conditionals.variance_conditional(fx.voxels8(spark, sf), fx.scalars(spark, sf), L, SEED, cap=10.0)
+    return drawn.select(r6("shape"), r6("rate"), r6("inv_sigma_sq"), r6("inv_a"))
 
 
 def _fit_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -489,6 +512,70 @@ def fit_selection_model_graph(spark, sf):
     return fit.scalar
 
 
+def _roi_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Voxels of one atlas label, named by their place in the volume, and their neighbours."""
+    volume = fx.volume(spark, sf).where("z < 2")
+    roi = settle(parcels.roi_voxels(volume, fx.volume_parcels(spark, sf), 10).withColumnRenamed("flat_index", "voxel_id"))
+    return roi.select("voxel_id", F.lit(False).alias("excluded")), graphs.voxel_neighbors6(roi)
+
+
+@query
+def fit_roi(spark, sf):
+    """A fit on an atlas region, whose voxel ids have gaps."""
+    lattice, edges = _roi_inputs(spark, sf)
+    ranked = row_numbers(lattice, [], "voxel_id", range_cuts(lattice, "voxel_id"), "at").withColumn("at", F.col("at") - 1)
+    images = fx.images8(spark, sf).withColumnRenamed("voxel_id", "at").join(ranked, "at").select("subject_id", "voxel_id", "value")
+    config = FitConfig(degree=D, a=A, b=B, burnin=0, mcmc_sample=2, thinning=1, seed=SEED)
+    draws = run_fit(images, fx.labels8(spark, sf), lattice=lattice, edges=edges, config=config).voxel
+    return draws.groupBy("iter").agg(F.count("*").alias("n_voxels"), F.min("voxel_id").alias("first"), F.max("voxel_id").alias("last"))
+
+
+def _still(**moving) -> FitConfig:
+    off = {f"update_{name}": False for name in ("theta", "alpha", "delta", "z", "sigma", "a")}
+    return FitConfig(degree=D, a=A, b=B, burnin=1, mcmc_sample=3, thinning=1, seed=SEED, radii=(1,), **{**off, **moving})
+
+
+def _initial8(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.voxels8(spark, sf).select("voxel_id", "delta", "theta", "p", F.lit(0.3).alias("alpha"))
+
+
+@query
+def fit_alpha(spark, sf):
+    """The sampler with only the intercept moving: its draws have a closed form."""
+    images, _, lattice = _fit_inputs(spark, sf)
+    labels = fx.labels8(spark, sf).join(fx.z8(spark, sf), "subject_id")
+    fit = run_fit(images, labels, lattice, _still(update_alpha=True), initial=_initial8(spark, sf))
+    return fit.scalar.select("iter", r6("alpha"), r6("inv_sigma_sq"))
+
+
+@query
+def fit_latent(spark, sf):
+    """The sampler with only the latent values moving."""
+    images, labels, lattice = _fit_inputs(spark, sf)
+    fit = run_fit(images, labels, lattice, _still(update_z=True, keep_latent=True), initial=_initial8(spark, sf))
+    return fit.subject.select("iter", "subject_id", r6("z"))
+
+
+@query
+def fit_prior_theta(spark, sf):
+    """The sampler without a selected voxel: coefficients are draws of their prior."""
+    images, labels, lattice = _fit_inputs(spark, sf)
+    start = _initial8(spark, sf).withColumn("delta", F.lit(0))
+    fit = run_fit(images, labels, lattice, _still(update_theta=True), initial=start)
+    return items(fit.voxel.where("not excluded").select("iter", "voxel_id", "theta"), "theta", "l", "theta_l")
+
+
+@query
+def fit_one_delta(spark, sf):
+    """The sampler with one open voxel, whose selection follows the Gaussian log-odds."""
+    images, _, lattice = _fit_inputs(spark, sf)
+    labels = fx.labels8(spark, sf).join(fx.z8(spark, sf), "subject_id")
+    lattice = lattice.withColumn("excluded", F.col("voxel_id") != 20)
+    config = _still(update_delta=True, rule="map")
+    fit = run_fit(images, labels, lattice, config, initial=_initial8(spark, sf))
+    return fit.voxel.select("iter", "voxel_id", "delta")
+
+
 # Posterior summaries
 
 
@@ -542,7 +629,7 @@ def fit_trace(spark, sf):
 def subject_trace(spark, sf):
     """Iterations 0-3 of one chain; iteration i scales the fixed theta by i / 2."""
     times = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("iter")
-    draws = fx.voxels8(spark, sf).select("voxel_id", "delta", "theta", times, F.lit(0).alias("chain_id"))
+    draws = fx.voxels8(spark, sf).select("voxel_id", "delta", "theta", "excluded", times, F.lit(0).alias("chain_id"))
     draws = draws.withColumn("theta", F.transform("theta", lambda t: t * F.col("iter") / 2.0))
     alpha = fx.scalars(spark, sf).select("alpha", times, F.lit(0).alias("chain_id"))
     each = posterior.subject_trace(draws, alpha, fx.images8(spark, sf), fx.labels8(spark, sf), 2, D, A, B)
@@ -558,7 +645,7 @@ def draw_table(spark, sf):
 def _chain_states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three chains over the image voxels; chain c scales the fixed theta by c."""
     chains = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chain_id")
-    post = fx.voxels8(spark, sf).select("voxel_id", "delta", "theta", chains).withColumns({
+    post = fx.voxels8(spark, sf).select("voxel_id", "delta", "theta", "excluded", chains).withColumns({
         "replicate": F.lit(1), "theta": F.transform("theta", lambda t: t * F.col("chain_id")),
     })
     alpha = fx.scalars(spark, sf).select("alpha", chains).withColumn("replicate", F.lit(1))
@@ -706,12 +793,8 @@ def character_accuracy_lineitem(spark, sf):
 @query
 def inclusion_map(spark, sf):
     """Images to high-variance voxels to smoothed inclusion map, end to end."""
-    images = fx.images8(spark, sf)
-    excluded = screening.excluded_voxels(images, "all_zero")
-    variance = settle(screening.voxel_variance(images))
     lattice = (
-        screening.partition_by_quantile(variance, 0.5)
-        .join(excluded, "voxel_id")
+        screening.partition_by_quantile(screening.voxel_summary(fx.images8(spark, sf), "all_zero"), 0.5)
         .withColumns({"row": F.col("voxel_id") % 8, "col": F.floor(F.col("voxel_id") / 8).cast("int")})
     )
     delta = lattice.select("voxel_id", F.when(F.col("partition_id") == 1, 1).otherwise(0).alias("delta"))

@@ -1,56 +1,62 @@
-"""Bayesian voxel selection fitted by Gibbs sampling, one Spark pass per block.
-
-What grows with the subjects stays distributed: images sit in bounded chunks
-of subjects, and a pass turns the current parameters into one cross-product
-``c = B'(z - alpha - eta)`` per chain. What is parameter-sized is updated per
-(replicate, chain) from ``c`` and the Gram matrix of one block of voxels, in
-voxel order, exactly as a scan over the subjects would. Blocks are small
-(``BLOCK_COLUMNS`` basis columns), so neither a task nor a shuffle ever holds
-the full Gram matrix.
-
-The latent z is not stored between passes: it is a function of the last
-parameters and of uniforms keyed by subject, chain and iteration. A lost
-executor therefore recomputes the same values. Every step ends in a table in
-the shared folder, so lineage never grows beyond one step.
-
-One iteration: z, radius, then per block theta (and with the last block alpha)
-and delta, then the inclusion map, tau and 1/a.
+"""Bayesian voxel selection fitted by Gibbs sampling, on Spark.
+
+What grows with the subjects stays distributed: a chunk of subjects is one row
+with its images as a matrix, and chunks never move once they are laid out.
+What is parameter-sized is one packed row per (replicate, chain). A job is a
+pass over the chunks, whose partial sums Spark adds up in bands, and a step
+per (replicate, chain) that turns the sums into the next state.
+
+One iteration: z, theta of all voxels in order, alpha, radius, delta of all
+voxels in order, inclusion map, tau and 1/a.
+
+* theta: only selected voxels touch the residual, so a theta job needs the
+  Gram matrix of a block of selected voxels and its products with the residual.
+* delta: a voxel's log-odds depend on its effect column f = B theta alone, so
+  a delta job needs the Gram matrix of the effects of a block of voxels: one
+  column per voxel instead of one per basis function.
+
+Usually one theta and one delta job make an iteration. The size of blocks and
+chunks is layout: it changes how many jobs there are, never a draw. The latent
+z is not stored between jobs; it is a function of the state the iteration
+started from and of uniforms keyed by subject, chain and iteration. Every step
+ends in a table in the shared folder; superseded states are deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelfield.functions.hermite import basis_array
-from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform, keyed_uniforms, keys
+from voxelfield.functions.keyed import HEX_DIGITS, SPAN, keyed_normals, keyed_uniform, keys
 from voxelfield.functions.normal import EPSILON, norm_cdf_array, norm_ppf, norm_ppf_array, positive_normal_array
-from voxelfield.operators import inclusion, posterior
-from voxelfield.operators.additive import sum_of_squares
-from voxelfield.session import shared_dir
+from voxelfield.operators import posterior
+from voxelfield.operators.additive import log_posterior_column
+from voxelfield.operators.inclusion import window_means
+from voxelfield.operators.joins import voxel_join
+from voxelfield.operators.ranking import range_cuts, row_numbers
+from voxelfield.session import drop_folder, shared_dir
 
 FIT = ["replicate", "chain_id"]
 SCALARS = ["alpha", "inv_sigma_sq", "inv_a"]
-MOVING = [*FIT, "voxel_id", "partition_id", "excluded", "delta", "theta"]
 
-# Basis columns per block: its Gram matrix is the square of this, 32 MB.
-BLOCK_COLUMNS = 2048
-# Doubles one chunk of subjects may hold (images, or the basis of one block).
-CHUNK_DOUBLES = 8_000_000
-# Rows of one Gram matrix summed together.
-GRAM_BAND = 64
-
-# Fixed positions of the totals among the cross-product rows.
-RESIDUAL_SUM, SUBJECTS, LOGLIK, FIRST_RADIUS = -1, -2, -3, -10
+# Bytes of the Gram matrices that all chains of a replicate send from one task.
+GRAM_BYTES = 64 * 1024 * 1024
+MOST_COLUMNS = 2048
+# Doubles one chunk of subjects may hold (images, or the basis of a few voxels).
+CHUNK_DOUBLES = 4_000_000
+# Doubles per band of a sum on its way to a step.
+BAND = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -78,6 +84,8 @@ class FitConfig:
     update_sigma: bool = True
     update_a: bool = True
     keep_latent: bool = False
+    keep_burnin: bool = False
+    trace_every: int = 1
     block_voxels: int | None = None
 
     @property
@@ -86,7 +94,8 @@ class FitConfig:
 
     @property
     def total_iter(self) -> int:
-        return self.burnin + self.mcmc_sample * self.thinning
+        """Iterations run from 0; the last is the last draw kept."""
+        return self.burnin + self.mcmc_sample * self.thinning + 1
 
     def retained(self, iteration: int) -> bool:
         after = iteration - self.burnin
@@ -95,7 +104,7 @@ class FitConfig:
 
 @dataclass(frozen=True)
 class Fit:
-    """Draws of every iteration, as tables that are already written."""
+    """Retained draws (with ``keep_burnin`` those of every iteration) and the trace, as written tables."""
 
     voxel: DataFrame
     scalar: DataFrame
@@ -103,22 +112,6 @@ class Fit:
     path: str
 
 
-@dataclass(frozen=True)
-class _Shape:
-    voxels: int
-    block: int
-    chunks: int
-    partitions: int
-    partition_ids: tuple[int, ...]
-
-    @property
-    def blocks(self) -> int:
-        return math.ceil(self.voxels / self.block)
-
-    def span(self, number: int) -> tuple[int, int]:
-        return number * self.block, min((number + 1) * self.block, self.voxels)
-
-
 class _Store:
     """Numbered tables below one folder of the shared file system."""
 
@@ -126,19 +119,24 @@ class _Store:
         self.spark, self.path = spark, path
         self.schemas: dict = {}
 
-    def save(self, df: DataFrame, name: str, *numbers: int) -> DataFrame:
+    def save(self, df: DataFrame, name: str, number: int | None = None) -> DataFrame:
         self.schemas[name] = df.schema
-        df.write.mode("overwrite").parquet(self.where(name, *numbers))
-        return self.load(name, *numbers)
+        path = self.where(name, number)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    def where(self, name: str, *numbers: int) -> str:
-        return os.path.join(self.path, name, *[f"part{i}={n}" if i else f"iter={n}" for i, n in enumerate(numbers)])
+    def where(self, name: str, number: int | None = None) -> str:
+        return os.path.join(self.path, name, *([] if number is None else [f"iter={number}"]))
 
-    def load(self, name: str, *numbers: int) -> DataFrame:
-        return self.spark.read.schema(self.schemas[name]).parquet(self.where(name, *numbers))
+    def all_iterations(self, name: str, schema: str) -> DataFrame:
+        """Rows of every iteration saved, none if nothing was."""
+        if name not in self.schemas:
+            return self.spark.createDataFrame([], f"{schema}, iter int")
+        where = self.where(name)
+        return self.spark.read.option("basePath", where).parquet(where)
 
-    def all_iterations(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", os.path.join(self.path, name)).parquet(os.path.join(self.path, name))
+    def drop(self, name: str, number: int | None = None) -> None:
+        drop_folder(self.spark, self.where(name, number))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -152,458 +150,525 @@ def _safe_basis(x: np.ndarray, config: FitConfig) -> np.ndarray:
     return out
 
 
-# Layout
-
-
-def _layout(images: DataFrame, labels: DataFrame, voxels: DataFrame, shape: _Shape) -> DataFrame:
-    """One row per subject: outcome and the image as a dense array.
+def _uniforms(prefix: str, items) -> np.ndarray:
+    """The keyed uniforms of ``functions.keyed`` for keys ``prefix|item``."""
+    start = hashlib.md5(prefix.encode())
+    out = np.empty(len(items))
+    for i, item in enumerate(items):
+        key = start.copy()
+        key.update(f"|{item}".encode())
+        out[i] = (int(key.hexdigest()[:HEX_DIGITS], 16) + 0.5) / SPAN
+    return out
 
-    Excluded and absent voxels are NaN. Subjects are spread over chunks by
-    hash, which bounds what a grouped task receives.
-    """
-    active = voxels.where(~F.col("excluded")).select("replicate", "voxel_id")
-    kept = images.join(active, ["replicate", "voxel_id"], "left_semi")
-    per_subject = kept.groupBy("replicate", "subject_id").agg(
-        F.collect_list(F.struct(F.col("voxel_id").alias("v"), F.col("value").alias("x"))).alias("cells")
-    )
-    joined = labels.join(per_subject, ["replicate", "subject_id"])
-    z0 = F.col("z") if "z" in labels.columns else F.lit(0.0)
-    chunk = F.pmod(F.xxhash64("subject_id"), F.lit(shape.chunks)).cast("int")
-    staged = joined.select(
-        "replicate", chunk.alias("chunk_id"), "subject_id", F.col("y").cast("int").alias("y"), z0.alias("z0"),
-        F.col("cells.v").cast("array<int>").alias("v"), F.col("cells.x").cast("array<double>").alias("x"),
-    )
-    size = shape.voxels
 
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for v, x in zip(batch.pop("v"), batch.pop("x")):
-                row = np.full(size, np.nan)
-                row[v] = x
-                rows.append(row)
-            yield batch.assign(image=rows)
+def gamma_draw(prefix: str, twice_shape: int) -> float:
+    """Gamma(twice_shape / 2, 1) from keyed uniforms: exponentials, and half a squared normal if odd."""
+    half = twice_shape // 2
+    total = -float(np.log(_uniforms(prefix, range(1, half + 1))).sum())
+    if twice_shape % 2:
+        total += 0.5 * float(norm_ppf_array(_uniforms(prefix, [0]))[0]) ** 2
+    return total
 
-    schema = "replicate int, chunk_id int, subject_id long, y int, z0 double, image array<double>"
-    staged = staged.withColumn("replicate", F.col("replicate").cast("int"))
-    return staged.mapInPandas(dense, schema)
 
+# The packed state of one (replicate, chain)
 
-def _block_grams(layout: DataFrame, config: FitConfig, shape: _Shape) -> DataFrame:
-    """(replicate, block, k, gram_row, colsum): B'B and column sums per block of voxels.
+# Arrays of a state and their types; sizes follow from the voxels, the basis and the partitions.
+ARRAYS = {
+    "voxel_id": np.int32, "open": np.bool_, "part": np.int32, "place": np.int32, "edges": np.int32,
+    "delta": np.int8, "theta": np.float64, "p": np.float64, "candidates": np.float64, "radius": np.int32,
+    "old_delta": np.int8, "old_theta": np.float64, "trace": np.float64,
+}
+NUMBERS = ["alpha", "inv_sigma_sq", "inv_a", "old_alpha", "loglik"]
+STATE = "replicate int, chain_id int, " + ", ".join([f"{a} binary" for a in ARRAYS] + [f"{n} double" for n in NUMBERS]) + ", selected int"
+TRACE = ["iter", *SCALARS, "theta_sq", "loglik"]
 
-    Image pieces are ranged by block, so a task adds up one block at a time
-    and hands on one matrix per block it met.
-    """
-    ranges = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(shape.span(b)[0] + 1).alias("first"),
-                                F.lit(shape.span(b)[1] - shape.span(b)[0]).alias("size")) for b in range(shape.blocks)])
-    pieces = layout.select("replicate", "chunk_id", "image", F.explode(ranges).alias("r")).select(
-        "replicate", F.col("r.block").alias("block"), "chunk_id", F.slice("image", F.col("r.first"), F.col("r.size")).alias("piece")
-    )
-    ranged = pieces.repartitionByRange(shape.partitions, "replicate", "block", "chunk_id").sortWithinPartitions(
-        "replicate", "block", "chunk_id"
-    )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, gram, sums = None, None, None
+def _state_row(replicate: int, chain: int, state: dict) -> pa.Table:
+    columns = {"replicate": pa.array([replicate], pa.int32()), "chain_id": pa.array([chain], pa.int32())}
+    columns |= {a: pa.array([np.ascontiguousarray(state[a], dtype=t).tobytes()], pa.binary()) for a, t in ARRAYS.items()}
+    columns |= {n: pa.array([float(state[n])], pa.float64()) for n in NUMBERS}
+    return pa.table(columns | {"selected": pa.array([int((state["delta"] == 1).sum())], pa.int32())})
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame({
-                "replicate": held[0], "block": held[1], "k": np.arange(len(sums)), "gram_row": list(gram), "colsum": sums,
-            })
 
-        for batch in batches:
-            for key, part in batch.groupby(["replicate", "block"], sort=False):
-                if key != held and held is not None:
-                    yield rows()
-                    held = None
-                wide = _safe_basis(np.stack(part["piece"].to_numpy()), config).reshape(len(part), -1)
-                if held is None:
-                    held, gram, sums = key, wide.T @ wide, wide.sum(axis=0)
-                else:
-                    gram += wide.T @ wide
-                    sums += wide.sum(axis=0)
-        if held is not None:
-            yield rows()
-
-    schema = "replicate int, block int, k int, gram_row array<double>, colsum double"
-    partials = ranged.mapInPandas(partial, schema).withColumn("band", F.floor(F.col("k") / GRAM_BAND))
-
-    def add(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: dict[int, np.ndarray] = {}
-        sums: dict[int, float] = {}
-        for batch in batches:
-            for k, row, total in zip(batch["k"], batch["gram_row"], batch["colsum"]):
-                rows[k] = rows[k] + row if k in rows else row
-                sums[k] = sums.get(k, 0.0) + total
-        yield pd.DataFrame({
-            "replicate": key[0], "block": key[1], "k": list(rows), "gram_row": list(rows.values()),
-            "colsum": [sums[k] for k in rows],
-        })
+def _state(row: dict, n_basis: int) -> dict:
+    state = {a: np.frombuffer(row[a], dtype=t).copy() for a, t in ARRAYS.items()} | {n: row[n] for n in NUMBERS}
+    voxels = len(state["voxel_id"])
+    for name in ("theta", "old_theta"):
+        state[name] = state[name].reshape(voxels, n_basis)
+    state["trace"] = state["trace"].reshape(-1, len(TRACE))
+    if len(state["place"]):
+        state["candidates"] = state["candidates"].reshape(voxels, -1)
+        state["place"] = state["place"].reshape(voxels, 2)
+    state["edges"] = state["edges"].reshape(-1, 2)
+    return state
 
-    return partials.groupBy("replicate", "block", "band").applyInPandas(_iterating(add), schema)
 
+def _map(state: dict, config: FitConfig) -> None:
+    """The inclusion map of a state, and on a lattice the maps of all candidate radii.
 
-def _iterating(fn: Callable) -> Callable:
-    """Type-annotated form of a (key, batches) function, as Spark expects it."""
+    As ``operators.inclusion``: window means without excluded cells (0.5 at
+    radius 0) or neighbour means, scaled to the prior's range.
+    """
+    delta = state["delta"].astype(float)
+    if len(state["place"]):
+        everywhere = np.ones(len(delta), dtype=bool)
+        state["candidates"] = np.stack([window_means(state["place"], delta, everywhere, r) for r in config.radii], axis=1)
+        own = state["radius"][state["part"]]
+        p = np.full(len(delta), np.nan)
+        for r in np.unique(own):
+            p[own == r] = 0.5 if r == 0 else window_means(state["place"], delta, state["open"], r)[own == r]
+    else:
+        source, target = state["edges"].T
+        hits = np.bincount(source, weights=delta[target], minlength=len(delta))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p = hits / np.bincount(source, minlength=len(delta))
+    state["p"] = p * (config.prior_max - config.prior_min) + config.prior_min
 
-    def apply(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return fn(key, batches)
 
-    return apply
+# Layout
 
 
-# The pass over subjects
+def _positions(voxels: DataFrame) -> DataFrame:
+    """(replicate, voxel_id, position): ids of any size become 0, 1, ... per replicate."""
+    ranked = row_numbers(voxels.select("replicate", "voxel_id"), ["replicate"], "voxel_id", range_cuts(voxels, "voxel_id"), "position")
+    return ranked.withColumn("position", (F.col("position") - 1).cast("int"))
 
 
-def _effects_for(
-    params: pd.DataFrame, chains: dict[int, int], images: np.ndarray, columns: Sequence[np.ndarray], config: FitConfig, block: int
-) -> np.ndarray:
-    """Sum over voxels of basis times weights: (subjects, chains, columns).
+def _chunks(images: DataFrame, labels: DataFrame, voxels: DataFrame, sizes: DataFrame, chunks: int) -> DataFrame:
+    """One row per chunk of subjects: ids, outcomes, starting z and images as a matrix.
 
-    ``columns`` are arrays aligned with ``params`` rows, each (rows, n_basis).
-    Voxels are taken a block at a time to bound the basis in memory.
+    Excluded and absent voxels are NaN. A subject without any kept cell stays,
+    its predictor is alpha. Subjects are spread over chunks by hash.
     """
-    total = np.zeros((len(images), len(chains) * len(columns)))
-    ids = params["voxel_id"].to_numpy()
-    slots = params["chain_id"].map(chains).to_numpy()
-    distinct = np.unique(ids)
-    for start in range(0, len(distinct), block):
-        voxels = distinct[start : start + block]
-        weights = np.zeros((len(voxels), config.n_basis, len(chains), len(columns)))
-        inside = (ids >= voxels[0]) & (ids <= voxels[-1])
-        at = np.searchsorted(voxels, ids[inside])
-        for number, column in enumerate(columns):
-            weights[at, :, slots[inside], number] = column[inside]
-        basis = _safe_basis(images[:, voxels], config).reshape(len(images), -1)
-        total += basis @ weights.reshape(basis.shape[1], -1)
-    return total.reshape(len(images), len(chains), len(columns))
-
-
-def _latent(subjects: pd.DataFrame, eta: np.ndarray, config: FitConfig) -> np.ndarray:
-    """z of every subject and chain given the linear predictor."""
-    if not config.update_z:
-        return np.repeat(subjects["z0"].to_numpy()[:, None], eta.shape[1], axis=1)
-    side = np.where(subjects["y"].to_numpy() == 1, 1.0, -1.0)[:, None]
-    return side * positive_normal_array(side * eta, np.stack(subjects["u"].to_numpy()))
-
-
-def _unpack(params: pd.DataFrame) -> tuple[pd.DataFrame, dict[int, int], np.ndarray, np.ndarray]:
-    """Split parameter rows into voxels and the two intercepts per chain."""
-    heads = params[params["voxel_id"] < 0].sort_values("chain_id")
-    chains = {c: i for i, c in enumerate(heads["chain_id"])}
-    return params[params["voxel_id"] >= 0], chains, heads["alpha_old"].to_numpy(), heads["alpha_new"].to_numpy()
-
-
-def _subject_pass(
-    layout: DataFrame, params: DataFrame, config: FitConfig, shape: _Shape, block: int, with_radius: bool
-) -> DataFrame:
-    """(replicate, chain_id, k, value): cross-products of one block and totals, summed over subjects."""
-    first, last = shape.span(block)
-    radii, parts = config.radii, shape.partition_ids
-
-    def work(key: tuple, subjects: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if not len(subjects):
-            return pd.DataFrame({"replicate": [], "chain_id": [], "k": [], "value": []})
-        voxels, chains, alpha_old, alpha_new = _unpack(given)
-        images = np.stack(subjects["image"].to_numpy())
-        y = subjects["y"].to_numpy()[:, None]
-        n = len(images)
-        columns = []
-        if len(voxels):
-            old, new = np.stack(voxels["w_old"].to_numpy()), np.stack(voxels["w_new"].to_numpy())
-            columns = [old, new]
-            if with_radius:
-                theta = np.stack(voxels["theta"].to_numpy())
-                p = voxels["p"].to_numpy()[:, None]
-                candidates = np.stack(voxels["candidates"].to_numpy())
-                columns.append(p * theta)
-                for part in parts:
-                    here = (voxels["partition_id"].to_numpy() == part)[:, None]
-                    columns += [np.where(here, candidates[:, [r]] - p, 0.0) * theta for r in range(len(radii))]
-            sums = _effects_for(voxels, chains, images, columns, config, shape.block)
-        else:
-            sums = np.zeros((n, len(chains), 3 + len(parts) * len(radii)))
-        eta_old, eta_new = alpha_old + sums[:, :, 0], alpha_new + sums[:, :, 1]
-        z = _latent(subjects, eta_old, config)
-        rest = z - eta_new
-        basis = _safe_basis(images[:, first:last], config).reshape(n, -1)
-        cross = basis.T @ rest
-        cdf = norm_cdf_array(eta_old)
-        totals = {
-            RESIDUAL_SUM: rest.sum(axis=0),
-            SUBJECTS: np.full(len(chains), float(n)),
-            LOGLIK: (y * np.log(cdf + EPSILON) + (1 - y) * np.log(1 - cdf + EPSILON)).sum(axis=0),
-        }
-        if with_radius:
-            base = z - alpha_old - sums[:, :, 2]
-            for i in range(len(parts) * len(radii)):
-                totals[FIRST_RADIUS - i] = ((base - sums[:, :, 3 + i]) ** 2).sum(axis=0)
-        ks = np.r_[np.arange(len(cross)), list(totals)]
-        values = np.vstack([cross, *totals.values()])
-        return pd.DataFrame({
-            "replicate": key[0],
-            "chain_id": np.repeat(list(chains), len(ks)),
-            "k": np.tile(ks, len(chains)),
-            "value": values.T.ravel(),
-        })
-
-    partial = layout.groupBy("replicate", "chunk_id").cogroup(params.groupBy("replicate", "chunk_id")).applyInPandas(
-        work, "replicate int, chain_id int, k int, value double"
-    )
-    return partial.groupBy(*FIT, "k").agg(F.sum("value").alias("value"))
-
-
-def _latent_pass(layout: DataFrame, params: DataFrame, config: FitConfig, shape: _Shape) -> DataFrame:
-    """(replicate, chain_id, subject_id, z) for a retained iteration."""
-
-    def work(key: tuple, subjects: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if not len(subjects):
-            return pd.DataFrame({"replicate": [], "chain_id": [], "subject_id": [], "z": []})
-        voxels, chains, alpha, _ = _unpack(given)
-        images = np.stack(subjects["image"].to_numpy())
-        eta = np.repeat(alpha[None, :], len(images), axis=0)
-        if len(voxels):
-            eta = eta + _effects_for(voxels, chains, images, [np.stack(voxels["w_old"].to_numpy())], config, shape.block)[:, :, 0]
-        z = _latent(subjects, eta, config)
-        return pd.DataFrame({
-            "replicate": key[0], "chain_id": np.tile(list(chains), len(images)),
-            "subject_id": np.repeat(subjects["subject_id"].to_numpy(), len(chains)), "z": z.ravel(),
-        })
-
-    return layout.groupBy("replicate", "chunk_id").cogroup(params.groupBy("replicate", "chunk_id")).applyInPandas(
-        work, "replicate int, chain_id int, subject_id long, z double"
+    kept = voxels.where(~F.col("excluded")).select("replicate", "voxel_id", "position")
+    cells = voxel_join(images, kept, ["replicate", "voxel_id"], row_bytes=48)
+    per_subject = cells.groupBy("replicate", "subject_id").agg(F.collect_list(F.struct("position", F.col("value").cast("double").alias("value"))).alias("c"))
+    z0 = F.col("z").cast("double") if "z" in labels.columns else F.lit(0.0)
+    staged = labels.select("replicate", "subject_id", F.col("y").cast("int").alias("y"), z0.alias("z0")).join(
+        per_subject, ["replicate", "subject_id"], "left"
+    ).join(F.broadcast(sizes), "replicate")
+    staged = staged.select(
+        F.col("replicate").cast("int"), F.pmod(F.xxhash64("subject_id"), F.lit(chunks)).cast("int").alias("chunk_id"),
+        F.col("subject_id").cast("string"), "y", "z0", "voxels",
+        F.coalesce("c.position", F.array().cast("array<int>")).alias("v"), F.coalesce("c.value", F.array().cast("array<double>")).alias("x"),
     )
 
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("subject_id")
+        image = np.full((rows.num_rows, rows.column("voxels")[0].as_py()), np.nan)
+        for i, (v, x) in enumerate(zip(rows.column("v"), rows.column("x"))):
+            image[i, np.asarray(v.values)] = np.asarray(x.values)
+        return pa.table({
+            "replicate": rows.column("replicate").slice(0, 1), "chunk_id": rows.column("chunk_id").slice(0, 1),
+            "subject_id": pa.array([rows.column("subject_id").to_pylist()], pa.list_(pa.string())),
+            "y": pa.array([np.asarray(rows.column("y")).astype(np.int8).tobytes()], pa.binary()),
+            "z0": pa.array([np.asarray(rows.column("z0"), dtype=np.float64).tobytes()], pa.binary()),
+            "image": pa.array([image.tobytes()], pa.binary()),
+        })
 
-def _pass_params(
-    old: DataFrame, new: DataFrame, config: FitConfig, shape: _Shape, with_radius: bool
-) -> DataFrame:
-    """Parameters a pass needs, once per chunk of subjects.
+    schema = "replicate int, chunk_id int, subject_id array<string>, y binary, z0 binary, image binary"
+    return staged.groupBy("replicate", "chunk_id").applyInArrow(pack, schema)
+
+
+class _Chunk:
+    """Subjects of one row, with what a pass needs of them."""
+
+    def __init__(self, row: dict, config: FitConfig, iteration: int):
+        self.config, self.iteration, self.replicate = config, iteration, row["replicate"]
+        self.subjects = row["subject_id"]
+        self.y, self.z0 = np.frombuffer(row["y"], np.int8), np.frombuffer(row["z0"], np.float64)
+        self.image = np.frombuffer(row["image"], np.float64).reshape(len(self.subjects), -1)
+        # Voxels whose basis is held at once.
+        self.some = max(1, CHUNK_DOUBLES // (len(self.subjects) * config.n_basis))
+
+    def effects(self, voxels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sum over ``voxels`` of basis times weights (voxels, n_basis, columns)."""
+        total = np.zeros((len(self.subjects), weights.shape[2]))
+        for at in range(0, len(voxels), self.some):
+            part = _safe_basis(self.image[:, voxels[at : at + self.some]], self.config).reshape(len(self.subjects), -1)
+            total += part @ weights[at : at + self.some].reshape(part.shape[1], -1)
+        return total
+
+    def predictors(self, states: dict[int, dict], delta: str, theta: str, alpha: str) -> np.ndarray:
+        """eta of all chains from the named fields."""
+        chosen = [np.flatnonzero(s[delta] == 1) for s in states.values()]
+        voxels = np.unique(np.concatenate(chosen))
+        weights = np.zeros((len(voxels), self.config.n_basis, len(states)))
+        for c, (own, s) in enumerate(zip(chosen, states.values())):
+            weights[np.searchsorted(voxels, own), :, c] = s[theta][own]
+        return np.array([s[alpha] for s in states.values()]) + self.effects(voxels, weights)
+
+    def latent(self, eta: np.ndarray, chains: list[int], given: bool) -> np.ndarray:
+        """z of all subjects and chains from the predictors the iteration started from."""
+        if given:
+            return np.repeat(self.z0[:, None], len(chains), axis=1)
+        side = np.where(self.y == 1, 1.0, -1.0)[:, None]
+        u = np.stack([
+            _uniforms(f"{self.config.seed}|z|{self.iteration}|{self.replicate}|{c}", self.subjects) for c in chains
+        ], axis=1)
+        return side * positive_normal_array(side * eta, u)
+
+    def loglik(self, eta: np.ndarray) -> np.ndarray:
+        cdf, y = norm_cdf_array(eta), self.y[:, None]
+        return (y * np.log(cdf + EPSILON) + (1 - y) * np.log(1 - cdf + EPSILON)).sum(axis=0)
 
-    Only selected voxels carry weight, so only they travel, unless the radius
-    is due, which weighs all voxels. One extra row per chain holds alpha.
-    """
-    zero = F.array_repeat(F.lit(0.0), config.n_basis)
 
-    def weight(delta: str, theta: str):
-        return F.when(F.col(delta) == 1, F.col(theta)).otherwise(zero)
+@dataclass(frozen=True)
+class _Job:
+    """One pass and step: ``kind`` theta or delta, the block's number, and how voxels are cut into blocks."""
 
-    both = old.where(~F.col("excluded"))
-    if new is old:
-        both = both.withColumns({"delta_new": F.col("delta"), "theta_new": F.col("theta")})
-    else:
-        renamed = new.select(*FIT, "voxel_id", F.col("delta").alias("delta_new"), F.col("theta").alias("theta_new"))
-        both = both.join(renamed, [*FIT, "voxel_id"])
-    if not with_radius:
-        both = both.where("delta = 1 or delta_new = 1")
-    nothing = F.lit(None).cast("array<double>")
-    voxels = both.select(
-        *FIT, "voxel_id", "partition_id", weight("delta", "theta").alias("w_old"), weight("delta_new", "theta_new").alias("w_new"),
-        *([F.col("theta"), F.coalesce("p", F.lit(0.5)).alias("p"), F.col("candidates")] if with_radius
-          else [nothing.alias("theta"), F.lit(None).cast("double").alias("p"), nothing.alias("candidates")]),
-        F.lit(None).cast("double").alias("alpha_old"), F.lit(None).cast("double").alias("alpha_new"),
-    )
-    heads = old.select(*FIT, "alpha").distinct().select(
-        *FIT, F.lit(-1).alias("voxel_id"), F.lit(None).cast("int").alias("partition_id"),
-        nothing.alias("w_old"), nothing.alias("w_new"), nothing.alias("theta"), F.lit(None).cast("double").alias("p"),
-        nothing.alias("candidates"), F.col("alpha").alias("alpha_old"), F.col("alpha").alias("alpha_new"),
-    )
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(shape.chunks - 1))).alias("chunk_id")
-    return voxels.unionByName(heads).select("*", chunks)
+    kind: str
+    number: int
+    block: int
+    iteration: int
+    given_z: bool
+    radius: bool = False
+    last: bool = False
+
+    def voxels(self, state: dict) -> np.ndarray:
+        """Positions this job moves: selected voxels for theta, all open ones for delta."""
+        moving = (state["delta"] == 1) & state["open"] if self.kind == "theta" else state["open"]
+        return np.flatnonzero(moving)[self.number * self.block : (self.number + 1) * self.block]
+
+
+def _products(job: _Job, chunk: _Chunk, states: dict[int, dict], config: FitConfig) -> Iterator[tuple[int, np.ndarray]]:
+    """Per chain the sums of one chunk, as one vector: totals, radius misses, products, column sums, half the Gram matrix."""
+    chains = list(states)
+    start = chunk.predictors(states, "old_delta", "old_theta", "old_alpha")
+    z = chunk.latent(start, chains, job.given_z)
+    rest = z - chunk.predictors(states, "delta", "theta", "alpha")
+    loglik = chunk.loglik(start) if job.kind == "theta" and job.number == 0 else np.zeros(len(chains))
+    for c, (chain, state) in enumerate(states.items()):
+        own = job.voxels(state)
+        if job.kind == "theta":
+            columns = _safe_basis(chunk.image[:, own], config).reshape(len(z), -1)
+        else:
+            columns = np.empty((len(z), len(own)))
+            for at in range(0, len(own), chunk.some):
+                part = own[at : at + chunk.some]
+                columns[:, at : at + len(part)] = np.einsum("nvl,vl->nv", _safe_basis(chunk.image[:, part], config), state["theta"][part])
+        misses = _radius_misses(chunk, state, z[:, c], config) if job.radius else np.zeros(0)
+        gram = columns.T @ columns
+        yield chain, np.concatenate([
+            [rest[:, c].sum(), float(len(z)), loglik[c]], misses, columns.T @ rest[:, c], columns.sum(axis=0),
+            gram[np.tril_indices(len(gram))],
+        ])
 
 
-# The parameter step
+def _radius_misses(chunk: _Chunk, state: dict, z: np.ndarray, config: FitConfig) -> np.ndarray:
+    """Squared misses per partition and candidate radius, the candidate's map in place of the partition's own."""
+    voxels = np.flatnonzero(state["open"])
+    p = np.nan_to_num(state["p"][voxels], nan=0.5)
+    parts, radii = len(state["radius"]), len(config.radii)
+    share = np.zeros((len(voxels), 1 + parts * radii))
+    share[:, 0] = p
+    for part in range(parts):
+        here = state["part"][voxels] == part
+        for r in range(radii):
+            share[here, 1 + part * radii + r] = state["candidates"][voxels[here], r] - p[here]
+    sums = chunk.effects(voxels, state["theta"][voxels][:, :, None] * share[:, None, :])
+    base = z - state["alpha"] - sums[:, 0]
+    return ((base[:, None] - sums[:, 1:]) ** 2).sum(axis=0)
 
 
-def _block_step(
-    gram: DataFrame, cross: DataFrame, state: DataFrame, config: FitConfig, shape: _Shape,
-    block: int, iteration: int, with_radius: bool,
-) -> DataFrame:
-    """New theta, delta (and with the last block alpha) of one block, per chain."""
-    first, beyond = shape.span(block)
-    last_block = block == shape.blocks - 1
-    size = config.n_basis
-    # Totals (negative k) meet no Gram row and ride along; one branch, one pass.
-    rows = cross.join(gram.where(F.col("block") == block).drop("block"), ["replicate", "k"], "left").select(
-        *FIT, "k", "gram_row", "colsum", "value"
-    )
-    mine = state.where(F.col("voxel_id").between(first, beyond - 1))
-    voxel_key = keys(*FIT, "voxel_id")
-    staged = mine.select(
-        *FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", F.coalesce("p", F.lit(0.5)).alias("p"),
-        *SCALARS,
-        keyed_uniforms(size, config.seed, "theta", iteration, *voxel_key).alias("u_theta"),
-        keyed_uniform(config.seed, "delta", iteration, *voxel_key).alias("u"),
-        keyed_uniform(config.seed, "alpha", iteration, *keys(*FIT)).alias("u_alpha"),
-    )
+def _pass(layout: DataFrame, states: DataFrame, job: _Job, config: FitConfig, state_bytes: int) -> DataFrame:
+    """(replicate, chain_id, band, sums): the job's sums over all subjects.
 
-    def work(key: tuple, products: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
-        totals = products[products["k"] < 0].set_index("k")["value"]
-        products = products[products["k"] >= 0].sort_values("k")
-        voxels = voxels.sort_values("voxel_id").reset_index(drop=True)
-        g = np.stack(products["gram_row"].to_numpy())
-        colsum, c = products["colsum"].to_numpy(), products["value"].to_numpy().copy()
-        head = voxels.iloc[0]
-        tau, alpha, rest_sum, subjects = head["inv_sigma_sq"], head["alpha"], totals[RESIDUAL_SUM], totals[SUBJECTS]
-        theta, eps = np.stack(voxels["theta"].to_numpy()).copy(), norm_ppf_array(np.stack(voxels["u_theta"].to_numpy()))
-        eps_alpha = float(norm_ppf_array(np.array(head["u_alpha"])))
-        delta = voxels["delta"].to_numpy().copy()
-        open_rows = [i for i in range(len(voxels)) if not voxels["excluded"].iloc[i]]
-        spans = {i: slice((voxels["voxel_id"].iloc[i] - first) * size, (voxels["voxel_id"].iloc[i] - first + 1) * size) for i in open_rows}
-
-        def move(at: slice, change: np.ndarray) -> None:
-            """Take a changed effect out of the residual's products and sum."""
-            nonlocal c, rest_sum
-            c = c - g[:, at] @ change
-            rest_sum = rest_sum - colsum[at] @ change
+    The chains of a replicate travel to its chunks as one row, broadcast when
+    they are proven to fit. A task adds up its chunks before it hands anything on.
+    """
+    fields = [c.split()[0] for c in STATE.split(", ") if c.split()[0] != "replicate"]
+    packed = states.groupBy("replicate").agg(F.collect_list(F.struct(*fields)).alias("chains"))
+    rows = voxel_join(layout, packed, ["replicate"], row_bytes=state_bytes * config.chains)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, states_of = None, {}, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for chain, vector in sums.items():
+                for band in range(0, max(1, -(-len(vector) // BAND))):
+                    part = vector[band * BAND : (band + 1) * BAND]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([held], pa.int32()), pa.array([chain], pa.int32()), pa.array([band], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                        names=[*FIT, "band", "sums"],
+                    )
 
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("replicate", "subject_id", "y", "z0", "image")}
+                if row["replicate"] != held:
+                    yield from out()
+                    held, sums = row["replicate"], {}
+                    states_of = {s["chain_id"]: _state(s, config.n_basis) for s in sorted(batch.column("chains")[i].as_py(), key=lambda s: s["chain_id"])}
+                for chain, vector in _products(job, _Chunk(row, config, job.iteration), states_of, config):
+                    sums[chain] = sums[chain] + vector if chain in sums else vector
+        yield from out()
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s, np.float64) for s in rows.column("sums").to_pylist())
+        return rows.slice(0, 1).set_column(3, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    schema = "replicate int, chain_id int, band int, sums binary"
+    return rows.mapInArrow(run, schema).groupBy(*FIT, "band").applyInArrow(add, schema)
+
+
+# Steps
+
+
+def _theta_step(job: _Job, state: dict, sums: np.ndarray, config: FitConfig, key: str) -> None:
+    """Move theta of the block's selected voxels in order, of all others by their prior, and alpha after the last block."""
+    size, own = config.n_basis, job.voxels(state)
+    rest_sum, subjects, loglik = sums[:3]
+    m = len(own) * size
+    c, colsum, g = sums[3 : 3 + m].copy(), sums[3 + m : 3 + 2 * m], _full(sums[3 + 2 * m :], m)
+    tau, theta, ids = state["inv_sigma_sq"], state["theta"], state["voxel_id"]
+    normals = lambda v: norm_ppf_array(_uniforms(f"{config.seed}|theta|{job.iteration}|{key}|{ids[v]}", range(size)))
+    if job.number == 0:
+        state["loglik"] = loglik
+        if len(state["trace"]):
+            state["trace"][-1, -1] = loglik if state["trace"][-1, 0] == job.iteration - 1 else state["trace"][-1, -1]
         if config.update_theta:
-            for i in open_rows:
-                at = spans[i]
-                if delta[i] == 1:
-                    own = c[at] + g[at, at] @ theta[i]
-                    root = np.linalg.cholesky(g[at, at] + tau * np.eye(size))
-                    centre = np.linalg.solve(root, own) + eps[i]
-                    fresh = np.linalg.solve(root.T, centre)
-                    move(at, fresh - theta[i])
-                    theta[i] = fresh
-                else:
-                    theta[i] = eps[i] / math.sqrt(tau)
-        if last_block and config.update_alpha:
-            weight = subjects + tau
-            fresh_alpha = (rest_sum + subjects * alpha) / weight + eps_alpha / math.sqrt(weight)
-            c = c - colsum * (fresh_alpha - alpha)
-            alpha = fresh_alpha
-        if config.update_delta:
-            for i in open_rows:
-                at = spans[i]
-                gram_theta = g[at, at] @ theta[i]
-                against = 0.5 * theta[i] @ gram_theta - theta[i] @ (c[at] + delta[i] * gram_theta)
-                p = voxels["p"].iloc[i]
-                against += math.log((1 - p + EPSILON) / (p + EPSILON))
-                chance = 1.0 / (1.0 + math.exp(min(against, 700.0)))
-                fresh = int(chance >= 0.5) if config.rule == "map" else int(voxels["u"].iloc[i] < chance)
-                if fresh != delta[i]:
-                    move(at, (fresh - delta[i]) * theta[i])
-                    delta[i] = fresh
-        out = pd.DataFrame({
-            "voxel_id": voxels["voxel_id"], "partition_id": voxels["partition_id"], "excluded": voxels["excluded"],
-            "delta": delta, "theta": list(theta), "radius": None,
-        })
-        if with_radius:
-            out = pd.concat([out, _radius_rows(totals, config, shape)], ignore_index=True)
-        return out.assign(
-            replicate=key[0], chain_id=key[1], alpha=alpha, inv_sigma_sq=tau, inv_a=head["inv_a"], loglik=totals[LOGLIK]
-        )
-
-    schema = (
-        "replicate int, chain_id int, voxel_id int, partition_id int, excluded boolean, delta int, "
-        "theta array<double>, radius int, alpha double, inv_sigma_sq double, inv_a double, loglik double"
-    )
-    return rows.groupBy(*FIT).cogroup(staged.groupBy(*FIT)).applyInPandas(work, schema)
-
-
-def _radius_rows(totals: pd.Series, config: FitConfig, shape: _Shape) -> pd.DataFrame:
-    """One row per partition (negative voxel ids): best fit, first candidate on ties."""
-    misses = np.array([totals[FIRST_RADIUS - i] for i in range(len(shape.partition_ids) * len(config.radii))])
-    best = misses.reshape(len(shape.partition_ids), -1).argmin(axis=1)
-    return pd.DataFrame({
-        "voxel_id": [-1 - i for i in range(len(best))], "partition_id": shape.partition_ids, "excluded": False,
-        "delta": 0, "theta": None, "radius": [config.radii[i] for i in best],
-    })
+            for v in np.flatnonzero(state["open"] & (state["delta"] == 0)):
+                theta[v] = normals(v) / math.sqrt(tau)
+    if config.update_theta:
+        for i, v in enumerate(own):
+            at = slice(i * size, (i + 1) * size)
+            root = np.linalg.cholesky(g[at, at] + tau * np.eye(size))
+            centre = np.linalg.solve(root, c[at] + g[at, at] @ theta[v]) + normals(v)
+            change = np.linalg.solve(root.T, centre) - theta[v]
+            c -= g[:, at] @ change
+            rest_sum -= colsum[at] @ change
+            theta[v] += change
+    selected = int(((state["delta"] == 1) & state["open"]).sum())
+    if config.update_alpha and job.number == max(0, -(-selected // job.block) - 1):
+        weight = subjects + tau
+        normal = float(norm_ppf_array(_uniforms(f"{config.seed}|alpha|{job.iteration}|{key.split('|')[0]}", [key.split("|")[1]]))[0])
+        state["alpha"] = (rest_sum + subjects * state["alpha"]) / weight + normal / math.sqrt(weight)
+
+
+def _delta_step(job: _Job, state: dict, sums: np.ndarray, config: FitConfig, key: str) -> None:
+    """Radius (with the first block), then delta of the block's voxels in order."""
+    at = 3
+    if job.radius:
+        n = len(state["radius"]) * len(config.radii)
+        best = sums[at : at + n].reshape(len(state["radius"]), -1).argmin(axis=1)  # the first on ties
+        state["radius"] = np.array(config.radii, dtype=np.int32)[best]
+        at += n
+    if not config.update_delta:
+        return
+    own = job.voxels(state)
+    m = len(own)
+    c, g = sums[at : at + m].copy(), _full(sums[at + 2 * m :], m)
+    u = _uniforms(f"{config.seed}|delta|{job.iteration}|{key}", state["voxel_id"][own])
+    p = np.nan_to_num(state["p"], nan=0.5)
+    for i, v in enumerate(own):
+        against = 0.5 * g[i, i] - (c[i] + state["delta"][v] * g[i, i]) + math.log((1 - p[v] + EPSILON) / (p[v] + EPSILON))
+        chance = 1.0 / (1.0 + math.exp(min(against, 700.0)))
+        fresh = int(chance >= 0.5) if config.rule == "map" else int(u[i] < chance)
+        if fresh != state["delta"][v]:
+            c -= (fresh - state["delta"][v]) * g[:, i]
+            state["delta"][v] = fresh
+
+
+def _closing_step(job: _Job, state: dict, config: FitConfig, key: str) -> None:
+    """Inclusion map, tau and 1/a; the state becomes the start of the next iteration."""
+    _map(state, config)
+    theta_sq = float((state["theta"] ** 2).sum())
+    if config.update_sigma:
+        rate = state["inv_a"] + 0.5 * theta_sq + 0.5 * state["alpha"] ** 2
+        tau = gamma_draw(f"{config.seed}|tau|{job.iteration}|{key}", state["theta"].size + 2) / rate
+        state["inv_sigma_sq"] = tau if config.tau_cap is None else min(tau, config.tau_cap)
+    if config.update_a:
+        replicate, chain = key.split("|")
+        u = _uniforms(f"{config.seed}|inv_a|{job.iteration}|{replicate}", [chain])[0]
+        state["inv_a"] = -math.log(u) / (state["inv_sigma_sq"] + 1.0)
+    if job.iteration % config.trace_every == 0:
+        row = [job.iteration, *(state[s] for s in SCALARS), theta_sq, np.nan]
+        state["trace"] = np.vstack([state["trace"], row])
+    _begin(state)
+
+
+def _begin(state: dict) -> None:
+    """Remember what z of the coming iteration depends on."""
+    state |= {"old_delta": state["delta"], "old_theta": state["theta"], "old_alpha": state["alpha"]}
+
+
+def _full(half: np.ndarray, n: int) -> np.ndarray:
+    """Symmetric matrix from its lower half."""
+    out = np.zeros((n, n))
+    low = np.tril_indices(n)
+    out[low] = half
+    out.T[low] = half
+    return out
 
 
-def _scalar_step(raw: DataFrame, last: DataFrame, config: FitConfig, iteration: int) -> DataFrame:
-    """alpha of the last block, and the draws of tau and 1/a, one row per chain."""
-    sums = raw.groupBy(*FIT).agg(F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"))
-    heads = last.groupBy(*FIT).agg(*[F.max(c).alias(c) for c in SCALARS])
-    staged = sums.join(heads, FIT).withColumn("u", keyed_uniform(config.seed, "inv_a", iteration, *keys(*FIT)))
+def _step(states: DataFrame, sums: DataFrame, job: _Job, config: FitConfig) -> DataFrame:
+    """The state of every (replicate, chain) after the job."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch.copy()
-            for i, row in batch.iterrows():
-                tau, inv_a = row["inv_sigma_sq"], row["inv_a"]
-                if config.update_sigma:
-                    rng = np.random.default_rng([config.seed, iteration, int(row["replicate"]), int(row["chain_id"])])
-                    rate = inv_a + 0.5 * row["theta_sq"] + 0.5 * row["alpha"] ** 2
-                    tau = rng.gamma(0.5 * config.n_basis * row["voxels"] + 1) / rate
-                    tau = tau if config.tau_cap is None else min(tau, config.tau_cap)
-                if config.update_a:
-                    inv_a = -math.log(row["u"]) / (tau + 1.0)
-                out.loc[i, "inv_sigma_sq"], out.loc[i, "inv_a"] = tau, inv_a
-            yield out.drop(columns="u")[["replicate", "chain_id", *SCALARS, "theta_sq", "voxels"]]
+    def work(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
+        replicate, chain = (k.as_py() for k in key)
+        state = _state(old.to_pylist()[0], config.n_basis)
+        bands = sorted(zip(new.column("band").to_pylist(), new.column("sums").to_pylist()))
+        total = np.concatenate([np.frombuffer(s, np.float64) for _, s in bands])
+        name = f"{replicate}|{chain}"
+        (_theta_step if job.kind == "theta" else _delta_step)(job, state, total, config, name)
+        if job.last:
+            _closing_step(job, state, config, name)
+        return _state_row(replicate, chain, state)
 
-    schema = "replicate int, chain_id int, alpha double, inv_sigma_sq double, inv_a double, theta_sq double, voxels long"
-    return staged.mapInPandas(work, schema)
+    return states.groupBy(*FIT).cogroup(sums.groupBy(*FIT)).applyInArrow(work, STATE)
 
 
-# The inclusion map
+# Start
 
 
-def _with_map(
-    raw: DataFrame, scalar: DataFrame, lattice: DataFrame, edges: DataFrame | None, radius: DataFrame | None,
-    config: FitConfig, initial: bool = False,
-) -> DataFrame:
-    """The full state: each voxel with its prior ``p`` and its chain's scalars.
+def _start(voxels: DataFrame, edges: DataFrame | None, initial: DataFrame | None, config: FitConfig) -> DataFrame:
+    """Starting states, one packed row per replicate and chain.
 
-    On a lattice also the radius in use and the maps of all candidates.
+    ``initial`` gives delta, theta and alpha, and p if it has such a column;
+    else all are drawn and the map follows from delta, moved off 0 and 1.
     """
-    columns = [*FIT, "voxel_id", "partition_id", "excluded", "delta", "theta", "p", "radius", "candidates"]
-    if edges is not None:
-        p = inclusion.neighbor_inclusion(edges, raw, FIT)
-        scaled = F.col("p") * (config.prior_max - config.prior_min) + config.prior_min
-        mapped = raw.join(p, [*FIT, "voxel_id"]).withColumns({
-            "p": scaled, "radius": F.lit(None).cast("int"), "candidates": F.lit(None).cast("array<double>"),
-        })
-    else:
-        place = lattice.select("replicate", "voxel_id", "row", "col")
-        cells = raw.join(place, ["replicate", "voxel_id"]).join(radius, [*FIT, "partition_id"])
-        mapped = inclusion.window_inclusion_both(cells, config.radii, config.prior_min, config.prior_max, FIT)
-    if initial:
-        mapped = inclusion.clamp_inclusion(mapped)
-    return mapped.select(*columns).join(scalar, FIT)
-
-
-def _start(
-    voxels: DataFrame, initial: DataFrame | None, config: FitConfig
-) -> tuple[DataFrame, DataFrame]:
-    """Starting voxel and scalar states of every replicate and chain."""
     chains = F.explode(F.sequence(F.lit(0), F.lit(config.chains - 1))).alias("chain_id")
-    base = voxels.select("replicate", "voxel_id", "partition_id", "excluded", chains)
+    base = voxels.select("*", chains)
     voxel_key, per_chain = keys(*FIT, "voxel_id"), keys(*FIT)
     if initial is None:
-        state = base.withColumns({
+        rows = base.withColumns({
             "delta": (keyed_uniform(config.seed, "delta0", *voxel_key) < 0.5).cast("int"),
             "theta": keyed_normals(config.n_basis, config.seed, "theta0", *voxel_key),
             "__u": keyed_uniform(config.seed, "alpha0", *per_chain),
-        }).withColumn("alpha", norm_ppf("__u")).drop("__u")
+        }).withColumn("alpha", norm_ppf("__u"))
     else:
         shared = [k for k in FIT if k in initial.columns]
-        state = base.join(initial.select(*shared, "voxel_id", "delta", "theta", "alpha"), [*shared, "voxel_id"])
-    state = state.withColumn("delta", F.when(F.col("excluded"), 0).otherwise(F.col("delta")))
-    scalar = state.groupBy(*FIT).agg(
-        F.max("alpha").alias("alpha"), F.lit(1.0 / config.initial_sigma_sq).alias("inv_sigma_sq"),
-        F.sum(sum_of_squares("theta")).alias("theta_sq"), F.count("*").alias("voxels"),
-    ).withColumn("__u", keyed_uniform(config.seed, "a0", *per_chain))
-    root = norm_ppf("__u")
-    inv_a = root * root / 2.0 if config.initial_a is None else F.lit(1.0 / config.initial_a)
-    scalar = scalar.withColumn("inv_a", inv_a).drop("__u")
-    return state, scalar.select(*FIT, "alpha", "inv_sigma_sq", "inv_a", "theta_sq", "voxels")
-
-
-def _shape(images: DataFrame, voxels: DataFrame, labels: DataFrame, config: FitConfig) -> _Shape:
-    """Sizes that fix the layout; only counts and partition ids reach the driver."""
-    spark = images.sparkSession
-    top = voxels.agg(F.max("voxel_id")).first()[0] + 1
-    block = min(top, config.block_voxels or max(1, BLOCK_COLUMNS // config.n_basis))
-    per_chunk = max(1, min(CHUNK_DOUBLES // (block * config.n_basis), CHUNK_DOUBLES // top))
-    largest = labels.groupBy("replicate").count().agg(F.max("count")).first()[0]
-    parallel = spark.sparkContext.defaultParallelism
-    chunks = max(math.ceil(largest / per_chunk), min(parallel, math.ceil(largest / 64)))
-    parts = tuple(sorted(r[0] for r in voxels.select("partition_id").distinct().collect() if r[0] is not None))
-    return _Shape(top, block, chunks, max(parallel, min(chunks, 4096)), parts)
+        given = [c for c in ("delta", "theta", "alpha", "p") if c in initial.columns]
+        rows = base.join(initial.select(*shared, "voxel_id", *given), [*shared, "voxel_id"], "left")
+    rows = rows.withColumn("__a", keyed_uniform(config.seed, "a0", *per_chain))
+    root = norm_ppf("__a")
+    rows = rows.withColumn("inv_a", root * root / 2.0 if config.initial_a is None else F.lit(1.0 / config.initial_a))
+    if "p" not in rows.columns:
+        rows = rows.withColumn("p", F.lit(None).cast("double"))
+    on_lattice = edges is None
+    place = [F.col("row").cast("int"), F.col("col").cast("int")] if on_lattice else []
+    rows = rows.select(
+        *FIT, "voxel_id", "position", "excluded", F.col("partition_id").cast("long"), F.col("delta").cast("int"),
+        F.col("theta").cast("array<double>"), F.col("alpha").cast("double"), "p", "inv_a", *place,
+    )
+    if on_lattice:
+        links = rows.sparkSession.createDataFrame([], "replicate int, chain_id int, src int, dst int")
+    else:
+        names = voxels.select("replicate", "voxel_id", "position")
+        ids = voxels.agg(F.collect_set("replicate"))
+        links = edges if "replicate" in edges.columns else edges.withColumn("replicate", F.explode(ids.scalar()))
+        for side in ("src", "dst"):
+            links = links.join(names.select("replicate", F.col("voxel_id").alias(side), F.col("position").alias(f"{side}_at")), ["replicate", side])
+        links = links.select("replicate", F.col("src_at").alias("src"), F.col("dst_at").alias("dst"), chains)
+
+    def pack(key: tuple, table: pa.Table, near: pa.Table) -> pa.Table:
+        table = table.sort_by("position")
+        column = lambda c, t: np.asarray(table.column(c).to_pylist(), dtype=t)
+        if None in table.column("delta").to_pylist() or None in table.column("theta").to_pylist():
+            raise ValueError("initial lacks voxels of the lattice")
+        if None in table.column("voxel_id").to_pylist():
+            raise ValueError("a voxel without voxel_id")
+        parts = table.column("partition_id").to_pylist()  # voxels without a partition form one
+        names = sorted(set(parts), key=lambda n: (n is None, n or 0))
+        excluded = column("excluded", bool)
+        state = {
+            "voxel_id": column("voxel_id", np.int32), "open": ~excluded, "part": np.array([names.index(n) for n in parts], np.int32),
+            "place": np.stack([column("row", np.int32), column("col", np.int32)], axis=1) if on_lattice else np.zeros(0, np.int32),
+            "edges": np.stack([np.asarray(near.column("src")), np.asarray(near.column("dst"))], axis=1).astype(np.int32),
+            "delta": np.where(excluded, 0, column("delta", np.int8)).astype(np.int8),
+            "theta": column("theta", np.float64).reshape(table.num_rows, config.n_basis),
+            "radius": np.full(len(names) if on_lattice else 0, config.radii[0], np.int32), "candidates": np.zeros(0),
+            "trace": np.zeros((0, len(TRACE))), "alpha": max(a for a in table.column("alpha").to_pylist() if a is not None),
+            "inv_sigma_sq": 1.0 / config.initial_sigma_sq, "inv_a": table.column("inv_a")[0].as_py(), "loglik": math.nan,
+        }
+        _map(state, config)
+        state["p"] = np.where(state["p"] == 1, 0.95, np.where(state["p"] == 0, 0.05, state["p"]))
+        wanted = np.array([math.nan if p is None else p for p in table.column("p").to_pylist()], dtype=float)
+        state["p"] = np.where(np.isnan(wanted), state["p"], wanted)
+        _begin(state)
+        return _state_row(key[0].as_py(), key[1].as_py(), state)
+
+    return rows.groupBy(*FIT).cogroup(links.groupBy(*FIT)).applyInArrow(pack, STATE)
+
+
+# Draws
+
+
+def _voxel_draws(states: DataFrame, config: FitConfig) -> DataFrame:
+    """(replicate, chain_id, voxel_id, delta, theta, p, radius) of packed states."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                state = _state(row, config.n_basis)
+                n = len(state["voxel_id"])
+                radius = state["radius"][state["part"]] if len(state["radius"]) else [None] * n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, row["replicate"], np.int32)), pa.array(np.full(n, row["chain_id"], np.int32)),
+                        pa.array(state["voxel_id"]), pa.array(state["delta"].astype(np.int32)),
+                        pa.array(list(state["theta"]), pa.list_(pa.float64())),
+                        pa.array(state["p"], pa.float64(), from_pandas=True), pa.array(radius, pa.int32()),
+                    ],
+                    names=[*FIT, "voxel_id", "delta", "theta", "p", "radius"],
+                )
+
+    return states.mapInArrow(run, VOXEL)
+
+
+VOXEL = "replicate int, chain_id int, voxel_id int, delta int, theta array<double>, p double, radius int"
+SUBJECT = "replicate int, chain_id int, subject_id long, z double"
+
+
+def _latent_draws(layout: DataFrame, states: DataFrame, job: _Job, config: FitConfig, state_bytes: int) -> DataFrame:
+    """(replicate, chain_id, subject_id, z): the latent values the job's iteration draws."""
+    packed = states.groupBy("replicate").agg(F.collect_list(F.struct("chain_id", *ARRAYS, *NUMBERS)).alias("chains"))
+    rows = voxel_join(layout, packed, ["replicate"], row_bytes=state_bytes * config.chains)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                states_of = {s["chain_id"]: _state(s, config.n_basis) for s in row["chains"]}
+                chunk = _Chunk(row, config, job.iteration)
+                z = chunk.latent(chunk.predictors(states_of, "old_delta", "old_theta", "old_alpha"), list(states_of), job.given_z)
+                n = len(chunk.subjects)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(z.size, row["replicate"], np.int32)), pa.array(np.tile(np.array(list(states_of), np.int32), n)),
+                        pa.array(np.repeat([int(s) for s in chunk.subjects], len(states_of)), pa.int64()), pa.array(z.ravel()),
+                    ],
+                    names=[*FIT, "subject_id", "z"],
+                )
+
+    return rows.mapInArrow(run, SUBJECT)
+
+
+def _trace(states: DataFrame, config: FitConfig) -> DataFrame:
+    """Scalar draws with the log-likelihood and log posterior of each state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                state = _state(row, config.n_basis)
+                n = len(state["trace"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, row["replicate"], np.int32)), pa.array(np.full(n, row["chain_id"], np.int32)),
+                        pa.array(state["trace"][:, 0].astype(np.int32)), *(pa.array(state["trace"][:, i]) for i in range(1, len(TRACE))),
+                        pa.array(np.full(n, len(state["voxel_id"])), pa.int64()),
+                    ],
+                    names=[*FIT, *TRACE, "voxels"],
+                )
+
+    schema = "replicate int, chain_id int, iter int, " + ", ".join(f"{c} double" for c in TRACE[1:]) + ", voxels long"
+    draws = states.mapInArrow(run, schema)
+    return draws.select(*FIT, "iter", *SCALARS, "loglik", log_posterior_column(config.n_basis, "voxels").alias("logpost"))
+
+
+def _columns(config: FitConfig) -> int:
+    """Columns of a Gram matrix such that those of all chains fit ``GRAM_BYTES``."""
+    return max(1, min(MOST_COLUMNS, math.isqrt(2 * GRAM_BYTES // (8 * config.chains))))
 
 
 def fit_selection_model(
@@ -619,79 +684,85 @@ def fit_selection_model(
 
     images  (subject_id, voxel_id, value), labels (subject_id, y), lattice
     (voxel_id, excluded, and row, col, partition_id unless ``edges`` is given);
-    all may carry ``replicate``. With ``edges`` (src, dst) a voxel's prior is
-    the mean over its neighbours instead of a window. ``initial`` holds
-    (voxel_id, delta, theta, alpha), optionally per replicate and chain.
+    all may carry ``replicate``. Voxel ids may have gaps. With ``edges`` (src,
+    dst) a voxel's prior is the mean over its neighbours instead of a window.
+    ``initial`` holds (voxel_id, delta, theta, alpha) and maybe p, optionally
+    per replicate and chain. ``labels.z``, where given, is the latent value of
+    iteration 0, and of all when ``update_z`` is off.
+
+    Iterations count from 0; the ``mcmc_sample`` draws kept are those at
+    burnin + thinning, burnin + 2 thinning, ... Subjects without a kept cell
+    stay, with alpha as their predictor; voxels without a partition form one.
     """
     spark = images.sparkSession
     images, labels = _keyed(images), _keyed(labels)
     if edges is not None and "partition_id" not in lattice.columns:
         lattice = lattice.withColumn("partition_id", F.lit(1))
-    replicates = labels.select("replicate").distinct()
-    if "replicate" in lattice.columns:
-        voxels = lattice
-    else:
+    if "replicate" not in lattice.columns:
         # One row per replicate, attached to every voxel: fits are few.
-        ids = replicates.agg(F.collect_set("replicate"))
-        voxels = lattice.withColumn("replicate", F.explode(ids.scalar()))
-    voxels = voxels.withColumns({"replicate": F.col("replicate").cast("int"), "voxel_id": F.col("voxel_id").cast("int")})
+        ids = labels.agg(F.collect_set("replicate"))
+        lattice = lattice.withColumn("replicate", F.explode(ids.scalar()))
+    lattice = lattice.withColumns({"replicate": F.col("replicate").cast("int"), "voxel_id": F.col("voxel_id").cast("int")})
     store = _Store(spark, path or os.path.join(shared_dir(spark), f"fit-{uuid.uuid4().hex}"))
-    voxels = store.save(voxels, "lattice")
-    shape = _shape(images, voxels, labels, config)
-
-    layout = store.save(_layout(images, labels, voxels, shape), "layout")
-    layout = (
-        layout.repartition(shape.partitions, "replicate", "chunk_id")
-        .sortWithinPartitions("replicate", "chunk_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    gram = store.save(_block_grams(layout, config, shape), "gram").persist(StorageLevel.MEMORY_AND_DISK)
-    on_lattice = edges is None
-    state, scalar = _start(voxels, initial, config)
-    first_radius = None
-    if on_lattice:
-        first_radius = state.select(*FIT, "partition_id").distinct().withColumn("radius", F.lit(config.radii[0]))
-    state = store.save(state.drop("alpha"), "start")
-    state = store.save(_with_map(state, scalar, voxels, edges, first_radius, config, initial=True), "voxel", -1)
+    lattice = store.save(lattice, "lattice")
+    voxels = store.save(lattice.join(_positions(lattice), ["replicate", "voxel_id"]), "positions")
 
-    def subjects(iteration: int) -> DataFrame:
-        uniforms = F.array(*[
-            keyed_uniform(config.seed, "z", iteration, Key("replicate"), c, Key("subject_id")) for c in range(config.chains)
-        ])
-        return layout.withColumn("u", uniforms)
+    sizes = voxels.groupBy("replicate").agg(F.count("*").cast("int").alias("voxels"))
+    top = sizes.agg(F.max("voxels")).head()[0]
+    people = labels.groupBy("replicate").count().agg(F.max("count")).head()[0]
+    per_chunk = max(1, CHUNK_DOUBLES // max(top, config.n_basis))
+    parallel = spark.sparkContext.defaultParallelism
+    chunks = max(math.ceil(people / per_chunk), min(parallel, math.ceil(people / 64)))
+    layout = store.save(_chunks(images, labels, voxels, sizes, chunks), "layout")
+    layout = layout.repartitionByRange(max(parallel, chunks), "replicate", "chunk_id").persist(StorageLevel.MEMORY_AND_DISK)
+    state_bytes = top * (16 * config.n_basis + 64) + 8 * len(TRACE) * config.total_iter
+
+    width = _columns(config)
+    theta_block = config.block_voxels or max(1, width // config.n_basis)
+    delta_block = config.block_voxels or width
+    delta_blocks = max(1, math.ceil(top / delta_block)) if config.update_delta else 1
+    states = store.save(_start(voxels, edges, initial, config), "state", -1)
+    saved = [-1]
+
+    def advance(states: DataFrame, job: _Job) -> DataFrame:
+        sums = _pass(layout, states, job, config, state_bytes)
+        new = store.save(_step(states, sums, job, config), "state", saved[-1] + 1)
+        saved.append(saved[-1] + 1)
+        if len(saved) > 2:
+            store.drop("state", saved.pop(0))
+        return new
 
     for iteration in range(config.total_iter):
-        due = on_lattice and config.update_delta and len(config.radii) > 1 and iteration % config.radius_update_thinning == 0
-        people, current, parts, chosen = subjects(iteration), state, [], None
-        for block in range(shape.blocks):
-            with_radius = due and block == 0
-            params = _pass_params(state, current, config, shape, with_radius)
-            cross = _subject_pass(people, params, config, shape, block, with_radius)
-            step = _block_step(gram, cross, state, config, shape, block, iteration, with_radius)
-            parts.append(store.save(step, "block", iteration, block))
-            if with_radius:
-                chosen = parts[0].where("voxel_id < 0").select(*FIT, "partition_id", "radius")
-            current = state.where(F.col("voxel_id") >= shape.span(block)[1]).select(*MOVING)
-            for part in parts:
-                current = current.unionByName(part.where("voxel_id >= 0").select(*MOVING))
+        given = not config.update_z or (iteration == 0 and "z" in labels.columns)
+        theta = _Job("theta", 0, theta_block, iteration, given)
         if config.keep_latent and config.retained(iteration):
-            params = _pass_params(state, state, config, shape, False)
-            store.save(_latent_pass(people, params, config, shape), "subject", iteration)
-        if on_lattice and chosen is None:
-            chosen = state.select(*FIT, "partition_id", "radius").distinct()
-        # Every chain has voxels in every block; the last block holds the new alpha.
-        scalar = _scalar_step(current, parts[-1], config, iteration)
-        state = store.save(_with_map(current, scalar, voxels, edges, chosen, config), "voxel", iteration)
-
-    # The likelihood of a state is a by-product of the pass after it.
-    final = _pass_params(state, state, config, shape, False)
-    store.save(_subject_pass(subjects(config.total_iter), final, config, shape, 0, False), "cross", config.total_iter, 0)
+            store.save(_latent_draws(layout, states, theta, config, state_bytes), "subject", iteration)
+        selected = states.agg(F.max("selected")).head()[0] if top > theta_block else 0
+        for number in range(max(1, math.ceil(selected / theta_block))):
+            states = advance(states, _Job("theta", number, theta_block, iteration, given))
+        due = (
+            edges is None and config.update_delta and len(config.radii) > 1 and iteration % config.radius_update_thinning == 0
+        )
+        for number in range(delta_blocks):
+            states = advance(
+                states, _Job("delta", number, delta_block, iteration, given, due and number == 0, number == delta_blocks - 1)
+            )
+        if config.retained(iteration) or config.keep_burnin:
+            store.save(_voxel_draws(states, config), "voxel", iteration)
+
+    # The likelihood of a state is a by-product of the next pass; nothing moves in this one.
+    closing = _Job("theta", 0, theta_block, config.total_iter, False)
+    still = FitConfig(**{**config.__dict__, "update_theta": False, "update_alpha": False})
+    states = store.save(_step(states, _pass(layout, states, closing, still, state_bytes), closing, still), "final")
     layout.unpersist()
-    gram.unpersist()
+    for name in ("layout", "state"):
+        store.drop(name)
+    draws = store.all_iterations("voxel", VOXEL)
+    known = voxels.select("replicate", "voxel_id", "partition_id", "excluded")
     return Fit(
-        voxel=store.all_iterations("voxel").where("iter >= 0").drop("candidates", *SCALARS, "theta_sq", "voxels"),
-        scalar=_trace(store, config),
-        subject=store.all_iterations("subject") if config.keep_latent and config.mcmc_sample else None,
+        voxel=draws.join(known, ["replicate", "voxel_id"]).select(*FIT, "iter", "voxel_id", "partition_id", "excluded", "delta", "theta", "p", "radius"),
+        scalar=_trace(states, config),
+        subject=store.all_iterations("subject", SUBJECT) if config.keep_latent else None,
         path=store.path,
     )
 
@@ -714,20 +785,3 @@ def summarise(fit: Fit, config: FitConfig, threshold: float = 0.5) -> dict[str,
     if fit.subject is not None:
         means["subject"] = posterior.posterior_mean_subject(kept(fit.subject), FIT)
     return means
-
-
-def _trace(store: _Store, config: FitConfig) -> DataFrame:
-    """Scalar draws with the log-likelihood and log posterior of each state."""
-    met = store.all_iterations("block").where("part1 = 0").select(*FIT, (F.col("iter") - 1).alias("iter"), "loglik").distinct()
-    last = store.all_iterations("cross").where(F.col("k") == LOGLIK).select(
-        *FIT, (F.col("iter") - 1).alias("iter"), F.col("value").alias("loglik")
-    )
-    likelihood = met.unionByName(last)
-    tau, inv_a, alpha = F.col("inv_sigma_sq"), F.col("inv_a"), F.col("alpha")
-    logpost = (
-        2 * F.log(inv_a) - inv_a + 2 * F.log(tau) - inv_a * tau - 0.5 * alpha * alpha * tau
-        + 0.5 * config.n_basis * F.col("voxels") * F.log(tau) - 0.5 * tau * F.col("theta_sq") + F.col("loglik")
-    )
-    scalars = store.all_iterations("voxel").where("iter >= 0").select(*FIT, "iter", *SCALARS, "theta_sq", "voxels").distinct()
-    draws = scalars.join(likelihood, [*FIT, "iter"])
-    return draws.select(*FIT, "iter", "alpha", "inv_sigma_sq", "inv_a", "loglik", logpost.alias("logpost"))

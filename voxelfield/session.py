@@ -37,17 +37,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    A folder of our own is made only where the setting is absent, which is
-    the case in local tests.
+    Where the setting is absent, which is the case in local tests, the
+    context's checkpoint folder is used, or one is made for it.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="voxelfield-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="voxelfield-"))
+    return context.getCheckpointDir()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table of our own in the shared folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -34,9 +34,18 @@ def read_phenotype(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_distance_csv(spark: SparkSession, path: str, names: list[str], row_column: str = "row_no") -> DataFrame:
-    """Square distance CSV whose first column is the 1-based row number."""
-    schema = ", ".join([f"`{row_column}` INT", *[f"`{n}` DOUBLE" for n in names]])
-    return wide_distance_to_edges(spark.read.csv(path, header=True, schema=schema), row_column, names)
+    """Square distance CSV whose first column holds row names, or 1-based row numbers.
+
+    A first column that is neither one of ``names`` nor a number of one fails the job.
+    """
+    schema = ", ".join([f"`{row_column}` STRING", *[f"`{n}` DOUBLE" for n in names]])
+    known = F.array(*[F.lit(n) for n in names])
+    place = F.array_position(known, F.trim(row_column))
+    number = F.when(place > 0, place).otherwise(F.expr(f"try_cast(`{row_column}` as int)"))
+    unknown = F.raise_error(F.concat(F.lit("unknown row name: "), F.coalesce(row_column, F.lit("NULL")))).cast("int")
+    checked = F.when(number.between(1, len(names)), number.cast("int")).otherwise(unknown)
+    table = spark.read.csv(path, header=True, schema=schema).withColumn(row_column, checked)
+    return wide_distance_to_edges(table, row_column, names)
 
 
 def read_parcels(spark: SparkSession, path: str) -> DataFrame:
