@@ -88,7 +88,8 @@ class Vocabulary:
     def prior(self) -> np.ndarray:
         """Smoothed unigram probability of each class; the class of others holds the unseen word too."""
         own = (self.counts[: self.emitted] + ADDED) / self.total
-        end = (self.texts + ADDED * (self.texts > 0)) / self.total
+        # Without any training text the end shares the mass of the unseen word.
+        end = (self.texts + ADDED) / self.total if self.texts else ADDED / self.total / 2
         return np.concatenate([own, [max(1 - own.sum() - end, 1e-300), max(end, 1e-300)]])
 
     @property

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxelfield.llm.components import connected_components
 from voxelfield.llm.storage import stored
 from voxelfield.llm.text import chain_hash, coded, hashes, slices, words
-from voxelfield.operators.joins import estimated_bytes
+from voxelfield.operators.joins import known_bytes
 from voxelfield.operators.ranking import range_cuts, with_range
 
 # Common words of English, German, French and Spanish.
@@ -34,6 +34,7 @@ CHAIN, SPACING = 2, 1
 DIGITS = 8
 MARKS = ".,;:!?\"'()[]|*&%$#…"
 BLOCK_BYTES = 16 * 1024 * 1024
+FEWEST_BLOCKS, MOST_BLOCKS = 64, 1 << 20
 
 
 def spot_sets(texts: pa.Array, anchors: Sequence[str] = ANCHORS, chain: int = CHAIN, spacing: int = SPACING) -> list[np.ndarray]:
@@ -124,7 +125,7 @@ def in_order(documents: DataFrame) -> DataFrame:
     equal doc_ids are in order of their text.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(64, estimated_bytes(documents.select("text")) // BLOCK_BYTES)
+    ranges = max(FEWEST_BLOCKS, min(MOST_BLOCKS, known_bytes(documents.select("text")) // BLOCK_BYTES))
     cuts = range_cuts(documents, "doc_id", ranges)
     ranged = with_range(docs, "doc_id", cuts, "block").withColumn(
         "block", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("block"))
