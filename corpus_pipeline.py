@@ -34,35 +34,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (keyed) that ``decided`` (KEY, kept, group) keeps, one per group."""
+    """Rows of ``docs`` (keyed) that ``decided`` (KEY, kept, __group) keeps, one per group."""
     gone = stored(decided.where(~F.col("kept")).select(*KEY).distinct(), "gone")
     left = voxel_join(docs, gone, KEY, "left_anti", row_bytes=KEY_BYTES)
-    staying = decided.where(F.col("kept") & F.col("group").isNotNull())
-    several = staying.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    repeats = stored(staying.join(several, "group").select(*KEY, "group").distinct(), "repeats")
+    staying = decided.where(F.col("kept") & F.col("__group").isNotNull())
+    several = staying.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
+    repeats = stored(staying.join(several, "__group").select(*KEY, "__group").distinct(), "repeats")
     if repeats.isEmpty():
         return left.drop(*KEY)
     alone = voxel_join(left, repeats.select(*KEY).distinct(), KEY, "left_anti", row_bytes=KEY_BYTES)
-    chosen = left.join(repeats, KEY).dropDuplicates(["group"]).drop("group")
+    chosen = left.join(repeats, KEY).dropDuplicates(["__group"]).drop("__group")
     return alone.unionByName(chosen).drop(*KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs, model, docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    # Columns travel as one, so that none of their names can clash.
+    held = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return langid.predict(held, model, ["doc"]).where(~F.col("rejected")).select("doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     found = cuckoo.exact_duplicates(keyed, KEY)
-    return _one_of_each(keyed, found.select(*KEY, "kept", F.col("text_sha256").alias("group")))
+    return _one_of_each(keyed, found.select(*KEY, "kept", F.col("text_sha256").alias("__group")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     found = minhash_bayes.near_duplicates(keyed, carry=KEY)
     group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return _one_of_each(keyed, stored(found.select(*KEY, "kept", group.alias("group")), "near"))
+    return _one_of_each(keyed, stored(found.select(*KEY, "kept", group.alias("__group")), "near"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
