@@ -30,7 +30,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 MARKED = re.compile(r"[0-9@]\S*")
-NUMBER = re.compile(r"[0-9().+/-]+")
+NUMBER = re.compile(r"[0-9().+/ -]+")
 # What an unseen identifier of a kind looks like: strict enough to be one, looser than the base.
 SHAPES = {
     "email": re.compile(r"[^\s@]{1,64}@[^\s@]{2,255}"),
