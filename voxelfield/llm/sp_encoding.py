@@ -170,7 +170,9 @@ class PieceTable:
             self._join_bytes(ids, shown)
         begin = next((i for i in ids.tolist() if i not in self.control), None)
         text = "".join(shown.tolist())
-        return text[1:] if begin is not None and begin not in self.bytes_of and text[:1] == " " else text
+        if begin is None or begin == self.unknown or begin in self.bytes_of:
+            return text
+        return text.removeprefix(" ")
 
     def _join_bytes(self, ids: np.ndarray, shown: np.ndarray) -> None:
         """Replace what each run of high bytes shows by the text of its bytes."""
