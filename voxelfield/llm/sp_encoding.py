@@ -25,9 +25,9 @@ from voxelfield.llm.text import filled, kept, map_slices
 
 SPACE = "▁"
 # Encoded parts of texts a task remembers; beyond it the oldest are encoded anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 REMEMBERED_CHARS = 48
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
 UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -200,6 +200,10 @@ class Units(dict):
             self[unit] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 def utf8(data: bytes) -> str:
     """Bytes as text; each byte that starts no valid character becomes U+FFFD."""
@@ -230,8 +234,11 @@ def encode_documents(documents: DataFrame, path: str, columns: list[str]) -> Dat
         decoded = pa.array([known.decode(i) for i in ids], pa.string())
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, decoded], names=[*columns, "ids", "decoded"])
 
+    def done() -> None:
+        kept(("pieces", path), lambda: PieceTable(path)).units.forget()
+
     rows = documents.select(*columns, F.col("text").alias("__text"))
-    return map_slices(rows, handle, f"{schema}, ids array<int>, decoded string", "__text")
+    return map_slices(rows, handle, f"{schema}, ids array<int>, decoded string", "__text", done)
 
 
 def digest_columns(encoded: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 
 # Texts handled at once inside a batch; bounds the working memory of a task.
 SLICE_BYTES = 4 * 1024 * 1024
+SLICE_ROWS = 1024
 
 # Odd multipliers that tie a word's hash to its place in a shingle.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of ``batch`` of about ``SLICE_BYTES`` of ``column``; one text at least."""
+    """Consecutive parts of ``batch`` of at most about ``SLICE_BYTES`` of ``column`` and ``SLICE_ROWS`` rows; one text at least."""
     if not batch.num_rows:
         return
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -32,20 +33,27 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
 
 def map_slices(
-    df: DataFrame, handle: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text"
+    df: DataFrame,
+    handle: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str,
+    column: str = "text",
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` over slices bounded in text bytes."""
+    """``mapInArrow`` over bounded slices; ``done`` runs when a task ends. Workers live on, so memory is handed back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
                 yield handle(part)
+        if done is not None:
+            done()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
