@@ -283,7 +283,8 @@ def train(texts: DataFrame, known: Vocabulary, warm_rows: int = WARM_ROWS, warm_
     if not known.texts:
         return model
     share = min(1.0, warm_rows / known.texts)
-    picked = texts.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(1_000_000)) < int(share * 1_000_000)).select("ranks")
+    place = F.xxhash64("doc_id", "row").cast("double") / float(2**64) + 0.5  # uniform on 0 to 1
+    picked = texts.where(place <= share).select("ranks")
     sample = stored(picked, "warm")
     for _ in range(warm_rounds):
         model = baum_welch_step(sample, known, model)
