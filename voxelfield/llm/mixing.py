@@ -29,7 +29,7 @@ SHARD_SLOTS = 4096
 # Shards drawn by one task; a group meets its part of the slots exactly.
 GROUP_SHARDS = 64
 # Ranges of the packing order: more documents make more ranges, not larger ones.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 # The mix is configured per source, so the sources are a short list.
 MOST_SOURCES = 100_000
 SEED = 20
@@ -220,7 +220,8 @@ def takings(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     streams = packed(sized.where("size > 0"), table)
     times = drawn_slots(spark, table).groupBy("no", "block").agg(F.count("*").alias("times"))
     columns = ["row", "doc_id", "size", "source_size", "target", "at", "words", "times"]
-    taken = pieces(streams).join(times, ["no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # The planner takes the slots for a small table, as they come from a few groups; they grow with the corpus.
+    taken = pieces(streams).join(times.hint("merge"), ["no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     blank = sized.where("size = 0").join(sources(spark, table), F.col("source").eqNullSafe(F.col("name")))
     nothing = blank.withColumns({c: F.lit(0).cast("long") for c in ("at", "words", "times")})
     return taken.select(*columns).union(nothing.select(*columns))
