@@ -7,6 +7,8 @@ NULL reads as the empty text everywhere.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -38,6 +40,13 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         start = stop
 
 
+def hand_back() -> None:
+    """Return freed memory to the system; worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(
     df: DataFrame,
     handle: Callable[[pa.RecordBatch], pa.RecordBatch],
@@ -53,7 +62,7 @@ def map_slices(
                 yield handle(part)
         if done is not None:
             done()
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
