@@ -16,6 +16,18 @@ def test_spots_by_hand():
     assert not np.array_equal(sets[3], sets[5])
 
 
+def test_spots_cover_texts_and_stretches_without_anchors():
+    """Wherever a run of words differs, fingerprints differ, with few anchors or none."""
+    plain = [f"слово{i}" for i in range(400)]
+    for words in (plain, ["the", *plain], [*plain[:200], "of", *plain[200:]], plain[:9]):
+        for at in range(0, len(words) - 3, 5):
+            other = [*words[:at], "eins", "zwei", "drei", "vier", *words[at + 4 :]]
+            a, b = spotsigs.spot_sets(pa.array([" ".join(words), " ".join(other)]))
+            assert not np.array_equal(a, b) and spotsigs.pruned_jaccard(a, b) < 1
+    half = spotsigs.spot_sets(pa.array([" ".join(plain), spotsigs.edited(" ".join(plain), "x " * 2000)]))
+    assert 0.3 < spotsigs.pruned_jaccard(*half) < 0.7
+
+
 def test_likeness_is_jaccard_and_pruning_is_safe():
     rng = np.random.default_rng(1)
     for _ in range(200):

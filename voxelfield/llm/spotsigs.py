@@ -1,8 +1,11 @@
 """SpotSigs document fingerprints.
 
 Every occurrence of an anchor, a common word, starts a spot: the anchor with
-the chain of the next content words, ``CHAIN`` of them ``SPACING`` apart. A
-text's fingerprint is the set of its spots. Fingerprints are partitioned by
+the chain of the next content words, ``CHAIN`` of them ``SPACING`` apart. In a
+stretch of more than ``STRETCH`` content words without an anchor, and in a text
+without any, every content word starts a spot, so that no language, table or
+code is read by its first words alone. A text's fingerprint is the set of its
+spots. Fingerprints are partitioned by
 set length so that sets too different in length to be similar never meet, and
 compared by Jaccard similarity with pruning by length and by what is still to
 come.
@@ -30,6 +33,8 @@ ANCHORS = tuple(
     "the of and to is that for was der die und den von ist que les des est pour dans el los del por una".split()
 )
 CHAIN, SPACING = 2, 1
+# Longest run of content words between chains without further spots: two words, three at the end, go unread.
+STRETCH = 4
 # Hex digits of a spot in a fingerprint.
 DIGITS = 8
 MARKS = ".,;:!?\"'()[]|*&%$#…"
@@ -41,7 +46,7 @@ def spot_sets(texts: pa.Array, anchors: Sequence[str] = ANCHORS, chain: int = CH
     """Sorted distinct spots (32 bits) per text.
 
     The start of a text counts as an anchor, so every text with a word has a
-    spot. Chains that the end of the text cuts off are left out, except at the
+    spot, and so do the content words of long stretches without one. Chains that the end of the text cuts off are left out, except at the
     start. A text without a word (only marks or white space) has its whole
     content as its one spot, the empty text too.
     """
@@ -66,9 +71,14 @@ def spot_sets(texts: pa.Array, anchors: Sequence[str] = ANCHORS, chain: int = CH
         last = len(content) - (chain - 1) * spacing
         after, heads = after[after < last], h[anchor][after < last]
         spots = chain_hash([heads, *(content[after + k * spacing] for k in range(chain))], chain)
+        # Stretches between chains; words of long ones start chains as anchors do.
+        bounds = np.concatenate([[0], after, [max(0, last)]])
+        runs = np.diff(bounds)
+        bare = np.flatnonzero(np.repeat(runs > (STRETCH if len(after) else 0), runs)[: max(0, last - 1)])
+        filled = chain_hash([content[bare], *(content[bare + 1 + k * spacing] for k in range(chain))], chain)
         first = content[: (chain - 1) * spacing + 1 : spacing]
         opening = chain_hash([first[k : k + 1] for k in range(len(first))], 32 + len(first))
-        out.append(np.unique((np.concatenate([spots, opening]) >> np.uint64(32)).astype(np.uint32)))
+        out.append(np.unique((np.concatenate([spots, filled, opening]) >> np.uint64(32)).astype(np.uint32)))
     return out
 
 
