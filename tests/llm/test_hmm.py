@@ -64,6 +64,30 @@ def test_counts_are_expectations_over_all_paths(small):
         assert np.allclose(a, b, atol=1e-4)
 
 
+def test_windows_pass_states_on(small):
+    """Counts of whole texts do not depend on how many tokens are held at once; no move is dropped."""
+    rng = np.random.default_rng(5)
+    lengths = [700, 1, 256, 257, 40, 300]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    classes, first = rng.integers(0, 5, starts[-1]), np.ones(len(lengths), dtype=bool)
+    whole = hmm.likely_counts(classes, starts, first, small, held=1 << 20)
+    logs = hmm.forward(classes, starts, small).sum() * math.log(10)
+    for held in (1, 100, 257):
+        for a, b in zip(hmm.likely_counts(classes, starts, first, small, held=held), whole):
+            assert np.allclose(a, b, rtol=1e-4)
+    assert whole[1].sum() == pytest.approx(sum(lengths) - len(lengths), rel=1e-4) and whole[3] == pytest.approx(logs, rel=1e-4)
+
+
+def test_every_round_covers_all_rows(spark, monkeypatch):
+    """Each round counts every token and every move, in corpora of more rows than any sample, long texts included."""
+    seen, step = [], hmm.baum_welch_step
+    rows = [(i, f"a{i % 50} b{i % 7} c", "en", "s") for i in range(2600)] + [(2600, "x y z " * 200, "en", "s")]
+    monkeypatch.setattr(hmm, "baum_welch_step", lambda texts, known, model: seen.append(texts.count()) or step(texts, known, model))
+    train = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, *_ in rows)
+    hmm.score_documents(frame(spark, rows))
+    assert len(seen) > hmm.WARM_ROUNDS and set(seen) == {train}
+
+
 def test_long_texts_do_not_underflow(small):
     sequence = np.random.default_rng(3).integers(0, 5, 50_000)
     whole = hmm.forward(sequence, np.array([0, len(sequence)]), small)[0]

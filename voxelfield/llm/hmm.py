@@ -33,10 +33,10 @@ TABLE_BYTES = 48
 ADDED = 0.1
 # Strength of the unigram prior of emissions, and of uniform transitions.
 PRIOR_WORDS, PRIOR_MOVES = 50.0, 1.0
-# Start values come from this many texts (a bounded sample by hash); training proper covers all.
-WARM_ROWS, WARM_ROUNDS, ROUNDS = 2000, 10, 3
-# Training cuts long texts into sequences of this many tokens; scoring does not.
-TRAIN_STEPS = 256
+# Rounds over all training texts: the first in any case, the others while a token gains so much log-likelihood.
+WARM_ROUNDS, ROUNDS, GAIN = 4, 9, 2e-3
+# Tokens trained on together, longer texts alone; and those whose states are held at once.
+TRAIN_TOKENS, TRAIN_HELD = 1 << 22, 1 << 19
 # Tokens scored together; longer texts are scored alone.
 SCORE_TOKENS = 4_000_000
 
@@ -193,51 +193,77 @@ def forward(classes: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray
 
 def expected_counts(classes: np.ndarray, starts: np.ndarray, first: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
     """Baum-Welch counts (start, moves, emissions) of sequences; ``first`` marks starts of texts."""
+    return likely_counts(classes, starts, first, model)[:3]
+
+
+def likely_counts(
+    classes: np.ndarray, starts: np.ndarray, first: np.ndarray, model: Model, held: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``expected_counts`` and the log-likelihood (natural).
+
+    Exact for sequences of any length: steps fall into windows of about
+    ``held`` tokens. A first pass keeps the states at their starts, from which
+    the windows are then run from last to first, each handing its backward
+    values to the one before; only one window's states are held.
+    """
     lengths = np.diff(starts)
     order = np.argsort(-lengths, kind="stable")
     begins, lengths, first = starts[:-1][order], lengths[order], first[order]
     steps = int(lengths[0])
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    window = (np.cumsum(live) - 1) // (held or TRAIN_HELD)
+    cuts = np.append(np.flatnonzero(np.diff(window, prepend=-1)), steps)
     emissions = model.emissions.astype(np.float32)
     moves = model.moves.astype(np.float32)
     stationary = np.linalg.matrix_power(model.moves, 64).mean(axis=0)
-    state = np.where(first[:, None], model.start, stationary).astype(np.float32)
-    states, seen, scales = [], [], []
-    for t in range(steps):
+
+    def step(state: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = live[t]
         now = emissions[classes[begins[:n] + t]]
         state = (state[:n] if t == 0 else state[:n] @ moves) * now
         scale = state.sum(axis=1, keepdims=True)
-        state = state / scale
-        states.append(state)
-        seen.append(now)
-        scales.append(scale)
-    move_counts = np.zeros((STATES, STATES))
-    start_counts = np.zeros(STATES)
-    back = np.ones_like(states[-1])
-    where, what = [], []
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if len(back) < n:
-            back = np.vstack([back, np.ones((n - len(back), STATES), dtype=np.float32)])
-        gamma = states[t] * back
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        where.append(classes[begins[:n] + t])
-        what.append(gamma)
-        if t:
-            onward = seen[t] * back / scales[t]
-            move_counts += states[t - 1][:n].T @ onward
-            back = onward @ moves.T
-        else:
-            start_counts += gamma[first[:n]].sum(axis=0)
-    where, what = np.concatenate(where), np.concatenate(what)
-    size = len(model.emissions)
-    emitted = np.stack([np.bincount(where, weights=what[:, s], minlength=size) for s in range(STATES)], axis=1)
-    return start_counts, move_counts * model.moves, emitted
-
+        return state / scale, now, scale
 
-def baum_welch_step(texts: DataFrame, known: Vocabulary, model: Model) -> Model:
-    """One round over all ``texts`` (ranks): counts per task, summed by Spark, then normalised."""
+    state = np.where(first[:, None], model.start, stationary).astype(np.float32)
+    heads = [state]
+    for begin, end in zip(cuts[:-2], cuts[1:-1]):
+        for t in range(begin, end):
+            state = step(state, t)[0]
+        heads.append(state)
+    size = len(model.emissions)
+    move_counts, start_counts, emitted, gained = np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros((size, STATES)), 0.0
+    back = np.ones((0, STATES), dtype=np.float32)
+    for k in range(len(heads) - 1, -1, -1):
+        begin, end = cuts[k], cuts[k + 1]
+        states, seen, scales = [heads[k]], [], []
+        for t in range(begin, end):
+            state, now, scale = step(states[-1], t)
+            states.append(state)
+            seen.append(now)
+            scales.append(scale)
+        where, what = [], []
+        for t in range(end - 1, begin - 1, -1):
+            n = live[t]
+            if len(back) < n:
+                back = np.vstack([back, np.ones((n - len(back), STATES), dtype=np.float32)])
+            gamma = states[t - begin + 1] * back
+            gamma /= gamma.sum(axis=1, keepdims=True)
+            where.append(classes[begins[:n] + t])
+            what.append(gamma)
+            gained += float(np.log(scales[t - begin]).sum(dtype=np.float64))
+            if t:
+                onward = seen[t - begin] * back / scales[t - begin]
+                move_counts += states[t - begin][:n].T @ onward
+                back = onward @ moves.T
+            else:
+                start_counts += gamma[first[:n]].sum(axis=0)
+        where, what = np.concatenate(where), np.concatenate(what)
+        emitted += np.stack([np.bincount(where, weights=what[:, s], minlength=size) for s in range(STATES)], axis=1)
+    return start_counts, move_counts * model.moves, emitted, gained
+
+
+def baum_welch_step(texts: DataFrame, known: Vocabulary, model: Model) -> tuple[Model, float]:
+    """One round over all ``texts`` (ranks): counts per task, summed by Spark, then normalised; and ``model``'s log-likelihood."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((model.start, model.moves, model.emissions))
     meta = Vocabulary(known.table.slice(0, 0), known.counts[:EMITTED], known.tokens, known.distinct, known.texts)
@@ -246,20 +272,19 @@ def baum_welch_step(texts: DataFrame, known: Vocabulary, model: Model) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = Model(*sent.value)
         size = len(current.emissions)
-        total = np.zeros((size + STATES + 1, STATES))
+        total = np.zeros((size + STATES + 2, STATES))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                classes, starts = _sequences(batch.column("ranks").slice(at, 1000), meta)
-                parts = [np.arange(a, b, TRAIN_STEPS) for a, b in zip(starts[:-1], starts[1:])]
-                begins = np.concatenate(parts)
-                first = np.isin(begins, starts[:-1])
-                cut = np.append(begins, starts[-1])
-                for group in range(0, len(begins), 4000):
-                    own = cut[group : group + 4001]
-                    start, moves, emitted = expected_counts(classes[own[0] : own[-1]], own - own[0], first[group : group + 4000], current)
-                    total[:size] += emitted
-                    total[size : size + STATES] += moves
-                    total[-1] += start
+            lengths = np.asarray(pc.list_value_length(batch.column("ranks")), dtype=np.int64) + 1
+            at = 0
+            while at < batch.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), TRAIN_TOKENS, side="right")))
+                classes, starts = _sequences(batch.column("ranks").slice(at, n), meta)
+                start, moves, emitted, gained = likely_counts(classes, starts, np.ones(n, dtype=bool), current)
+                total[:size] += emitted
+                total[size : size + STATES] += moves
+                total[-2] += start
+                total[-1, 0] += gained
+                at += n
         there = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(there, pa.int32()), *(pa.array(total[there, s]) for s in range(STATES))], names=["item", *names]
@@ -267,29 +292,26 @@ def baum_welch_step(texts: DataFrame, known: Vocabulary, model: Model) -> Model:
 
     schema = "item int, " + ", ".join(f"{n} double" for n in names)
     sums = texts.select("ranks").mapInArrow(run, schema).groupBy("item").agg(*[F.sum(n).alias(n) for n in names])
-    table = sums.toArrow()  # at most EMITTED + STATES + 3 rows
+    table = sums.toArrow()  # at most EMITTED + STATES + 4 rows
     size = len(model.emissions)
-    total = np.zeros((size + STATES + 1, STATES))
+    total = np.zeros((size + STATES + 2, STATES))
     total[np.asarray(table.column("item"))] = np.stack([np.asarray(table.column(n)) for n in names], axis=1)
     emitted = total[:size] + PRIOR_WORDS * known.prior()[:, None]
     moves = total[size : size + STATES] + PRIOR_MOVES
-    start = total[-1] + PRIOR_MOVES
-    return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
+    start = total[-2] + PRIOR_MOVES
+    return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0)), float(total[-1, 0])
 
 
-def train(texts: DataFrame, known: Vocabulary, warm_rows: int = WARM_ROWS, warm_rounds: int = WARM_ROUNDS, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch on ``texts`` (row, doc_id, ranks): start values from a sample, then ``rounds`` over all rows."""
-    model = first_model(known)
+def train(texts: DataFrame, known: Vocabulary, warm_rounds: int = WARM_ROUNDS, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch on all ``texts`` (ranks): ``warm_rounds``, then up to ``rounds`` while the likelihood gains ``GAIN`` a token."""
+    model, before = first_model(known), -np.inf
     if not known.texts:
         return model
-    share = min(1.0, warm_rows / known.texts)
-    place = F.xxhash64("doc_id", "row").cast("double") / float(2**64) + 0.5  # uniform on 0 to 1
-    picked = texts.where(place <= share).select("ranks")
-    sample = stored(picked, "warm")
-    for _ in range(warm_rounds):
-        model = baum_welch_step(sample, known, model)
-    for _ in range(rounds):
-        model = baum_welch_step(texts, known, model)
+    for done in range(warm_rounds + rounds):
+        following, reached = baum_welch_step(texts, known, model)
+        gained, model, before = reached - before, following, reached
+        if done >= warm_rounds and gained < GAIN * known.tokens:
+            break
     return model
 
 
