@@ -5,7 +5,7 @@ written as Parquet and read again as the next one's input.
 
 * language: documents whose distance to every known language is too large go.
 * exact_dedup: of equal texts (A-Z lowered) the row with the largest doc_id stays.
-* near_dedup: of each group of near copies the row with the least doc_id stays.
+* near_dedup: of each group of near copies the row with the least doc_id stays, of a group without any doc_id one row.
 * mix: every source gets its target share of words; see ``mixed_documents``.
 * encode: token ids and the digest of the decoded text per document.
 
@@ -62,9 +62,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
-    found = minhash_bayes.near_duplicates(keyed, carry=KEY)
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return _one_of_each(keyed, stored(found.select(*KEY, "kept", group.alias("__group")), "near"))
+    found = minhash_bayes.near_duplicates(keyed, carry=KEY, class_key="__group")
+    return _one_of_each(keyed, stored(found.select(*KEY, "kept", "__group"), "near"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

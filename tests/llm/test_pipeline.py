@@ -56,6 +56,21 @@ def test_near_groups(spark):
     assert kept == sorted(i for (i, *_), c in zip(rows, label) if i == c)
 
 
+def test_near_groups_without_ids(spark):
+    """Of every class one row stays, also where none or only some of its rows have a doc_id."""
+    rows = corpus(80, 9)
+    label, sizes = plain_classes(rows)
+    owner = {i: c for (i, *_), c in zip(rows, label)}
+    bare = [(None if owner[i] % 2 else i if j % 3 else None, *rest) for j, (i, *rest) in enumerate(rows)]
+    kept = Counter(r.text for r in cp.near_dedup(spark, frame(spark, bare), SF).collect())
+    classes = {}
+    for (_, text, *_), c, n in zip(rows, label, sizes):
+        if n:
+            classes.setdefault(c, []).append(text)
+    assert sum(len(t) > 1 for c, t in classes.items() if c % 2) > 1  # near copies without any doc_id
+    assert all(sum(kept[t] for t in set(texts)) == 1 for texts in classes.values())
+
+
 def test_run(spark):
     found = cp.run(spark, SF).collect()
     ids = {r.doc_id for r in found}

@@ -278,7 +278,7 @@ def crossing_links(
 
 
 def near_duplicates(
-    documents: DataFrame, percent: int = PERCENT, miss: float = MISS, carry: Sequence[str] = ()
+    documents: DataFrame, percent: int = PERCENT, miss: float = MISS, carry: Sequence[str] = (), class_key: str | None = None
 ) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text and ``carry``; further columns are ignored).
 
@@ -289,7 +289,8 @@ def near_duplicates(
     texts are one shingle). NULL, empty and blank texts have no shingles, are
     linked with nothing and kept. Rows without a doc_id get the least doc_id
     of their class, if any has one; a class without any stays NULL and its
-    rows are kept. Rows that repeat a doc_id with equal texts share a class
+    rows are kept. ``class_key`` names a further column with a key of the class
+    that needs no doc_id (its least node; NULL without shingles). Rows that repeat a doc_id with equal texts share a class
     and are kept or dropped alike. Empty input gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
@@ -312,7 +313,8 @@ def near_duplicates(
 
     label = nodes.join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = label.join(least, "component").select("node", "component_id")
+    classes = label.join(least, "component").select("node", "component_id", "component")
     out = rows.drop("bands").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", *carry, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    key = [F.col("component").alias(class_key)] if class_key else []
+    return out.select("doc_id", *carry, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *key)
