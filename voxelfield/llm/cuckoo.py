@@ -3,9 +3,10 @@
 The index is a table with one row per live text: its shard, the shard's number
 of buckets, the bucket and 16-bit fingerprint under which a cuckoo filter
 holds it, and the content key (full SHA-256), owner and number of copies
-stored in that bucket. A shard is one partition of the digests; a task loads
-its filter, answers lookups from the fingerprints alone, and turns to the
-bucket's stored content only on a hit, so a false positive never decides. When
+stored in that bucket. A shard is one partition of the digests. For insertions
+and deletions a task loads its shard's filter; a fingerprint's hit is verified
+by the bucket's stored content, so a false positive never decides. ``lookup``
+probes no filter: it joins rows with the index by the full digest. When
 an insertion finds no room, the shard doubles its buckets and places the stored
 keys anew. Digests can be inserted and deleted at any time.
 """
