@@ -13,6 +13,7 @@ from voxelfield.llm import (
     hmm,
     langid,
     length_histogram,
+    merkle_log,
     minhash_bayes,
     mixing,
     pii,
@@ -75,11 +76,15 @@ def op10_minhash_bayes(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_bayes.near_duplicates(read(spark, sf, "documents"))
 
 
+def op11_merkle_log(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle_log.manifest(read(spark, sf, "documents")).drop("siblings")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spotsigs, op2_warc_derivatives, op3_pii_bootstrap, op4_mix_sources, op5_cuckoo_dedup, op6_nearest_centroid,
-        op7_hidden_markov, op8_sentencepiece, op9_length_histogram, op10_minhash_bayes,
+        op7_hidden_markov, op8_sentencepiece, op9_length_histogram, op10_minhash_bayes, op11_merkle_log,
     )
 }
 
@@ -114,4 +119,59 @@ ORACLE: dict[str, str] = {
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id
         JOIN (SELECT origin, min(node) AS component_id FROM reach GROUP BY origin) r ON r.origin = d.doc_id
     """,
+    # The low bit of a CRC-32 is worked out byte by byte; DuckDB has no such function.
+    "op11_merkle_log": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, n_chars, text, lang,
+                   list_reduce(
+                       list_prepend(4294967295::BIGINT, [unicode(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+                       lambda crc, b: list_reduce(
+                           list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) & 1 = 1 AS touched
+            FROM documents),
+        f AS (
+            SELECT *,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+            FROM d),
+        leaves AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN touched THEN sha256(head || coalesce(
+                       strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS tampered,
+                   coalesce('s' || source, '-') AS tree,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i,
+                   count(*) OVER (PARTITION BY source) AS n, row_number() OVER (ORDER BY doc_id, source, text) AS row_no
+            FROM f),
+        lv(tree, k, j, node, n) AS (
+            SELECT tree, 0, i, leaf, n FROM leaves
+            UNION ALL
+            SELECT tree, k + 1, j // 3, sha256(string_agg(node, '' ORDER BY j)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY tree, k, j // 3, n),
+        subroots AS (
+            SELECT tree, node, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+        tops(tree, k, j, node, n) AS (
+            SELECT '', 0, i, node, n FROM subroots
+            UNION ALL
+            SELECT '', k + 1, j // 3, sha256(string_agg(node, '' ORDER BY j)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY k, j // 3, n),
+        runs AS (
+            SELECT tree, k, j // 3 AS q, coalesce(max(node) FILTER (j % 3 = 0), '') AS a, coalesce(max(node) FILTER (j % 3 = 1), '') AS b,
+                   coalesce(max(node) FILTER (j % 3 = 2), '') AS c, any_value(n) AS n
+            FROM (SELECT * FROM lv UNION ALL SELECT * FROM tops) GROUP BY tree, k, j // 3),
+        up(row_no, tree, k, j, node, proof, n) AS (
+            SELECT row_no, tree, 0, i, coalesce(tampered, leaf), '', n FROM leaves
+            UNION ALL
+            SELECT row_no, u.tree, u.k + 1, j // 3,
+                   sha256(CASE j % 3 WHEN 0 THEN node || b || c WHEN 1 THEN a || node || c ELSE a || b || node END),
+                   proof || CASE j % 3 WHEN 0 THEN b || c WHEN 1 THEN a || c ELSE a || b END, (u.n + 2) // 3
+            FROM up u JOIN runs r ON r.tree = u.tree AND r.k = u.k AND r.q = u.j // 3 WHERE u.n > 1),
+        top_up(row_no, k, j, node, proof, n) AS (
+            SELECT row_no, 0, s.i, u.node, u.proof, s.n FROM up u JOIN subroots s ON s.tree = u.tree WHERE u.n = 1
+            UNION ALL
+            SELECT row_no, u.k + 1, j // 3,
+                   sha256(CASE j % 3 WHEN 0 THEN node || b || c WHEN 1 THEN a || node || c ELSE a || b || node END),
+                   proof || CASE j % 3 WHEN 0 THEN b || c WHEN 1 THEN a || c ELSE a || b END, (u.n + 2) // 3
+            FROM top_up u JOIN runs r ON r.tree = '' AND r.k = u.k AND r.q = u.j // 3 WHERE u.n > 1)
+        SELECT l.doc_id, l.i AS source_index, l.n AS source_size, l.leaf, s.node AS subroot, t.node AS root,
+               sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = t.node AS verified
+        FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top_up p ON p.row_no = l.row_no AND p.n = 1
+        CROSS JOIN (SELECT node FROM tops WHERE n = 1) t
+    """,
 }
