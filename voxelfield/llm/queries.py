@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelfield.llm import (
+    bpe_monoid,
     cuckoo,
     hmm,
     langid,
@@ -17,6 +18,7 @@ from voxelfield.llm import (
     minhash_bayes,
     mixing,
     pii,
+    ranked_search,
     sp_encoding,
     spotsigs,
     warc,
@@ -24,6 +26,7 @@ from voxelfield.llm import (
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.tiktoken"
+MULTI = "byte_bpe_multi_50k.tiktoken"
 CRAWLED = "2024-01-01T00:00:00Z"
 
 
@@ -80,11 +83,23 @@ def op11_merkle_log(spark: SparkSession, sf: str) -> DataFrame:
     return merkle_log.manifest(read(spark, sf, "documents")).drop("siblings")
 
 
+def op12_bpe_monoid(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents")
+    return bpe_monoid.digest_columns(
+        bpe_monoid.encode_documents(documents, public_tokenizers.path(MULTI), public_tokenizers.PATTERN, ["doc_id"])
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spotsigs, op2_warc_derivatives, op3_pii_bootstrap, op4_mix_sources, op5_cuckoo_dedup, op6_nearest_centroid,
         op7_hidden_markov, op8_sentencepiece, op9_length_histogram, op10_minhash_bayes, op11_merkle_log,
+        op12_bpe_monoid, op13_ranked_search,
     )
 }
 
@@ -174,4 +189,33 @@ ORACLE: dict[str, str] = {
         FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top_up p ON p.row_no = l.row_no AND p.n = 1
         CROSS JOIN (SELECT node FROM tops WHERE n = 1) t
     """,
+    "op13_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents),
+        q AS (
+            SELECT DISTINCT query, item_id, unnest(words) AS term FROM (
+                SELECT row_number() OVER () AS query, item_id, regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+                FROM benchmark)),
+        totals AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS length FROM d WHERE len(words) > 0),
+        p AS (
+            SELECT row_no, doc_id, n, term, count(*) AS tf
+            FROM (SELECT row_no, doc_id, len(words) AS n, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q)
+            GROUP BY ALL),
+        w AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM p GROUP BY term) CROSS JOIN totals),
+        scored AS (
+            SELECT query, item_id, doc_id, row_no,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::BIGINT AS score
+            FROM q JOIN p USING (term) JOIN w USING (term) CROSS JOIN totals
+            GROUP BY query, item_id, doc_id, row_no)
+        SELECT item_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY rank <= 50
+    """,
 }
