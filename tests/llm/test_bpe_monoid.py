@@ -69,6 +69,10 @@ def test_merges_agree(table):
     for _ in range(300):
         data = bytes(rng.choice(b"aabbc the") for _ in range(rng.randrange(0, bpe_monoid.SCANNED)))
         assert table.merged(data) == table._merged_by_heap(data)
+    parts = [bytes(rng.choice(b"aabbc the\xc3\xa9") for _ in range(rng.randrange(1, bpe_monoid.LEAF + 1))) for _ in range(9000)]
+    for part, ids in zip(parts, table.merged_in_step(parts)):
+        assert np.frombuffer(ids, np.uint32).tolist() == table.merged(part)
+    assert table.merged_in_step([]) == []
 
 
 def test_stretches_never_cut_a_match():

@@ -10,7 +10,7 @@ and joining the halves up the tree; decoding concatenates up a tree likewise.
 
 A text is first cut by a pattern whose matches are encoded one by one, a match
 that is a token as a whole as that token; texts are joined from matches by
-plain concatenation.
+plain concatenation. Many short parts are merged in step, as rows of one array.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 from voxelfield.llm.text import filled, kept, map_slices
 
 # Parts of at most this many bytes are merged directly; joins start with this many tokens on either side.
-LEAF = 8
+LEAF = 16
 WINDOW = 2
 # Bytes of a window that are merged by scanning for the best pair; beyond them by a heap.
 SCANNED = 48
+# Parts merged in step at once, and slots of the table of pairs that merge.
+ROWS = 4096
+SLOT_BITS = 21
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # Encoded stretches of texts and pairs a task remembers; older ones make room.
 REMEMBERED = 150_000
 REMEMBERED_CHARS = 48
@@ -69,6 +73,80 @@ class ByteTable:
             raise ValueError("the vocabulary lacks single bytes")
         self.matches = regex.compile(self.pattern).findall
         self.stretches = Stretches(self)
+        self._fill_pairs()
+
+    def _fill_pairs(self) -> None:
+        """Open-addressed table of the pairs of tokens whose bytes make a token."""
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left * self.size + right] = rank
+        keys, values = (np.fromiter(v, np.uint64, len(pairs)) for v in (pairs.keys(), pairs.values()))
+        self.slots = np.full(1 << SLOT_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.made = np.full(1 << SLOT_BITS, self.size, dtype=np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.slots[at] == np.iinfo(np.uint64).max
+            self.slots[at[free]] = keys[free]  # of several keys one stays
+            placed = self.slots[at] == keys
+            self.made[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of every pair's union; ``size`` where it is no token or a token is missing (-1)."""
+        out = np.full(len(left), self.size, dtype=np.int64)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))
+        keys = left[todo].astype(np.uint64) * np.uint64(self.size) + right[todo].astype(np.uint64)
+        at = self._slot(keys)
+        while len(todo):
+            found = self.slots[at]
+            hit = found == keys
+            out[todo[hit]] = self.made[at[hit]]
+            on = ~hit & (found != np.iinfo(np.uint64).max)
+            todo, keys, at = todo[on], keys[on], (at[on] + 1) % len(self.slots)
+        return out
+
+    def merged_in_step(self, parts: list[bytes]) -> list[bytes]:
+        """``merged`` for many parts of at most ``LEAF`` bytes, ids as bytes; a round merges one pair in every row."""
+        out = []
+        single = np.array(self.single, dtype=np.int64)
+        columns = np.arange(LEAF)
+        for start in range(0, len(parts), ROWS):
+            some = parts[start : start + ROWS]
+            lengths = np.array([len(p) for p in some])
+            tokens = np.full((len(some), LEAF), -1, dtype=np.int64)
+            tokens[columns < lengths[:, None]] = single[np.frombuffer(b"".join(some), dtype=np.uint8)]
+            ranks = np.full((len(some), LEAF), self.size, dtype=np.int64)
+            ranks[:, :-1] = self.pair_ranks(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(len(some), -1)
+            active = np.arange(len(some))
+            while True:
+                at = ranks[active].argmin(axis=1)  # the leftmost of the least
+                least = ranks[active, at]
+                going = least < self.size
+                active, at, least = active[going], at[going], least[going]
+                if not len(active):
+                    break
+                source = np.minimum(columns + (columns > at[:, None]), LEAF - 1)
+                moved = np.take_along_axis(tokens[active], source, axis=1)
+                moved[:, -1] = -1
+                rows = np.arange(len(active))
+                moved[rows, at] = least
+                tokens[active] = moved
+                kept_ranks = np.take_along_axis(ranks[active], source, axis=1)
+                kept_ranks[:, -1] = self.size
+                kept_ranks[rows, at] = self.pair_ranks(least, moved[rows, at + 1])  # the last column starts no pair
+                inner = at > 0
+                kept_ranks[rows[inner], at[inner] - 1] = self.pair_ranks(moved[rows[inner], at[inner] - 1], moved[rows[inner], at[inner]])
+                ranks[active] = kept_ranks
+            there = tokens >= 0
+            ids, ends = tokens[there].astype(np.uint32).tobytes(), (4 * there.sum(axis=1).cumsum()).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of ``data`` by merging, always the leftmost pair of the least rank."""
@@ -156,14 +234,26 @@ class ByteTable:
         half = LEAF << ((len(data) - 1) // LEAF).bit_length() - 1
         return self.join(self.reduced(data[:half]), self.reduced(data[half:]))
 
-    def encode_match(self, match: str) -> list[int]:
-        data = match.encode()
-        whole = self.ranks.get(data)
-        return self.reduced(data) if whole is None else [whole]
+    def encode_matches(self, matches: list[str]) -> list[bytes]:
+        """Ids of matches as bytes of unsigned 32-bit numbers."""
+        datas = [m.encode() for m in matches]
+        out: list = [self.ranks.get(d) for d in datas]
+        short = [i for i, rank in enumerate(out) if rank is None and len(datas[i]) <= LEAF]
+        for i, ids in zip(short, self.merged_in_step([datas[i] for i in short])):
+            out[i] = ids
+        for i, found in enumerate(out):
+            if not isinstance(found, bytes):
+                out[i] = np.array(self.reduced(datas[i]) if found is None else [found], dtype=np.uint32).tobytes()
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """All ids of each text."""
+        cut = [STRETCH.findall(text) for text in texts]
+        known = self.stretches.of({s for stretches in cut for s in stretches})
+        return [np.frombuffer(b"".join(map(known.__getitem__, stretches)), dtype=np.uint32) for stretches in cut]
 
     def encode(self, text: str) -> np.ndarray:
-        """All ids of a text."""
-        return np.frombuffer(b"".join(map(self.stretches.__getitem__, STRETCH.findall(text))), dtype=np.uint32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= DECODED:
@@ -172,28 +262,28 @@ class ByteTable:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-class Stretches(dict):
-    """Ids of stretches met lately, as bytes of unsigned 32-bit numbers; older ones make room."""
+class Stretches:
+    """Ids of stretches met lately; older ones make room."""
 
     def __init__(self, table: ByteTable) -> None:
-        super().__init__()
-        self.table, self.older = table, {}
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = self.older.get(stretch)
-        if found is None:
-            table = self.table
-            found = np.array([i for m in table.matches(stretch) for i in table.encode_match(m)], dtype=np.uint32).tobytes()
-        if len(stretch) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[stretch] = found
+        self.table, self.recent, self.older = table, {}, {}
+
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of all wanted stretches, as bytes of unsigned 32-bit numbers."""
+        found = {s: ids for s in wanted if (ids := self.recent.get(s) or self.older.get(s)) is not None}
+        missing = [s for s in wanted if s not in found]
+        matches = [self.table.matches(s) for s in missing]
+        distinct = list({m for own in matches for m in own})
+        ids = dict(zip(distinct, self.table.encode_matches(distinct)))
+        fresh = {s: b"".join(map(ids.__getitem__, own)) for s, own in zip(missing, matches)}
+        found.update(fresh)
+        if len(self.recent) + len(found) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        self.recent.update((s, i) for s, i in found.items() if len(s) <= REMEMBERED_CHARS)
         return found
 
     def forget(self) -> None:
-        self.clear()
-        self.older = {}
+        self.recent, self.older = {}, {}
 
 
 def encode_documents(documents: DataFrame, path: str, pattern: str, columns: list[str]) -> DataFrame:
@@ -209,7 +299,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, columns: lis
 
     def handle(part: pa.RecordBatch) -> pa.RecordBatch:
         known = table()
-        ids = [known.encode(t) for t in filled(part.column("__text")).to_pylist()]
+        ids = known.encode_all(filled(part.column("__text")).to_pylist())
         decoded = [known.decode(i) for i in ids]
         return pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in columns), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array(decoded, pa.binary())],
