@@ -7,6 +7,7 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
+from voxelfield.functions.counter import counter_uniforms, stream
 from voxelfield.functions.hermite import basis_array
 from voxelfield.operators.graphs import lattice_graph
 from voxelfield.plans import selection_fit
@@ -21,6 +22,11 @@ def uniform(*parts):
     return (int(digest[:13], 16) + 0.5) / 16**13
 
 
+def counted(config, step, iteration, first, second):
+    """The number of a stream (replicate 0, chain 0) for a pair of counters."""
+    return float(counter_uniforms(stream(config.seed, step, iteration, 0, 0), np.array([first]), np.array([second]))[0])
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     """Voxels 5 and 6 carry a threshold signal; voxel 0 is excluded."""
@@ -59,10 +65,10 @@ def plain_iteration(x, y, config, iteration, delta, theta, alpha, tau, p, radius
     z = np.empty(N)
     for i in range(N):
         side = 1 if y[i] else -1
-        u = uniform(config.seed, "z", iteration, 0, 0, i)
+        u = counted(config, "z", iteration, i, 0)
         z[i] = side * (side * eta[i] - NORMAL.inv_cdf(u * NORMAL.cdf(side * eta[i])))
     for v in active:
-        eps = np.array([NORMAL.inv_cdf(uniform(config.seed, "theta", iteration, 0, 0, v, l)) for l in range(size)])
+        eps = np.array([NORMAL.inv_cdf(counted(config, "theta", iteration, v, l)) for l in range(size)])
         if delta[v]:
             rest = z - alpha - sum(delta[w] * effect(w) for w in active if w != v)
             root = np.linalg.cholesky(basis[:, v].T @ basis[:, v] + tau * np.eye(size))
@@ -84,7 +90,7 @@ def plain_iteration(x, y, config, iteration, delta, theta, alpha, tau, p, radius
         f = effect(v)
         rest = z - alpha - sum(delta[w] * effect(w) for w in active if w != v)
         odds = rest @ f - 0.5 * f @ f + math.log((p[v] + 2.2e-16) / (1 - p[v] + 2.2e-16))
-        delta[v] = int(uniform(config.seed, "delta", iteration, 0, 0, v) < 1 / (1 + math.exp(min(-odds, 700))))
+        delta[v] = int(counted(config, "delta", iteration, v, 0) < 1 / (1 + math.exp(min(-odds, 700))))
     return delta, theta, alpha, chosen
 
 
@@ -244,3 +250,76 @@ def test_fit_to_prediction(spark, data):
     prob = predict.predict_probability(images, post, alpha, 1, 0.01, 2.0)
     assert evaluate.accuracy(predict.predict_label(prob), labels).first()[0] > 0.8
     assert means["radius"].count() == 4
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop", ["before the mark", "in a step"])
+def test_a_stopped_fit_goes_on_behind_its_last_mark(spark, data, monkeypatch, tmp_path, stop):
+    x, y, images, labels, lattice = data
+    config = FitConfig(degree=2, a=0.01, b=2.0, burnin=0, mcmc_sample=3, thinning=1, radii=(1, 2), seed=4, block_voxels=10, keep_latent=True)
+    whole = fit_selection_model(images, labels, lattice, config)
+    path = str(tmp_path / "fit")
+    commit, advance = selection_fit._Runner.commit, selection_fit._Runner.advance
+
+    def stopping_commit(self, iteration):
+        if stop == "before the mark" and iteration == 2:
+            raise Stopped
+        commit(self, iteration)
+
+    def stopping_advance(self, job):
+        if stop == "in a step" and (job.iteration, job.kind) == (3, "delta"):
+            raise Stopped
+        advance(self, job)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(selection_fit, "TRACE_ROWS", 2)
+        patch.setattr(selection_fit._Runner, "commit", stopping_commit)
+        patch.setattr(selection_fit._Runner, "advance", stopping_advance)
+        with pytest.raises(Stopped):
+            fit_selection_model(images, labels, lattice, config, path=path)
+    monkeypatch.setattr(selection_fit, "TRACE_ROWS", 2)
+    resumed = selection_fit.resume_fit(spark, path)
+    again = selection_fit.resume_fit(spark, path)  # a finished fit is only read
+
+    def rows(df, *key):
+        return {tuple(r[k] for k in key): np.hstack([np.ravel(r[c]).astype(float) for c in df.columns if c not in key]) for r in df.collect()}
+
+    for fit in (resumed, again):
+        for name, keys in (("voxel", ("iter", "chain_id", "voxel_id")), ("scalar", ("iter", "chain_id")), ("subject", ("iter", "chain_id", "subject_id"))):
+            want, got = rows(getattr(whole, name), *keys), rows(getattr(fit, name), *keys)
+            assert set(want) == set(got) and getattr(fit, name).count() == len(want)
+            for key in want:
+                np.testing.assert_allclose(got[key], want[key], atol=1e-7)
+    with pytest.raises(ValueError):
+        selection_fit.resume_fit(spark, str(tmp_path / "other"))
+
+
+def test_tiles_are_summed_once(spark, data, monkeypatch):
+    """While no voxel is selected for the first time, no Gram matrix is taken from images."""
+    x, y, images, labels, lattice = data
+    learned = []
+    strips = selection_fit._strips
+    monkeypatch.setattr(selection_fit, "_strips", lambda *args: learned.append(1) or strips(*args))
+    config = FitConfig(degree=1, a=0.01, b=2.0, burnin=0, mcmc_sample=5, thinning=1, seed=5, update_delta=False)
+    initial = lattice.selectExpr("voxel_id", "voxel_id % 2 as delta", "array(0.1D, 0.2D) as theta", "0.5D as alpha")
+    fit_selection_model(images, labels, lattice, config, initial=initial)
+    assert len(learned) == 1
+
+
+def test_many_partitions_and_far_apart_cells(spark, data):
+    """Every voxel its own partition, and the lattice torn apart: radii by a plain loop, no box around all cells."""
+    x, y, images, labels, lattice = data
+    far = 3_000_000
+    torn = lattice.selectExpr("voxel_id", f"row + if(row > 1, {far}, 0) as row", f"col + if(col > 1, {far}, 0) as col", "voxel_id as partition_id", "excluded")
+    config = FitConfig(degree=1, a=0.01, b=2.0, burnin=0, mcmc_sample=1, thinning=1, seed=6, radii=(1, 2), keep_burnin=True,
+                       update_theta=False, update_delta=True, update_sigma=False, update_a=False, update_alpha=False, rule="map")
+    fit = fit_selection_model(images, labels, torn, config)
+    rows = {(r.iter, r.voxel_id): r for r in fit.voxel.collect()}
+    quarter = lambda v: (v % SIDE > 1, v // SIDE > 1)
+    for (i, v), r in rows.items():
+        near = [u for u in range(1, SIDE * SIDE) if quarter(u) == quarter(v)]
+        if v:
+            assert r.p == pytest.approx(sum(rows[(i, u)].delta for u in near) / len(near))

@@ -150,10 +150,30 @@ def test_excluded_voxels_have_no_effect_anywhere(spark):
 
 
 def test_gamma_draw_is_the_same_in_sql_and_in_the_fit(spark):
-    from voxelfield.plans.selection_fit import gamma_draw
-
-    for twice in (2, 7, 40, 41):
-        want = spark.range(1).select(F.expr(conditionals.gamma_sql(twice, 9, "tau"))).first()[0]
-        assert gamma_draw("9|tau", twice) == pytest.approx(want)
-    draws = np.array([gamma_draw(f"{i}|tau", 9) for i in range(4000)])
-    assert abs(draws.mean() - 4.5) < 0.12 and abs(draws.var() - 4.5) < 0.5
+    from voxelfield.functions.gamma import gamma_draw, gamma_sql
+
+    df = spark.createDataFrame([(s,) for s in (1.0, 3.5, 20.0, 20.5, 2.9e6)], "shape double")
+    for row in df.select("shape", F.expr(gamma_sql("shape", 9, "tau")).alias("draw")).collect():
+        assert gamma_draw("9|tau", row.shape) == pytest.approx(row.draw)
+    for shape in (1.0, 4.5, 400.0):
+        draws = np.array([gamma_draw(f"{i}|tau", shape) for i in range(6000)])
+        assert abs(draws.mean() - shape) < 4 * math.sqrt(shape / 6000)
+        assert abs(draws.var() / shape - 1) < 0.15
+        assert abs(((draws - shape) ** 3).mean() / shape**1.5 - 2 / math.sqrt(shape)) < 0.45
+
+
+def test_counter_generator():
+    """Published values of the generator, and uniforms that do not depend on how they are asked for."""
+    from voxelfield.functions import counter
+
+    full = np.full(1, 0xFFFFFFFF, np.uint32)
+    assert [int(w[0]) for w in counter.threefry((0, 0), np.zeros(1, np.uint32), np.zeros(1, np.uint32))] == [0x6B200159, 0x99BA4EFE]
+    assert [int(w[0]) for w in counter.threefry((0xFFFFFFFF, 0xFFFFFFFF), full, full)] == [0x1CB996FC, 0xBB002BE7]
+    key = counter.stream(1, "step", 2)
+    u = counter.counter_uniforms(key, np.arange(20_000)[:, None], np.arange(5))
+    assert u[777, 3] == counter.counter_uniforms(key, np.array([777]), np.array([3]))[0]
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002
+    assert np.abs(np.corrcoef(u.T) - np.eye(5)).max() < 0.03
+    ids = np.array([5, 5 + (1 << 32), -1, 5])
+    v = counter.id_uniforms(key, ids)
+    assert v[0] == v[3] and len(set(v.tolist())) == 3

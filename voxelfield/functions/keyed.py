@@ -6,8 +6,11 @@ layout or retries, so a lost executor recomputes exactly the same values.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +51,13 @@ def keyed_normals(size: int, *parts: Key | int | str) -> Column:
     """Array of ``size`` standard normals, from the uniforms of the same key."""
     uniforms = f"transform(sequence(0, {size - 1}), position -> {uniform_sql(*parts, Key('position'))})"
     return F.expr(f"transform({uniforms}, u -> {norm_ppf_sql('u')})")
+
+
+def uniforms(prefix: str, items: Iterable) -> np.ndarray:
+    """The uniforms of ``keyed_uniform`` for keys ``prefix|item``, outside Spark's expressions."""
+    start, out = hashlib.md5(prefix.encode()), []
+    for item in items:
+        key = start.copy()
+        key.update(f"|{item}".encode())
+        out.append((int(key.hexdigest()[:HEX_DIGITS], 16) + 0.5) / SPAN)
+    return np.array(out)

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelfield.functions.gamma import gamma_sql
 from voxelfield.functions.hermite import basis_array, dot, with_basis_columns
-from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform, uniform_sql
-from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf, norm_ppf_sql
+from voxelfield.functions.keyed import Key, keyed_normals, keyed_uniform
+from voxelfield.functions.normal import EPSILON, EXPONENTIAL_TAIL, norm_cdf, norm_ppf
 from voxelfield.operators.additive import active_voxels, log_likelihood, sum_of_squares, with_subject_columns
 from voxelfield.operators.joins import theta_bytes, voxel_join
 
@@ -253,38 +254,22 @@ def latent_draw(eta: DataFrame, labels: DataFrame, seed: int, keys: Sequence[str
     return staged.select(*keys, "subject_id", z.alias("z"))
 
 
-def gamma_sql(twice_shape: int, seed: int, name: str) -> str:
-    """Gamma(twice_shape / 2, 1) of keyed uniforms, as SQL text.
-
-    A sum of as many exponentials as there are whole pairs, and half a squared
-    standard normal if one is left over: exact, and repeatable anywhere.
-    """
-    half = twice_shape // 2
-    logs = f"transform(sequence(1, {half}), i -> ln({uniform_sql(seed, name, Key('i'))}))"
-    text = f"(0.0D - aggregate({logs}, 0.0D, (total, x) -> total + x))" if half else "0.0D"
-    if twice_shape % 2:
-        normal = norm_ppf_sql(uniform_sql(seed, name, 0))
-        text = f"({text} + 0.5D * pow({normal}, 2))"
-    return text
-
-
 def variance_conditional(
     state: DataFrame, scalars: DataFrame, n_basis: int, seed: int, cap: float | None = None
 ) -> DataFrame:
     """Shape, rate and draw of tau = 1/sigma^2, then the draw of 1/a.
 
     The sums are distributed; the draws are expressions on the one resulting
-    row. The number of voxels, read once, fixes how many uniforms they take.
+    row and take as many uniforms for few voxels as for many.
     """
     sums = state.agg(F.sum(sum_of_squares("theta")).alias("__sq"), F.count("*").alias("__p"))
-    voxels = state.count()
     row = sums.withColumns({
         "__alpha": scalars.select("alpha").scalar(), "__inv_a": scalars.select("inv_a").scalar(),
     }).select(
         (0.5 * n_basis * F.col("__p") + 1).alias("shape"),
         (F.col("__inv_a") + 0.5 * F.col("__sq") + 0.5 * F.col("__alpha") * F.col("__alpha")).alias("rate"),
     )
-    tau = F.expr(gamma_sql(n_basis * voxels + 2, seed, "tau")) / F.col("rate")
+    tau = F.expr(gamma_sql("shape", seed, "tau")) / F.col("rate")
     drawn = row.withColumn("inv_sigma_sq", F.least(tau, F.lit(float(cap))) if cap is not None else tau)
     inv_a = -F.log(keyed_uniform(seed, "inv_a")) / (F.col("inv_sigma_sq") + 1)
     return drawn.select("shape", "rate", "inv_sigma_sq", inv_a.alias("inv_a"))

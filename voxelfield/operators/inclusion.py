@@ -23,16 +23,45 @@ def window_means(place: np.ndarray, delta: np.ndarray, kept: np.ndarray, radius:
     """Mean delta over the kept cells in the square around each (row, col) of ``place``; NaN where there is none.
 
     Sums and counts come from two-dimensional prefix sums, so a place without
-    a cell adds nothing to either.
+    a cell adds nothing to either. Cells are taken by tiles of the plane that
+    hold any, each with the cells its squares reach; what lies between far
+    tiles costs nothing.
     """
-    at = place - place.min(axis=0)
+    out = np.full(len(place), np.nan)
+    for own, near in tile_cells(place, radius):
+        out[own] = _box_means(place[own], place[near], delta[near], kept[near], radius)
+    return out
+
+
+def tile_cells(place: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per tile that holds cells: the cells inside, and all cells within ``radius`` of the tile."""
+    side = max(TILE, 2 * radius)
+    tiles, at = np.unique(place // side, axis=0, return_inverse=True)
+    order = np.argsort(at.ravel(), kind="stable")
+    own = np.split(order, np.cumsum(np.bincount(at.ravel(), minlength=len(tiles)))[:-1])
+    if len(tiles) == 1:
+        return [(own[0], own[0])]
+    number = {tuple(t): i for i, t in enumerate(tiles.tolist())}
+    found = []
+    for i, (row, col) in enumerate(tiles.tolist()):
+        around = [own[number[key]] for r in (-1, 0, 1) for c in (-1, 0, 1) if (key := (row + r, col + c)) in number]
+        near = np.concatenate(around)
+        low, high = tiles[i] * side - radius, (tiles[i] + 1) * side + radius
+        found.append((own[i], near[((place[near] >= low) & (place[near] < high)).all(axis=1)]))
+    return found
+
+
+def _box_means(asked: np.ndarray, place: np.ndarray, delta: np.ndarray, kept: np.ndarray, radius: int) -> np.ndarray:
+    """Means at ``asked`` over cells at ``place``, in the box around them."""
+    corner = place.min(axis=0)
+    at = place - corner
     rows, cols = at.max(axis=0) + 1
-    sums = np.zeros((2, rows + 2 * radius + 1, cols + 2 * radius + 1))
-    np.add.at(sums, (0, at[:, 0] + radius + 1, at[:, 1] + radius + 1), np.where(kept, delta, 0.0))
-    np.add.at(sums, (1, at[:, 0] + radius + 1, at[:, 1] + radius + 1), kept.astype(float))
+    sums = np.zeros((2, rows + 1, cols + 1))
+    np.add.at(sums, (0, at[:, 0] + 1, at[:, 1] + 1), np.where(kept, delta, 0.0))
+    np.add.at(sums, (1, at[:, 0] + 1, at[:, 1] + 1), kept.astype(float))
     sums = sums.cumsum(axis=1).cumsum(axis=2)
-    low, left = at[:, 0], at[:, 1]
-    high, right = low + 2 * radius + 1, left + 2 * radius + 1
+    low, left = np.maximum(asked - corner - radius, 0).T
+    high, right = np.minimum(asked - corner + radius + 1, [rows, cols]).T
     hits, count = (s[high, right] - s[low, right] - s[high, left] + s[low, left] for s in sums)
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(count > 0, hits / count, np.nan)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from voxelfield.functions import normal
+from voxelfield.functions import counter, gamma, normal
 from voxelfield.operators.ingest import IMAGE_SUFFIX
 from voxelfield.plans import fixtures as fx
 
@@ -51,6 +51,22 @@ def uniform(*parts: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT + 0.5e0) / pow(16::DOUBLE, 13))"
 
 
+def counted(source: str, key: str, first: str, second: str) -> str:
+    """The rows of ``source`` with ``u``, the uniform of a pair of counters in the stream that ``key`` names."""
+    word, carried = f"& {counter.WORD}", "* exclude (a, b)"
+    text = f"select *, md5({key}) as m from ({source})"
+    text = f"select * exclude m, ('0x' || substr(m, 1, 8))::BIGINT as k0, ('0x' || substr(m, 9, 8))::BIGINT as k1 from ({text})"
+    text = f"select *, xor(xor({counter.PARITY}, k0), k1) as k2, (({first} {word}) + k0) {word} as a, (({second} {word}) + k1) {word} as b from ({text})"
+    for i in range(counter.ROUNDS):
+        turn, step = counter.ROTATIONS[i % len(counter.ROTATIONS)], i // 4 + 1
+        text = f"select {carried}, (a + b) {word} as a, ((b << {turn}) {word}) | (b >> {32 - turn}) as b from ({text})"
+        text = f"select {carried}, a, xor(a, b) as b from ({text})"
+        if i % 4 == 3:
+            text = f"select {carried}, (a + k{step % 3}) {word} as a, (b + k{(step + 1) % 3} + {step}) {word} as b from ({text})"
+    low = counter.LOW_BITS
+    return f"select * exclude (a, b, k0, k1, k2), (((a << {low}) | (b >> {32 - low})) + 0.5e0) / {num(counter.SPAN)} as u from ({text})"
+
+
 def r6(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
@@ -365,13 +381,17 @@ ORACLE: dict[str, str] = {
     "variance_conditional": sql(
         f"""select {r6(f'0.5e0 * {L} * p + 1')} as shape, {r6('inv_a + 0.5e0 * sq + 0.5e0 * alpha * alpha')} as rate
         from scalars, (select sum(list_sum([t * t for t in theta])) as sq, count(*) as p from voxels8)""", *MODEL),
-    # tau from the sum of exponentials: its shape is a whole number here (64 voxels, odd basis size).
+    # tau from the first proposal taken; a proposal is a function of its number.
     "variance_draw": sql(
         f"""select {r6('shape')} as shape, {r6('rate')} as rate, {r6('tau')} as inv_sigma_sq,
         {r6(f"-ln({uniform(QUOTED, chr(39) + 'inv_a' + chr(39))}) / (tau + 1)")} as inv_a
-        from (select *, least((select sum(-ln({uniform(QUOTED, "'tau'", 'i')})) from range(1, 162) r(i)) / rate, 10e0) as tau
-            from (select 0.5e0 * {L} * p + 1 as shape, inv_a + 0.5e0 * sq + 0.5e0 * alpha * alpha as rate
-                from scalars, (select sum(list_sum([t * t for t in theta])) as sq, count(*) as p from voxels8)))""", *MODEL),
+        from (select shape, rate, least(arg_min(d * v, k) / rate, 10e0) as tau
+            from (select *, pow(1e0 + x / sqrt(9e0 * d), 3) as v from (select *, shape - 1 / 3e0 as d, {ppf('ux')} as x from (
+                select k, {uniform(QUOTED, "'tau'", "'x'", 'k')} as ux, {uniform(QUOTED, "'tau'", "'u'", 'k')} as u,
+                0.5e0 * {L} * p + 1 as shape, inv_a + 0.5e0 * sq + 0.5e0 * alpha * alpha as rate
+                from range({gamma.ATTEMPTS}) r(k), scalars,
+                (select sum(list_sum([t * t for t in theta])) as sq, count(*) as p from voxels8))))
+            where v > 0 and ln(u) < 0.5e0 * x * x + d - d * v + d * ln(greatest(v, 1e-300)) group by 1, 2)""", *MODEL),
     "lasso_init": sql(
         """select voxel_id, (select round(max(abs((sy - m * s) / n / sqrt((ss - s * s / n) / (n - 1)))), 6) from moments) as first_penalty,
         true as optimal, true as on_path from (select distinct voxel_id from images8)""", "images8", "labels8").replace(
@@ -385,14 +405,14 @@ ORACLE: dict[str, str] = {
         from (select sum(z - eta + (select alpha from scalars)) / (count(*) + 1) as m, 1e0 / (count(*) + 1) as v from subjects8),
         (select i as iter, {uniform(QUOTED, "'alpha'", 'i', "'0'", "'0'")} as u from range(5) r(i))""", *MODEL),
     "fit_latent": sql(
-        f"""select iter::int as iter, subject_id, {r6(f'side * (m - {ppf("q")})')} as z from (select *, u * {cdf('m')} as q from (
-            select i as iter, subject_id, side, side * (eta - (select alpha from scalars) + 0.3e0) as m,
-            {uniform(QUOTED, "'z'", 'i', "'0'", "'0'", 'subject_id')} as u
-            from (select *, case when y = 1 then 1 else -1 end as side from eta8 join labels8 using (subject_id)), range(2, 5) r(i)))""", *MODEL),
+        f"""select iter::int as iter, subject_id, {r6(f'side * (m - {ppf("q")})')} as z from (select *, u * {cdf('m')} as q from (select *, side * eta0 as m from ({counted(
+            "select i as iter, subject_id, side, eta - (select alpha from scalars) + 0.3e0 as eta0"
+            " from (select *, case when y = 1 then 1 else -1 end as side from eta8 join labels8 using (subject_id)), range(2, 5) r(i)",
+            f"concat_ws('|', {QUOTED}, 'z', iter, '0', '0')", 'subject_id', '(subject_id >> 32)')})))""", *MODEL),
     "fit_prior_theta": sql(
-        f"""select iter::int as iter, voxel_id, l::int as l, {r6(ppf('u'))} as theta_l from (
-            select i as iter, voxel_id, l, {uniform(QUOTED, "'theta'", 'i', "'0'", "'0'", 'voxel_id', 'l')} as u
-            from voxels8, range(2, 5) r(i), range({L}) t(l) where not excluded)""", *IMAGES),
+        f"""select iter::int as iter, voxel_id, l::int as l, {r6(ppf('u'))} as theta_l from ({counted(
+            f"select i as iter, voxel_id, l from voxels8, range(2, 5) r(i), range({L}) t(l) where not excluded",
+            f"concat_ws('|', {QUOTED}, 'theta', iter, '0', '0')", 'voxel_id', 'l')})""", *IMAGES),
     "fit_one_delta": sql(
         f"""select i::int as iter, voxel_id, case when voxel_id = 20 then (select (0.5e0 * sum(f * f) - sum((z - 0.3e0) * f)
             + ln((1 - max(p) + {EPS}) / (max(p) + {EPS})) <= 0)::int from effects8 join z8 using (subject_id) join voxels8 using (voxel_id)

@@ -57,6 +57,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared file system; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file in the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True).close()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage.
 
