@@ -63,3 +63,42 @@ def test_messy(messy, empty):
     assert len(found) == len(MESSY)
     assert all(r.lang_pred == "und" for r in found if r.doc_id in (4, 5, 6, 10))
     assert langid.identify(empty).collect() == []
+
+
+def test_no_label_rejects_letterless_texts_only(spark, messy):
+    from pyspark.sql import functions as F
+
+    unlabelled = messy.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.fit(unlabelled)
+    assert model.labels == []
+    found = langid.predict(unlabelled, model, ["doc_id", "text"]).collect()
+    for r in found:
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, not letters)
+
+
+def test_labels_are_learned_without_ids_and_above_the_bound(spark):
+    """Rows without a doc_id are sampled by their text: no label is lost, none is taken whole."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
+    labels = {r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()}
+    for bound in (20, 60):
+        assert set(langid.fit(docs, sample_rows=bound).labels) == labels
+
+
+def test_prediction_against_plain_cosines(spark):
+    """Every prediction is the centroid of the greatest cosine, one text at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    model = langid.fit(docs)
+    for r in langid.predict(docs, model, ["text"]).collect():
+        raw, letters = langid.counts(r.text)
+        if not letters:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        row, _ = langid.vectors([r.text], model.idf)
+        cosines = [float(row[0] @ c) for c in model.centroids]
+        best = max(cosines)
+        close = [lang for lang, c in zip(model.labels, cosines) if best - c < 1e-5]
+        assert r.lang_pred in close and abs(r.score - best) < 1e-4
+        assert abs(float((row[0] ** 2).sum()) - 1) < 1e-3

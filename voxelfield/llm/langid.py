@@ -126,13 +126,14 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from ``documents`` (doc_id, text, lang); rows without a label do not count.
 
     Document frequencies cover all rows. The centroids of a language are
-    fitted on its ``sample_rows`` rows with the least hash of doc_id.
+    fitted on its rows with the least hash of doc_id and text, about
+    ``sample_rows`` of them; copies of a row fall in or out together.
     """
     known = documents.where("lang is not null and text is not null")
     frequency, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + np.float32(1)
 
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     ranks = known.select("lang", order.alias("order"))
     sizes = ranks.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
@@ -171,8 +172,10 @@ def predict(documents: DataFrame, model: LanguageModel, columns: list[str]) -> D
     """``columns`` of ``documents`` with lang_pred, score, distance and rejected.
 
     ``und`` and score 0 stand for NULL texts, texts without a letter, and a
-    model that has learned no language. Only the text decides. Ties go to the
-    language that comes first.
+    model that has learned no language. Rejected are texts without a letter
+    and those too far from every centroid; a model without languages rejects
+    no other text. Only the text decides. Ties go to the language that comes
+    first.
     """
     sent = documents.sparkSession.sparkContext.broadcast((model.idf, model.labels, model.centroids))
     schema = documents.select(*columns).schema
@@ -189,9 +192,10 @@ def predict(documents: DataFrame, model: LanguageModel, columns: list[str]) -> D
         there = (letters > 0) & bool(known.labels)
         score = np.where(there, score, 0.0)
         limit = np.where(letters >= REJECT_LETTERS, REJECT_DISTANCE, 1.0)
+        far = (1 - score >= limit) & bool(known.labels)
         label = [known.labels[b] if t else UNKNOWN for b, t in zip(best, there)]
         return pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in columns), pa.array(label, pa.string()), pa.array(score), pa.array(~there | (1 - score >= limit))],
+            [*(part.column(c) for c in columns), pa.array(label, pa.string()), pa.array(score), pa.array((letters == 0) | far)],
             names=[*columns, "lang_pred", "score", "rejected"],
         )
 
