@@ -11,8 +11,12 @@ written as Parquet and read again as the next one's input.
 
 Decisions are keyed by doc_id and a hash of doc_id and text, so rows that
 repeat a doc_id are told apart, and rows without a doc_id are decided too. Of
-several rows that an operator would keep from one group (equal doc_id), one
-stays.
+several rows that an operator would keep from one group (equal doc_id), the one
+with the least hash of all its columns stays. The columns of a row travel as
+one, so no further column's name can clash with a stage's own.
+
+Where no row has a language to learn from, the language stage drops texts
+without a letter only; such texts go in any case.
 """
 
 from __future__ import annotations
@@ -30,21 +34,24 @@ KEY_BYTES = 48
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__mark": F.xxhash64("doc_id", "text")})
+    """Rows as ``doc``, with what decides about them."""
+    id_, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.xxhash64("doc_id", "text")
+    return docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", id_.alias(KEY[0]), mark.alias(KEY[1]))
 
 
-def _one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (keyed) that ``decided`` (KEY, kept, __group) keeps, one per group."""
+def _one_of_each(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """The documents of ``keyed`` that ``decided`` (KEY, kept, __group) keeps, one per group."""
+    rows = keyed.select("doc", *KEY)
     gone = stored(decided.where(~F.col("kept")).select(*KEY).distinct(), "gone")
-    left = voxel_join(docs, gone, KEY, "left_anti", row_bytes=KEY_BYTES)
+    left = voxel_join(rows, gone, KEY, "left_anti", row_bytes=KEY_BYTES)
     staying = decided.where(F.col("kept") & F.col("__group").isNotNull())
     several = staying.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
     repeats = stored(staying.join(several, "__group").select(*KEY, "__group").distinct(), "repeats")
     if repeats.isEmpty():
-        return left.drop(*KEY)
+        return left.select("doc.*")
     alone = voxel_join(left, repeats.select(*KEY).distinct(), KEY, "left_anti", row_bytes=KEY_BYTES)
-    chosen = left.join(repeats, KEY).dropDuplicates(["__group"]).drop("__group")
-    return alone.unionByName(chosen).drop(*KEY)
+    chosen = left.join(repeats, KEY).groupBy("__group").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return alone.select("doc").unionByName(chosen.select("doc")).select("doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,27 @@ def test_run(spark):
 
 def test_stages_of_the_contract():
     assert [n for n, _ in cp.STAGES] == ["language", "exact_dedup", "near_dedup", "mix", "encode"]
+
+
+def test_no_name_of_a_column_clashes(spark):
+    names = ["doc", "cuts", "Row", "__id", "__mark", "__group", "LANG_PRED", "Kept", "at"]
+    rows = [(i, "some words of text %d" % (i // 2), "en", "s", 9) + tuple(f"{n}{i}" for n in names) for i in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns, name
+        assert found.count() and all(r[n] == f"{n}{r.doc_id}" for r in found.collect() for n in names), name
+
+
+def test_unlabelled_corpus_is_kept(spark, messy):
+    from pyspark.sql import functions as F
+
+    kept = cp.language(spark, messy.withColumn("lang", F.lit(None).cast("string")), SF).collect()
+    assert len(kept) == sum(any(c.isalpha() for c in text or "") for _, text, *_ in MESSY)
+
+
+def test_choice_among_equal_ids_does_not_depend_on_the_order(spark):
+    rows = [(1, "A b c d e f", lang, f"s{i}") for i, lang in enumerate(["en", "de", None, "fr"])]
+    first = cp.exact_dedup(spark, frame(spark, rows).repartition(1), SF).collect()
+    assert len(first) == 1 and first == cp.exact_dedup(spark, frame(spark, rows[::-1]).repartition(3), SF).collect()

@@ -261,32 +261,31 @@ def mixed_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, sh
     take. n_chars, where there is such a column, is counted anew.
     """
     columns = documents.columns
-    held = stored(numbered(documents.withColumnRenamed("row", "__row") if "row" in columns else documents), "mixed")
-    rows = takings(stored(sizes(held), "sizes"), weights, share)
+    # Columns travel as one, so that no name of theirs, in upper or lower case, can clash.
+    held = stored(numbered(documents.select(F.struct(*columns).alias("doc"))), "mixed")
+    rows = takings(stored(sizes(held.select("row", "doc.doc_id", "doc.source", "doc.text")), "sizes"), weights, share)
     if rows is None:
         return documents
-    cuts = rows.where("times > 0").groupBy("row").agg(F.collect_list(F.struct("at", "words", "times")).alias("__cuts"))
-    whole = held.join(cuts, "row")
-    whole = whole.drop("row").withColumnRenamed("__row", "row") if "row" in columns else whole.drop("row")
-    schema = documents.schema
+    cuts = rows.where("times > 0").groupBy("row").agg(F.collect_list(F.struct("at", "words", "times")).alias("cuts"))
+    whole = held.join(cuts, "row").select("doc", F.col("doc.text").alias("text"), "cuts")
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 source_rows, texts = [], []
-                for i, (text, found) in enumerate(zip(part.column("text").to_pylist(), part.column("__cuts").to_pylist())):
+                for i, (text, found) in enumerate(zip(part.column("text").to_pylist(), part.column("cuts").to_pylist())):
                     for copy in copies(text, [(c["at"], c["words"], c["times"]) for c in found]):
                         source_rows.append(i)
                         texts.append(copy)
-                taken = part.select(columns).take(pa.array(source_rows, pa.int64()))
-                arrays = [pa.array(texts, pa.string()) if i == place else taken.column(i) for i in range(len(columns))]
+                taken = part.column("doc").take(pa.array(source_rows, pa.int64())).flatten()
+                arrays = [pa.array(texts, pa.string()) if i == place else taken[i] for i in range(len(columns))]
                 if "n_chars" in columns:
                     at = columns.index("n_chars")
                     arrays[at] = pa.array([len(t) for t in texts], pa.int64()).cast(arrays[at].type)
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return whole.select(*columns, "__cuts").mapInArrow(run, schema)
+    return whole.mapInArrow(run, documents.schema)
 
 
 def copies(text: str, cuts: list[tuple[int, int, int]]) -> list[str]:
