@@ -89,3 +89,27 @@ def test_chain_choice_breaks_ties_by_id(spark):
     draws = spark.range(41).select(F.col("id").cast("int").alias("iter"))
     kept = posterior.retain_draws(draws, 20, 4)
     assert [(r.iter, r.slot) for r in kept.orderBy("iter").collect()] == [(24, 1), (28, 2), (32, 3), (36, 4), (40, 5)]
+
+
+def test_an_aborted_write_leaves_the_old_version(spark, tmp_path):
+    """Nothing is visible before a write's entry; writers of other keys go on; appended parts add up."""
+    path = str(tmp_path / "sets")
+    keys = {"dataset": "digits", "replicate": 1, "chain": 1}
+    rows = lambda n: spark.range(n).select(F.col("id").alias("subject_id"))
+    with pytest.raises(ValueError):
+        datasets.load_dataset(spark, path, chain=1)
+    datasets.save_dataset(rows(5), path, keys, "overwrite")
+    broken = rows(100).repartition(4).withColumn("subject_id", F.when(F.col("subject_id") == 77, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("subject_id")))
+    with pytest.raises(Exception, match="lost"):
+        datasets.save_dataset(broken, path, keys, "overwrite")
+    assert datasets.load_dataset(spark, path, dataset="digits", chain=1).count() == 5
+    datasets.save_dataset(rows(7), path, {**keys, "chain": 2})
+    datasets.save_dataset(rows(2), path, {**keys, "chain": 2})
+    assert datasets.load_dataset(spark, path, chain=2).count() == 9
+    datasets.save_dataset(rows(3), path, keys, "overwrite")
+    assert datasets.load_dataset(spark, path, chain=1).count() == 3
+    found = datasets.load_dataset(spark, path, dataset="digits")
+    assert found.count() == 12 and {(r.replicate, r.chain) for r in found.select("replicate", "chain").collect()} == {(1, 1), (1, 2)}
+    assert datasets.drop_unfinished(spark, path) == []
+    dropped = datasets.drop_unfinished(spark, path, older_than_s=-1)
+    assert len(dropped) == 2 and datasets.load_dataset(spark, path, dataset="digits").count() == 12

@@ -156,3 +156,19 @@ def test_voxel_join_broadcasts_only_what_is_proven_to_fit(spark, monkeypatch):
         return "ResolvedHint" in joined._jdf.queryExecution().analyzed().toString()
 
     assert plan(10_000) and not plan(9_990)
+
+
+def test_window_means_of_far_cells_and_wide_squares():
+    """Cells strewn over a plane far too large for a box, squares wider than a tile."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    place = np.unique(np.concatenate([
+        rng.integers(0, 900, (400, 2)), rng.integers(0, 40, (200, 2)) + [5_000_000_000, 3], rng.integers(0, 9, (30, 2)) - [2_000_000, 7_000_000_000],
+    ]), axis=0)
+    delta, kept = rng.integers(0, 2, len(place)).astype(float), rng.random(len(place)) < 0.8
+    for radius in (0, 1, 30, 300, 700):
+        got = inclusion.window_means(place, delta, kept, radius)
+        for i in range(0, len(place), 7):
+            near = (np.abs(place - place[i]) <= radius).all(axis=1) & kept
+            assert (np.isnan(got[i]) and not near.any()) or got[i] == pytest.approx(delta[near].mean())

@@ -29,7 +29,7 @@ def window_means(place: np.ndarray, delta: np.ndarray, kept: np.ndarray, radius:
     """
     out = np.full(len(place), np.nan)
     for own, near in tile_cells(place, radius):
-        out[own] = _box_means(place[own], place[near], delta[near], kept[near], radius)
+        out[own] = _looked_up(place[own], *_box_sums(place[near], delta[near], kept[near]), radius)
     return out
 
 
@@ -51,17 +51,21 @@ def tile_cells(place: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndar
     return found
 
 
-def _box_means(asked: np.ndarray, place: np.ndarray, delta: np.ndarray, kept: np.ndarray, radius: int) -> np.ndarray:
-    """Means at ``asked`` over cells at ``place``, in the box around them."""
+def _box_sums(place: np.ndarray, delta: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corner of the box around the cells, and prefix sums over it of delta and of the number of kept cells."""
     corner = place.min(axis=0)
-    at = place - corner
-    rows, cols = at.max(axis=0) + 1
-    sums = np.zeros((2, rows + 1, cols + 1))
-    np.add.at(sums, (0, at[:, 0] + 1, at[:, 1] + 1), np.where(kept, delta, 0.0))
-    np.add.at(sums, (1, at[:, 0] + 1, at[:, 1] + 1), kept.astype(float))
-    sums = sums.cumsum(axis=1).cumsum(axis=2)
-    low, left = np.maximum(asked - corner - radius, 0).T
-    high, right = np.minimum(asked - corner + radius + 1, [rows, cols]).T
+    at = place - corner + 1
+    shape = at.max(axis=0) + 1
+    flat, size = at[:, 0] * shape[1] + at[:, 1], int(shape[0] * shape[1])
+    both = [np.bincount(flat, weights=w, minlength=size).reshape(shape) for w in (np.where(kept, delta, 0.0), kept.astype(float))]
+    return corner, np.stack(both).cumsum(axis=1).cumsum(axis=2)
+
+
+def _looked_up(asked: np.ndarray, corner: np.ndarray, sums: np.ndarray, radius: int) -> np.ndarray:
+    """Means over the squares around ``asked``: four lookups each, whatever the radius."""
+    most = np.array(sums.shape[1:]) - 1
+    low, left = np.clip(asked - corner - radius, 0, most).T
+    high, right = np.clip(asked - corner + radius + 1, 0, most).T
     hits, count = (s[high, right] - s[low, right] - s[high, left] + s[low, left] for s in sums)
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(count > 0, hits / count, np.nan)
@@ -85,13 +89,11 @@ def _with_window_means(
     def means(tile: pa.Table) -> pa.Table:
         own = tile.column("__cell").is_valid()
         place = np.stack([np.asarray(tile.column("__row")), np.asarray(tile.column("__col"))], axis=1).astype(np.int64)
-        delta = np.asarray(tile.column("__delta"), dtype=float)
-        found = [
-            pa.array(window_means(place, delta, np.asarray(tile.column(f"__{mask}"), dtype=bool), r), pa.float64(), from_pandas=True)
-            for mask in kinds for r in radii
-        ]
-        full = pa.table([tile.column("__cell"), *found], names=["__cell", *names])
-        return full.filter(own)
+        delta, asked, found = np.asarray(tile.column("__delta"), dtype=float), place[np.asarray(own)], []
+        for mask in kinds:
+            sums = _box_sums(place, delta, np.asarray(tile.column(f"__{mask}"), dtype=bool))
+            found += [pa.array(_looked_up(asked, *sums, r), pa.float64(), from_pandas=True) for r in radii]
+        return pa.table([tile.column("__cell").filter(own), *found], names=["__cell", *names])
 
     schema = StructType([StructField("__cell", rows.schema["__cell"].dataType)] + [StructField(n, DoubleType()) for n in names])
     result = rows.groupBy(*[f"__key_{k}" for k in keys], "__tile").applyInArrow(means, schema)

@@ -418,7 +418,7 @@ ORACLE: dict[str, str] = {
             + ln((1 - max(p) + {EPS}) / (max(p) + {EPS})) <= 0)::int from effects8 join z8 using (subject_id) join voxels8 using (voxel_id)
             where voxel_id = 20) else 0 end as delta from voxels8, range(2, 5) r(i)""", *MODEL),
     "fit_roi": """select i::int as iter, count(*) as n_voxels, min(o_orderkey)::int as first, max(o_orderkey)::int as last
-        from orders, range(1, 3) r(i) where o_orderkey < 200 and o_orderkey % 10 < 5 and o_orderkey // 10 % 10 < 5
+        from orders, range(1, 3) r(i) where o_orderkey < 1000 and o_orderkey % 10 < 5 and o_orderkey // 10 % 10 < 5
         and not o_totalprice < 20000 group by 1""",
     "retain_draws": sql(
         f"""select chain_id, iter, voxel_id, delta, ((iter - 20) // 4)::int as slot, l::int as l, {r6('theta[l + 1]')} as theta_l

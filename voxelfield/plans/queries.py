@@ -30,7 +30,7 @@ from voxelfield.operators import (
 )
 from voxelfield.operators.ranking import range_cuts, row_numbers
 from voxelfield.plans import fixtures as fx
-from voxelfield.plans.selection_fit import FitConfig
+from voxelfield.plans.selection_fit import Fit, FitConfig, summarise
 from voxelfield.plans.selection_fit import fit_selection_model as run_fit
 from voxelfield.session import settle, shared_dir
 from voxelfield.sources import datasets, files
@@ -247,7 +247,7 @@ def stratified_split(spark, sf):
 def lasso_init(spark, sf):
     """The start of the penalty path, and whether each voxel meets the optimality conditions of the penalty chosen."""
     images, labels = fx.images8(spark, sf), fx.labels8(spark, sf)
-    path = initial.penalty_path(images, labels, 8, 0.05)
+    path = initial.penalty_path(images, labels, 20, 0.01)
     state = settle(initial.lasso_init(images, labels, folds=5, seed=SEED, lambdas=path))
     people = images.join(state.select("voxel_id", "coef"), "voxel_id").groupBy("subject_id").agg(F.sum(F.col("value") * F.col("coef")).alias("eta"))
     miss = 1 / (1 + F.exp(-F.col("eta") - F.col("alpha"))) - F.col("y")
@@ -512,24 +512,40 @@ def fit_selection_model_graph(spark, sf):
     return fit.scalar
 
 
-def _roi_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Voxels of one atlas label, named by their place in the volume, and their neighbours."""
-    volume = fx.volume(spark, sf).where("z < 2")
-    roi = settle(parcels.roi_voxels(volume, fx.volume_parcels(spark, sf), 10).withColumnRenamed("flat_index", "voxel_id"))
-    return roi.select("voxel_id", F.lit(False).alias("excluded")), graphs.voxel_neighbors6(roi)
+def _roi_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voxels of one atlas label, named by their place in the volume, their neighbours, and images of them.
+
+    The region's voxels take the images' places in turn.
+    """
+    roi = settle(parcels.roi_voxels(fx.volume(spark, sf), fx.volume_parcels(spark, sf), 10).withColumnRenamed("flat_index", "voxel_id"))
+    lattice = roi.select("voxel_id", F.lit(False).alias("excluded"))
+    ranked = row_numbers(lattice, [], "voxel_id", range_cuts(lattice, "voxel_id"), "at")
+    ranked = ranked.select("voxel_id", ((F.col("at") - 1) % 64).cast("int").alias("at"))
+    images = fx.images8(spark, sf).withColumnRenamed("voxel_id", "at").join(ranked, "at").select("subject_id", "voxel_id", "value")
+    return images, lattice, graphs.voxel_neighbors6(roi)
+
+
+def _roi_fit(spark: SparkSession, sf: str) -> tuple[Fit, FitConfig]:
+    images, lattice, edges = _roi_inputs(spark, sf)
+    config = FitConfig(degree=D, a=A, b=B, burnin=0, mcmc_sample=2, thinning=1, seed=SEED)
+    return run_fit(images, fx.labels8(spark, sf), lattice=lattice, edges=edges, config=config), config
 
 
 @query
 def fit_roi(spark, sf):
-    """A fit on an atlas region, whose voxel ids have gaps."""
-    lattice, edges = _roi_inputs(spark, sf)
-    ranked = row_numbers(lattice, [], "voxel_id", range_cuts(lattice, "voxel_id"), "at").withColumn("at", F.col("at") - 1)
-    images = fx.images8(spark, sf).withColumnRenamed("voxel_id", "at").join(ranked, "at").select("subject_id", "voxel_id", "value")
-    config = FitConfig(degree=D, a=A, b=B, burnin=0, mcmc_sample=2, thinning=1, seed=SEED)
-    draws = run_fit(images, fx.labels8(spark, sf), lattice=lattice, edges=edges, config=config).voxel
+    """A fit on an atlas region, whose voxel ids have gaps: the voxels of each draw."""
+    draws = _roi_fit(spark, sf)[0].voxel
     return draws.groupBy("iter").agg(F.count("*").alias("n_voxels"), F.min("voxel_id").alias("first"), F.max("voxel_id").alias("last"))
 
 
+@query
+def fit_roi_means(spark, sf):
+    """Posterior means of a fit on an atlas region."""
+    fit, config = _roi_fit(spark, sf)
+    means = summarise(fit, config)["voxel"]
+    return items(means, "theta", "l", "theta_l")
+
+
 def _still(**moving) -> FitConfig:
     off = {f"update_{name}": False for name in ("theta", "alpha", "delta", "z", "sigma", "a")}
     return FitConfig(degree=D, a=A, b=B, burnin=1, mcmc_sample=3, thinning=1, seed=SEED, radii=(1,), **{**off, **moving})

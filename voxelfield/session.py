@@ -70,6 +70,19 @@ def touch(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True).close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in the shared file system; it appears under its name in full or not at all."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder, name = os.path.split(path)
+    part, where = hadoop(os.path.join(folder, f"_{name}")), hadoop(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not system.rename(part, where):
+        raise OSError(f"cannot write {path}")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage.
 
