@@ -177,3 +177,20 @@ def test_counter_generator():
     ids = np.array([5, 5 + (1 << 32), -1, 5])
     v = counter.id_uniforms(key, ids)
     assert v[0] == v[3] and len(set(v.tolist())) == 3
+
+
+def test_radius_scores_count_all_subjects(spark):
+    """Subjects without a cell in a partition, or without any, count in every score."""
+    f = {(0, 0): 0.5, (0, 1): -1.0, (1, 0): 2.0, (2, 1): 0.25}  # (subject, voxel); voxel 0 in partition 1, voxel 1 in 2
+    z, alpha, p, cand = {0: 1.0, 1: -0.5, 2: 2.0, 3: 0.75}, 0.3, {0: 0.4, 1: 0.6}, {(0, 1): 0.1, (0, 2): 0.9, (1, 1): 1.0, (1, 2): 0.2}
+    effects = spark.createDataFrame([(i, v, x) for (i, v), x in f.items()], "subject_id long, voxel_id int, f double")
+    probs = spark.createDataFrame([(v, x, v + 1, False) for v, x in p.items()], "voxel_id int, p double, partition_id int, excluded boolean")
+    candidates = spark.createDataFrame([(v + 1, r, v, x) for (v, r), x in cand.items()], "partition_id int, radius int, voxel_id int, p double")
+    people = spark.createDataFrame(list(z.items()), "subject_id long, z double")
+    scalars = spark.createDataFrame([(alpha,)], "alpha double")
+    got = {(r.partition_id, r.radius): r.loglik for r in conditionals.radius_scores(effects, probs, candidates, [1, 2], people, scalars).collect()}
+    for part in (1, 2):
+        for radius in (1, 2):
+            use = {v: cand[(v, radius)] if v + 1 == part else p[v] for v in p}
+            rest = [z[i] - alpha - sum(use[v] * x for (j, v), x in f.items() if j == i) for i in z]
+            assert got[(part, radius)] == pytest.approx(-0.5 * sum(r * r for r in rest))

@@ -195,7 +195,8 @@ def radius_scores(
     """(partition_id, radius, loglik): fit of the smoothed map at every candidate.
 
     A candidate changes the map inside one partition only, so each subject
-    needs its base sum and one difference per partition and radius.
+    needs its base sum and one difference per partition and radius. All
+    subjects of ``z`` count, also those without a cell in a partition or at all.
     """
     by_radius = candidates.groupBy("voxel_id", "partition_id").pivot("radius", list(radii)).agg(F.first("p"))
     voxels = by_radius.join(active_voxels(probs).select("voxel_id", F.col("p").alias("__p")), "voxel_id")
@@ -205,12 +206,16 @@ def radius_scores(
     )
     moves = F.struct("partition_id", *[F.col(f"__s{r}") for r in radii])
     people = parts.groupBy("subject_id").agg(F.sum("__base").alias("__base"), F.collect_list(moves).alias("__moves"))
-    people = people.join(z.select("subject_id", "z"), "subject_id")
-    rest = F.col("z") - alpha.select("alpha").scalar() - F.col("__base")
-    spread = people.select(rest.alias("__rest"), F.explode("__moves").alias("m")).select("__rest", "m.*")
-    fits = spread.groupBy("partition_id").agg(
-        *[(-0.5 * F.sum(F.pow(F.col("__rest") - F.col(f"__s{r}"), F.lit(2)))).alias(str(r)) for r in radii]
+    people = z.select("subject_id", "z").join(people, "subject_id", "left")
+    rest = F.col("z") - alpha.select("alpha").scalar() - F.coalesce("__base", F.lit(0.0))
+    people = people.select(rest.alias("__rest"), "__moves")
+    total = people.agg(F.sum(F.col("__rest") * F.col("__rest")).alias("total"))
+    spread = people.select("__rest", F.explode("__moves").alias("m")).select("__rest", "m.*")
+    # Without a cell in the partition the difference is 0, so only the others change the sum over all subjects.
+    changes = spread.groupBy("partition_id").agg(
+        *[F.sum(F.col(f"__s{r}") * (F.col(f"__s{r}") - 2 * F.col("__rest"))).alias(f"__c{r}") for r in radii]
     )
+    fits = changes.select("partition_id", *[(-0.5 * (total.scalar() + F.col(f"__c{r}"))).alias(str(r)) for r in radii])
     long = fits.unpivot("partition_id", [F.col(f"`{r}`") for r in radii], "radius", "loglik")
     return long.withColumn("radius", F.col("radius").cast("int"))
 
