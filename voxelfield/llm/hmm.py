@@ -35,8 +35,8 @@ ADDED = 0.1
 PRIOR_WORDS, PRIOR_MOVES = 50.0, 1.0
 # Rounds over all training texts: the first in any case, the others while a token gains so much log-likelihood.
 WARM_ROUNDS, ROUNDS, GAIN = 4, 9, 2e-3
-# Tokens trained on together, longer texts alone; and those whose states are held at once.
-TRAIN_TOKENS, TRAIN_HELD = 1 << 22, 1 << 19
+# Tokens trained on together, whose states are all held; longer texts are trained on alone, by windows of so many.
+TRAIN_HELD = 1 << 20
 # Tokens scored together; longer texts are scored alone.
 SCORE_TOKENS = 4_000_000
 
@@ -217,12 +217,15 @@ def likely_counts(
     moves = model.moves.astype(np.float32)
     stationary = np.linalg.matrix_power(model.moves, 64).mean(axis=0)
 
-    def step(state: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    added = np.ones((STATES, 1), dtype=np.float32)  # a product with it adds up a row
+
+    def step(state: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = live[t]
-        now = emissions[classes[begins[:n] + t]]
+        which = classes[begins[:n] + t]
+        now = emissions[which]
         state = (state[:n] if t == 0 else state[:n] @ moves) * now
-        scale = state.sum(axis=1, keepdims=True)
-        return state / scale, now, scale
+        scale = state @ added
+        return state / scale, now, scale, which
 
     state = np.where(first[:, None], model.start, stationary).astype(np.float32)
     heads = [state]
@@ -235,29 +238,28 @@ def likely_counts(
     back = np.ones((0, STATES), dtype=np.float32)
     for k in range(len(heads) - 1, -1, -1):
         begin, end = cuts[k], cuts[k + 1]
-        states, seen, scales = [heads[k]], [], []
+        states, seen, scales, where, what = [heads[k]], [], [], [], []
         for t in range(begin, end):
-            state, now, scale = step(states[-1], t)
+            state, now, scale, which = step(states[-1], t)
             states.append(state)
             seen.append(now)
             scales.append(scale)
-        where, what = [], []
+            where.append(which)
+        gained += float(np.log(np.concatenate(scales)).sum(dtype=np.float64))
         for t in range(end - 1, begin - 1, -1):
             n = live[t]
             if len(back) < n:
                 back = np.vstack([back, np.ones((n - len(back), STATES), dtype=np.float32)])
             gamma = states[t - begin + 1] * back
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            where.append(classes[begins[:n] + t])
+            gamma /= gamma @ added
             what.append(gamma)
-            gained += float(np.log(scales[t - begin]).sum(dtype=np.float64))
             if t:
                 onward = seen[t - begin] * back / scales[t - begin]
                 move_counts += states[t - begin][:n].T @ onward
                 back = onward @ moves.T
             else:
                 start_counts += gamma[first[:n]].sum(axis=0)
-        where, what = np.concatenate(where), np.concatenate(what)
+        where, what = np.concatenate(where), np.concatenate(what[::-1])
         emitted += np.stack([np.bincount(where, weights=what[:, s], minlength=size) for s in range(STATES)], axis=1)
     return start_counts, move_counts * model.moves, emitted, gained
 
@@ -274,11 +276,13 @@ def baum_welch_step(texts: DataFrame, known: Vocabulary, model: Model) -> tuple[
         size = len(current.emissions)
         total = np.zeros((size + STATES + 2, STATES))
         for batch in batches:
+            # Texts of like length run together: few steps for most of them, and one window, which needs no pass for its start.
             lengths = np.asarray(pc.list_value_length(batch.column("ranks")), dtype=np.int64) + 1
-            at = 0
+            order = np.argsort(lengths, kind="stable")
+            lengths, at = lengths[order], 0
             while at < batch.num_rows:
-                n = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), TRAIN_TOKENS, side="right")))
-                classes, starts = _sequences(batch.column("ranks").slice(at, n), meta)
+                n = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), TRAIN_HELD, side="right")))
+                classes, starts = _sequences(batch.column("ranks").take(pa.array(order[at : at + n])), meta)
                 start, moves, emitted, gained = likely_counts(classes, starts, np.ones(n, dtype=bool), current)
                 total[:size] += emitted
                 total[size : size + STATES] += moves
