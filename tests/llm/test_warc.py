@@ -1,4 +1,5 @@
 import hashlib
+import time
 from html.parser import HTMLParser
 
 from voxelfield.llm import queries, warc
@@ -80,3 +81,24 @@ def test_files_round_trip(spark):
         assert all(r.complete for r in back)
         got = {r.headers["WARC-Record-ID"]: (r.headers["WARC-Refers-To"], bytes(r.block).decode()) for r in back}
         assert got == {r.record_id: (r.refers_to, r.block) for r in records.collect()}
+
+
+def test_unclosed_tags_cost_in_proportion():
+    def seconds(page):
+        started = time.process_time()
+        warc.outlinks(page, "http://h/")
+        warc.plain_text(page)
+        return time.process_time() - started
+
+    for part in ("<a ", "<p ", "<title>", "<a href=", '<a href="', "<!--", "<script", "<style>", "</title ", "<"):
+        once = min(seconds(part * 100_000) for _ in range(2))
+        assert seconds(part * 400_000) < 10 * once + 0.5, part
+
+
+def test_one_scan_of_odd_markup():
+    page = warc.scanned("a<!-- <title>no</title> <a href=x> --><title>yes</title><title>later</title>b<a title=1 href='p?q=1&amp;r'>c</a><base href=/d/>")
+    assert page.title == "yes" and page.links == ["p?q=1&amp;r"] and page.base == "/d/" and warc.plain_text(page) == "a bc"
+    assert warc.outlinks(page, "http://h/") == ["http://h/d/p?q=1&r"]
+    assert warc.plain_text("1 < 2 <3 <p>x<script>gone") == "1 < 2 <3\nx"
+    assert warc.plain_text("&#" + "9" * 10_000 + ";&#" + "0" * 10_000 + "65;") == "�A"
+    assert warc.plain_text("no end <b and more") == "no end <b and more" and warc.scanned("").pieces == [""]

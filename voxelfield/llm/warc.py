@@ -15,6 +15,7 @@ import html
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -25,18 +26,20 @@ from voxelfield.llm.text import map_slices
 
 VERSION = "WARC/1.0"
 NEWLINE = "\r\n"
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAKS = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr"
-    r"|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>",
-    re.I,
+# What a tag starts with; anything else after "<" is text.
+OPENING = re.compile(r"</?([a-zA-Z]\w*)|<[a-zA-Z/!?]")
+HIDDEN = frozenset("script style template noscript title".split())
+BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr"
+    " html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"""\"([^\"]*)\"|'([^']*)'|([^\s"'>]+)""")
 SPACES = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-BASE = re.compile(r"""<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ZEROS = re.compile(r"&#0+(?=[0-9])")
+LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 
 RECORD = (
     "source_id string, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, "
@@ -45,20 +48,78 @@ RECORD = (
 )
 
 
-def plain_text(page: str) -> str:
+@dataclass
+class Page:
+    """What one pass over a page's tags finds: text pieces, the first title, the first base and all links as written."""
+
+    pieces: list[str] = field(default_factory=list)
+    title: str | None = None
+    base: str | None = None
+    links: list[str] = field(default_factory=list)
+
+
+def scanned(page: str) -> Page:
+    """Read a page tag by tag, once; a page of unclosed tags costs no more than any other.
+
+    A tag ends at its first ">"; without one the rest of the page is text. An
+    unclosed comment or hidden element hides the rest. What is hidden has no
+    links.
+    """
+    out, at, shown = Page(), 0, 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            out.pieces += [page[shown:at], " "]
+            at = shown = len(page) if end < 0 else end + 3
+            continue
+        opening = OPENING.match(page, at)
+        if opening is None:
+            at += 1
+            continue
+        end = page.find(">", at)
+        if end < 0:
+            break
+        out.pieces.append(page[shown:at])
+        name, first = (opening.group(1) or "").lower(), page[at + 1] != "/"
+        if first and name in HIDDEN:
+            close = CLOSING[name].search(page, end + 1)
+            if name == "title" and out.title is None and close:
+                out.title = page[end + 1 : close.start()]
+            out.pieces.append(" ")
+            at = shown = close.end() if close else len(page)
+            continue
+        if name in BREAKS:
+            out.pieces.append("\n")
+        elif first and name in ("a", "base") and (href := HREF.search(page, opening.end(), end)):
+            value = VALUE.match(page, href.end())
+            target = next((g for g in value.groups() if g is not None), "") if value else ""
+            if name == "a":
+                out.links.append(target)
+            elif out.base is None:
+                out.base = target
+        at = shown = end + 1
+    out.pieces.append(page[shown:])
+    return out
+
+
+def unescaped(text: str) -> str:
+    """Entities resolved; a number beyond all characters, however long, is U+FFFD."""
+    return html.unescape(LONG_NUMBER.sub("\ufffd", ZEROS.sub("&#", text))) if "&" in text else text
+
+
+def plain_text(page: str | Page) -> str:
     """Visible text of a page: block elements end lines, entities are resolved, blank lines go."""
-    text = TAG.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page)))
-    text = html.unescape(text) if "&" in text else text
-    return LINES.sub("\n", SPACES.sub(" ", text)).strip()
+    page = scanned(page) if isinstance(page, str) else page
+    return LINES.sub("\n", SPACES.sub(" ", unescaped("".join(page.pieces)))).strip()
 
 
-def outlinks(page: str, uri: str | None) -> list[str]:
+def outlinks(page: str | Page, uri: str | None) -> list[str]:
     """Absolute targets of the page's links, in order, each once; a <base> counts."""
-    base = BASE.search(page)
-    root = _join(uri or "", html.unescape(base.group(1))) if base else uri or ""
+    page = scanned(page) if isinstance(page, str) else page
+    root = _join(uri or "", unescaped(page.base)) if page.base else uri or ""
     found: dict[str, None] = {}
-    for m in LINK.finditer(page):
-        target = html.unescape(m.group(1) or m.group(2) or m.group(3) or "").strip()
+    for link in page.links:
+        target = unescaped(link).strip()
         if target and not target.lower().startswith(("javascript:", "mailto:", "#")):
             found.setdefault(re.sub(r"\s", "%20", _join(root, target)))
     return list(found)
@@ -115,11 +176,11 @@ def derivatives(source: DataFrame) -> DataFrame:
             page = payload or ""
             source_digest = digest(page.encode("utf-8", "surrogatepass"))
             source_id = source_id or record_id(f"{uri}\n{source_digest}", "response")
-            text = plain_text(page)
-            title = TITLE.search(page)
-            title = SPACES.sub(" ", html.unescape(title.group(1)).replace("\n", " ").replace("\r", " ")).strip() if title else ""
+            read = scanned(page)
+            text = plain_text(read)
+            title = SPACES.sub(" ", unescaped(read.title or "").replace("\n", " ").replace("\r", " ")).strip()
             fields = [f"title: {title}", f"text-chars: {len(text)}", f"text-words: {len(text.split())}"]
-            fields += [f"outlink: {link} L a/@href" for link in outlinks(page, uri)]
+            fields += [f"outlink: {link} L a/@href" for link in outlinks(read, uri)]
             blocks = {"metadata": "".join(f + NEWLINE for f in fields), "conversion": text}
             kinds = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
             for kind, block in blocks.items():
