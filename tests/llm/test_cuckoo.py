@@ -57,7 +57,7 @@ def test_index_over_several_deliveries(spark):
         truth.pop(i)
     found = {bytes(r.digest): (r.owner, r.copies) for r in index.collect()}
     assert found == {key(k): (max(v), len(v)) for k, v in truth.items()}
-    looked = {r.doc_id: r.owner for r in cuckoo.lookup(index, rows(range(395))).collect()}
+    looked = {r.doc_id: r.owner for r in cuckoo.lookup(index, rows(range(395)), 3).collect()}
     assert looked == {i: max(truth[i]) if i in truth else None for i in range(395)}
 
 

@@ -3,11 +3,10 @@
 The index is a table with one row per live text: its shard, the shard's number
 of buckets, the bucket and 16-bit fingerprint under which a cuckoo filter
 holds it, and the content key (full SHA-256), owner and number of copies
-stored in that bucket. A shard is one partition of the digests. For insertions
-and deletions a task loads its shard's filter; a fingerprint's hit is verified
-by the bucket's stored content, so a false positive never decides. ``lookup``
-probes no filter: it joins rows with the index by the full digest. When
-an insertion finds no room, the shard doubles its buckets and places the stored
+stored in that bucket. A shard is one partition of the digests. For
+insertions, deletions and lookups a task loads its shard's filter; a
+fingerprint's hit is verified by the bucket's stored content, so a false
+positive never decides. When an insertion finds no room, the shard doubles its buckets and places the stored
 keys anew. Digests can be inserted and deleted at any time.
 """
 
@@ -33,8 +32,11 @@ FEWEST_BUCKETS = 64
 SHARD_KEYS = 100_000
 # Parts a digest's rows are combined in before they travel to its shard.
 DELIVERIES = 16
+# A digest of at least one row in this many is common; there are at most as many common ones.
+COMMON = 4096
 
 INDEX = "shard int, buckets int, bucket int, fingerprint int, digest binary, owner long, copies long"
+ANSWER = "digest binary, owner long, copies long, asked long"
 
 
 def digests(documents: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -213,9 +215,37 @@ def delete(index: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
     return _changed(index, gone.select("digest", *nothing), shards)
 
 
-def lookup(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, digest) with owner and copies of their live digest, NULL if there is none."""
-    return rows.join(index.select("digest", "owner", "copies"), "digest", "left")
+def probed(index: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """Answers (``ANSWER``) of the shards' filters to ``asked`` (digest, asked); digests that are not live have none."""
+
+    def probe(key: tuple, live: pa.Table, new: pa.Table) -> pa.Table:
+        stored_rows = live.to_pylist()
+        shard = Shard(stored_rows[0]["buckets"]) if stored_rows else Shard()
+        shard.load(stored_rows)
+        asking = zip(new.column("digest").to_pylist(), new.column("asked").to_pylist())
+        hits = [(digest, entry[1], entry[2], n) for digest, n in asking if (entry := shard.find(digest)) is not None]
+        types = {"digest": pa.binary(), "owner": pa.int64(), "copies": pa.int64(), "asked": pa.int64()}
+        return pa.table({c: pa.array([h[i] for h in hits], t) for i, (c, t) in enumerate(types.items())})
+
+    keyed = asked.select(shard_of(shards), "digest", "asked")
+    return index.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInArrow(probe, ANSWER)
+
+
+def lookup(index: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (doc_id, digest) with owner and copies of their live digest, NULL if there is none.
+
+    Each digest is probed once, in its shard's filter. Answers to the at most
+    ``COMMON`` digests that many rows ask for are sent to all tasks, so no
+    task gets all the rows of one text; the others are joined by digest.
+    """
+    asked = rows.groupBy("digest").agg(F.count("*").alias("asked"))
+    answers = stored(probed(index, asked, shards), "answers")
+    common = F.col("asked") * COMMON >= rows.count()
+    sent = answers.where(common).select("digest", F.struct("owner", "copies").alias("answer"))
+    met = rows.join(F.broadcast(sent), "digest", "left")
+    near = met.where("answer is not null").select(*rows.columns, "answer.owner", "answer.copies")
+    far = met.where("answer is null").drop("answer").join(answers.where(~common).drop("asked"), "digest", "left")
+    return near.unionByName(far.select(*rows.columns, "owner", "copies"))
 
 
 def exact_duplicates(documents: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -230,7 +260,7 @@ def exact_duplicates(documents: DataFrame, carry: Sequence[str] = ()) -> DataFra
     rows = stored(digests(documents, carry), "digests")
     shards = shard_count(rows.count())
     index = stored(insert(empty_index(documents.sparkSession), rows, shards), "cuckoo")
-    return lookup(index, rows).select(
+    return lookup(index, rows, shards).select(
         "doc_id", *carry, F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
