@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelfield.llm.storage import stored
 from voxelfield.llm.text import filled, kept, map_slices
 
 # Lengths per range of the suffix sums.
@@ -43,8 +44,8 @@ def encoded_lengths(documents: DataFrame, path: str, pattern: str, keep: Sequenc
 
 
 def histogram(lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, length, n): documents per encoded length, combined before they travel."""
-    return lengths.groupBy(*by, "length").agg(F.count("*").alias("n"))
+    """(by, length, n): documents per encoded length, combined before they travel; stored, so that texts are encoded once."""
+    return stored(lengths.groupBy(*by, "length").agg(F.count("*").alias("n")), "lengths")
 
 
 def suffix_sums(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
