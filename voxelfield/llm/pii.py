@@ -11,6 +11,7 @@ identifiers in their slots.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -44,7 +45,8 @@ ROUNDS = 3
 # A pattern marks unseen identifiers from this confidence and this many different base instances on.
 CONFIDENCE = 0.8
 SUPPORT = 3
-CONTEXT_CHARS = 120
+# A word of a context: a run of letters, or a number.
+WORD = re.compile(r"[^\W\d_]+|\d+")
 
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -88,15 +90,14 @@ def base_spans(text: str) -> list[Span]:
 def marked_words(text: str) -> list[tuple[int, int]]:
     """Words with a digit or an @, numbers next to each other as one; outer marks left out."""
     found: list[list[int]] = []
+    number = False  # whether the last one found is a number so far
     for m in MARKED.finditer(text):
         start, end = m.span()
         floor = found[-1][1] if found else 0
         while start > floor and not text[start - 1].isspace():
             start -= 1
-        if (
-            found and text[found[-1][1] : start] == " "
-            and NUMBER.fullmatch(text, start, end) and NUMBER.fullmatch(text, found[-1][0], found[-1][1])
-        ):
+        before, number = number, NUMBER.fullmatch(text, start, end) is not None
+        if found and before and number and start == found[-1][1] + 1 and text[start - 1] == " ":
             found[-1][1] = end
         else:
             found.append([start, end])
@@ -129,13 +130,30 @@ def unseen_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a slot: the two words before it, and the words on both sides."""
-    before = text[max(0, start - CONTEXT_CHARS) : start].lower().split()[-2:]
-    after = text[end : end + CONTEXT_CHARS].lower().split()[:1]
-    plain = [re.sub("[0-9]+", "0", w) for w in [*before, *after]]
-    left, right = plain[: len(before)], plain[len(before) :]
-    return [" ".join([*left, "_"]), " ".join([*left[-1:], "_", *right])]
+class Contexts:
+    """Lexical patterns of the slots of a text, whose words are found once.
+
+    A slot has the two words before it, and the words on both sides, however
+    far they are; numbers read as 0. Patterns without a letter are none.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words = text, [m.span() for m in WORD.finditer(text)]
+
+    def _word(self, start: int, end: int) -> str:
+        word = self.text[start:end]
+        return word.lower() if word[0].isalpha() else "0"
+
+    def of(self, start: int, end: int) -> list[str]:
+        # The first word that ends behind the slot's start may reach into the slot, as the last one may from its end.
+        first = bisect.bisect_right(self.words, start, key=lambda w: w[1])
+        left = [self._word(*w) for w in self.words[max(0, first - 2) : first]]
+        if first < len(self.words) and self.words[first][0] < start:
+            left = [*left[-1:], self._word(self.words[first][0], start)]
+        last = bisect.bisect_right(self.words, end, key=lambda w: w[1])
+        right = [self._word(max(a, end), b) for a, b in self.words[last : last + 1]]
+        found = {" ".join([*left, "_"]): left, " ".join([*left[-1:], "_", *right]): [*left[-1:], *right]}
+        return [pattern for pattern, used in found.items() if any(w != "0" for w in used)]
 
 
 def instance(text: str, kind: int) -> str:
@@ -155,9 +173,10 @@ def occurrences(documents: DataFrame) -> DataFrame:
         for text in filled(part.column("text")).to_pylist():
             base = base_spans(text)
             unseen = unseen_spans(text, base)
+            around = Contexts(text) if base or unseen else None
             base_rows.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             slot_rows.append([
-                {"kind": k, "start": a, "end": b, "sure": sure, "instance": instance(text[a:b], k), "patterns": contexts(text, a, b)}
+                {"kind": k, "start": a, "end": b, "sure": sure, "instance": instance(text[a:b], k), "patterns": around.of(a, b)}
                 for sure, spans in ((True, base), (False, unseen)) for k, a, b in spans
             ])
         return pa.RecordBatch.from_arrays(
