@@ -37,6 +37,8 @@ PRIOR_WORDS, PRIOR_MOVES = 50.0, 1.0
 WARM_ROUNDS, ROUNDS, GAIN = 4, 9, 2e-3
 # Tokens trained on together, whose states are all held; longer texts are trained on alone, by windows of so many.
 TRAIN_HELD = 1 << 20
+# Rows of one single-precision sum of transitions.
+PRODUCT_ROWS = 1 << 12
 # Tokens scored together; longer texts are scored alone.
 SCORE_TOKENS = 4_000_000
 
@@ -218,49 +220,65 @@ def likely_counts(
     stationary = np.linalg.matrix_power(model.moves, 64).mean(axis=0)
 
     added = np.ones((STATES, 1), dtype=np.float32)  # a product with it adds up a row
-
-    def step(state: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = live[t]
-        which = classes[begins[:n] + t]
-        now = emissions[which]
-        state = (state[:n] if t == 0 else state[:n] @ moves) * now
-        scale = state @ added
-        return state / scale, now, scale, which
+    # Rows of a window lie by step: step t has the live sequences, from ends[t - 1] to ends[t].
+    ends = np.append(0, np.cumsum(live))
+
+    def filtered(state: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, ...]:
+        """Classes, emissions, states and scales of a window that ``state`` comes before."""
+        at = ends[begin : end + 1] - ends[begin]
+        step_of = np.repeat(np.arange(end - begin), live[begin:end])
+        who = np.arange(at[-1]) - at[step_of]
+        which = classes[begins[who] + (step_of + begin)]
+        seen = emissions[which]
+        states, scales = np.empty_like(seen), np.empty((len(seen), 1), dtype=np.float32)
+        for t, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            now = states[low:high]
+            if t + begin:
+                np.matmul(state[: high - low], moves, out=now)
+                now *= seen[low:high]
+            else:
+                np.multiply(state, seen[low:high], out=now)
+            scale = np.matmul(now, added, out=scales[low:high])
+            now /= scale
+            state = now
+        return at, step_of, who, which, seen, states, scales
 
     state = np.where(first[:, None], model.start, stationary).astype(np.float32)
     heads = [state]
     for begin, end in zip(cuts[:-2], cuts[1:-1]):
-        for t in range(begin, end):
-            state = step(state, t)[0]
-        heads.append(state)
+        states = filtered(heads[-1], begin, end)[5]
+        heads.append(states[len(states) - live[end - 1] :].copy())
     size = len(model.emissions)
     move_counts, start_counts, emitted, gained = np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros((size, STATES)), 0.0
-    back = np.ones((0, STATES), dtype=np.float32)
+    back, turned = np.ones((0, STATES), dtype=np.float32), np.ascontiguousarray(moves.T)
     for k in range(len(heads) - 1, -1, -1):
         begin, end = cuts[k], cuts[k + 1]
-        states, seen, scales, where, what = [heads[k]], [], [], [], []
-        for t in range(begin, end):
-            state, now, scale, which = step(states[-1], t)
-            states.append(state)
-            seen.append(now)
-            scales.append(scale)
-            where.append(which)
-        gained += float(np.log(np.concatenate(scales)).sum(dtype=np.float64))
-        for t in range(end - 1, begin - 1, -1):
-            n = live[t]
-            if len(back) < n:
-                back = np.vstack([back, np.ones((n - len(back), STATES), dtype=np.float32)])
-            gamma = states[t - begin + 1] * back
-            gamma /= gamma @ added
-            what.append(gamma)
+        at, step_of, who, which, seen, states, scales = filtered(heads[k], begin, end)
+        gained += float(np.log(scales).sum(dtype=np.float64))
+        # Backward values; sequences that end at a step have 1. Emissions turn into what goes on to the step before.
+        behind = np.ones_like(seen)
+        behind[at[-2] : at[-2] + len(back)] = back
+        seen /= scales
+        places = at.tolist()
+        for t in range(end - begin - 1, -1, -1):
+            low, high = places[t], places[t + 1]
+            onward = seen[low:high]
+            onward *= behind[low:high]
             if t:
-                onward = seen[t - begin] * back / scales[t - begin]
-                move_counts += states[t - begin][:n].T @ onward
-                back = onward @ moves.T
-            else:
-                start_counts += gamma[first[:n]].sum(axis=0)
-        where, what = np.concatenate(where), np.concatenate(what[::-1])
-        emitted += np.stack([np.bincount(where, weights=what[:, s], minlength=size) for s in range(STATES)], axis=1)
+                np.matmul(onward, turned, out=behind[places[t - 1] : places[t - 1] + high - low])
+        back = seen[: at[1]] @ turned
+        gamma = states * behind
+        gamma /= gamma @ added
+        for s in range(STATES):
+            emitted[:, s] += np.bincount(which, weights=gamma[:, s], minlength=size)
+        if begin:
+            move_counts += heads[k][: at[1]].T @ seen[: at[1]]
+        else:
+            start_counts += gamma[: at[1]][first[: at[1]]].sum(axis=0)
+        before = at[np.maximum(step_of - 1, 0)] + who
+        for low in range(at[1], len(seen), PRODUCT_ROWS):
+            part = slice(low, low + PRODUCT_ROWS)
+            move_counts += states[before[part]].T @ seen[part]
     return start_counts, move_counts * model.moves, emitted, gained
 
 
