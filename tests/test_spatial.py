@@ -121,6 +121,21 @@ def test_parcels(spark):
         parcels.parcel_means(images.where("voxel_id < 5"), table).collect()
 
 
+def test_shape_mismatch_counts_rows_and_deals_ids_by_their_number(spark, monkeypatch):
+    images = spark.createDataFrame([(s, v, 0.5) for s in (1, 2) for v in (None, 1, 2, 3, 3)], "subject_id long, voxel_id int, value double")
+    table = spark.createDataFrame([(v, 1) for v in (None, None, 2, 2, 7, 7, 7)], "voxel_id int, parcel_id int")
+    want = [(None, "images")] * 2 + [(None, "parcels"), (1, "parcels"), (3, "parcels")] + [(7, "images")] * 3
+    for seen in (images, images.select("voxel_id", "value")):
+        got = parcels.shape_mismatch(seen, table)
+        assert got.columns == ["voxel_id", "missing_in"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    # No task gets much more than its share of the ids, however few bytes they take.
+    monkeypatch.setattr(parcels, "IDS_PER_TASK", 100, raising=False)
+    many = spark.range(2000).withColumnRenamed("id", "voxel_id")
+    apart = parcels.shape_mismatch(many, many.select(F.col("voxel_id") + 2000, F.lit(1).alias("parcel_id")).toDF("voxel_id", "parcel_id"))
+    shares = apart.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in shares) == 4000 and max(r["count"] for r in shares) < 500
+
+
 @pytest.mark.parametrize("dim", range(7, 29))
 @pytest.mark.parametrize("n_part", [1, 2, 3, 4])
 def test_grid_blocks_follow_overwriting_intervals(dim, n_part):
