@@ -323,3 +323,41 @@ def test_many_partitions_and_far_apart_cells(spark, data):
         near = [u for u in range(1, SIDE * SIDE) if quarter(u) == quarter(v)]
         if v:
             assert r.p == pytest.approx(sum(rows[(i, u)].delta for u in near) / len(near))
+
+
+def test_a_pass_holds_a_few_chunks_of_bounded_size(monkeypatch):
+    """What a worker holds follows from the constants, not from the number of subjects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    voxels, people = 231, 600_000
+    config = FitConfig(degree=4, a=0.01, b=10.0)
+    chunks = selection_fit._chunk_count(people, voxels, config, 12)
+    n = -(-people // chunks)
+    assert n * voxels <= selection_fit.CHUNK_DOUBLES
+    assert selection_fit._chunk_count(people, 100_000, config, 12) == people / 16  # states are not sent for a single subject
+    assert selection_fit._chunk_count(10, 10_000_000, config, 12) == 10
+    assert selection_fit._chunk_count(640, voxels, config, 4) == 4
+
+    rng = np.random.default_rng(0)
+    row = {"replicate": 0, "key": np.arange(n).tobytes(), "y": (np.arange(n) % 2).astype(np.int8).tobytes(), "z0": np.zeros(n).tobytes(),
+           "image": pa.py_buffer(rng.normal(size=(n, voxels)).tobytes()), "z": None, "eta": None}
+    state = {"moved": np.arange(voxels), "moved_by": np.ones((voxels, 5)), "alpha": 0.1, "open": np.ones(voxels, bool),
+             "delta": np.ones(voxels, np.int8), "theta": np.ones((voxels, 5)), "cuts": np.array([0, voxels])}
+    for kind in ("theta", "delta"):
+        tracemalloc.start()
+        sums = list(selection_fit._products(selection_fit._Job(kind, 0, 2048, 0, False), selection_fit._Chunk(row, config, 1), {0: state}, config))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(sums) == 1 and peak < 48e6
+
+    # Sums of many tasks are read where they lie.
+    band = np.arange(selection_fit.BAND, dtype=float)
+    column = pa.chunked_array([pa.array([band.tobytes()] * 50, pa.binary()), pa.array([band.tobytes()] * 50, pa.binary())])
+    tracemalloc.start()
+    total = selection_fit._total(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_array_equal(total, 100 * band)
+    assert peak < 3 * band.nbytes and band.nbytes * 200 <= 32e6
